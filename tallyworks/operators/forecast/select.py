@@ -89,7 +89,7 @@ def fit_trends(series: DataFrame, keys: Sequence[str], n_test_months: int | None
     lines = lines.withColumn("status", F.when(usable, "ok").otherwise("too short"))
     lines = lines.withColumn("train_values", F.slice("values", F.lit(1), F.greatest("n_train", F.lit(0))))
     lines = spread_fits(lines, keys)
-    fitted = fit_holt(fit_holt(lines, "train_values", "n_train", "train_holt"), "values", "n", "holt")
+    fitted = fit_holt(fit_holt(lines, "train_values", "train_holt"), "values", "holt")
     return materialise(fitted.drop("train_values"), "trend-fits")
 
 

@@ -1,12 +1,15 @@
-"""Exponential smoothing fitted by grid search, as native expressions over one array per series."""
+"""Exponential smoothing of every series, one row and one fit per series."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from itertools import product
+from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.functions import pandas_udf
 
+from tallyworks.functions import smoothing
 from tallyworks.functions.columns import explode_future
 from tallyworks.operators.forecast.linear import Z95, widening_band
 
@@ -27,113 +30,38 @@ def spread_fits(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.repartition(tasks, F.xxhash64(*keys) if keys else F.lit(0))
 
 
-def _errors(acc: Column, error: Column) -> list[Column]:
-    return [
-        (acc["sse"] + error * error).alias("sse"),
-        (acc["sae"] + F.abs(error)).alias("sae"),
-        (acc["se"] + error).alias("se"),
-    ]
+_HOLT = "alpha double, beta double, phi double, level double, trend double, sse double, sae double, se double"
+_WINTERS = (
+    "alpha double, beta double, gamma double, level double, trend double, season array<double>, "
+    "sse double, sae double, se double"
+)
 
 
-def _zero_errors() -> list[Column]:
-    return [F.lit(0.0).alias(n) for n in ("sse", "sae", "se")]
+def _sums(errors: np.ndarray) -> tuple[float, float, float]:
+    return float((errors**2).sum()), float(np.abs(errors).sum()), float(errors.sum())
 
 
-def holt_run(values: Column, n: Column, p: Column) -> Column:
-    """Damped trend over a series: final level and trend and the one-step errors.
+def _frame(rows: list[tuple | None], schema: str) -> pd.DataFrame:
+    names = [part.split()[0] for part in schema.split(", ")]
+    return pd.DataFrame([r or (None,) * len(names) for r in rows], columns=names)
 
-    Starts from the first value and the first difference, so errors count from the second point.
-    """
-    start = F.struct(values[0].alias("level"), (values[1] - values[0]).alias("trend"), *_zero_errors())
 
-    def step(acc: Column, y: Column) -> Column:
-        drift = p["phi"] * acc["trend"]
-        expected = acc["level"] + drift
-        level = expected + p["alpha"] * (y - expected)
-        trend = drift + p["beta"] * (level - acc["level"] - drift)
-        return F.struct(level.alias("level"), trend.alias("trend"), *_errors(acc, y - expected))
+def fit_holt(df: DataFrame, values: str = "values", out: str = "holt") -> DataFrame:
+    """Add the struct ``out`` to ``as_arrays`` rows: parameters, final state, sums of errors; needs two points."""
 
-    return F.aggregate(F.slice(values, F.lit(2), n - 1), start, step)
+    def fit_one(y: np.ndarray) -> tuple | None:
+        if len(y) < 2:
+            return None
+        best = smoothing.search(lambda p: smoothing.holt(y, p)[2], smoothing.HOLT_GRID, smoothing.HOLT_REACH)
+        level, trend, errors = smoothing.holt(y, best[None, :])
+        return (*best, level[0], trend[0], *_sums(errors))
 
+    @pandas_udf(_HOLT)
+    def fit(series: pd.Series) -> pd.DataFrame:
+        return _frame([fit_one(np.asarray(y, dtype=float)) for y in series], _HOLT)
 
-def winters_run(values: Column, n: Column, p: Column, period: int) -> Column:
-    """Additive level, trend and season over a series; the season array turns by one each step."""
-    first, second = F.slice(values, 1, period), F.slice(values, period + 1, period)
-
-    def mean(a: Column) -> Column:
-        return F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / period
-
-    level0 = mean(first)
-    start = F.struct(
-        level0.alias("level"),
-        ((mean(second) - level0) / period).alias("trend"),
-        F.transform(first, lambda x: x - level0).alias("season"),
-        *_zero_errors(),
-    )
-
-    def step(acc: Column, y: Column) -> Column:
-        season = acc["season"][0]
-        base = acc["level"] + acc["trend"]
-        level = p["alpha"] * (y - season) + (1 - p["alpha"]) * base
-        trend = p["beta"] * (level - acc["level"]) + (1 - p["beta"]) * acc["trend"]
-        turned = F.concat(
-            F.slice(acc["season"], 2, period - 1), F.array(p["gamma"] * (y - base) + (1 - p["gamma"]) * season)
-        )
-        return F.struct(
-            level.alias("level"), trend.alias("trend"), turned.alias("season"), *_errors(acc, y - base - season)
-        )
-
-    return F.aggregate(values, start, step)
-
-
-def _search(run: Callable[[Column], Column], grid: Column, names: Sequence[str]) -> Column:
-    """Parameters of the grid with the least squared error; the smaller parameters of equals."""
-    scored = F.transform(grid, lambda g: F.struct(run(g)["sse"].alias("sse"), *[g[n].alias(n) for n in names]))
-    return F.array_min(scored)
-
-
-def _grid(ranges: dict[str, Sequence[float]]) -> Column:
-    points = [F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(ranges, p)]) for p in product(*ranges.values())]
-    return F.array(*points)
-
-
-def _around(best: Column, reach: dict[str, tuple[float, float, float]], zoom: float) -> Column:
-    """Three steps per parameter around the best point, within its limits."""
-    offsets = _grid({n: (-r * zoom, 0.0, r * zoom) for n, (r, _, _) in reach.items()})
-
-    def near(o: Column) -> Column:
-        return F.struct(
-            *[F.least(F.greatest(best[n] + o[n], F.lit(lo)), F.lit(hi)).alias(n) for n, (_, lo, hi) in reach.items()]
-        )
-
-    return F.transform(offsets, near)
-
-
-def _fit(df: DataFrame, run: Callable[[Column], Column], ranges, reach, usable: Column, out: str) -> DataFrame:
-    """Add the struct ``out``: parameters and final state of the best run, null where not usable.
-
-    A coarse grid, then ever finer ones around the best so far. ``inline`` keeps each search
-    a step of its own, so that none is evaluated more than once per series.
-    """
-    keep = list(df.columns)
-    candidates = _grid(ranges)
-    for zoom in (1.0, 0.4, 0.0):
-        best = F.when(usable, _search(run, candidates, list(ranges)))
-        df = df.select(*keep, F.inline(F.array(F.struct(best.alias("_p")))))
-        candidates = _around(F.col("_p"), reach, zoom)
-    state = F.when(usable, run(F.col("_p")))
-    df = df.select(*keep, "_p", F.inline(F.array(F.struct(state.alias("_state")))))
-    return df.select(*keep, F.when(usable, F.struct(*[F.col("_p")[n].alias(n) for n in ranges], "_state.*")).alias(out))
-
-
-# Coarse grids; then per parameter the first step of the finer search and the limits.
-HOLT_GRID = {"alpha": (0.05, 0.2, 0.4, 0.65, 0.9), "beta": (0.0, 0.05, 0.2, 0.6), "phi": (0.82, 0.92, 0.98)}
-HOLT_REACH = {"alpha": (0.1, 0.001, 0.999), "beta": (0.08, 0.0, 0.999), "phi": (0.03, 0.8, 0.995)}
-
-
-def fit_holt(df: DataFrame, values: str = "values", n: str = "n", out: str = "holt") -> DataFrame:
-    """Damped Holt on ``as_arrays`` rows; needs two points."""
-    return _fit(df, lambda p: holt_run(F.col(values), F.col(n), p), HOLT_GRID, HOLT_REACH, F.col(n) >= 2, out)
+    fitted = df.withColumn(out, fit(values))
+    return fitted.withColumn(out, F.when(F.col(out)["level"].isNotNull(), F.col(out)))
 
 
 def holt_point(state: Column, step: Column) -> Column:
@@ -156,16 +84,24 @@ def forecast_holt(fit: DataFrame, keys: Sequence[str], periods: int = 6, state:
     return ahead.select(*keys, "step", "date", point.alias("forecast"), lower.alias("lower_ci"), upper.alias("upper_ci"))
 
 
-WINTERS_GRID = {"alpha": (0.05, 0.2, 0.4, 0.75), "beta": (0.0, 0.05, 0.2), "gamma": (0.0, 0.1, 0.3, 0.6)}
-WINTERS_REACH = {"alpha": (0.1, 0.001, 0.999), "beta": (0.04, 0.0, 0.999), "gamma": (0.1, 0.0, 0.999)}
+def fit_winters(df: DataFrame, period: int = 12, values: str = "values", out: str = "winters") -> DataFrame:
+    """Additive trend and season on ``as_arrays`` rows; needs two full periods, else null."""
 
+    def fit_one(y: np.ndarray) -> tuple | None:
+        if len(y) < 2 * period:
+            return None
+        best = smoothing.search(
+            lambda p: smoothing.winters(y, p, period)[3], smoothing.WINTERS_GRID, smoothing.WINTERS_REACH
+        )
+        level, trend, season, errors = smoothing.winters(y, best[None, :], period)
+        return (*best, level[0], trend[0], season[:, 0], *_sums(errors))
 
-def fit_winters(df: DataFrame, period: int = 12, values: str = "values", n: str = "n", out: str = "winters") -> DataFrame:
-    """Additive trend and season on ``as_arrays`` rows; needs two full periods."""
-    usable = F.col(n) >= 2 * period
-    return _fit(
-        df, lambda p: winters_run(F.col(values), F.col(n), p, period), WINTERS_GRID, WINTERS_REACH, usable, out
-    )
+    @pandas_udf(_WINTERS)
+    def fit(series: pd.Series) -> pd.DataFrame:
+        return _frame([fit_one(np.asarray(y, dtype=float)) for y in series], _WINTERS)
+
+    fitted = df.withColumn(out, fit(values))
+    return fitted.withColumn(out, F.when(F.col(out)["level"].isNotNull(), F.col(out)))
 
 
 def winters_metrics(state: Column, n: Column) -> tuple[Column, Column]:
