@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from catalog import cleaning, panels, reports  # noqa: F401
+from catalog import cleaning, forecasts, panels, reports  # noqa: F401

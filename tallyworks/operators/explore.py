@@ -133,7 +133,9 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = 50) -> DataFram
     for c in columns:
         lo, hi = edges(F.col("_s")[c])
         place = F.floor((F.col(c).cast("double") - lo) * bins / (hi - lo)) + 1
-        entries.append(F.struct(F.lit(c).alias("metric"), F.least(place, F.lit(bins)).cast("int").alias("bin")))
+        # The greatest value belongs to the last bin; ``least`` alone would put nulls there too.
+        within = F.when(place.isNotNull(), F.least(place, F.lit(bins)))
+        entries.append(F.struct(F.lit(c).alias("metric"), within.cast("int").alias("bin")))
     counts = (
         placed.select(F.inline(F.array(*entries))).where("bin IS NOT NULL").groupBy("metric", "bin").agg(F.count(F.lit(1)).alias("n"))
     )

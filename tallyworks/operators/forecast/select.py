@@ -150,6 +150,9 @@ def generate_forecasts(
     """Series of ``target`` forecast by ``linear``, ``arima`` (order searched) or ``sarima``."""
     if method not in ("linear", "arima", "sarima"):
         raise ValueError(f"Unknown method: {method}")
+    if not keys:
+        one = df.withColumn("_all", F.lit(target))
+        return generate_forecasts(one, target, ["_all"], periods, method, date, freq).drop("_all")
     series = prepare_series(df, target, keys, freq, "sum", date)
     if method == "linear":
         rows = forecast_line(fit_line(series, keys), keys, periods, freq)
