@@ -9,7 +9,7 @@ from catalog.common import (
     DISTRICTS, dense, districts, joined, monthly, outer_joined, panel, query, shown, sums,
 )
 from tallyworks.functions import columns
-from tallyworks.functions.lineage import stage_path
+from tallyworks.functions.lineage import materialise, stage_path
 from tallyworks.operators import cleaning
 from tallyworks.plans import pipelines
 from tallyworks.schemas import clean_schema
@@ -42,7 +42,9 @@ def raw_fact(spark: SparkSession, sf_dir: str, fact: str, messy_names: bool = Fa
             for m in MEASURE_NAMES[[k for k, v in RAW_NAMES.items() if v == fact][0]]
         ],
     )
-    return out.toDF(*[f" {c.upper()} " for c in out.columns]) if messy_names else out
+    # Facts arrive as stored text, so they are stored before they are cleaned.
+    stored = materialise(out, f"raw-{fact}")
+    return stored.toDF(*[f" {c.upper()} " for c in out.columns]) if messy_names else stored
 
 
 def raw_sql(fact: str) -> str:

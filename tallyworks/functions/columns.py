@@ -32,21 +32,40 @@ def sum_with_nulls(names: Sequence[str]) -> Column:
 
 
 def title_case(c: Column | str) -> Column:
-    """Trimmed text with a capital after every non-letter, so also after ``-`` and ``'``."""
-    words = F.regexp_extract_all(F.lower(F.trim(col(c))), F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(0))
-    capital = F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30)))
-    return F.array_join(capital, "")
+    """Trimmed text with a capital after every non-letter, so also after ``-`` and ``'``.
+
+    ``initcap`` starts a word only after a blank, so a marked blank stands behind every other
+    non-letter while it runs. Unlike a lambda over the parts this stays in generated code.
+    """
+    mark = "\u0001 "
+    spaced = F.regexp_replace(F.trim(col(c)), r"([^\p{L} ])", f"$1{mark}")
+    return F.replace(F.initcap(spaced), F.lit(mark), F.lit(""))
+
+
+def _fixed_width_date(c: Column, pattern: str) -> Column:
+    """Date of a pattern made of ``dd``, ``MM``, ``yyyy`` and separators, without a failing parse per row."""
+    checks = [F.length(c) == len(pattern)]
+    checks += [F.substring(c, i + 1, 1) == ch for i, ch in enumerate(pattern) if ch not in "dMy"]
+    parts = [F.substring(c, pattern.index(p) + 1, len(p)) for p in ("yyyy", "MM", "dd")]
+    fits = checks[0]
+    for check in checks[1:]:
+        fits = fits & check
+    return F.when(fits, F.concat_ws("-", *parts).try_cast("date"))
 
 
 def parse_date(c: Column | str, patterns: Sequence[str] = DATE_PATTERNS) -> Column:
     """First pattern that fits the text, else null."""
-    return F.coalesce(*[F.try_to_date(col(c), p) for p in patterns])
+
+    def parse(pattern: str) -> Column:
+        plain = sorted(filter(str.isalpha, pattern)) == sorted("ddMMyyyy") and all(p in pattern for p in ("dd", "MM", "yyyy"))
+        return _fixed_width_date(col(c), pattern) if plain else F.try_to_date(col(c), pattern)
+
+    return F.coalesce(*[parse(p) for p in patterns])
 
 
 def to_number(c: Column | str) -> Column:
     """Text as a double; anything that is not a number is null, never NaN."""
-    value = col(c).try_cast("double")
-    return F.when(~F.isnan(value), value)
+    return F.nanvl(col(c).try_cast("double"), F.lit(None).cast("double"))
 
 
 def non_negative(c: Column | str) -> Column:

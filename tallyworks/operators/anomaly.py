@@ -180,7 +180,7 @@ def administrative_suggestions(report: DataFrame, top_states: int = 3, top_month
 
     def leaders(dimension: str, k: int, shown: Column) -> Column:
         found = (F.col("dimension") == dimension) & (F.col("rank") <= k)
-        best = F.array_sort(F.collect_list(F.when(found, F.struct("rank", shown.alias("shown")))))
+        best = F.sort_array(F.collect_list(F.when(found, F.struct("rank", shown.alias("shown")))))
         return F.array_join(F.transform(best, lambda s: s["shown"]), ", ")
 
     month_name = F.date_format(F.make_date(F.lit(2000), F.col("key").try_cast("int"), F.lit(1)), "MMMM")

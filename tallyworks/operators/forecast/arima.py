@@ -8,12 +8,11 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.functions import pandas_udf
 
 from tallyworks.functions import arima
 from tallyworks.functions.columns import future_dates
 from tallyworks.operators.forecast.linear import fit_line, forecast_line
-from tallyworks.operators.forecast.smoothing import as_arrays, spread_fits
+from tallyworks.operators.forecast.smoothing import as_arrays, fit_udf, spread_fits
 
 NO_SEASON = (0, 0, 0, 0)
 SEASONAL_ORDER = (1, 1, 1, 12)
@@ -59,7 +58,7 @@ def fit_arima(
     arrays = as_arrays(series, [*keys, order_column] if order_column else keys)
     given = F.col(order_column) if order_column else F.array(*[F.lit(int(o)) for o in order])
 
-    @pandas_udf(_FIT)
+    @fit_udf(_FIT)
     def fit(values: pd.Series, orders: pd.Series) -> pd.DataFrame:
         rows = []
         for y, o in zip(values, orders):
@@ -111,7 +110,7 @@ def order_search(series: DataFrame, keys: Sequence[str], max_p: int = 3, max_d:
     orders = [(p, d, q) for p in range(max_p + 1) for d in range(max_d + 1) for q in range(max_q + 1)]
     grid = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("pdq", o)]) for o in orders])
 
-    @pandas_udf("double")
+    @fit_udf("double")
     def aic(values: pd.Series, p: pd.Series, d: pd.Series, q: pd.Series) -> pd.Series:
         fits = (arima.fit(np.asarray(y, dtype=float), o) for y, *o in zip(values, p, d, q))
         return pd.Series([f.aic if f is not None else None for f in fits], dtype="float64")
@@ -187,7 +186,7 @@ def _adf(y: np.ndarray) -> tuple[float, int, int] | None:
 def check_stationarity(series: DataFrame, keys: Sequence[str], significance: float = 0.05) -> DataFrame:
     """Augmented Dickey-Fuller test with constant: statistic, p value, 5 % critical value, verdict."""
 
-    @pandas_udf("adf_statistic double, p_value double, critical_5 double, lags int, message string")
+    @fit_udf("adf_statistic double, p_value double, critical_5 double, lags int, message string")
     def test(values: pd.Series) -> pd.DataFrame:
         rows = []
         for y in values:

@@ -82,7 +82,7 @@ def fit_ensemble(
     )
     evaluation = materialise(evaluation, "ensemble-evaluation")
 
-    tail = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("date", "value")))), 1, 3)
+    tail = F.slice(F.reverse(F.sort_array(F.collect_list(F.struct("date", "value")))), 1, 3)
     state = series.groupBy(*keys).agg(F.max("date").alias("last_date"), tail.alias("_t")).join(sized, keys)
     state = state.where(F.size("_t") == 3).select(
         *keys, "last_date", "_scale", *[F.col("_t")[i]["value"].alias(f"v{i + 1}") for i in range(3)]

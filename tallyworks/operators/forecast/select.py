@@ -76,7 +76,7 @@ def fit_trends(series: DataFrame, keys: Sequence[str], n_test_months: int | None
         {"slope": slope, "intercept": intercept, "train_slope": train_slope, "train_intercept": train_intercept}
     )
     error = F.col("value") - F.col("intercept") - F.col("slope") * F.col("i")
-    points = F.array_sort(F.collect_list(F.struct("date", "value")))
+    points = F.sort_array(F.collect_list(F.struct("date", "value")))
     lines = rows.groupBy(*keys).agg(
         F.transform(points, lambda p: p["value"]).alias("values"),
         F.count(F.lit(1)).cast("int").alias("n"),

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.functions import pandas_udf
 
 from tallyworks.functions import smoothing
 from tallyworks.functions.columns import explode_future
@@ -16,7 +15,7 @@ from tallyworks.operators.forecast.linear import Z95, widening_band
 
 def as_arrays(series: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per series: ``values`` in order of date, ``n`` and ``last_date``."""
-    points = F.array_sort(F.collect_list(F.struct("date", "value")))
+    points = F.sort_array(F.collect_list(F.struct("date", "value")))
     return series.groupBy(*keys).agg(
         F.transform(points, lambda p: p["value"]).alias("values"),
         F.count(F.lit(1)).cast("int").alias("n"),
@@ -24,6 +23,15 @@ def as_arrays(series: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def fit_udf(schema: str):
+    """A pandas UDF run once per row: a deterministic one may be repeated by filters and projections above it."""
+
+    def wrap(fn):
+        return F.pandas_udf(fn, schema).asNondeterministic()
+
+    return wrap
+
+
 def spread_fits(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One fit per row is heavy work on few bytes: spread the rows by count, or AQE would merge them by size."""
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -56,7 +64,7 @@ def fit_holt(df: DataFrame, values: str = "values", out: str = "holt") -> DataFr
         level, trend, errors = smoothing.holt(y, best[None, :])
         return (*best, level[0], trend[0], *_sums(errors))
 
-    @pandas_udf(_HOLT)
+    @fit_udf(_HOLT)
     def fit(series: pd.Series) -> pd.DataFrame:
         return _frame([fit_one(np.asarray(y, dtype=float)) for y in series], _HOLT)
 
@@ -96,7 +104,7 @@ def fit_winters(df: DataFrame, period: int = 12, values: str = "values", out: st
         level, trend, season, errors = smoothing.winters(y, best[None, :], period)
         return (*best, level[0], trend[0], season[:, 0], *_sums(errors))
 
-    @pandas_udf(_WINTERS)
+    @fit_udf(_WINTERS)
     def fit(series: pd.Series) -> pd.DataFrame:
         return _frame([fit_one(np.asarray(y, dtype=float)) for y in series], _WINTERS)
 

@@ -7,10 +7,9 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.functions import pandas_udf
 
 from tallyworks.functions.columns import future_dates
-from tallyworks.operators.forecast.smoothing import as_arrays, spread_fits
+from tallyworks.operators.forecast.smoothing import as_arrays, fit_udf, spread_fits
 
 CHANGEPOINTS = 25
 CHANGEPOINT_RANGE = 0.8
@@ -40,7 +39,7 @@ def fit_structural(
     bounds widen with the changes of trend seen so far.
     """
 
-    @pandas_udf(_FIT)
+    @fit_udf(_FIT)
     def fit(values: pd.Series, last_month: pd.Series) -> pd.DataFrame:
         rows = []
         for y, month in zip(values, last_month):

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from tallyworks.functions.lineage import materialise
@@ -64,20 +64,37 @@ def path_lengths(points: np.ndarray, tree: dict[str, np.ndarray], max_depth: int
     return tree["path"][node]
 
 
+def _unit(*parts) -> Column:
+    """Uniform in [0, 1) from a hash."""
+    return F.pmod(F.xxhash64(*parts), F.lit(1 << 53)) / F.lit(float(1 << 53))
+
+
 def sample_for_trees(df: DataFrame, columns: Sequence[str], trees: int, seed: int) -> DataFrame:
     """(tree, columns): ``SAMPLES_PER_TREE`` rows for each tree, or all rows of a smaller frame.
 
-    Rows are drawn by hash, so the sample is the same on every run. A threshold on the hash
-    first cuts the rows to a few times the pool, so the top-k never moves more than that.
+    Rows are drawn by hash, so the sample is the same on every run. Thresholds on the hash
+    first cut the rows to a few times what is wanted, so neither the pool nor the choice per
+    tree ever sorts more than that.
     """
     pool_size = trees * SAMPLES_PER_TREE
-    points = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns], F.xxhash64(*df.columns).alias("_h"))
-    share = df.agg(F.least(F.lit(1.0), F.try_divide(F.lit(4.0 * pool_size), F.count(F.lit(1)))).alias("s")).scalar()
-    drawn = F.pmod(F.xxhash64("_h", F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53)) < share
-    pool = points.where(drawn).orderBy(F.xxhash64("_h", F.lit(seed)), *columns).limit(pool_size)
+    points = df.select(
+        *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns], F.xxhash64(*df.columns).alias("_h")
+    )
+    n = df.agg(F.count(F.lit(1))).scalar()
+    pool = (
+        points.where(_unit("_h", F.lit(seed)) * n < 4.0 * pool_size)
+        .orderBy(F.xxhash64("_h", F.lit(seed)), *columns)
+        .limit(pool_size)
+        .withColumn("_n", F.least(n, F.lit(pool_size)))
+    )
     per_tree = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    order = Window.partitionBy("tree").orderBy(F.xxhash64("_h", "tree", F.lit(seed)), *columns)
-    return per_tree.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= SAMPLES_PER_TREE).drop("_r", "_h")
+    per_tree = per_tree.where(_unit("_h", "tree", F.lit(seed)) * F.col("_n") < 4.0 * SAMPLES_PER_TREE)
+    # By count, so that growing the trees stays spread over the tasks although the samples are small.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    per_tree = per_tree.repartition(min(trees, tasks), "tree")
+    order = Window.partitionBy("tree").orderBy(_unit("_h", "tree", F.lit(seed)), *columns)
+    chosen = per_tree.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= SAMPLES_PER_TREE)
+    return chosen.select("tree", *columns)
 
 
 def fit_forest(df: DataFrame, columns: Sequence[str], trees: int = 100, seed: int = 42) -> tuple[list[dict], float]:
@@ -118,6 +135,7 @@ def detect_isolation_forest(
             total += path_lengths(x, tree, max_depth)
         return pd.Series(np.exp2(-total / max(len(grown), 1) / scale))
 
+    score = score.asNondeterministic()  # evaluate once per row, wherever the result is used
     features = F.struct(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
     scored = materialise(df.withColumn("anomaly_score", score(features)), "scored")
     cutoff = exact_quantiles(scored, [], "anomaly_score", {"cutoff": 1.0 - contamination}).scalar()

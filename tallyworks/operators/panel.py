@@ -74,9 +74,13 @@ def stack_facts(facts: Mapping[str, DataFrame], keys: Sequence[str] = tuple(FACT
     return out
 
 
-def unify(activity: DataFrame, keys: Sequence[str] = tuple(FACT_KEYS)) -> DataFrame:
-    """The unified table: one row per key that any fact has, absent measures 0."""
-    return aggregate(activity, keys, [m for m in ALL_MEASURES if m in activity.columns])
+def unify(activity: DataFrame, keys: Sequence[str] = tuple(FACT_KEYS), complete: bool = False) -> DataFrame:
+    """The unified table: one row per key that any fact has, absent measures 0.
+
+    ``complete`` says that no key is null, so it need not be tested.
+    """
+    rows = activity if complete else drop_null_keys(activity, keys)
+    return rows.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in ALL_MEASURES if m in activity.columns])
 
 
 def join_facts(facts: Sequence[DataFrame], keys: Sequence[str], suffixes: Sequence[str] = ("", "_demo", "_bio")) -> DataFrame:

@@ -15,13 +15,20 @@ LEVELS = {"national": [], "state": ["state"], "district": ["state", "district"]}
 
 
 def clean_base(raw: DataFrame, fact: str) -> DataFrame:
-    """Base line: labels in title case, numbers coerced, absent as 0, negative kept."""
-    return cleaning.fact_columns(cleaning.handle_missing(cleaning.standardise(raw)), fact)
+    """Base line: labels in title case, numbers coerced, absent as 0, negative kept.
+
+    Rows without a place go before the labels are conformed, while the test is cheap. A row
+    without a postal code is kept, under code 0.
+    """
+    placed = cleaning.normalise_names(raw).where("state IS NOT NULL AND district IS NOT NULL")
+    clean = cleaning.fill_numbers(cleaning.standardise(placed)).where(F.col("date").isNotNull())
+    return cleaning.fact_columns(clean.na.fill("0", ["pincode"]), fact)
 
 
 def preprocess_all(raw: Mapping[str, DataFrame], keys: Sequence[str] = tuple(FACT_KEYS)) -> DataFrame:
     """Base line from raw facts to the unified table, by day and place."""
-    return panel.unify(panel.stack_facts({f: clean_base(df, f) for f, df in raw.items()}), keys)
+    facts = panel.stack_facts({f: clean_base(df, f) for f, df in raw.items()})
+    return panel.unify(facts, keys, complete=True)
 
 
 def preprocess_folder(spark: SparkSession, data_dir: str) -> DataFrame:

@@ -7,8 +7,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tallyworks.schemas import FACT_KEYS, MEASURES, PLACE_KEYS
 
 
+# The columns read; a declared schema saves a job per table to find it out.
+TABLES = {
+    "customer": "c_custkey bigint, c_nationkey int, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "ts timestamp_ntz, event_type string, value double",
+}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _one_if(condition: Column, name: str) -> Column:
@@ -17,8 +27,8 @@ def _one_if(condition: Column, name: str) -> Column:
 
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State, district and postal code of every customer."""
-    customer = _table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    nation = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    customer = _table(spark, sf_dir, "customer")
+    nation = _table(spark, sf_dir, "nation")
     return customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
         "c_custkey",
         F.col("n_name").alias("state"),
@@ -28,7 +38,7 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def placed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    orders = _table(spark, sf_dir, "orders")
     return orders.join(places(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey")).select(
         "o_orderkey", F.col("o_orderdate").cast("date").alias("date"), *PLACE_KEYS, "o_orderpriority"
     )
