@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
+# Folders made for local sessions that name none.
+_own_dirs: dict[str, str] = {}
+
 
 def stage_dir(spark: SparkSession) -> str:
     """Shared folder for stage tables: the one the cluster names in ``spark.checkpoint.dir``.
@@ -20,9 +23,10 @@ def stage_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors can reach")
-    own = tempfile.mkdtemp(prefix="stage-")
-    spark.conf.set(CHECKPOINT_CONF, own)
-    return own
+    app = spark.sparkContext.applicationId
+    if app not in _own_dirs:
+        _own_dirs[app] = tempfile.mkdtemp(prefix="stage-")
+    return _own_dirs[app]
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
