@@ -350,7 +350,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     folder = stage_path(spark, "export")
     for fact, df in order_facts.facts(spark, sf_dir).items():
-        files.save_csv(df, f"{folder}/{files.FACT_FOLDERS[fact]}/part.csv")
+        files.save_csv(df, f"{folder}/export_{fact}/part.csv")
     return _fact_totals(
         {
             "enrolment": files.load_enrolment(spark, folder),
@@ -366,7 +366,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     clean = cleaning.clean_fact(raw_fact(spark, sf_dir, "enrolment"), "enrolment")
-    path = files.save_csv(clean.withColumn("state", F.trim("state")).withColumn("district", F.trim("district")), stage_path(spark, "csv"))
+    path = files.save_csv(clean.withColumn("state", F.trim("state")).withColumn("district", F.trim("district")), stage_path(spark, "csv"), order_by=["date"])
     loaded = files.load_csv_stage(spark, path, clean_schema("enrolment"))
     return loaded.withColumn("state", F.concat(F.lit("  "), "state", F.lit(" "))).withColumn("district", F.concat(F.lit(" "), "district"))
 

@@ -95,6 +95,11 @@ def above(c: Column | str, steps: Sequence[tuple[float, str]], default: str) ->
     return out.otherwise(F.lit(default))
 
 
+def hash_unit(*parts: Column | str) -> Column:
+    """A number in [0, 1) that depends only on the parts."""
+    return F.pmod(F.xxhash64(*parts), F.lit(1 << 53)) / F.lit(float(1 << 53))
+
+
 def place_label(state: Column | str = "state", district: Column | str = "district") -> Column:
     return F.concat_ws(" - ", col(state), col(district))
 

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 
+from tallyworks.functions.columns import hash_unit
 from tallyworks.functions.lineage import materialise
 from tallyworks.functions.quantiles import exact_quantiles
 
@@ -64,11 +65,6 @@ def path_lengths(points: np.ndarray, tree: dict[str, np.ndarray], max_depth: int
     return tree["path"][node]
 
 
-def _unit(*parts) -> Column:
-    """Uniform in [0, 1) from a hash."""
-    return F.pmod(F.xxhash64(*parts), F.lit(1 << 53)) / F.lit(float(1 << 53))
-
-
 def sample_for_trees(df: DataFrame, columns: Sequence[str], trees: int, seed: int) -> DataFrame:
     """(tree, columns): ``SAMPLES_PER_TREE`` rows for each tree, or all rows of a smaller frame.
 
@@ -82,17 +78,17 @@ def sample_for_trees(df: DataFrame, columns: Sequence[str], trees: int, seed: in
     )
     n = df.agg(F.count(F.lit(1))).scalar()
     pool = (
-        points.where(_unit("_h", F.lit(seed)) * n < 4.0 * pool_size)
+        points.where(hash_unit("_h", F.lit(seed)) * n < 4.0 * pool_size + 200)
         .orderBy(F.xxhash64("_h", F.lit(seed)), *columns)
         .limit(pool_size)
         .withColumn("_n", F.least(n, F.lit(pool_size)))
     )
     per_tree = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    per_tree = per_tree.where(_unit("_h", "tree", F.lit(seed)) * F.col("_n") < 4.0 * SAMPLES_PER_TREE)
+    per_tree = per_tree.where(hash_unit("_h", "tree", F.lit(seed)) * F.col("_n") < 4.0 * SAMPLES_PER_TREE)
     # By count, so that growing the trees stays spread over the tasks although the samples are small.
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     per_tree = per_tree.repartition(min(trees, tasks), "tree")
-    order = Window.partitionBy("tree").orderBy(_unit("_h", "tree", F.lit(seed)), *columns)
+    order = Window.partitionBy("tree").orderBy(hash_unit("_h", "tree", F.lit(seed)), *columns)
     chosen = per_tree.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= SAMPLES_PER_TREE)
     return chosen.select("tree", *columns)
 

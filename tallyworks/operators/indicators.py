@@ -141,10 +141,11 @@ def growth_rates(
     """Row-over-row growth in percent within a key, ``<metric>_growth``.
 
     ``order`` must be a total order within the key. An empty ``keys`` compares every row with
-    the one before it, whatever its place; without a place there is one row per date.
+    the one before it, whatever its place. ``split_by_month`` is for rows finer than a
+    panel's, and always used without keys, so that no task takes all rows.
     """
     metrics = [m for m in metrics if m in df.columns]
-    step = previous_value_by_month if split_by_month else previous_value
+    step = previous_value_by_month if split_by_month or not keys else previous_value
     lagged = step(df, metrics, keys, order)
     out = lagged.withColumns({f"{m}_growth": growth_percent(m, f"prev_{m}") for m in metrics})
     return out.drop(*[f"prev_{m}" for m in metrics])

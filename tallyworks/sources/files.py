@@ -17,12 +17,8 @@ FACT_FILES = {
     "demographic": "demographic_updates.csv",
     "biometric": "biometric_updates.csv",
 }
-# Sub-folders of the three facts in an export.
-FACT_FOLDERS = {
-    "enrolment": "api_data_aadhar_enrolment",
-    "demographic": "api_data_aadhar_demographic",
-    "biometric": "api_data_aadhar_biometric",
-}
+# Sub-folders of the three facts in an export, by the end of their names.
+FACT_FOLDERS = {"enrolment": "*enrolment", "demographic": "*demographic", "biometric": "*biometric"}
 
 
 def _matches(spark: SparkSession, path: str, glob: str = "*") -> list[str]:
@@ -112,7 +108,10 @@ def load_biometric(spark: SparkSession, data_path: str) -> DataFrame:
     return load_fact(spark, data_path, "biometric")
 
 
-def save_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
+def save_csv(df: DataFrame, path: str, mode: str = "overwrite", order_by: Sequence[str] = ()) -> str:
+    """CSV folder; ``order_by`` sorts across the files, e.g. by date."""
+    if order_by:
+        df = df.orderBy(*order_by)
     df.write.mode(mode).option("header", True).csv(path)
     return path
 

@@ -41,15 +41,15 @@ def test_folder_with_different_headers(spark, tmp_path):
 
 
 def test_required_columns(spark, tmp_path):
-    write(tmp_path / "api_data_aadhar_enrolment" / "a.csv", "date,state\n2023-01-01,A\n")
+    write(tmp_path / "export_enrolment" / "a.csv", "date,state\n2023-01-01,A\n")
     with pytest.raises(ValueError, match="age_0_5"):
         files.load_enrolment(spark, str(tmp_path))
 
 
 def test_monthly_from_folders(spark, tmp_path):
-    write(tmp_path / "api_data_aadhar_enrolment" / "a.csv", ENROL + "15-01-2023,A,x,1,1,2,-3\n20-03-2023,A,x,1,1,n/a,\n")
-    write(tmp_path / "api_data_aadhar_demographic" / "a.csv", "date,state,district,pincode,demo_age_5_17,demo_age_17_\n01-02-2023,A,x,1,5,5\n")
-    write(tmp_path / "api_data_aadhar_biometric" / "a.csv", "date,state,district,pincode,bio_age_5_17,bio_age_17_\nbad,A,x,1,5,5\n")
+    write(tmp_path / "export_enrolment" / "a.csv", ENROL + "15-01-2023,A,x,1,1,2,-3\n20-03-2023,A,x,1,1,n/a,\n")
+    write(tmp_path / "export_demographic" / "a.csv", "date,state,district,pincode,demo_age_5_17,demo_age_17_\n01-02-2023,A,x,1,5,5\n")
+    write(tmp_path / "export_biometric" / "a.csv", "date,state,district,pincode,bio_age_5_17,bio_age_17_\nbad,A,x,1,5,5\n")
     rows = by(pipelines.load_monthly(spark, str(tmp_path), "national"), "date")
     assert set(rows) == {day(f"2023-0{m}-01") for m in (1, 2, 3)}
     assert rows[day("2023-01-01")].age_18_greater == 0 and rows[day("2023-02-01")].demo_age_17_ == 5
