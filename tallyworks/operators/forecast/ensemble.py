@@ -64,7 +64,7 @@ def fit_ensemble(
     )
     # Rows in a fixed order make the seeded models repeatable.
     learned = assembler.transform(training.repartitionByRange(*keys, "date").sortWithinPartitions(*keys, "date"))
-    forest = RandomForestRegressor(numTrees=trees, maxDepth=10, seed=seed).fit(learned)
+    forest = RandomForestRegressor(numTrees=trees, maxDepth=10, seed=seed, maxMemoryInMB=1024).fit(learned)
     boosted = GBTRegressor(maxIter=rounds, maxDepth=5, seed=seed).fit(learned)
 
     def predict(df: DataFrame) -> DataFrame:
