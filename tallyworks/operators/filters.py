@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from tallyworks.operators.stats import with_group_stats
 
 ALL = "All"
 
@@ -36,10 +38,10 @@ def any_flag(*names: str) -> Column:
 
 def history_status(df: DataFrame, keys, least_trend: int = 5, least_seasonal: int = 12) -> DataFrame:
     """Add the length of each series (``n_months``) and what it suffices for (``status``)."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    counted = with_group_stats(df, keys, {"n_months": F.count(F.lit(1))})
     status = F.when(F.col("n_months") < least_trend, "too short")
     status = status.when(F.col("n_months") < least_seasonal, "trend only").otherwise("seasonal")
-    return df.withColumn("n_months", n).withColumn("status", status)
+    return counted.withColumn("status", status)
 
 
 def filter_choices(df: DataFrame, state: str = ALL) -> DataFrame:

@@ -40,3 +40,16 @@ def test_entry(spark):
 
 def test_every_check_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_partition_count_does_not_matter(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    seen = []
+    try:
+        for n in ("1", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            rows = entry.queries()["anomaly_report_with_forest"](spark, SF_DIR).collect()
+            seen.append(sorted(map(str, rows)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1] and seen[0]
