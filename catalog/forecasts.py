@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.common import (
-    FACTS, HEADLINE, PANEL, SERIES, SERIES_KEYS, joined, monthly, panel, query, series, shown,
+    FACTS, HEADLINE, SERIES, SERIES_KEYS, joined, monthly, panel, query, series, shown,
 )
 from tallyworks.functions.lineage import materialise
 from tallyworks.operators.forecast import arima, ensemble, evaluate, linear, scenario, select, smoothing, structural

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from catalog.common import (
     BASE_FLOATS, DISTRICTS, ENROL, FACTS, HEADLINE, MEASURE_NAMES, MEASURES, MEASURES_TEXT, PANEL, PANEL_FLOATS,
-    SERIES, SERIES_KEYS, TOTALS_TEXT, districts, grouped, growth, joined, monthly, outer_joined, panel, query, ratio,
+    SERIES, TOTALS_TEXT, districts, grouped, growth, joined, monthly, outer_joined, panel, query, ratio,
     series, shown, sums, unpivoted, with_base_indicators,
 )
+from tallyworks.functions.lineage import materialise
 from tallyworks.operators import filters, indicators, panel as ops
 from tallyworks.operators.stats import long_form
 from tallyworks.plans import pipelines
@@ -138,8 +139,6 @@ def _(spark, sf_dir):
     shown("SELECT * FROM enrol_dense", whole=ENROL_TEXT, ctes=joined(FACTS, monthly("state"))),
 )
 def _(spark, sf_dir):
-    from tallyworks.functions.lineage import materialise
-
     by_state = ops.aggregate_to_month(order_facts.enrolment(spark, sf_dir), ["state"], ENROL_NAMES)
     return ops.fill_missing_months(materialise(by_state), ["state"])
 

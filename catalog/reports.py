@@ -11,7 +11,6 @@ from catalog.common import (
 from tallyworks.functions.lineage import materialise
 from tallyworks.operators import anomaly, explore, filters, geo, insights
 from tallyworks.operators.stats import long_form
-from tallyworks.sources import order_facts
 from tallyworks.sources.coordinates import DEFAULT_CENTRE, STATE_COORDINATES
 
 # --- descriptions ----------------------------------------------------------

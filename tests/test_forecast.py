@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import by, day, make_series, months
 from tallyworks.functions import arima as arima_fit
