@@ -2,31 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
-
-# Folders made for local sessions that name none.
-_own_dirs: dict[str, str] = {}
+WAREHOUSE_CONF = "spark.sql.warehouse.dir"
 
 
 def stage_dir(spark: SparkSession) -> str:
     """Shared folder for stage tables: the one the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a folder of its own.
+    Without that setting it is a folder in the session's warehouse, which a cluster shares too.
     """
     configured = spark.conf.get(CHECKPOINT_CONF, None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="stage-")
-    return _own_dirs[app]
+    return f"{spark.conf.get(WAREHOUSE_CONF).rstrip('/')}/_stages/{spark.sparkContext.applicationId}"
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
