@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyworks.llm import mixing, rules
+from tallyworks.llm import mixing, rules, simhash
 from tallyworks.llm.sql import SQL  # noqa: F401  (the entry reads it)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,13 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("base_failed", base_failed)
 
 
+@query
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint over 3-word runs and the component that 3 bits link it to."""
+    rows = simhash.linked(table(spark, sf_dir, "documents"))
+    return rows.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
+
+
 @query
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the words the mix takes of each, sources weighing 1, 2, 3 over and over."""
