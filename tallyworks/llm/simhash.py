@@ -195,7 +195,7 @@ def voted_prints(hashes: np.ndarray) -> np.ndarray:
         orders = np.concatenate([first, _scattered(hashes[None, start : start + VOTED_AT_ONCE], seeds)], axis=1)
         first = np.partition(orders, VOTES - 1, axis=1)[:, :VOTES] if orders.shape[1] > VOTES else orders
     words = np.stack([_scattered(first, 101), _scattered(first, 102)], axis=2)
-    bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(PRINTS, -1, 128), axis=2)
+    bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(PRINTS, -1, 16), axis=2)
     over_half = 2 * bits.sum(1, dtype=np.int64) > first.shape[1]
     return np.packbits(over_half, axis=1).view("<i8")
 

@@ -4,6 +4,44 @@ SQL: dict[str, str] = {}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+_ESCAPED_LENGTH = r"""length({0}) + length({0}) - length(replace({0}, '\', ''))
+  + list_sum(list_transform(regexp_extract_all({0}, '#{{3,}}'), lambda x: length(x) - 2) || [0]) + len(regexp_extract_all({0}, '</turn>'))"""
+
+SQL["op4_chat"] = rf"""
+WITH turns AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, i, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(i, r)),
+  t AS (SELECT *, length('### ') + {_ESCAPED_LENGTH.format("role")} + length(role) - length(replace(role, ':', '')) + length(': ')
+    + {_ESCAPED_LENGTH.format("text")} + length('</turn>') + 1 AS chars FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id"""
+
+# Every window of at least 50 words that stands earlier already marks its lines; runs are what they cover.
+SQL["op6_line_dedup"] = r"""
+WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+  every AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS pos FROM d),
+  worded AS (SELECT doc_id, pos, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line,
+    len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM every WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+  placed AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM worded),
+  win AS (SELECT doc_id, pos, max(pos) OVER w AS stop, sum(words) OVER w AS n, md5(string_agg(line, chr(10)) OVER w) AS content
+    FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, pos) AS k FROM win WHERE n >= 50),
+  later AS (SELECT *, max(stop) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM ranked WHERE k > 1),
+  numbered AS (SELECT *, sum((reached IS NULL OR pos > reached + 1)::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM later),
+  runs AS (SELECT doc_id, run, min(pos) AS head, max(stop) AS tail FROM numbered GROUP BY ALL),
+  kept AS (SELECT every.doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM every
+    WHERE NOT EXISTS (SELECT 1 FROM runs WHERE runs.doc_id = every.doc_id AND pos BETWEEN head AND tail) GROUP BY ALL),
+  lost AS (SELECT doc_id, count(*) AS n_runs, sum(tail - head + 1) AS lines_lost FROM runs GROUP BY ALL),
+  counted AS (SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, coalesce(lines_lost, 0) AS lines_lost, d.text,
+    CASE WHEN n_runs IS NULL THEN d.text ELSE coalesce(kept.text, '') END AS left_text
+    FROM d LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id))
+SELECT doc_id, CAST(n_runs AS BIGINT) AS n_runs, CAST(lines_lost AS BIGINT) AS lines_lost,
+  CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) - len(regexp_extract_all(coalesce(left_text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS words_lost,
+  md5(left_text) AS kept_md5
+FROM counted"""
+
 SQL["op7_quality_rules"] = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS w,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
