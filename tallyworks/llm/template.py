@@ -212,6 +212,8 @@ def parsed(source: str, filters: Filters) -> tuple:
     at, trim = 0, False
 
     def add(node) -> None:
+        if isinstance(node, Text) and re.search(r"\{[{%#]", node.text):
+            raise TemplateError(f"a tag is not closed in {node.text!r}")
         frames[-1][2].append(node)
 
     def close(*openers: str):

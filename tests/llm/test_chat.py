@@ -36,8 +36,7 @@ def test_constants_fold():
 )
 def test_what_cannot_be_read_is_refused(source):
     with pytest.raises(TemplateError):
-        tree = shown(source, x={"y": 1})
-        assert tree == source  # an unclosed tag is no tag
+        shown(source, x={"y": 1})
 
 
 def test_nothing_of_python_can_be_reached():
