@@ -67,7 +67,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_row.doc_id").alias("doc_id"),
         F.when(F.col("runs").isNull(), none).otherwise(F.size("runs")).cast("long").alias("n_runs"),
         F.coalesce(lost, none).cast("long").alias("lines_lost"),
-        F.when(F.col("runs").isNull(), F.lit(0)).otherwise(n_words(F.col("text")) - n_words(F.col("kept"))).cast("long").alias("words_lost"),
+        F.when(F.col("runs").isNull(), F.lit(0)).otherwise(n_words(F.col("_row.text")) - n_words(F.col("kept"))).cast("long").alias("words_lost"),
         F.md5("kept").alias("kept_md5"),
     )
 
