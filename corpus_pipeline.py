@@ -1,24 +1,56 @@
-"""The corpus pipeline: from documents to packed sequences."""
+"""The corpus pipeline: from documents to packed sequences of tokens."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyworks.functions.lineage import materialise
-from tallyworks.llm import mixing
+from tallyworks.llm import lines, mixing, packing, simhash, toxicity
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+TOKENIZER = "word_bpe_49k.json"
 
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources mixed to their target weights; rows come as often as the mix takes them."""
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no toxicity category is likely, by a chain trained on the labelled ones."""
+    labels = toxicity.by_language(spark.read.parquet(f"{sf_dir}/labels.parquet"), docs)
+    return toxicity.without_toxic(docs, toxicity.train(docs, labels, toxicity.CATEGORIES))
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without runs of lines of 50 words or more that stand earlier in the corpus."""
+    length = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))
+    return lines.deduplicated(docs).withColumn("n_chars", length)
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that shares four fifths of its runs of five words."""
+    return simhash.deduplicated(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources mixed to weights 1, 2, 3 in turn; a document comes as often as the mix takes it, up to three times."""
     return mixing.mixed(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("mix", mix)]
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their token ids and their place in sequences of at most 2048 tokens."""
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", without_toxic),
+    ("line_dedup", without_repeated_lines),
+    ("near_dedup", without_near_duplicates),
+    ("mix", mixed),
+    ("pack", packed),
+]
 
+# SQL cannot express the learned stages; the tests compare the pipeline with a brute-force version.
 ORACLE_SQL: str | None = None
 
 
