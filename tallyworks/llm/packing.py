@@ -8,6 +8,9 @@ stands for. Documents meet the plan again by their rank among pieces of the same
 from __future__ import annotations
 
 import heapq
+import json
+import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,38 +25,105 @@ from tallyworks.functions.lineage import stage_path
 
 MAX_LENGTH = 2048
 END_ID = 1
-# Distinct words whose ids a worker remembers; beyond it starts afresh. Some 200 bytes each.
+# Distinct words and parts whose ids a worker remembers; beyond it starts afresh. Some 200 bytes each.
 WORDS_REMEMBERED = 1_000_000
 
 
 # --- tokens -------------------------------------------------------------------
 
 
+# ASCII signs, and everything in ASCII but letters.
+_SIGNS = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
+_NO_LETTERS = bytes(c for c in range(0x80) if not chr(c).isalpha())
+# Texts whose unknown words are encoded together.
+TEXTS_AT_ONCE = 256
+
+
+RUNS_AT_ONCE = 64
+
+
+def _small_letters(word: bytes) -> bool:
+    """Whether a word is letters only, in small and composed form, which normalising leaves alone."""
+    if word.isascii():
+        return word.isalpha() and word.islower()
+    text = word.decode("utf-8", "replace")
+    return text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text)
+
+
 class WordTokens:
     """Ids of texts by a tokenizer whose pieces never span white space, word by word.
 
     Words repeat, so most are looked up. Ids are held in the narrowest type the vocabulary fits.
+    A byte-pair tokenizer that ignores case and parts letters from signs gives ``Word!!`` the ids of
+    ``word`` and of ``!!``; new words are then taken apart, as their parts are often known. Small
+    letters need no normalising, so they go to its merges alone, many to a call, and the
+    ids that end a word tell them apart again.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        size = self.tokenizer.get_vocab_size()
+        self.type = "H" if size <= 1 << 16 else "I"
+        self.dtype = np.dtype("<u2" if self.type == "H" else "<u4")
         self.ids: dict[bytes, bytes] = {}
+        made = json.loads(self.tokenizer.to_str())
+        split = json.dumps(made["pre_tokenizer"]).replace("\\\\", "\\")
+        suffix = made["model"].get("end_of_word_suffix")
+        folds = "Lowercase" in json.dumps(made["normalizer"])
+        self.merges = None
+        if folds and r"[^\s\p{L}\p{N}]+" in split and '"ByteLevel"' in split and suffix:
+            levels = [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+            bare = {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": levels}}
+            self.merges = Tokenizer.from_str(json.dumps(made | bare))
+            self.ends = np.zeros(size, dtype=bool)
+            self.ends[[i for t, i in made["model"]["vocab"].items() if t.endswith(suffix)]] = True
+
+    def _taken_apart(self, word: bytes) -> tuple[bytes, bytes] | None:
+        """The letters of a word and the signs after them; None if it is anything but that.
+
+        Letters beyond ASCII have to be small already: how a capital goes together with an accent is
+        the tokenizer's affair.
+        """
+        low = word.lower()
+        letters = low.rstrip(_SIGNS)
+        if not letters or len(letters.translate(None, _NO_LETTERS)) < len(letters):
+            return None
+        if not letters.isascii() and (low != word or not letters.decode("utf-8", "replace")[-1].isalpha()):
+            return None
+        return letters, low[len(letters) :]
+
+    def _learn(self, words: set[bytes]) -> None:
+        apart = {w: p for w in words if (p := self._taken_apart(w))} if self.merges else {}
+        wanted = {w for w in words if w not in apart} | {x for p in apart.values() for x in p if x}
+        runs, others = [], []
+        for w in wanted:
+            if w not in self.ids:
+                (runs if self.merges and _small_letters(w) else others).append(w)
+        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in others], add_special_tokens=False)
+        self.ids.update((w, array(self.type, e.ids).tobytes()) for w, e in zip(others, found))
+        calls = [runs[i : i + RUNS_AT_ONCE] for i in range(0, len(runs), RUNS_AT_ONCE)]
+        found = self.merges.encode_batch_fast([b" ".join(c).decode("utf-8") for c in calls]) if calls else []
+        for call, e in zip(calls, found):
+            ids = np.array(e.ids, dtype=self.dtype)
+            cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize).tolist()]
+            whole = ids.tobytes()
+            self.ids.update((w, whole[a:b]) for w, a, b in zip(call, cuts, cuts[1:], strict=False))
+        self.ids.update((w, self.ids[a] + (self.ids[b] if b else b"")) for w, (a, b) in apart.items())
 
     def of(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text as bytes; none for null."""
-        for text in texts:
-            words = (text or "").encode("utf-8", "surrogatepass").split()
-            new = [w for w in set(words) if w not in self.ids]
-            if len(self.ids) + len(new) > WORDS_REMEMBERED:
+        for at in range(0, len(texts), TEXTS_AT_ONCE):
+            if len(self.ids) > WORDS_REMEMBERED:
                 self.ids.clear()
-                new = list(set(words))
+            words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts[at : at + TEXTS_AT_ONCE]]
+            found = [list(map(self.ids.get, w)) for w in words]
+            new = {w for ids, of in zip(found, words) if None in ids for w, i in zip(of, ids) if i is None}
             if new:
-                found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-                self.ids.update((w, np.array(e.ids, dtype=self.dtype).tobytes()) for w, e in zip(new, found))
-            yield b"".join([self.ids[w] for w in words])
+                self._learn(new)
+            for ids, of in zip(found, words):
+                yield b"".join(map(self.ids.__getitem__, of) if None in ids else ids)
 
 
 @lru_cache(maxsize=2)

@@ -38,7 +38,7 @@ def test_plan_is_as_long_for_any_number_of_documents():
 
 def test_words_give_the_ids_of_whole_texts(spark):
     tokenizer = Tokenizer.from_file(PATH)
-    texts = ["It's A\ttest\u00a0of\u0085words <|endoftext|> x\u0301 \u0301y I\u0307 J\u030c", " ", "\x1cab\x1d", "ǅ ΑΣ ß 12 3.5e#@!'ll"]
+    texts = ["It's A\ttest\u00a0of\u0085words <|endoftext|> x\u0301 \u0301y I\u0307 J\u030c", " ", "\x1cab\x1d", "ǅ ΑΣ ß 12 3.5e#@!'ll", "It's IT'S Don't!! Été. ÉTÉ. été!! naïve, e\u0301! J\u030c. x—. —. a'. A1! <|startoftext|>. x<|. K Å ½."]
     texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     ids = list(packing.WordTokens(PATH).of(texts))
     for text, found in zip(texts, ids):
