@@ -16,10 +16,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tallyworks.functions.lineage import materialise
 
 TABLES = 3
-# Cells per table of a fingerprint; each retry has so many times more.
-CELLS, GROWTH = 32, 8
-# Peeling goes through the tables in turn, so many times at most before a larger sketch is tried.
-SWEEPS = 2
+# Cells per table of the sketches that are compared; each retry has so many times more. Cells are
+# rows, so empty ones cost nothing.
+CELLS, GROWTH = 1024, 64
+# Cells per table of a printed fingerprint. A cell's place in a small sketch is its place in a
+# large one modulo the small one's cells, so the print is the compared sketch folded.
+PRINTED = 32
+# Steps of peeling, each through one table in turn, before a larger sketch is tried.
+STEPS = 4
 
 # A paragraph: a sentence, or a part of one, of up to 16 words of a line.
 _GAP = r"[\x20\x09\x0B-\x0D]"
@@ -28,6 +32,7 @@ PARAGRAPH = rf"(?:{_WORD}*[^\x20\x09-\x0D.!?]{_GAP}+){{0,15}}{_WORD}+"
 
 # Rows of a block, in which neighbours are found, and the most blocks.
 BLOCK_ROWS, MOST_BLOCKS = 1024, 1 << 16
+BLOCKS_A_TASK = 2
 
 PAIR = ["block", "pair", "side"]
 
@@ -43,8 +48,8 @@ _CHECK = "xxhash64({0}, 1048576)"
 
 
 def _cell(digest: str, table: int, cells: int) -> str:
-    """The cell of a digest in a table; a retry's tables are hashed anew."""
-    return f"CAST({table * cells} + pmod(xxhash64({digest}, {table}, {cells}), {cells}L) AS INT)"
+    """The cell of a digest in a table."""
+    return f"CAST({table * cells} + pmod(xxhash64({digest}, {table}), {cells}L) AS INT)"
 
 
 def sketch(rows: DataFrame, keys: list[str], digest_array: str, cells: int) -> DataFrame:
@@ -63,7 +68,7 @@ def peeled(differences: DataFrame, keys: list[str], cells: int) -> DataFrame:
     """``keys``, cell, found, held, digests, checks: subtracted sketches after peeling.
 
     Rows with ``found`` are recovered digests, ``held`` 1 if the first version has them and -1 if the
-    second. Rows without are cells that could not be peeled. A sweep visits the tables one after the
+    second. Rows without are cells that could not be peeled. The steps visit the tables one after the
     other: a digest has one cell in each, so no step recovers it twice.
     """
     state = differences.selectExpr(*keys, "cell", "CAST(NULL AS BIGINT) AS found", "held", "digests", "checks")
@@ -74,7 +79,7 @@ def peeled(differences: DataFrame, keys: list[str], cells: int) -> DataFrame:
     same = row("cell", "found", "held", "digests", "checks")
     recovered = row("-1", "digests", "held", "0L", "0L")
     sums = [F.expr(f"{f}({c}) AS {c}") for f, c in (("sum", "held"), ("bit_xor", "digests"), ("bit_xor", "checks"))]
-    for step in range(SWEEPS * TABLES):
+    for step in range(STEPS):
         table = step % TABLES
         pure = f"found IS NULL AND abs(held) = 1 AND checks = {_CHECK.format('digests')} AND cell = {_cell('digests', table, cells)}"
         others = [row(_cell("digests", t, cells), "CAST(NULL AS BIGINT)", "-held", "digests", "checks") for t in range(TABLES) if t != table]
@@ -184,11 +189,14 @@ def compared(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
         digests(F.col("text")).alias("own"), F.when(~F.col("ghost"), digests(F.col("edit"))).alias("edit"),
     )
     rows = materialise(rows, "digests")
+    # Digests grow into cells, so tasks are counted by blocks and not by the bytes they read.
+    blocks = (rows.agg(F.max("block")).first()[0] or 0) + 1
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks // BLOCKS_A_TASK)
 
     # Pair p of a block is row p with its edited version (side 0) and with the next row (side 1).
     wanted, cells, recovered, retry = rows, CELLS, None, 0
     while True:
-        found = peeled(_subtracted(wanted, cells, retry == 0), PAIR, cells)
+        found = peeled(_subtracted(wanted, cells, retry == 0, tasks), PAIR, cells)
         failed = F.max(F.col("found").isNull())
         counts = found.groupBy(*PAIR).agg(
             failed.alias("failed"),
@@ -206,7 +214,7 @@ def compared(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     sides = recovered.groupBy("block", F.col("pair").alias("pos")).agg(
         *[F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{c}_{s}") for s in (0, 1) for c in ("only_first", "only_second")], F.max("retries").alias("retries")
     )
-    prints = _prints(rows)
+    prints = _prints(rows, tasks)
     joined = prints.join(sides, ["block", "pos"], "left")
 
     def likeness(side: int) -> Column:
@@ -243,9 +251,9 @@ def _versions(rows: DataFrame, extra: list[str]) -> DataFrame:
     return one.select("block", "pos", "ghost", *extra, "v.which", F.col("v.digests").alias("of")).where("of IS NOT NULL")
 
 
-def _subtracted(rows: DataFrame, cells: int, first: bool) -> DataFrame:
+def _subtracted(rows: DataFrame, cells: int, first: bool, tasks: int) -> DataFrame:
     """The sketches of each pair, subtracted."""
-    dealt = rows.repartition("block")
+    dealt = rows.repartition(tasks, "block")
     versions = _versions(dealt, []) if first else dealt
     keys = ["block", "pos", "ghost", "which"] + ([] if first else ["enters"])
     held = sketch(versions, keys, "of", cells).withColumn("enter", F.explode(_contributions(first)))
@@ -265,12 +273,12 @@ def _of_pairs(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return materialise(_versions(rows, []).join(enters, ["block", "pos", "which"]), "retry")
 
 
-def _prints(rows: DataFrame) -> DataFrame:
+def _prints(rows: DataFrame, tasks: int) -> DataFrame:
     """Rows with the fingerprints of their text and edited text, and the number of paragraphs of each."""
-    dealt = rows.where("NOT ghost").repartition("block")
+    dealt = rows.where("NOT ghost").repartition(tasks, "block")
     versions = _versions(dealt, [])
     keys = ["block", "pos", "which"]
-    prints = printed(sketch(versions, keys, "of", CELLS), keys)
+    prints = printed(sketch(versions, keys, "of", PRINTED), keys)
     by_row = prints.groupBy("block", "pos").agg(
         F.max(F.when(F.col("which") == 0, F.col("print"))).alias("p0"), F.max(F.when(F.col("which") == 1, F.col("print"))).alias("p1")
     )
