@@ -17,19 +17,23 @@ from tallyworks.sources import files, order_facts
 
 # Facts as they arrive: text in every column, blanks around names and places, three date
 # forms and some that are none, numbers with blanks, below zero, missing or not numbers.
+# The same date forms in Spark's and in DuckDB's patterns.
+SPARK_FORMS = [
+    "dd-MM-yyyy", "dd/MM/yyyy", "yyyy-MM-dd", "' 'dd-MM-yyyy", "d/M/yyyy", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd", "d-MMM-yyyy",
+]
+SQL_FORMS = [
+    "%d-%m-%Y", "%d/%m/%Y", "%Y-%m-%d", " %d-%m-%Y", "%-d/%-m/%Y", "%Y-%m-%d 00:00:00", "%Y-%m-%dT00:00:00", "%Y/%m/%d", "%-d-%b-%Y",
+]
 RAW_NAMES = {"enrol": "enrolment", "demo": "demographic", "bio": "biometric"}
 
 
 def raw_fact(spark: SparkSession, sf_dir: str, fact: str, messy_names: bool = False) -> DataFrame:
     source = order_facts.facts(spark, sf_dir)[fact]
     day = F.day("date")
-    date = (
-        F.when(day == 13, F.lit("x"))
-        .when(day == 29, F.lit(None))
-        .when(day % 3 == 0, F.date_format("date", "dd-MM-yyyy"))
-        .when(day % 3 == 1, F.date_format("date", "dd/MM/yyyy"))
-        .otherwise(F.date_format("date", "yyyy-MM-dd"))
-    )
+    date = F.when(day == 13, F.lit("x")).when(day == 29, F.lit(None))
+    for i, form in enumerate(SPARK_FORMS[:-1]):
+        date = date.when(day % len(SPARK_FORMS) == i, F.date_format("date", form))
+    date = date.otherwise(F.date_format("date", SPARK_FORMS[-1]))
     state = F.when(F.col("pincode") != "100007", F.concat(F.lit("  "), F.lower("state"), F.lit("-o'hara east ")))
     out = source.select(
         date.alias("date"),
@@ -42,9 +46,7 @@ def raw_fact(spark: SparkSession, sf_dir: str, fact: str, messy_names: bool = Fa
             for m in MEASURE_NAMES[[k for k, v in RAW_NAMES.items() if v == fact][0]]
         ],
     )
-    # Facts arrive as stored text, so they are stored before they are cleaned.
-    stored = materialise(out, f"raw-{fact}")
-    return stored.toDF(*[f" {c.upper()} " for c in out.columns]) if messy_names else stored
+    return out.toDF(*[f" {c.upper()} " for c in out.columns]) if messy_names else out
 
 
 def raw_sql(fact: str) -> str:
@@ -54,21 +56,37 @@ def raw_sql(fact: str) -> str:
         f"ELSE ' ' || CAST({m} AS VARCHAR) || ' ' END AS {m}"
         for m in MEASURE_NAMES[fact]
     )
-    return f"""raw_{fact} AS (SELECT CASE WHEN day(date) = 13 THEN 'x' WHEN day(date) = 29 THEN NULL
-      WHEN day(date) % 3 = 0 THEN strftime(date, '%d-%m-%Y') WHEN day(date) % 3 = 1 THEN strftime(date, '%d/%m/%Y')
-      ELSE strftime(date, '%Y-%m-%d') END AS date,
+    forms = " ".join(f"WHEN day(date) % {len(SQL_FORMS)} = {i} THEN strftime(date, '{form}')" for i, form in enumerate(SQL_FORMS))
+    return f"""raw_{fact} AS (SELECT CASE WHEN day(date) = 13 THEN 'x' WHEN day(date) = 29 THEN NULL {forms} END AS date,
     CASE WHEN pincode <> '100007' THEN '  ' || lower(state) || '-o''hara east ' END AS state,
     ' ' || upper(district) AS district, pincode, {numbers} FROM {fact})"""
 
 
-DATE_SQL = (
-    "CAST(coalesce(try_strptime(date, '%d-%m-%Y'), try_strptime(date, '%d/%m/%Y'), "
-    "try_strptime(date, '%Y-%m-%d')) AS DATE)"
-)
+_TRIMMED = r"regexp_replace({0}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+
+
+def date_sql(dayfirst: bool) -> str:
+    """A date text read with the day or the month first; the other order where only that is a date."""
+    text = _TRIMMED.format("date")
+    two = "lpad(regexp_extract({t}, '{p}', {i}), 2, '0')"
+
+    def read(pattern: str, y: int, m: int, d: int) -> str:
+        month = two.format(t=text, p=pattern, i=m)
+        if pattern == columns.MONTH_NAMED:
+            month = f"lpad(CAST((instr('janfebmaraprmayjunjulaugsepoctnovdec', lower(regexp_extract({text}, '{pattern}', {m}))) + 2) // 3 AS VARCHAR), 2, '0')"
+        return f"TRY_CAST(regexp_extract({text}, '{pattern}', {y}) || '-' || {month} || '-' || {two.format(t=text, p=pattern, i=d)} AS DATE)"
+
+    orders = [(2, 1), (1, 2)] if dayfirst else [(1, 2), (2, 1)]
+    parts = [read(columns.YEAR_LAST, 3, *o) for o in orders] + [read(columns.YEAR_FIRST, 1, 2, 3), read(columns.MONTH_NAMED, 3, 2, 1)]
+    return f"coalesce({', '.join(parts)})"
+
+
+# The monthly line reads the day first, the base line the month.
+DATE_SQL, BASE_DATE_SQL = date_sql(True), date_sql(False)
 
 
 def title_sql(c: str) -> str:
-    words = rf"regexp_extract_all(lower(trim({c})), '(\p{{L}}+|[^\p{{L}}]+)')"
+    words = rf"regexp_extract_all(lower({_TRIMMED.format(c)}), '(\p{{L}}+|[^\p{{L}}]+)')"
     return f"array_to_string(list_transform({words}, lambda w: upper(w[1]) || w[2:]), '')"
 
 
@@ -100,6 +118,17 @@ def _(spark, sf_dir):
     return cleaning.parse_dates(raw_fact(spark, sf_dir, "enrolment"))
 
 
+@query(
+    "date_losses",
+    shown(
+        f"SELECT count(*) AS n_rows, count(*) FILTER (date IS NULL) AS no_date, count(*) FILTER (date IS NOT NULL AND {DATE_SQL} IS NULL) AS unreadable FROM raw_enrol",
+        whole="n_rows no_date unreadable", dates="", ctes=RAW_ENROL,
+    ),
+)
+def _(spark, sf_dir):
+    return cleaning.date_losses(raw_fact(spark, sf_dir, "enrolment"))
+
+
 @query(
     "title_case_places",
     shown(
@@ -132,7 +161,7 @@ def _(spark, sf_dir):
 def standard_sql(fact: str) -> str:
     numbers = ", ".join(f"{number_sql(m)} AS {m}" for m in MEASURE_NAMES[fact])
     return (
-        f"std_{fact} AS (SELECT {DATE_SQL} AS date, {title_sql('state')} AS state, {title_sql('district')} AS district, "
+        f"std_{fact} AS (SELECT {BASE_DATE_SQL} AS date, {title_sql('state')} AS state, {title_sql('district')} AS district, "
         f"pincode, {numbers} FROM raw_{fact})"
     )
 
@@ -381,6 +410,15 @@ def _(spark, sf_dir):
     return files.load_stage(spark, path).drop("month")
 
 
+@query(
+    "stage_reload",
+    shown("SELECT * FROM panel", floats=PANEL_FLOATS, whole=f"{MEASURES_TEXT} {TOTALS_TEXT}", ctes=PANEL),
+)
+def _(spark, sf_dir):
+    path = files.save_by_month(panel(spark, sf_dir), stage_path(spark, "panel"))
+    return files.load_stage(spark, path).drop("month")
+
+
 @query(
     "stage_reload_one_year",
     shown("SELECT * FROM panel WHERE year(date) = 1997", floats=PANEL_FLOATS, whole=f"{MEASURES_TEXT} {TOTALS_TEXT}", ctes=PANEL),

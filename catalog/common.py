@@ -80,15 +80,15 @@ ENROL = f"""enrol AS (
   FROM orders {_CUSTOMER})"""
 
 
-def _update(name: str, flag: str, young: str, adult: str) -> str:
+def _update(name: str, flag: str, parity: int, young: str, adult: str) -> str:
     return f"""{name} AS (
   SELECT CAST(l_shipdate AS DATE) AS date, {_PLACE},
     CAST(l_linestatus = 'F' AS BIGINT) AS {young}, CAST(l_linestatus = 'O' AS BIGINT) AS {adult}
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey {_CUSTOMER} WHERE l_returnflag = '{flag}')"""
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey {_CUSTOMER} WHERE l_returnflag = '{flag}' OR l_returnflag = 'N' AND l_orderkey % 2 = {parity})"""
 
 
-DEMO = _update("demo", "R", "demo_age_5_17", "demo_age_17_")
-BIO = _update("bio", "A", "bio_age_5_17", "bio_age_17_")
+DEMO = _update("demo", "R", 1, "demo_age_5_17", "demo_age_17_")
+BIO = _update("bio", "A", 0, "bio_age_5_17", "bio_age_17_")
 FACTS = joined(ENROL, DEMO, BIO)
 
 MEASURE_NAMES = {

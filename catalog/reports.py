@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.common import (
-    DISTRICTS, HEADLINE, MEASURES, PANEL, SERIES, SERIES_KEYS, TOTALS_TEXT, districts, joined, panel, query, series,
-    shown, unpivoted,
+    BASE_FLOATS, DISTRICTS, HEADLINE, MEASURES, MEASURES_TEXT, PANEL, SERIES, SERIES_KEYS, TOTALS_TEXT,
+    districts, joined, panel, query, series, shown, unpivoted,
 )
 from tallyworks.functions.lineage import materialise
 from tallyworks.operators import anomaly, explore, filters, geo, insights
@@ -111,7 +111,8 @@ def _(spark, sf_dir):
     return explore.update_split(panel(spark, sf_dir))
 
 
-CORRELATED = ["total_enrolment", "total_demo_updates", "total_bio_updates", "update_pressure_index", "age_transition_rate"]
+# All numeric columns.
+CORRELATED = [*MEASURES_TEXT.split(), *TOTALS_TEXT.split(), *BASE_FLOATS.split()]
 
 
 @query(
@@ -228,7 +229,14 @@ def _(spark, sf_dir):
     return explore.counts_above_mean(panel(spark, sf_dir))
 
 
-@query("repeatable_sample")
+@query(
+    "repeatable_sample",
+    shown(
+        "SELECT date, state, district, total_enrolment, total_updates FROM districts "
+        "ORDER BY md5(concat_ws('|', CAST(date AS VARCHAR), state, district, '1')) LIMIT 5000",
+        whole="total_enrolment total_updates", ctes=DISTRICTS,
+    ),
+)
 def _(spark, sf_dir):
     rows = districts(spark, sf_dir).select("date", "state", "district", "total_enrolment", "total_updates")
     return explore.repeatable_sample(rows, ["date", "state", "district"], 5000)

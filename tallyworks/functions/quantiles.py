@@ -21,13 +21,14 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
 
     A mergeable sketch brackets each quantile; ranks are then counted exactly and only the
     distinct values inside the bracket (a few in ``SKETCH_ACCURACY`` of the rows) are
-    sorted. Equal values are counted together first, so a hot group is spread over its values.
+    sorted. Nulls and NaN are left out. Equal values are counted together first, so a hot group is spread over its values.
     """
     names = list(probs)
     margin = 4.0 / SKETCH_ACCURACY
     bounds = [max(0.0, p - margin) for p in probs.values()] + [min(1.0, p + margin) for p in probs.values()]
     group = keys or ["_all"]
-    rows = df.select(*keys, F.col(value).cast("double").alias("_x")).where("_x IS NOT NULL")
+    known = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    rows = df.select(*keys, known.alias("_x")).where("_x IS NOT NULL")
 
     sketch_columns = [
         F.count(F.lit(1)).alias("_total"),

@@ -20,14 +20,17 @@ def normalise_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip().lower() for c in df.columns])
 
 
-def standardise(df: DataFrame) -> DataFrame:
-    """Names, dates, place labels and numbers brought to one form; bad values become null."""
+def standardise(df: DataFrame, dayfirst: bool = False) -> DataFrame:
+    """Names, dates, place labels and numbers brought to one form; bad values become null.
+
+    The base line reads the month first where a text leaves it open.
+    """
     df = normalise_names(df)
 
     def conform(field):
         c = F.col(field.name)
         if field.name == "date":
-            return (parse_date(c) if isinstance(field.dataType, StringType) else c.cast("date")).alias("date")
+            return (parse_date(c, dayfirst) if isinstance(field.dataType, StringType) else c.cast("date")).alias("date")
         if field.name in ("state", "district"):
             return title_case(c).alias(field.name)
         if isinstance(field.dataType, StringType) and field.name not in TEXT_KEYS:
@@ -37,12 +40,12 @@ def standardise(df: DataFrame) -> DataFrame:
     return df.select(*[conform(f) for f in df.schema])
 
 
-def parse_dates(df: DataFrame, date: str = "date", observation: Observation | None = None) -> DataFrame:
-    """Day-first dates; rows without a valid one are left out.
+def parse_dates(df: DataFrame, date: str = "date", observation: Observation | None = None, dayfirst: bool = True) -> DataFrame:
+    """Dates of the monthly line, which reads the day first; rows without a valid one are left out.
 
     With an ``Observation`` the number of dropped rows is counted on the way, as ``invalid_dates``.
     """
-    parsed = df.withColumn(date, parse_date(date))
+    parsed = df.withColumn(date, parse_date(date, dayfirst))
     if observation is not None:
         parsed = parsed.observe(observation, F.count_if(F.col(date).isNull()).alias("invalid_dates"))
     return parsed.where(F.col(date).isNotNull())
@@ -55,6 +58,16 @@ def clean_numbers(df: DataFrame, names: Sequence[str]) -> DataFrame:
     )
 
 
+def date_losses(df: DataFrame, date: str = "date", dayfirst: bool = True) -> DataFrame:
+    """How many rows there are, have no date, and have a text that is none and so will be dropped."""
+    parsed = parse_date(date, dayfirst)
+    return df.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(F.col(date).isNull()).alias("no_date"),
+        F.count_if(F.col(date).isNotNull() & parsed.isNull()).alias("unreadable"),
+    )
+
+
 def clean_fact(df: DataFrame, fact: str) -> DataFrame:
     """Dates and measures of one raw fact cleaned; the order of rows is left to the sink."""
     return clean_numbers(parse_dates(df), MEASURES[fact])

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallyworks.functions.columns import hash_unit, place_label, safe_divide
+from tallyworks.functions.columns import place_label, safe_divide
 from tallyworks.functions.quantiles import exact_quantiles
 from tallyworks.operators.panel import numeric_columns
 from tallyworks.operators.stats import long_form
@@ -211,13 +211,18 @@ def counts_above_mean(df: DataFrame, metric: str = "update_pressure_index", fact
 
 
 def repeatable_sample(df: DataFrame, keys: Sequence[str], n: int = 5000) -> DataFrame:
-    """n rows drawn at random, the same ones on every run: those with the least key hash.
+    """n rows drawn at random, the same ones on every run: those whose ``keys`` and number have the least MD5.
 
-    A threshold on the hash leaves a few times n rows to be sorted, whatever the size of ``df``.
+    Rows equal in all columns are numbered, so that each of them is drawn for itself. A threshold on
+    the hash leaves a few times n rows to be sorted, whatever the size of ``df``.
     """
     rows = df.agg(F.count(F.lit(1))).scalar()
-    draw = hash_unit(*keys)
-    return df.where(draw * rows < 4.0 * n + 200).orderBy(draw, *keys).limit(n)
+    counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_c"))
+    each = counted.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_c"))))
+    each = each.withColumn("_md5", F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.col("_copy").cast("string"))))
+    # The first thirteen digits as a number in [0, 1).
+    draw = F.conv(F.substring("_md5", 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+    return each.where(draw * rows < 4.0 * n + 200).orderBy("_md5", *keys).limit(n).select(*df.columns)
 
 
 def decompose(

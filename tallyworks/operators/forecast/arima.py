@@ -40,6 +40,22 @@ def _metrics(actual: np.ndarray, predicted: np.ndarray) -> dict[str, float]:
     }
 
 
+def _fitted(y: np.ndarray, order, seasonal) -> arima.Arima | None:
+    """A fit, or None where the series is too short or its equations have no solution."""
+    try:
+        return arima.fit(y, order, seasonal)
+    except np.linalg.LinAlgError:
+        return None
+
+
+def _line_metrics(train: np.ndarray, test: np.ndarray) -> dict:
+    """Metrics of the straight line that takes over from a failed model; none without points to judge by."""
+    if len(train) == 0 or len(test) == 0 or not np.isfinite([*train, *test]).all():
+        return {}
+    slope, level = np.polyfit(np.arange(len(train)), train, 1) if len(train) > 1 else (0.0, train[0])
+    return {**_metrics(test, level + slope * np.arange(len(train), len(train) + len(test))), "n_test": len(test)}
+
+
 def fit_arima(
     series: DataFrame,
     keys: Sequence[str],
@@ -53,7 +69,8 @@ def fit_arima(
     """One row per series: hold-out metrics, forecast with 95 % bounds (not below 0), ``failed``.
 
     The model is fitted without the last ``n_test`` points, judged on them, then fitted on
-    all. ``order_column`` takes (p, d, q) from a column of the series in place of ``order``.
+    all. ``order_column`` takes (p, d, q) from a column of the series in place of ``order``. A failed
+    series has the metrics of its straight line, which also forecasts it (:func:`arima_forecast`).
     """
     arrays = as_arrays(series, [*keys, order_column] if order_column else keys)
     given = F.col(order_column) if order_column else F.array(*[F.lit(int(o)) for o in order])
@@ -65,9 +82,9 @@ def fit_arima(
             y, o = np.asarray(y, dtype=float), tuple(int(v) for v in o)
             split = len(y) - n_test if len(y) > n_test else int(len(y) * 0.8)
             train, test = y[:split], y[split:]
-            judged, final = arima.fit(train, o, seasonal), arima.fit(y, o, seasonal)
+            judged, final = _fitted(train, o, seasonal), _fitted(y, o, seasonal)
             if judged is None or final is None or len(test) == 0:
-                rows.append(_FAILED)
+                rows.append(_FAILED | _line_metrics(train, test))
                 continue
             predicted, _ = arima.forecast(train, judged, len(test))
             if clip_test:
@@ -112,7 +129,7 @@ def order_search(series: DataFrame, keys: Sequence[str], max_p: int = 3, max_d:
 
     @fit_udf("double")
     def aic(values: pd.Series, p: pd.Series, d: pd.Series, q: pd.Series) -> pd.Series:
-        fits = (arima.fit(np.asarray(y, dtype=float), o) for y, *o in zip(values, p, d, q))
+        fits = (_fitted(np.asarray(y, dtype=float), o, NO_SEASON) for y, *o in zip(values, p, d, q))
         return pd.Series([f.aic if f is not None else None for f in fits], dtype="float64")
 
     tried = spread_fits(as_arrays(series, keys).select(*keys, "values", F.inline(grid)), [*keys, "p", "d", "q"])

@@ -65,36 +65,37 @@ def path_lengths(points: np.ndarray, tree: dict[str, np.ndarray], max_depth: int
     return tree["path"][node]
 
 
-def sample_for_trees(df: DataFrame, columns: Sequence[str], trees: int, seed: int) -> DataFrame:
-    """(tree, columns): ``SAMPLES_PER_TREE`` rows for each tree, or all rows of a smaller frame.
+def sample_for_trees(df: DataFrame, columns: Sequence[str], trees: int, seed: int, samples_per_tree: int = SAMPLES_PER_TREE) -> DataFrame:
+    """(tree, columns): ``samples_per_tree`` rows for each tree, or all rows of a smaller frame.
 
-    Rows are drawn by hash, so the sample is the same on every run. Thresholds on the hash
-    first cut the rows to a few times what is wanted, so neither the pool nor the choice per
-    tree ever sorts more than that.
+    Every row can reach every tree. Equal points are counted together; a point that stands c times
+    sends a tree floor(c * p + u) copies, p being a few times the wanted share and u a hash of
+    point and tree in [0, 1). So a sample is the same on every run, a hot point sends a
+    tree no more than a few samples' worth, and what is ranked per tree has that size too.
     """
-    pool_size = trees * SAMPLES_PER_TREE
-    points = df.select(
-        *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns], F.xxhash64(*df.columns).alias("_h")
-    )
+    points = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
+    points = points.groupBy(*columns).agg(F.count(F.lit(1)).alias("_c")).withColumn("_h", F.xxhash64(*columns))
     n = df.agg(F.count(F.lit(1))).scalar()
-    pool = (
-        points.where(hash_unit("_h", F.lit(seed)) * n < 4.0 * pool_size + 200)
-        .orderBy(F.xxhash64("_h", F.lit(seed)), *columns)
-        .limit(pool_size)
-        .withColumn("_n", F.least(n, F.lit(pool_size)))
+    share = F.least(F.lit(1.0), F.lit(4.0 * samples_per_tree) / n)
+    each = F.transform(
+        F.sequence(F.lit(0), F.lit(trees - 1)),
+        lambda t: F.struct(t.alias("tree"), F.floor(F.col("_c") * F.col("_p") + hash_unit("_h", t, F.lit(seed))).alias("copies")),
     )
-    per_tree = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    per_tree = per_tree.where(hash_unit("_h", "tree", F.lit(seed)) * F.col("_n") < 4.0 * SAMPLES_PER_TREE)
+    drawn = points.withColumn("_p", share).withColumn("_t", F.explode(F.filter(each, lambda x: x["copies"] > 0)))
+    copies = F.least("_c", F.col("_t.copies"))
+    per_tree = drawn.select(*columns, "_h", F.col("_t.tree").alias("tree"), F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias("_copy"))
     # By count, so that growing the trees stays spread over the tasks although the samples are small.
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     per_tree = per_tree.repartition(min(trees, tasks), "tree")
-    order = Window.partitionBy("tree").orderBy(hash_unit("_h", "tree", F.lit(seed)), *columns)
-    chosen = per_tree.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= SAMPLES_PER_TREE)
+    order = Window.partitionBy("tree").orderBy(hash_unit("_h", "_copy", "tree", F.lit(seed)), *columns, "_copy")
+    chosen = per_tree.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= samples_per_tree)
     return chosen.select("tree", *columns)
 
 
-def fit_forest(df: DataFrame, columns: Sequence[str], trees: int = 100, seed: int = 42) -> tuple[list[dict], float]:
-    """Trees (at most 511 nodes each) and the mean path of their sample size."""
+def fit_forest(
+    df: DataFrame, columns: Sequence[str], trees: int = 100, seed: int = 42, samples_per_tree: int = SAMPLES_PER_TREE
+) -> tuple[list[dict], float]:
+    """Trees (at most two nodes a sample each) and the mean path of their sample size."""
     columns = list(columns)
 
     def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -104,23 +105,33 @@ def fit_forest(df: DataFrame, columns: Sequence[str], trees: int = 100, seed: in
         return pd.DataFrame([{"tree": int(key[0]), "n": len(points), **tree}])
 
     fitted = (
-        sample_for_trees(df, columns, trees, seed)
+        sample_for_trees(df, columns, trees, seed, samples_per_tree)
         .groupBy("tree")
         .applyInPandas(fit, f"{TREE_SCHEMA}, n int")
         .orderBy("tree")
         .collect()
     )
+    if not fitted:
+        raise ValueError("a forest needs rows")
     names = ("feature", "threshold", "left", "right", "path")
-    return [{n: np.asarray(row[n]) for n in names} for row in fitted], mean_path(fitted[0]["n"]) if fitted else 1.0
+    return [{n: np.asarray(row[n]) for n in names} for row in fitted], mean_path(max(row["n"] for row in fitted))
 
 
 def detect_isolation_forest(
-    df: DataFrame, columns: Sequence[str], contamination: float = 0.05, seed: int = 42, trees: int = 100
+    df: DataFrame,
+    columns: Sequence[str],
+    contamination: float = 0.05,
+    seed: int = 42,
+    trees: int = 100,
+    samples_per_tree: int = SAMPLES_PER_TREE,
 ) -> DataFrame:
-    """Add ``anomaly_score`` and ``is_anomaly_iforest`` for the share ``contamination`` of highest scores."""
-    forest, unit = fit_forest(df, columns, trees, seed)
+    """Add ``anomaly_score`` and ``is_anomaly_iforest`` for the share ``contamination`` of highest scores.
+
+    Raises ``ValueError`` for an empty frame, of which no forest can be grown.
+    """
+    forest, unit = fit_forest(df, columns, trees, seed, samples_per_tree)
     shared = df.sparkSession.sparkContext.broadcast((forest, unit or 1.0))
-    max_depth = math.ceil(math.log2(SAMPLES_PER_TREE))
+    max_depth = math.ceil(math.log2(max(samples_per_tree, 2)))
 
     @pandas_udf("double")
     def score(point: pd.DataFrame) -> pd.Series:

@@ -55,26 +55,32 @@ def enrolment(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _updates(spark: SparkSession, sf_dir: str, flags: list[str]) -> DataFrame:
-    lines = _table(spark, sf_dir, "lineitem").where(F.col("l_returnflag").isin(flags))
+def _is_demographic() -> Column:
+    """Returned lines, and of those neither returned nor accepted the ones of odd orders; the rest is biometric."""
+    flag = F.col("l_returnflag")
+    return (flag == "R") | ((flag == "N") & (F.col("l_orderkey") % 2 == 1))
+
+
+def _updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _table(spark, sf_dir, "lineitem").where(F.col("l_returnflag").isin("R", "A", "N"))
     orders = placed_orders(spark, sf_dir).select("o_orderkey", *PLACE_KEYS)
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        F.col("l_shipdate").cast("date").alias("date"), *PLACE_KEYS, "l_returnflag", "l_linestatus"
+        F.col("l_shipdate").cast("date").alias("date"), *PLACE_KEYS, _is_demographic().alias("demographic"), "l_linestatus"
     )
 
 
 def demographic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per returned line."""
+    """One row per line that stands for a demographic update."""
     status = F.col("l_linestatus")
-    return _updates(spark, sf_dir, ["R"]).select(
+    return _updates(spark, sf_dir).where("demographic").select(
         *FACT_KEYS, _one_if(status == "F", "demo_age_5_17"), _one_if(status == "O", "demo_age_17_")
     )
 
 
 def biometric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per accepted line."""
+    """One row per line that stands for a biometric update."""
     status = F.col("l_linestatus")
-    return _updates(spark, sf_dir, ["A"]).select(
+    return _updates(spark, sf_dir).where("NOT demographic").select(
         *FACT_KEYS, _one_if(status == "F", "bio_age_5_17"), _one_if(status == "O", "bio_age_17_")
     )
 
@@ -96,15 +102,15 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
         *MEASURES["enrolment"],
         *[zero.alias(m) for m in MEASURES["demographic"] + MEASURES["biometric"]],
     )
-    flag, status = F.col("l_returnflag"), F.col("l_linestatus")
-    updated = _updates(spark, sf_dir, ["R", "A"]).select(
+    demo, status = F.col("demographic"), F.col("l_linestatus")
+    updated = _updates(spark, sf_dir).select(
         *FACT_KEYS,
-        F.when(flag == "R", "demographic").otherwise("biometric").alias("fact"),
+        F.when(demo, "demographic").otherwise("biometric").alias("fact"),
         *[zero.alias(m) for m in MEASURES["enrolment"]],
-        _one_if((flag == "R") & (status == "F"), "demo_age_5_17"),
-        _one_if((flag == "R") & (status == "O"), "demo_age_17_"),
-        _one_if((flag == "A") & (status == "F"), "bio_age_5_17"),
-        _one_if((flag == "A") & (status == "O"), "bio_age_17_"),
+        _one_if(demo & (status == "F"), "demo_age_5_17"),
+        _one_if(demo & (status == "O"), "demo_age_17_"),
+        _one_if(~demo & (status == "F"), "bio_age_5_17"),
+        _one_if(~demo & (status == "O"), "bio_age_17_"),
     )
     return enrolled.unionByName(updated)
 

@@ -102,6 +102,27 @@ def test_forest_samples_are_bounded(spark):
     assert [r["count"] for r in few] == [40] * 10
 
 
+@pytest.mark.parametrize("distinct", [1, 3, 10, 30])
+def test_forest_samples_of_repeated_rows(spark, distinct):
+    df = spark.range(200_000).select((F.col("id") % distinct).cast("double").alias("a"))
+    counts = [r["count"] for r in forest.sample_for_trees(df, ["a"], 100, 1).groupBy("tree").count().collect()]
+    assert counts == [forest.SAMPLES_PER_TREE] * 100
+
+
+def test_every_row_can_reach_a_tree_and_a_hot_one_is_bounded(spark):
+    df = spark.range(2000).select(F.when(F.col("id") < 1000, -1.0).otherwise(F.col("id").cast("double")).alias("a"))
+    sample = forest.sample_for_trees(df, ["a"], 200, 1, samples_per_tree=64)
+    assert sample.where("a >= 0").select("a").distinct().count() > 950
+    hot = sample.where("a < 0").groupBy("tree").count().agg(F.max("count")).first()[0]
+    assert 16 <= hot <= 64
+
+
+def test_no_rows_make_no_forest(spark):
+    df = spark.createDataFrame([], "a double")
+    with pytest.raises(ValueError):
+        forest.fit_forest(df, ["a"])
+
+
 def test_filters(spark):
     df = spark.createDataFrame([(day("2023-01-01"), "A", "x"), (day("2023-02-01"), "B", "y")], "date date, state string, district string")
     assert filters.filter_data(df).count() == 2
@@ -131,3 +152,9 @@ def test_sample_is_the_same_on_every_run(spark):
     df = spark.range(1000).select("id")
     first = [r.id for r in explore.repeatable_sample(df, ["id"], 50).collect()]
     assert len(first) == 50 and first == [r.id for r in explore.repeatable_sample(df.repartition(5), ["id"], 50).collect()]
+
+
+def test_sample_of_repeated_rows(spark):
+    df = spark.range(100_000).select((F.col("id") % 3).alias("id"))
+    rows = explore.repeatable_sample(df, ["id"], 5000).collect()
+    assert len(rows) == 5000 and {r.id for r in rows} == {0, 1, 2}

@@ -22,7 +22,7 @@ def test_title_case_follows_every_non_letter(spark):
 def test_dates_day_first_in_three_forms(spark):
     cases = {
         "31-01-2023": day("2023-01-31"), "2023-02-01": day("2023-02-01"), "01/03/2023": day("2023-03-01"),
-        "x": None, None: None, "32-01-2023": None, "29-02-2023": None, "2023/02/01": None, "": None, "1-2-2023": None,
+        "x": None, None: None, "32-01-2023": None, "29-02-2023": None, "2023/02/01": day("2023-02-01"), "": None, "1-2-2023": day("2023-02-01"),
         "30-13-2022": None,
     }
     df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, d string")
@@ -30,8 +30,19 @@ def test_dates_day_first_in_three_forms(spark):
     assert [got[i].p for i in range(len(cases))] == list(cases.values())
 
 
-def test_dates_with_other_patterns(spark):
-    assert one(spark, "3 Feb 2023", lambda c: columns.parse_date(c, ["d MMM yyyy"])) == day("2023-02-03")
+def test_date_forms_and_which_number_comes_first(spark):
+    fifth, may = day("2023-02-05"), day("2023-05-02")
+    either = ["2023-02-05 00:00:00", "2023-02-05T10:30:00.5Z", "2023/2/5", "5-Feb-2023", "5 February 2023", "\t2023-02-05\n", "\u00a02023-02-05"]
+    for text in either:
+        for dayfirst in (True, False):
+            assert one(spark, text, lambda c: columns.parse_date(c, dayfirst)) == fifth
+    for text in (" 05-02-2023", "5/2/2023", "05/02/2023 12:00", "5.2.2023"):
+        assert one(spark, text, lambda c: columns.parse_date(c)) == fifth
+        assert one(spark, text, lambda c: columns.parse_date(c, dayfirst=False)) == may
+    # Where only the other order is a date, it is taken.
+    assert one(spark, "25/12/2023", lambda c: columns.parse_date(c, dayfirst=False)) == day("2023-12-25")
+    for text in ("2023-02-05 noon", "5-Foo-2023", "31/31/2023", "5-2-23"):
+        assert one(spark, text, lambda c: columns.parse_date(c)) is None
 
 
 def test_dropped_dates_are_counted(spark):
@@ -90,3 +101,14 @@ def test_period_bounds_and_future(spark):
         "Q": [day("2023-06-30"), day("2023-09-30")], "Y": [day("2024-12-31"), day("2025-12-31")],
         "D": [day("2023-02-01"), day("2023-02-02")], "W": [day("2023-02-07"), day("2023-02-14")],
     }
+
+
+def test_lost_dates_are_told_apart(spark):
+    df = spark.createDataFrame([("31-01-2023",), ("x",), (None,), ("5-Jan-2023",)], "date string")
+    assert tuple(cleaning.date_losses(df).first()) == (4, 1, 1)
+
+
+def test_numbers_and_blanks_as_written(spark):
+    for text, want in (("12d", None), ("12f", None), ("\t7\n", 7.0), ("+.5", 0.5), ("1,000", None), ("Infinity", None)):
+        assert one(spark, text, columns.to_number) == want
+    assert one(spark, "\tnew delhi\u00a0\n", columns.title_case) == "New Delhi"

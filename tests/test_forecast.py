@@ -219,3 +219,21 @@ def test_lag_features(spark):
     current = ensemble.lag_features(make_series(spark, a=[1, 2, 4, 8]), K, include_current=True).collect()
     assert [r.rolling_mean_3 for r in current] == [pytest.approx(14 / 3)]
     assert months("2020-11", 3)[2] == day("2021-01-01")
+
+
+@pytest.mark.parametrize("seasonal", [(0, 0, 0, 0), (1, 1, 1, 12)])
+def test_short_series_do_not_end_the_job(spark, seasonal):
+    import math
+
+    values = {f"n{n}": [float(i % 3) for i in range(n)] for n in range(1, 13)}
+    values |= {"constant": [5.0] * 30, "whole": [10 + i + 3 * math.sin(i) for i in range(48)]}
+    rows = by(arima.fit_arima(make_series(spark, **values), ["name"], (1, 1, 1), seasonal), "name")
+    assert len(rows) == len(values) and not rows["whole"].failed
+    assert rows["n1"].failed and rows["n2"].failed
+    assert rows["n8"].mae is not None
+
+
+def test_orders_of_series_too_short(spark):
+    series = make_series(spark, one=[1.0], two=[1.0, 2.0])
+    best = by(arima.best_order(arima.order_search(series, ["name"]), ["name"]), "name")
+    assert [list(best[n].order) for n in ("one", "two")] == [[1, 1, 1], [1, 1, 1]]
