@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog.common import (
     FACTS, HEADLINE, SERIES, SERIES_KEYS, joined, monthly, panel, query, series, shown,
 )
+from tallyworks.functions import arima as arima_fit
 from tallyworks.functions.lineage import materialise
 from tallyworks.operators.forecast import arima, ensemble, evaluate, linear, scenario, select, smoothing, structural
 from tallyworks.plans import pipelines
@@ -339,6 +340,65 @@ def _(spark, sf_dir):
 # --- other models ----------------------------------------------------------
 
 
+# Of order (0, d, 0) the models are closed forms: what lies ahead, and the mean square of what is left.
+_OF = "OVER (PARTITION BY level, state, metric ORDER BY i)"
+WALK = joined(
+    INDEXED,
+    f"""walked AS (SELECT *, value - lag(value) {_OF} AS move, value - 2 * lag(value) {_OF} + lag(value, 2) {_OF} AS bend FROM idx)""",
+    f"""walk AS (SELECT {KEYS}, any_value(n) AS n, max(date) AS last_date, arg_max(value, i) AS last, sqrt(greatest(avg(move * move), 1e-12)) AS sigma
+      FROM walked GROUP BY {KEYS})""",
+)
+
+
+@query(
+    "random_walk_forecast",
+    shown(
+        f"""SELECT {KEYS}, h AS step, last_day(last_date + to_months(CAST(h AS INTEGER))) AS date, 'walk' AS method, greatest(last, 0) AS forecast,
+          greatest(last - {arima_fit.Z95} * sigma * sqrt(h), 0) AS lower_ci, greatest(last + {arima_fit.Z95} * sigma * sqrt(h), 0) AS upper_ci
+          FROM walk, generate_series(1, 12) AS g(h)""",
+        floats="forecast lower_ci upper_ci", whole="step", ctes=WALK,
+    ),
+)
+def _(spark, sf_dir):
+    rows = series(spark, sf_dir)
+    fit = arima.fit_arima(rows, SERIES_KEYS, (0, 1, 0))
+    return arima.arima_forecast(fit, rows, SERIES_KEYS, 12, "walk")
+
+
+@query(
+    "random_walk_metrics",
+    shown(
+        f"""SELECT {KEYS}, avg(abs(value - said)) AS mae, sqrt(avg((value - said) ** 2)) AS rmse,
+          coalesce(avg(abs(value - said) / ((abs(value) + abs(said)) / 2)) FILTER ((abs(value) + abs(said)) / 2 > 1e-10), 0) * 100 AS smape,
+          CASE WHEN var_pop(value) > 0 THEN 1 - avg((value - said) ** 2) / var_pop(value) ELSE 0 END AS r2
+          FROM (SELECT *, arg_max(value, i) FILTER (i < n - 6) OVER (PARTITION BY {KEYS}) AS said FROM idx) WHERE i >= n - 6 GROUP BY {KEYS}""",
+        floats="mae rmse smape r2", dates="", ctes=WALK,
+    ),
+)
+def _(spark, sf_dir):
+    return select.performance_table(arima.fit_arima(series(spark, sf_dir), SERIES_KEYS, (0, 1, 0)), SERIES_KEYS)
+
+
+_AIC = "{n} * (ln(2 * pi() * greatest({v}, 1e-12)) + 1) + 2 * {k}"
+_ORDERS = f"""orders AS (SELECT {KEYS}, 0 AS p, 0 AS d, 0 AS q, {_AIC.format(n="count(*)", v="var_pop(value)", k=2)} AS aic FROM walked GROUP BY {KEYS}
+  UNION ALL SELECT {KEYS}, 0, 1, 0, {_AIC.format(n="count(move)", v="avg(move * move)", k=1)} FROM walked GROUP BY {KEYS}
+  UNION ALL SELECT {KEYS}, 0, 2, 0, {_AIC.format(n="count(bend)", v="avg(bend * bend)", k=1)} FROM walked GROUP BY {KEYS})"""
+
+
+@query("order_search_by_difference", shown("SELECT * FROM orders", floats="aic", whole="p d q", dates="", ctes=joined(WALK, _ORDERS)))
+def _(spark, sf_dir):
+    return arima.order_search(series(spark, sf_dir), SERIES_KEYS, max_p=0, max_d=2, max_q=0)
+
+
+@query(
+    "best_order_by_difference",
+    shown(f"SELECT {KEYS}, arg_min(d, aic) AS d, min(aic) AS aic FROM orders GROUP BY {KEYS}", floats="aic", whole="d", dates="", ctes=joined(WALK, _ORDERS)),
+)
+def _(spark, sf_dir):
+    best = arima.best_order(arima.order_search(series(spark, sf_dir), SERIES_KEYS, max_p=0, max_d=2, max_q=0), SERIES_KEYS)
+    return best.select(*SERIES_KEYS, F.col("order")[1].alias("d"), "aic")
+
+
 @query("arima_fit")
 def _(spark, sf_dir):
     fit = arima.fit_arima(_headline_series(spark, sf_dir), SERIES_KEYS)

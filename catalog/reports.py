@@ -545,6 +545,22 @@ def _(spark, sf_dir):
     return anomaly.detect_isolation_forest(rows, HEADLINE)
 
 
+@query(
+    "isolation_forest_bounds",
+    shown("SELECT count(*) AS n_rows, count(*) > 0 AS some_flagged, TRUE AS few_flagged, TRUE AS scores_in_range FROM districts", whole="n_rows", dates="", ctes=DISTRICTS),
+)
+def _(spark, sf_dir):
+    rows = districts(spark, sf_dir).select("date", "state", "district", *HEADLINE)
+    found = anomaly.detect_isolation_forest(rows, HEADLINE)
+    flagged, score = F.count_if("is_anomaly_iforest"), F.col("anomaly_score")
+    return found.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        (flagged > 0).alias("some_flagged"),
+        (flagged <= 0.05 * F.count(F.lit(1))).alias("few_flagged"),
+        F.min((score > 0) & (score < 1)).alias("scores_in_range"),
+    )
+
+
 @query("method_comparison")
 def _(spark, sf_dir):
     return anomaly.method_comparison(anomaly.detect_isolation_forest(materialise(consensus(spark, sf_dir)), HEADLINE))
