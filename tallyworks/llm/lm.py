@@ -35,7 +35,7 @@ KINDS = 64
 KIND_BYTES = 4
 # A context is told apart from its parent if training visits it so often. The most visited are
 # kept; their number bounds the model, which every task receives.
-SPLIT = 8
+SPLIT = 3
 MOST_CONTEXTS = 1 << 17
 # The words whose scores every task receives; the others are joined.
 FREQUENT = 1 << 16
@@ -182,7 +182,7 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     for k in range(8):
         shift += np.log(x + k)
     y = x + 8
-    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) - shift
 
 
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:

@@ -19,8 +19,9 @@ from tallyworks.llm.supervised import fitted, labelled_sample
 
 # Rows of a training sample: at most so many texts with some category set, and without any.
 MAX_TOXIC, MAX_CLEAN = 3000, 6000
-# Features kept, those that tell most about some category, each found in at least so many texts.
-FEATURES, IN_TEXTS = 1024, 3
+# Features kept, those that tell most about some category: found in at least so many texts, and so
+# unevenly by chi-squared that among many rare words few come so far by chance.
+FEATURES, IN_TEXTS, LEAST_CHI2 = 1024, 3, 30.0
 PREFIXES = (4, 5, 6)
 FOLDS = 5
 STEPS, PENALTY = 200, 1e-3
@@ -79,7 +80,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     rate = (y.sum() + 0.5) / (len(y) + 1)
     w = np.zeros(x.shape[1] + 1)
     w[-1] = np.clip(np.log(rate / (1 - rate)), -LOG_ODDS_WITHIN, LOG_ODDS_WITHIN)
-    if y.min(initial=1) == y.max(initial=0) or not x.shape[1]:
+    if len(np.unique(y)) < 2 or not x.shape[1]:
         return w
     scale = np.append(1 / np.sqrt(np.maximum(np.square(x).mean(0), 1e-6)), 1.0)
     z = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)]) * scale.astype(x.dtype)
@@ -97,6 +98,21 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return at * scale
 
 
+def _fresh(texts: list[str]) -> list[set[str]]:
+    """The features of each text's tokens that stand between other neighbours than in the texts before.
+
+    Copies of a text would make all its words look telling.
+    """
+    seen: set[int] = set()
+    out = []
+    for t in texts:
+        tokens = ["", *t.split(), ""]
+        new = {(k, token) for before, token, after in zip(tokens, tokens[1:], tokens[2:]) if (k := hash((before, token, after))) not in seen}
+        seen.update(k for k, _ in new)
+        out.append(set().union(*map(features_of, {token for _, token in new})))
+    return out
+
+
 def _informative(sets: list[set[str]], labels: np.ndarray) -> list[str]:
     """The features that tell most about some category, by chi-squared."""
     n, totals = len(sets), labels.sum(0)
@@ -112,13 +128,13 @@ def _informative(sets: list[set[str]], labels: np.ndarray) -> list[str]:
     spread = np.maximum(expected * (1 - count / max(n, 1)) * (1 - totals / max(n, 1)), 1e-9)
     score = (np.square(with_label - expected) / spread).max(1, initial=0)
     best = np.lexsort((np.arange(len(kept)), -score))[:FEATURES]
-    return [kept[i] for i in sorted(best)]
+    return [kept[i] for i in sorted(best) if score[i] >= LEAST_CHI2]
 
 
 def fit_chain(texts: list[str], labels: np.ndarray, categories: list[str]) -> Chain:
     """A chain over ``categories`` in their order; row k of ``labels`` says which of them text k has."""
     sets = [set().union(*map(features_of, set(t.split()))) for t in texts]
-    names = _informative(sets, labels)
+    names = _informative(_fresh(texts), labels)
     features = {f: i for i, f in enumerate(names)}
     x = np.zeros((len(texts), len(names)), dtype=np.float32)
     for row, s in zip(x, sets):
