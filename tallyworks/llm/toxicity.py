@@ -18,13 +18,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallyworks.llm.supervised import fitted, labelled_sample
 
 # Rows of a training sample: at most so many texts with some category set, and without any.
-MAX_TOXIC, MAX_CLEAN = 3000, 6000
+MAX_TOXIC, MAX_CLEAN = 1500, 3000
 # Features kept, those that tell most about some category: found in at least so many texts, and so
 # unevenly by chi-squared that among many rare words few come so far by chance.
 FEATURES, IN_TEXTS, LEAST_CHI2 = 1024, 3, 30.0
 PREFIXES = (4, 5, 6)
-FOLDS = 5
-STEPS, PENALTY = 200, 1e-3
+FOLDS = 3
+STEPS, PENALTY = 120, 1e-3
 LOG_ODDS_WITHIN = 8.0
 # Distinct words whose features a worker remembers before it starts afresh.
 WORDS_REMEMBERED = 500_000
@@ -71,86 +71,109 @@ class Chain:
         return [1 / (1 + np.exp(-o)) for o in odds]
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+@dataclass
+class Seen:
+    """What models see of texts: the places (``row``, ``column``) of ones, and further ``dense`` columns."""
+
+    row: np.ndarray
+    column: np.ndarray
+    n_columns: int
+    dense: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.dense)
+
+    def of(self, rows: np.ndarray) -> Seen:
+        """The texts for which ``rows`` is true."""
+        keep, at = rows[self.row], np.cumsum(rows) - 1
+        return Seen(at[self.row[keep]], self.column[keep], self.n_columns, self.dense[rows])
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        sums = np.bincount(self.row, w[self.column], minlength=len(self))
+        return sums + self.dense @ w[self.n_columns :]
+
+    def back(self, r: np.ndarray) -> np.ndarray:
+        """The transposed product."""
+        return np.append(np.bincount(self.column, r[self.row], minlength=self.n_columns), self.dense.T @ r)
+
+
+def logistic(x: Seen, y: np.ndarray) -> np.ndarray:
     """Weights and bias of a penalised logistic regression, by accelerated gradient steps.
 
     Columns are scaled by how often they are set, so that rare ones move as fast as common ones.
     Of a single class, the bias alone says so.
     """
-    rate = (y.sum() + 0.5) / (len(y) + 1)
-    w = np.zeros(x.shape[1] + 1)
+    n, width = len(x), x.n_columns + x.dense.shape[1]
+    rate = (y.sum() + 0.5) / (n + 1)
+    w = np.zeros(width + 1)
     w[-1] = np.clip(np.log(rate / (1 - rate)), -LOG_ODDS_WITHIN, LOG_ODDS_WITHIN)
-    if len(np.unique(y)) < 2 or not x.shape[1]:
+    if len(np.unique(y)) < 2 or not width:
         return w
-    scale = np.append(1 / np.sqrt(np.maximum(np.square(x).mean(0), 1e-6)), 1.0)
-    z = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)]) * scale.astype(x.dtype)
-    penalty = np.append(np.full(x.shape[1], PENALTY), 0.0)
-    v = np.random.default_rng(0).normal(size=z.shape[1]).astype(x.dtype)
+    squares = np.append(np.bincount(x.column, minlength=x.n_columns), np.square(x.dense).sum(0)) / n
+    scale = np.append(1 / np.sqrt(np.maximum(squares, 1e-6)), 1.0)
+    forth = lambda v: x.times(v[:-1] * scale[:-1]) + v[-1]
+    back = lambda r: np.append(x.back(r) * scale[:-1], r.sum())
+    penalty = np.append(np.full(width, PENALTY), 0.0)
+    v = np.random.default_rng(0).normal(size=width + 1)
     for _ in range(20):
-        v = z.T @ (z @ (v / np.linalg.norm(v)))
-    step = 1 / (0.3 * np.linalg.norm(v) / len(z) + PENALTY)
+        v = back(forth(v / np.linalg.norm(v)))
+    step = 1 / (0.3 * np.linalg.norm(v) / n + PENALTY)
     at = ahead = w
     for k in range(1, STEPS + 1):
-        p = 1 / (1 + np.exp(-np.clip(z @ ahead.astype(x.dtype), -30, 30)))
-        nxt = ahead - step * (z.T @ (p - y) / len(z) + penalty * ahead)
+        p = 1 / (1 + np.exp(-np.clip(forth(ahead), -30, 30)))
+        nxt = ahead - step * (back(p - y) / n + penalty * ahead)
         ahead = nxt + (k - 1) / (k + 2) * (nxt - at)
         at = nxt
     return at * scale
 
 
-def _fresh(texts: list[str]) -> list[set[str]]:
-    """The features of each text's tokens that stand between other neighbours than in the texts before.
+def _informative(texts: list[str], labels: np.ndarray) -> list[str]:
+    """The features that tell most about some category, by chi-squared.
 
-    Copies of a text would make all its words look telling.
+    A token counts where it stands between other neighbours than in the texts before: copies of a
+    text would make all its words look telling.
     """
-    seen: set[int] = set()
-    out = []
-    for t in texts:
-        tokens = ["", *t.split(), ""]
-        new = {(k, token) for before, token, after in zip(tokens, tokens[1:], tokens[2:]) if (k := hash((before, token, after))) not in seen}
-        seen.update(k for k, _ in new)
-        out.append(set().union(*map(features_of, {token for _, token in new})))
-    return out
-
-
-def _informative(sets: list[set[str]], labels: np.ndarray) -> list[str]:
-    """The features that tell most about some category, by chi-squared."""
-    n, totals = len(sets), labels.sum(0)
-    seen = Counter(f for s in sets for f in s)
+    n, totals = len(texts), labels.sum(0)
+    met: set[int] = set()
+    seen: Counter[str] = Counter()
+    with_label: list[Counter[str]] = [Counter() for _ in totals]
+    for text, row in zip(texts, labels):
+        tokens = ["", *text.split(), ""]
+        fresh = {k: token for before, token, after in zip(tokens, tokens[1:], tokens[2:]) if (k := hash((before, token, after))) not in met}
+        met.update(fresh)
+        found = set().union(*map(features_of, set(fresh.values())))
+        seen.update(found)
+        for counts, label in zip(with_label, row):
+            if label:
+                counts.update(found)
     kept = sorted(f for f, c in seen.items() if IN_TEXTS <= c < n)
-    at = {f: i for i, f in enumerate(kept)}
-    with_label = np.zeros((len(kept), labels.shape[1]))
-    for s, row in zip(sets, labels):
-        if row.any():
-            with_label[[at[f] for f in s if f in at]] += row
     count = np.array([seen[f] for f in kept], dtype=float)[:, None]
+    labelled = np.array([[counts[f] for counts in with_label] for f in kept], dtype=float).reshape(len(kept), len(totals))
     expected = count * totals / max(n, 1)
     spread = np.maximum(expected * (1 - count / max(n, 1)) * (1 - totals / max(n, 1)), 1e-9)
-    score = (np.square(with_label - expected) / spread).max(1, initial=0)
+    score = (np.square(labelled - expected) / spread).max(1, initial=0)
     best = np.lexsort((np.arange(len(kept)), -score))[:FEATURES]
     return [kept[i] for i in sorted(best) if score[i] >= LEAST_CHI2]
 
 
 def fit_chain(texts: list[str], labels: np.ndarray, categories: list[str]) -> Chain:
     """A chain over ``categories`` in their order; row k of ``labels`` says which of them text k has."""
-    sets = [set().union(*map(features_of, set(t.split()))) for t in texts]
-    names = _informative(_fresh(texts), labels)
-    features = {f: i for i, f in enumerate(names)}
-    x = np.zeros((len(texts), len(names)), dtype=np.float32)
-    for row, s in zip(x, sets):
-        row[[features[f] for f in s if f in features]] = 1
+    features = {f: i for i, f in enumerate(_informative(texts, labels))}
+    chain = Chain(tuple(categories), features, [])
+    found = [chain.found_in(t) for t in texts]
+    row = np.repeat(np.arange(len(texts)), [len(f) for f in found]).astype(np.int64)
+    column = np.array([i for f in found for i in f], dtype=np.int64)
     fold = np.arange(len(texts)) % FOLDS
-    earlier = np.zeros((len(texts), 0), dtype=np.float32)
-    weights = []
+    earlier = np.zeros((len(texts), 0))
     for c in range(len(categories)):
-        seen, y = np.hstack([x, earlier]), labels[:, c].astype(float)
+        seen, y = Seen(row, column, len(features), earlier), labels[:, c].astype(float)
         odds = np.zeros(len(texts))
         for k in range(FOLDS):
-            w = logistic(seen[fold != k], y[fold != k])
-            odds[fold == k] = seen[fold == k] @ w[:-1] + w[-1]
-        weights.append(logistic(seen, y))
-        earlier = np.hstack([earlier, np.clip(odds, -LOG_ODDS_WITHIN, LOG_ODDS_WITHIN)[:, None].astype(np.float32)])
-    return Chain(tuple(categories), features, weights)
+            w = logistic(seen.of(fold != k), y[fold != k])
+            odds[fold == k] = seen.of(fold == k).times(w[:-1]) + w[-1]
+        chain.weights.append(logistic(seen, y))
+        earlier = np.hstack([earlier, np.clip(odds, -LOG_ODDS_WITHIN, LOG_ODDS_WITHIN)[:, None]])
+    return chain
 
 
 def train(

@@ -75,11 +75,16 @@ def test_later_models_use_earlier_categories():
 
 def test_logistic_agrees_with_its_optimum():
     rng = np.random.default_rng(1)
-    x = (rng.random((500, 3)) < 0.4).astype(np.float32)
+    x = (rng.random((500, 3)) < 0.4).astype(float)
     y = (rng.random(500) < 1 / (1 + np.exp(-(x @ [2.0, -1.0, 0.0] - 0.3)))).astype(float)
-    w = toxicity.logistic(x, y)
+    row, column = np.nonzero(x[:, :2])
+    seen = toxicity.Seen(row, column, 2, x[:, 2:])
+    w = toxicity.logistic(seen, y)
+    assert np.allclose(seen.times(w[:-1]), x @ w[:-1])
     p = 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))
     assert abs((p - y).mean()) < 1e-3 and np.abs(x.T @ (p - y) / len(y)).max() < 5e-3
+    half = np.arange(500) % 2 == 0
+    assert np.allclose(seen.of(half).times(w[:-1]), x[half] @ w[:-1])
 
 
 def test_toxicity_of_odd_rows(spark):
