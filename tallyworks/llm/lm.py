@@ -38,7 +38,7 @@ KIND_BYTES = 4
 SPLIT = 3
 MOST_CONTEXTS = 1 << 17
 # The words whose scores every task receives; the others are joined.
-FREQUENT = 1 << 16
+FREQUENT = 1 << 15
 END = b"\n"
 # Bytes at the start of a word by which words are dealt out; their contexts are then whole in one task.
 DEALT_BY = 3
@@ -208,10 +208,10 @@ class Tree:
         cost = np.zeros(len(place))
         for j in range(7, -1, -1):
             so_far = (1 << (7 - j)) | (byte >> (j + 1))
-            ones, at, open_ = np.full(len(place), 0.5), place.copy(), np.ones(len(place), dtype=bool)
+            ones, at, open_ = np.full(len(place), 0.5), place.astype(np.int64), np.ones(len(place), dtype=bool)
             while open_.any():
                 todo = np.flatnonzero(open_)
-                hit, where = _found(self.nodes, at[todo] * 256 + so_far[todo])
+                hit, where = _found(self.nodes, (at[todo] * 256 + so_far[todo]).astype(np.int32))
                 ones[todo[hit]] = self.ones[where[hit]]
                 open_[todo[hit]] = False
                 rest = todo[~hit]
@@ -232,11 +232,11 @@ class Tree:
             place[todo[hit]] = where[hit]
         cost = np.full(len(place), 8 * np.log10(0.5))
         known = np.flatnonzero(place >= 0)
-        codes = place[known] * 256 + p.byte[known]
+        codes = (place[known] * 256 + p.byte[known]).astype(np.int32)
         hit, where = _found(self.grams, codes)
         cost[known[hit]] = self.costs[where[hit]]
         new, back = np.unique(codes[~hit], return_inverse=True)
-        cost[known[~hit]] = self.unseen(new >> 8, new & 255)[back]
+        cost[known[~hit]] = self.unseen(new >> 8, (new & 255).astype(np.int64))[back]
         return np.bincount(p.owner, cost, minlength=len(words))
 
 
@@ -303,7 +303,8 @@ def weighted_tree(rows: pd.DataFrame) -> Tree:
         b = grams & 255
         p = mixed[np.searchsorted(nodes, (grams >> 8) * 256 + ((1 << (7 - j)) | (b >> (j + 1))))]
         costs += np.log10(np.where(b >> j & 1, p, 1 - p))
-    return Tree(contexts, parents, nodes, mixed, grams, costs)
+    # Places and bits take 25 bits; probabilities are kept in single precision.
+    return Tree(contexts, parents.astype(np.int32), nodes.astype(np.int32), mixed.astype(np.float32), grams.astype(np.int32), costs.astype(np.float32))
 
 
 # --- on Spark ------------------------------------------------------------------------
@@ -405,8 +406,9 @@ def scored(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_co
 
     costs = words.select("kind", "word", "n_all").mapInArrow(cost, "kind int, word binary, n_all long, cost double")
     costs = materialise(costs.join(counts, "word"), "costs")
-    top = costs.orderBy(F.desc("n_all"), "kind", "word").limit(FREQUENT).collect()
-    frequent = spark.sparkContext.broadcast({(r["kind"], bytes(r["word"])): (r["count"], r["cost"], math.log10(r["count"] + 1)) for r in top})
+    top = costs.orderBy(F.desc("n_all"), "kind", "word").limit(FREQUENT).select("kind", "word", "count", "cost").collect()
+    frequent = spark.sparkContext.broadcast({(k, bytes(w)): (n, c, math.log10(n + 1)) for k, w, n, c in top})
+    del top
 
     schema = "doc_id {}, kind int, n_tokens long, n_bytes long, n_known long, base double, cost double, rare array<struct<word:binary,n:long>>"
     schema = schema.format(docs.schema[id_col].dataType.simpleString())

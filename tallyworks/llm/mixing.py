@@ -55,7 +55,7 @@ def filled(sources: DataFrame, budget: float | None = None, max_epochs: float =
             break
         held, weights = sums["held"], sums["weights"]
     if total is None or not sums["weights"]:
-        return sources.withColumn("target", F.least(cap, F.lit(float(total or 0))))
+        return sources.withColumn("target", F.when(F.col("weight") > 0, cap).otherwise(F.lit(0.0)))
     return sources.withColumn("target", F.least(cap, F.col("weight") * F.lit(float(total - held)) / F.lit(weights)))
 
 
