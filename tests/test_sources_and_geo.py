@@ -75,21 +75,20 @@ def test_stage_tables(spark, tmp_path):
     assert path.startswith(named or lineage.stage_dir(spark))
 
 
-class Unnamed:
-    """A session that names no shared folder."""
+class Named:
+    """A session with these settings."""
 
-    def __init__(self, master):
-        self.conf = self
-        self.sparkContext = type("Context", (), {"master": master, "applicationId": f"app-{master}"})
+    def __init__(self, **settings):
+        self.conf, self.settings = self, settings
+        self.sparkContext = type("Context", (), {"applicationId": "app"})
 
-    def get(self, key, default):
-        return default
+    def get(self, key, *default):
+        return self.settings.get(key.split(".")[-2], *default)
 
 
-def test_own_folder_only_on_a_local_session():
-    assert lineage.stage_dir(Unnamed("local[2]")) == lineage.stage_dir(Unnamed("local[2]"))
-    with pytest.raises(RuntimeError):
-        lineage.stage_dir(Unnamed("spark://cluster:7077"))
+def test_stages_lie_in_a_folder_that_is_shared():
+    assert lineage.stage_dir(Named(checkpoint="hdfs:///c/", warehouse="hdfs:///w")) == "hdfs:///c"
+    assert lineage.stage_dir(Named(warehouse="hdfs:///w/")) == "hdfs:///w/_stages/app"
 
 
 def panel(spark):
