@@ -324,7 +324,8 @@ def vocabulary(docs: DataFrame, training: Column, *, text_col: str = "text") ->
             for (kind, trained), words in counts.items():
                 n = pa.array(list(words.values()), pa.int64())
                 zero = pa.array(np.zeros(len(words), dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), kind, dtype=np.int32)), pa.array(list(words), pa.binary()), n if trained else zero, n], schema=schema)
+                kinds = pa.array(np.full(len(words), kind, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([kinds, pa.array(list(words), pa.binary()), n if trained else zero, n], schema=schema)
             counts.clear()
 
         for batch in batches:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyworks.llm.common import SPACE, let, words
+from tallyworks.llm.common import let, words
 
 
 @dataclass(frozen=True)

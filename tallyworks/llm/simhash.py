@@ -259,7 +259,8 @@ def near_groups(
     prints = materialise(_printed(docs, id_col, text_col, shingle), "prints")
     least = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("least_id"), F.col("text_key").alias("text_key")))
     nodes = prints.groupBy(F.col("copy_key").alias("node")).agg(least.alias("l"), F.first("prints").alias("prints"), F.first("n_shingles").alias("n"))
-    nodes = materialise(nodes.where("n > 0").select("node", "l.least_id", "l.text_key", "n", F.posexplode("prints").alias("kind", "p")).select("*", "p.high", "p.low").drop("p"), "nodes")
+    nodes = nodes.where("n > 0").select("node", "l.least_id", "l.text_key", "n", F.posexplode("prints").alias("kind", "p"))
+    nodes = materialise(nodes.select("*", *[f"p.{w}" for w in PRINT_WORDS]).drop("p"), "nodes")
     names = nodes.where("kind = 0").select("node", "least_id", "text_key")
 
     def sets_of(pairs: DataFrame) -> DataFrame:
