@@ -26,7 +26,7 @@ from tallyworks.functions.lineage import stage_path
 MAX_LENGTH = 2048
 END_ID = 1
 # Distinct words and parts whose ids a worker remembers; beyond it starts afresh. Some 200 bytes each.
-WORDS_REMEMBERED = 1_000_000
+WORDS_REMEMBERED = 600_000
 
 
 # --- tokens -------------------------------------------------------------------

@@ -24,7 +24,7 @@ NGRAMS = (3, 4)
 EPOCHS, RATE, BATCH = 8, 0.5, 16
 # The bucket of the mark for a repeated word; hashed features use the others.
 REPEATED = 0
-WORDS_REMEMBERED = 500_000
+WORDS_REMEMBERED = 300_000
 # Words hashed at a time, which bounds the memory for long texts.
 WORDS_AT_ONCE = 1 << 15
 

@@ -90,12 +90,20 @@ def _allowed(length: int, width: int, budget: int, segments: int) -> list[int]:
 
 
 def within_budget(
-    prints: DataFrame, words: list[str], *, kind: Column | None = None, budget: int = 3, segments: int = 4, only: Column | None = None
+    prints: DataFrame,
+    words: list[str],
+    *,
+    key: str,
+    kind: Column | None = None,
+    budget: int = 3,
+    segments: int = 4,
+    only: Column | None = None,
 ) -> DataFrame:
     """Pairs of rows of ``prints`` (aliases ``a`` and ``b``) whose fingerprints differ in at most ``budget`` bits.
 
-    ``words`` names the 64-bit columns of a fingerprint. Only rows of one ``kind`` meet. ``only`` is a
-    further condition on ``a`` and ``b``. A pair may come more than once, and in one order or the other.
+    ``words`` names the 64-bit columns of a fingerprint, ``key`` the column that tells rows apart. Only rows
+    of one ``kind`` meet. ``only`` is a further condition on ``a`` and ``b``. A pair may come more than once; which
+    of the two is ``a`` is not said.
     """
     width = 64 * len(words) // segments
     length = -(-KEY_BITS // width)
@@ -135,6 +143,8 @@ def within_budget(
         for s, d in enumerate(by_start):
             within = within | ((F.col("a.start") == s) & (d <= l * budget // segments))
         on = on & within
+    # Where a row asks for its own value alone, both would find the other.
+    on = on & (F.col(f"a.{key}") < F.col(f"b.{key}") if patterns == [0] else F.col(f"a.{key}") != F.col(f"b.{key}"))
     on = on & (differing(None) <= budget)
     return asked.alias("a").join(filed.alias("b"), on if only is None else on & only)
 
@@ -150,7 +160,7 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
     prints = materialise(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
     nodes = materialise(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "nodes")
     ring = nodes.select("fingerprint")
-    pairs = within_budget(ring, ["fingerprint"], budget=budget, only=F.col("a.fingerprint") != F.col("b.fingerprint"))
+    pairs = within_budget(ring, ["fingerprint"], key="fingerprint", budget=budget)
     roots = components(pairs.select(F.col("a.fingerprint").alias("u"), F.col("b.fingerprint").alias("v")))
     members = materialise(roots.join(nodes, F.col("node") == F.col("fingerprint")), "members")
     least = members.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -278,8 +288,8 @@ def near_groups(
     rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = materialise(rooted.select("node", "kind", "n", "root", *PRINT_WORDS), "rooted")
     sizes = F.least("a.n", "b.n") >= F.lit(float(min_similarity)) * F.greatest("a.n", "b.n")
-    apart = (F.col("a.root") != F.col("b.root")) & (F.col("a.node") != F.col("b.node")) & sizes
-    cross = within_budget(rooted, PRINT_WORDS, kind=F.col("kind"), budget=budget, only=apart)
+    apart = (F.col("a.root") != F.col("b.root")) & sizes
+    cross = within_budget(rooted, PRINT_WORDS, key="node", kind=F.col("kind"), budget=budget, only=apart)
     cross = cross.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
     cross = materialise(cross.join(stars, ["u", "v"], "left_anti"), "cross")
     links = close.union(_similar(cross, sets_of(cross), min_similarity))

@@ -27,7 +27,7 @@ FOLDS = 3
 STEPS, PENALTY = 120, 1e-3
 LOG_ODDS_WITHIN = 8.0
 # Distinct words whose features a worker remembers before it starts afresh.
-WORDS_REMEMBERED = 500_000
+WORDS_REMEMBERED = 150_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 

@@ -1,6 +1,5 @@
 import numpy as np
 import xxhash
-from pyspark.sql import functions as F
 
 from tallyworks.llm import graph, simhash
 
@@ -47,7 +46,7 @@ def test_every_pair_within_the_budget_is_found(spark):
     near = [int(b) ^ sum(1 << int(p) for p in rng.choice(63, n, replace=False)) for n in range(6) for b in base]
     values = sorted(set(map(int, base)) | set(near))
     prints = spark.createDataFrame([(v,) for v in values], "w long")
-    pairs = simhash.within_budget(prints, ["w"], only=F.col("a.w") != F.col("b.w")).select("a.w", "b.w").collect()
+    pairs = simhash.within_budget(prints, ["w"], key="w").select("a.w", "b.w").collect()
     got = {frozenset(r) for r in pairs}
     far = lambda x, y: ((x ^ y) & (2**64 - 1)).bit_count()
     assert got == {frozenset((x, y)) for x in values for y in values if x < y and far(x, y) <= 3}
