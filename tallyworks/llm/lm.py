@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import math
 import pickle
-import uuid
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -24,7 +23,8 @@ from itertools import groupby
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyworks.functions.lineage import materialise
 
@@ -33,9 +33,13 @@ DEPTH = 4
 WHOLE = 32
 KINDS = 64
 KIND_BYTES = 4
-# A context is told apart from its parent if training visits it so often. The most visited are
-# kept; their number bounds the model, which every task receives.
+# A context is told apart from its parent if training visits it so often.
 SPLIT = 3
+# The tree is built in parts. Contexts of fewer bytes than ``LOW`` are its top, at most 83,000 whatever
+# the corpus, which every part receives; all that hangs from a context of ``LOW`` bytes lies in one part.
+LOW = 3
+LEAST_PARTS = 32
+# Distinct words of a kind to a part.
 MOST_CONTEXTS = 1 << 17
 # The words whose scores every task receives; the others are joined.
 FREQUENT = 1 << 15
@@ -45,6 +49,8 @@ DEALT_BY = 3
 # Distinct words a task counts before it passes the counts on.
 COUNTED_AT_ONCE = 300_000
 WORDS_AT_ONCE = 1 << 14
+# Distinct words whose places are dealt to the parts together, each place once.
+PLACED_AT_ONCE = 1 << 16
 
 _LOG_PI = float(np.log(np.pi))
 
@@ -77,6 +83,16 @@ class Places:
     byte: np.ndarray
     recent: list[np.ndarray]  # contexts of the last 0 to DEPTH bytes; 0 where the word has no more
     whole: np.ndarray  # the context of kind and all bytes; 0 beyond WHOLE bytes
+    code: np.ndarray  # the last DEPTH bytes
+    depth: np.ndarray  # how many of them are the word's
+
+
+def _recent(code: np.ndarray, depth: np.ndarray) -> list[np.ndarray]:
+    contexts = []
+    for d in range(DEPTH + 1):
+        context = _mixed((code & np.uint64((1 << 8 * d) - 1)) + (np.uint64(d + 1) << np.uint64(48)))
+        contexts.append(np.where(depth >= d, context, np.uint64(0)))
+    return contexts
 
 
 def places(kinds: np.ndarray, words: list[bytes]) -> Places:
@@ -87,14 +103,10 @@ def places(kinds: np.ndarray, words: list[bytes]) -> Places:
     starts = np.cumsum(sizes) - sizes
     at = np.arange(len(joined)) - starts[owner]
     coded = at > 0
-    recent, code = [], np.zeros(len(joined), dtype=np.uint64)
-    for d in range(DEPTH + 1):
-        if d:
-            back = np.zeros(len(joined), dtype=np.uint64)
-            back[d:] = joined[:-d] if d < len(joined) else back[d:]
-            code = code + (back << np.uint64(8 * (d - 1)))
-        context = _mixed(code + (np.uint64(d + 1) << np.uint64(48)))
-        recent.append(np.where(at >= d, context, np.uint64(0))[coded])
+    code = np.zeros(len(joined), dtype=np.uint64)
+    for d in range(1, min(DEPTH + 1, len(joined))):
+        code[d:] += joined[:-d] << np.uint64(8 * (d - 1))
+    code, depth = code[coded], np.minimum(at, DEPTH)[coded]
     # Kind and bytes so far, a column of the words at a time.
     whole = np.zeros(len(joined), dtype=np.uint64)
     h = _mixed(np.asarray(kinds).astype(np.uint64) + (np.uint64(1) << np.uint64(60)))
@@ -102,14 +114,18 @@ def places(kinds: np.ndarray, words: list[bytes]) -> Places:
         longer = np.flatnonzero(sizes > i + 1)
         h[longer] = _mixed(h[longer] * np.uint64(0x9E3779B97F4A7C15) + joined[starts[longer] + i] + np.uint64(1))
         whole[starts[longer] + i + 1] = h[longer]
-    return Places(owner[coded], joined[coded].astype(np.int64), recent, whole[coded])
+    return Places(owner[coded], joined[coded].astype(np.int64), _recent(code, depth), whole[coded], code, depth)
 
 
-_VISITS = pa.schema([("context", pa.int64()), ("parent", pa.int64()), ("level", pa.int64()), ("byte", pa.int64()), ("n", pa.int64())])
+_KEYS = ["context", "parent", "level", "byte", "root"]
+_VISITS = pa.schema([(c, pa.int64()) for c in [*_KEYS, "n"]])
 
 
 def _visits(batch: pa.RecordBatch) -> Iterator[pd.DataFrame]:
-    """context, parent, level, byte, n of all contexts of a batch of words (kind, word, n)."""
+    """context, parent, level, byte, root, n of all contexts of a batch of words (kind, word, n).
+
+    ``root`` is the context of ``LOW`` bytes that a context is or hangs from; in the top of the tree the context itself.
+    """
     kinds, words, n = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
     for start in range(0, len(words), WORDS_AT_ONCE):
         part = slice(start, start + WORDS_AT_ONCE)
@@ -118,26 +134,26 @@ def _visits(batch: pa.RecordBatch) -> Iterator[pd.DataFrame]:
         deepest = np.zeros(len(p.byte), dtype=np.uint64)
         for d, context in enumerate(p.recent):
             there = context != 0
-            yield _summed(context[there], deepest[there], d, p.byte[there], weight[there])
+            root = p.recent[LOW] if d >= LOW else context
+            yield _summed(context[there], deepest[there], d, p.byte[there], root[there], weight[there])
             deepest = np.where(there, context, deepest)
         there = p.whole != 0
-        yield _summed(p.whole[there], deepest[there], DEPTH + 1, p.byte[there], weight[there])
+        yield _summed(p.whole[there], deepest[there], DEPTH + 1, p.byte[there], np.where(p.depth < LOW, p.whole, p.recent[LOW])[there], weight[there])
 
 
-def _summed(context: np.ndarray, parent: np.ndarray, level: int, byte: np.ndarray, n: np.ndarray) -> pd.DataFrame:
-    made = {"context": context.view(np.int64), "parent": parent.view(np.int64), "level": np.int64(level), "byte": byte, "n": n}
-    return pd.DataFrame(made).groupby(["context", "parent", "level", "byte"], sort=False, as_index=False)["n"].sum()
+def _summed(context: np.ndarray, parent: np.ndarray, level: int, byte: np.ndarray, root: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+    made = {"context": context.view(np.int64), "parent": parent.view(np.int64), "level": np.int64(level), "byte": byte, "root": root.view(np.int64), "n": n}
+    return pd.DataFrame(made).groupby(_KEYS, sort=False, as_index=False)["n"].sum()
 
 
 def _context_counts(vocabulary: DataFrame) -> DataFrame:
-    """context, parent, level, byte, n: how often training follows a context by a byte, partly summed.
+    """context, parent, level, byte, root, n: how often training follows a context by a byte, partly summed.
 
     Words of one kind and beginning lie in one task, so most of its whole-word contexts are
     complete there: those that stay below ``SPLIT`` visits are not passed on.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = ["context", "parent", "level", "byte"]
         short: pd.DataFrame | None = None
 
         def passed_on(rows: pd.DataFrame) -> pa.RecordBatch:
@@ -145,7 +161,7 @@ def _context_counts(vocabulary: DataFrame) -> DataFrame:
 
         for _, group in groupby(_groups(batches), key=lambda g: g[0]):
             parts = [rows for _, batch in group for rows in _visits(batch)]
-            found = pd.concat(parts).groupby(keys, sort=False, as_index=False)["n"].sum()
+            found = pd.concat(parts).groupby(_KEYS, sort=False, as_index=False)["n"].sum()
             deep = found["level"] == DEPTH + 1
             often = found[deep].groupby("context")["n"].transform("sum") >= SPLIT
             first = found[deep][often.to_numpy()]
@@ -153,14 +169,14 @@ def _context_counts(vocabulary: DataFrame) -> DataFrame:
                 yield passed_on(first)
             short = found[~deep] if short is None else pd.concat([short, found[~deep]])
             if len(short) > COUNTED_AT_ONCE:
-                short = short.groupby(keys, sort=False, as_index=False)["n"].sum()
+                short = short.groupby(_KEYS, sort=False, as_index=False)["n"].sum()
                 if len(short) > COUNTED_AT_ONCE // 2:
                     yield passed_on(short)
                     short = None
         if short is not None and len(short):
-            yield passed_on(short.groupby(keys, sort=False, as_index=False)["n"].sum())
+            yield passed_on(short.groupby(_KEYS, sort=False, as_index=False)["n"].sum())
 
-    return vocabulary.mapInArrow(count, "context long, parent long, level long, byte long, n long")
+    return vocabulary.mapInArrow(count, "context long, parent long, level long, byte long, root long, n long")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -211,7 +227,7 @@ class Tree:
             ones, at, open_ = np.full(len(place), 0.5), place.astype(np.int64), np.ones(len(place), dtype=bool)
             while open_.any():
                 todo = np.flatnonzero(open_)
-                hit, where = _found(self.nodes, (at[todo] * 256 + so_far[todo]).astype(np.int32))
+                hit, where = _found(self.nodes, at[todo] * 256 + so_far[todo])
                 ones[todo[hit]] = self.ones[where[hit]]
                 open_[todo[hit]] = False
                 rest = todo[~hit]
@@ -225,19 +241,23 @@ class Tree:
         if not words:
             return np.zeros(0)
         p = places(kinds, words)
-        place = np.full(len(p.byte), -1, dtype=np.int64)
-        for context in [p.whole, *reversed(p.recent)]:
+        return np.bincount(p.owner, self.costs_at(p.whole, p.recent, p.byte), minlength=len(words))
+
+    def costs_at(self, whole: np.ndarray, recent: list[np.ndarray], byte: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each byte in its contexts."""
+        place = np.full(len(byte), -1, dtype=np.int64)
+        for context in [whole, *reversed(recent)]:
             todo = np.flatnonzero((place < 0) & (context != 0))
             hit, where = _found(self.contexts, context[todo])
             place[todo[hit]] = where[hit]
         cost = np.full(len(place), 8 * np.log10(0.5))
         known = np.flatnonzero(place >= 0)
-        codes = (place[known] * 256 + p.byte[known]).astype(np.int32)
+        codes = place[known] * 256 + byte[known]
         hit, where = _found(self.grams, codes)
         cost[known[hit]] = self.costs[where[hit]]
         new, back = np.unique(codes[~hit], return_inverse=True)
-        cost[known[~hit]] = self.unseen(new >> 8, (new & 255).astype(np.int64))[back]
-        return np.bincount(p.owner, cost, minlength=len(words))
+        cost[known[~hit]] = self.unseen(new >> 8, new & 255)[back]
+        return cost
 
 
 def _found(among: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -246,11 +266,31 @@ def _found(among: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (among[where] == wanted if len(among) else np.zeros(len(wanted), dtype=bool)), where
 
 
-def weighted_tree(rows: pd.DataFrame) -> Tree:
-    """The tree of summed visits (context, parent, level, byte, n), each context with its parent."""
-    if not len(rows):
-        none = np.zeros(0, dtype=np.int64)
-        return Tree(none.astype(np.uint64), none, none, none.astype(float), none, none.astype(float))
+@dataclass
+class _Nodes:
+    """Contexts and nodes as in ``Tree``, each node with its counts, the node above (-1 for none), the probability of
+    what it has seen by its own estimate and its children's (``whole``) and the share of its own (``stop``)."""
+
+    contexts: np.ndarray
+    level: np.ndarray
+    above: np.ndarray
+    parents: np.ndarray
+    grams: np.ndarray
+    nodes: np.ndarray
+    zeros: np.ndarray
+    ones: np.ndarray
+    up: np.ndarray
+    by_level: list[np.ndarray]
+    whole: np.ndarray
+    stop: np.ndarray
+
+
+def _weighed(rows: pd.DataFrame, below: pd.DataFrame | None = None) -> _Nodes:
+    """The nodes of summed visits, weighed from the leaves.
+
+    ``below`` (context, bits, whole, zeros, ones, children) has the sums over the children of ``LOW``
+    bytes of all parts, by the nodes above them; then those among ``rows`` are not counted again.
+    """
     hashes = rows["context"].to_numpy().view(np.uint64)
     contexts, first, place = np.unique(hashes, return_index=True, return_inverse=True)
     level = rows["level"].to_numpy()[first]
@@ -268,43 +308,72 @@ def weighted_tree(rows: pd.DataFrame) -> Tree:
     nodes = np.concatenate(keys)
     order = np.argsort(nodes)
     nodes, zeros, ones = nodes[order], np.concatenate(zeros)[order], np.concatenate(ones)[order]
-    above = parents[nodes >> 8]
-    hit, up = _found(nodes, above * 256 + (nodes & 255))
-    up = np.where(hit & (above >= 0), up, -1)
+    upper = parents[nodes >> 8]
+    hit, up = _found(nodes, upper * 256 + (nodes & 255))
+    up = np.where(hit & (upper >= 0), up, -1)
     levels = level[nodes >> 8]
 
     # From the leaves: a node's own estimate against the product of its children's.
     own, whole = log_kt(zeros, ones), np.zeros(len(nodes))
-    below, seen_zeros, seen_ones, children = (np.zeros(len(nodes)) for _ in range(4))
+    product, seen_zeros, seen_ones, children = (np.zeros(len(nodes)) for _ in range(4))
+    if below is not None:
+        known, at = _found(contexts, below["context"].to_numpy().view(np.uint64))
+        hit, at = _found(nodes, at * 256 + below["bits"].to_numpy())
+        at = at[known & hit]
+        for total, name in ((product, "whole"), (seen_zeros, "zeros"), (seen_ones, "ones"), (children, "children")):
+            total[at] = below[name].to_numpy()[known & hit]
     stop = np.ones(len(nodes))
     by_level = [np.flatnonzero(levels == k) for k in range(DEPTH + 2)]
-    for at in reversed(by_level):
+    for k in range(DEPTH + 1, -1, -1):
+        at = by_level[k]
         rest = log_kt(np.maximum(zeros[at] - seen_zeros[at], 0), np.maximum(ones[at] - seen_ones[at], 0))
-        both = np.logaddexp(own[at], below[at] + rest) + np.log(0.5)
+        both = np.logaddexp(own[at], product[at] + rest) + np.log(0.5)
         inner = children[at] > 0
         whole[at] = np.where(inner, both, own[at])
         stop[at] = np.where(inner, np.exp(own[at] + np.log(0.5) - both), 1.0)
+        if k == LOW and below is not None:
+            continue
         to = up[at]
         has = to >= 0
-        for total, value in ((below, whole), (seen_zeros, zeros), (seen_ones, ones), (children, np.ones(len(nodes)))):
+        for total, value in ((product, whole), (seen_zeros, zeros), (seen_ones, ones), (children, np.ones(len(nodes)))):
             total += np.bincount(to[has], value[at][has], minlength=len(nodes))
+    return _Nodes(contexts, level, above, parents, place * 256 + byte, nodes, zeros, ones, up, by_level, whole, stop)
+
+
+def _to_the_top(rows: pd.DataFrame) -> pd.DataFrame:
+    """What a part of the tree passes on to the nodes of the top: sums over its contexts of ``LOW`` bytes."""
+    t = _weighed(rows)
+    at = t.by_level[LOW]
+    made = {"context": t.above[t.nodes[at] >> 8].view(np.int64), "bits": t.nodes[at] & 255, "whole": t.whole[at], "zeros": t.zeros[at], "ones": t.ones[at], "children": 1.0}
+    return pd.DataFrame(made).groupby(["context", "bits"], as_index=False).sum()
+
+
+def weighted_tree(rows: pd.DataFrame, below: pd.DataFrame | None = None) -> Tree:
+    """The tree of summed visits (context, parent, level, byte, n), each context with its parent.
+
+    With ``below``, see ``_weighed``, the rows are the top and a part, and the tree is right for the part's contexts.
+    """
+    if not len(rows):
+        none = np.zeros(0, dtype=np.int64)
+        return Tree(none.astype(np.uint64), none, none, none.astype(float), none, none.astype(float))
+    t = _weighed(rows, below)
     # From the root: what the contexts above have said, and the weight that is left.
-    estimate, said, left, mixed = (ones + 0.5) / (zeros + ones + 1), np.zeros(len(nodes)), np.ones(len(nodes)), np.zeros(len(nodes))
-    for at in by_level:
-        has = up[at] >= 0
-        before = np.where(has, said[up[at]], 0.0)
-        open_ = np.where(has, left[up[at]], 1.0)
+    estimate, said, left, mixed = (t.ones + 0.5) / (t.zeros + t.ones + 1), np.zeros(len(t.nodes)), np.ones(len(t.nodes)), np.zeros(len(t.nodes))
+    for at in t.by_level:
+        has = t.up[at] >= 0
+        before = np.where(has, said[t.up[at]], 0.0)
+        open_ = np.where(has, left[t.up[at]], 1.0)
         mixed[at] = before + open_ * estimate[at]
-        said[at] = before + open_ * stop[at] * estimate[at]
-        left[at] = open_ * (1 - stop[at])
-    grams, at = np.unique(place * 256 + byte, return_index=True)
+        said[at] = before + open_ * t.stop[at] * estimate[at]
+        left[at] = open_ * (1 - t.stop[at])
+    grams = np.unique(t.grams)
     costs = np.zeros(len(grams))
     for j in range(7, -1, -1):
         b = grams & 255
-        p = mixed[np.searchsorted(nodes, (grams >> 8) * 256 + ((1 << (7 - j)) | (b >> (j + 1))))]
+        p = mixed[np.searchsorted(t.nodes, (grams >> 8) * 256 + ((1 << (7 - j)) | (b >> (j + 1))))]
         costs += np.log10(np.where(b >> j & 1, p, 1 - p))
-    # Places and bits take 25 bits; probabilities are kept in single precision.
-    return Tree(contexts, parents.astype(np.int32), nodes.astype(np.int32), mixed.astype(np.float32), grams.astype(np.int32), costs.astype(np.float32))
+    # Probabilities are kept in single precision.
+    return Tree(t.contexts, t.parents, t.nodes, mixed.astype(np.float32), grams, costs.astype(np.float32))
 
 
 # --- on Spark ------------------------------------------------------------------------
@@ -342,36 +411,141 @@ def vocabulary(docs: DataFrame, training: Column, *, text_col: str = "text") ->
     return rows.groupBy("kind", "word").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all"))
 
 
-def trained_tree(words: DataFrame) -> bytes:
-    """The tree of a vocabulary, pickled: at most ``MOST_CONTEXTS`` contexts, those most visited.
+def _context_table(words: DataFrame) -> DataFrame:
+    """context, parent, level, byte, n, root, top: all contexts that are told apart, and whether they are in the top.
 
-    Counts cover all training words. Of the tree's contexts each has its parent, which is visited no less.
+    Counts are dealt by root, so that all visits of a context, and later all that hangs together, meet at once.
     """
-    dealt = words.where("n > 0").repartition("kind", F.substring("word", 1, DEALT_BY)).select("kind", "word", "n")
-    counts = _context_counts(dealt).groupBy("context", "parent", "level", "byte").agg(F.sum("n").alias("n"))
-    counts = materialise(counts, "contexts")
-    totals = counts.groupBy("context", "level").agg(F.sum("n").alias("visits")).where((F.col("visits") >= SPLIT) | (F.col("level") == 0))
-    kept = materialise(totals.orderBy(F.desc("visits"), "level", "context").limit(MOST_CONTEXTS).select("context"), "kept")
-    grams = counts.join(F.broadcast(kept), "context")  # MOST_CONTEXTS numbers
+    dealt = _dealt(words.where("n > 0")).select("kind", "word", "n")
+    counts = _context_counts(dealt).repartition("root").groupBy(*_KEYS).agg(F.sum("n").alias("n"))
+    visits = F.sum("n").over(Window.partitionBy("root", "context"))
+    told = counts.withColumn("visits", visits).where((F.col("visits") >= SPLIT) | (F.col("level") == 0)).drop("visits")
+    top = (F.col("level") < LOW) | ((F.col("level") > DEPTH) & (F.col("root") == F.col("context")))
+    return materialise(told.withColumn("top", top), "contexts")
 
-    def build(rows: pd.DataFrame) -> pd.DataFrame:
-        tree = weighted_tree(rows.drop(columns="_all"))
-        return pd.DataFrame({"tree": [pickle.dumps(tuple(vars(tree).values()))]})
 
-    # Bounded by MOST_CONTEXTS, each with at most 256 bytes after it.
-    made = grams.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(build, "tree binary").collect()
-    return bytes(made[0]["tree"]) if made else pickle.dumps(tuple(vars(weighted_tree(pd.DataFrame(columns=_VISITS.names))).values()))
+def _dealt(words: DataFrame) -> DataFrame:
+    """Words of one kind and beginning lie in one task and follow each other."""
+    beginning = F.substring("word", 1, DEALT_BY)
+    return words.repartition("kind", beginning).sortWithinPartitions("kind", beginning)
 
 
-_loaded: dict[str, object] = {}
+def _inner(kinds: np.ndarray, words: list[bytes]) -> np.ndarray:
+    """Which of these words, dealt, are of a kind and beginning that neither starts nor ends them, so that all its words are here."""
+    begins = [(k, w[:DEALT_BY]) for k, w in zip(kinds.tolist(), words)]
+    ends = {begins[0], begins[-1]} if begins else set()
+    return np.fromiter((b not in ends for b in begins), dtype=bool, count=len(begins))
 
 
-def _once(name: str, make) -> object:
-    """What ``make`` gives, once per worker and name; only the last is kept."""
-    if name not in _loaded:
-        _loaded.clear()
-        _loaded[name] = make()
-    return _loaded[name]
+@dataclass
+class _Placed:
+    """The distinct places of some words, by part: where each word's places are among them, and their contexts and byte."""
+
+    owner: np.ndarray
+    back: np.ndarray
+    part: np.ndarray
+    whole: np.ndarray
+    local: np.ndarray  # the last DEPTH bytes, how many of them are the word's, the byte
+
+
+def _placed(kinds: np.ndarray, words: list[bytes], n: np.ndarray, n_parts: int) -> _Placed:
+    p = places(kinds, words)
+    whole = p.whole.copy()
+    # A context that is complete here and not told apart is none.
+    sure = np.flatnonzero((p.depth > DEALT_BY) & _inner(kinds, words)[p.owner])
+    _, back = np.unique(whole[sure], return_inverse=True)
+    whole[sure[np.bincount(back, n[p.owner[sure]])[back] < SPLIT]] = 0
+    code = p.code & np.uint64((1 << 8 * DEPTH) - 1)
+    code &= (np.uint64(1) << (8 * p.depth).astype(np.uint64)) - np.uint64(1)
+    local = code | p.depth.astype(np.uint64) << np.uint64(8 * DEPTH) | p.byte.astype(np.uint64) << np.uint64(8 * DEPTH + 8)
+    # Places in the top alone go to any part.
+    root = np.where(p.depth >= LOW, p.recent[LOW], _mixed(local))
+    part = np.mod(root.view(np.int64), n_parts)
+    order = np.lexsort((local, whole, part))
+    whole, local, part = whole[order], local[order], part[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (whole[1:] != whole[:-1]) | (local[1:] != local[:-1])
+    back = np.empty(len(order), dtype=np.int64)
+    back[order] = np.cumsum(new) - 1
+    return _Placed(p.owner, back, part[new], whole[new], local[new])
+
+
+def _gathered(rows: DataFrame) -> pd.DataFrame:
+    """A table that does not grow with the corpus, as one frame on the driver."""
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"all": [pickle.dumps(rows.drop(columns="_all"))]})
+
+    made = rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(pack, "all binary").collect()
+    if made:
+        return pickle.loads(bytes(made[0]["all"]))
+    kinds = {"bigint": np.int64, "double": np.float64}
+    return pd.DataFrame({c: np.zeros(0, dtype=kinds[t]) for c, t in rows.dtypes})
+
+
+def word_costs(words: DataFrame) -> DataFrame:
+    """kind, word, n_all, cost: log10 of the probability of each word (kind, word, n, n_all) by the tree of all with n > 0.
+
+    Every context visited ``SPLIT`` times is in the tree, whatever their number. The places of words are
+    dealt to the parts by the context they stand in and meet them there, each once for some
+    thousands of words. A part weighs its contexts and passes sums on to the top of the tree; what
+    the top says then goes back to all parts.
+    """
+    n_parts = LEAST_PARTS + words.count() // MOST_CONTEXTS
+    contexts = _context_table(words)
+    columns = ["context", "parent", "level", "byte", "n"]
+    low = contexts.where("not top").select(*columns, F.pmod("root", F.lit(n_parts)).cast("int").alias("part"))
+    sums = low.groupBy("part").applyInPandas(_to_the_top, "context long, bits long, whole double, zeros double, ones double, children double")
+    sums = sums.groupBy("context", "bits").agg(*[F.sum(c).alias(c) for c in ("whole", "zeros", "ones", "children")])
+    above = words.sparkSession.sparkContext.broadcast((_gathered(contexts.where("top").select(*columns)), _gathered(sums)))
+
+    names = ["batch", "part", "packed"]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId() << 32
+        for k, rows in enumerate(_gathered_up(batches, PLACED_AT_ONCE)):
+            kinds, written, n = rows.column(0).to_numpy(), rows.column(1).to_pylist(), rows.column(2).to_numpy()
+            p = _placed(kinds, written, n, n_parts)
+            parts, first = np.unique(p.part, return_index=True)
+            last = [*first[1:], len(p.part)]
+            packed = [pickle.dumps((kinds, written, n, rows.column(3).to_numpy()))]
+            packed += [pickle.dumps((p.whole[a:b], p.local[a:b])) for a, b in zip(first, last)]
+            numbers = pa.array(np.full(len(packed), task + k, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([numbers, pa.array([-1, *parts], pa.int32()), pa.array(packed, pa.binary())], names)
+
+    placed = _dealt(words).select("kind", "word", "n", "n_all").mapInArrow(place, "batch long, part int, packed binary")
+    placed = materialise(placed, "placed")
+
+    def cost(rows: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
+        top, below = above.value
+        tree = weighted_tree(pd.concat([top, rows.drop(columns="part")], ignore_index=True), below)
+        costs = []
+        for packed in at["packed"]:
+            whole, local = pickle.loads(packed)
+            depth = (local >> np.uint64(8 * DEPTH) & np.uint64(255)).astype(np.int64)
+            costs.append(tree.costs_at(whole, _recent(local, depth), (local >> np.uint64(8 * DEPTH + 8)).astype(np.int64)).tobytes())
+        return pd.DataFrame({"batch": at["batch"], "part": at["part"], "packed": costs})
+
+    def add(rows: pd.DataFrame, costs: pd.DataFrame) -> pd.DataFrame:
+        kinds, written, n, n_all = pickle.loads(rows["packed"].iloc[0])
+        p = _placed(kinds, written, n, n_parts)
+        found = np.concatenate([np.frombuffer(x) for x in costs.sort_values("part")["packed"]])
+        return pd.DataFrame({"kind": kinds, "word": written, "n_all": n_all, "cost": np.bincount(p.owner, found[p.back], minlength=len(written))})
+
+    costs = low.groupBy("part").cogroup(placed.where("part >= 0").groupBy("part")).applyInPandas(cost, "batch long, part int, packed binary")
+    costs = placed.where("part < 0").groupBy("batch").cogroup(costs.groupBy("batch"))
+    return costs.applyInPandas(add, "kind int, word binary, n_all long, cost double")
+
+
+def _gathered_up(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.Table.from_batches(held)
+            held = []
+    if any(b.num_rows for b in held):
+        yield pa.Table.from_batches(held)
 
 
 def scored(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -395,18 +569,7 @@ def scored(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_co
     texts = sum(kinds.values())
     kind_cost = {k: float(np.log10((kinds.get(k, 0) + 0.5) / (texts + (KINDS + 1) / 2))) for k in range(KINDS + 1)}
 
-    name, tree = uuid.uuid4().hex, spark.sparkContext.broadcast(trained_tree(words))
-
-    def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _once(name, lambda: Tree(*pickle.loads(tree.value)))
-        for batch in batches:
-            kind, word = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            parts = [model.costs_of(kind[i : i + WORDS_AT_ONCE], word[i : i + WORDS_AT_ONCE]) for i in range(0, len(word), WORDS_AT_ONCE)]
-            costs = pa.array(np.concatenate(parts) if parts else np.zeros(0))
-            yield pa.RecordBatch.from_arrays([*batch.columns, costs], ["kind", "word", "n_all", "cost"])
-
-    costs = words.select("kind", "word", "n_all").mapInArrow(cost, "kind int, word binary, n_all long, cost double")
-    costs = materialise(costs.join(counts, "word"), "costs")
+    costs = materialise(word_costs(words).join(counts, "word"), "costs")
     top = costs.orderBy(F.desc("n_all"), "kind", "word").limit(FREQUENT).select("kind", "word", "count", "cost").collect()
     frequent = spark.sparkContext.broadcast({(k, bytes(w)): (n, c, math.log10(n + 1)) for k, w, n, c in top})
     del top

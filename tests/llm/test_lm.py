@@ -138,3 +138,20 @@ def test_no_training_texts(spark):
     got = {r.doc_id: r for r in lm.scored(docs, F.lit(False)).collect()}
     assert got[1].base_score == 0 and got[1].n_known == 0 and got[1].score == pytest.approx(5 * 8 * math.log10(0.5) + math.log10(0.5 / 32.5))
     assert lm.scored(docs.limit(0), F.lit(True)).count() == 0
+
+
+def test_no_context_is_left_out_however_many_there_are(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    stems = ["".join(rng.choice(list("abcd"), 3)) for _ in range(40)]
+    docs = [(i, " ".join(stems[k] + stems[-k] for k in rng.integers(0, 40, 60))) for i in range(30)]
+    by_kind = Counter((lm.kind_of(Counter(lm.tokens(t))), x) for _, t in docs for x in [*lm.tokens(t), lm.END])
+    cost = slow_tree(by_kind, lm.SPLIT, lm.MOST_CONTEXTS)
+    monkeypatch.setattr(lm, "MOST_CONTEXTS", 16)
+    rows = [(k, bytearray(w), n, n) for (k, w), n in by_kind.items()] + [(1, bytearray(b"abcab"), 0, 1), (2, bytearray(b"xyzzy"), 0, 1)]
+    words = spark.createDataFrame(rows, "kind int, word binary, n long, n_all long")
+    got = {(r.kind, bytes(r.word)): r.cost for r in lm.word_costs(words).collect()}
+    assert got == pytest.approx({(k, bytes(w)): cost(k, bytes(w)) for k, w, _, _ in rows}, rel=1e-5)
+    # The whole query holds on to them too.
+    texts = spark.createDataFrame(docs, "doc_id long, text string")
+    want = {i: sum(cost(lm.kind_of(Counter(lm.tokens(t))), x) for x in [*lm.tokens(t), lm.END]) + math.log10((len(docs) + 0.5) / (len(docs) + (lm.KINDS + 1) / 2)) for i, t in docs}
+    assert {r.doc_id: r.score for r in lm.scored(texts, F.lit(True)).collect()} == pytest.approx(want, rel=1e-5)
