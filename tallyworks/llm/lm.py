@@ -121,36 +121,50 @@ _KEYS = ["context", "parent", "level", "byte", "root"]
 _VISITS = pa.schema([(c, pa.int64()) for c in [*_KEYS, "n"]])
 
 
-def _visits(batch: pa.RecordBatch) -> Iterator[pd.DataFrame]:
-    """context, parent, level, byte, root, n of all contexts of a batch of words (kind, word, n).
+def _visits(batch: pa.RecordBatch | pa.Table, inner: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
+    """context, parent, level, byte, root, n, sure of all contexts of a batch of words (kind, word, n).
 
     ``root`` is the context of ``LOW`` bytes that a context is or hangs from; in the top of the tree the context itself.
+    ``sure`` are those that no other words of the table have; ``inner`` tells whose beginning no other words have.
     """
     kinds, words, n = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
+    inner = np.zeros(len(words), dtype=bool) if inner is None else inner
     for start in range(0, len(words), WORDS_AT_ONCE):
         part = slice(start, start + WORDS_AT_ONCE)
         p = places(kinds[part], words[part])
         weight = n[part][p.owner]
-        deepest = np.zeros(len(p.byte), dtype=np.uint64)
+        deepest, none = np.zeros(len(p.byte), dtype=np.uint64), np.zeros(len(p.byte), dtype=bool)
         for d, context in enumerate(p.recent):
-            there = context != 0
             root = p.recent[LOW] if d >= LOW else context
-            yield _summed(context[there], deepest[there], d, p.byte[there], root[there], weight[there])
-            deepest = np.where(there, context, deepest)
-        there = p.whole != 0
-        yield _summed(p.whole[there], deepest[there], DEPTH + 1, p.byte[there], np.where(p.depth < LOW, p.whole, p.recent[LOW])[there], weight[there])
+            yield _summed(context, deepest, d, p.byte, root, weight, none)
+            deepest = np.where(context != 0, context, deepest)
+        sure = inner[part][p.owner] & (p.depth > DEALT_BY)
+        yield _summed(p.whole, deepest, DEPTH + 1, p.byte, np.where(p.depth < LOW, p.whole, p.recent[LOW]), weight, sure)
 
 
-def _summed(context: np.ndarray, parent: np.ndarray, level: int, byte: np.ndarray, root: np.ndarray, n: np.ndarray) -> pd.DataFrame:
-    made = {"context": context.view(np.int64), "parent": parent.view(np.int64), "level": np.int64(level), "byte": byte, "root": root.view(np.int64), "n": n}
-    return pd.DataFrame(made).groupby(_KEYS, sort=False, as_index=False)["n"].sum()
+def _summed(context: np.ndarray, parent: np.ndarray, level: int, byte: np.ndarray, root: np.ndarray, n: np.ndarray, sure: np.ndarray) -> pd.DataFrame:
+    at = np.flatnonzero(context)
+    made = {"context": context[at].view(np.int64), "parent": parent[at].view(np.int64), "level": np.int64(level), "byte": byte[at], "root": root[at].view(np.int64), "n": n[at], "sure": sure[at]}
+    return _added(pd.DataFrame(made))
+
+
+def _added(rows: pd.DataFrame) -> pd.DataFrame:
+    """Visits summed by context, which tells its parent, level, root and whether it is sure, and byte; sorted by them."""
+    if not len(rows):
+        return rows
+    context, byte = rows["context"].to_numpy(), rows["byte"].to_numpy()
+    order = np.lexsort((byte, context))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (np.diff(context[order]) != 0) | (np.diff(byte[order]) != 0)
+    first = np.flatnonzero(new)
+    return rows.iloc[order[first]].assign(n=np.add.reduceat(rows["n"].to_numpy()[order], first))
 
 
 def _context_counts(vocabulary: DataFrame) -> DataFrame:
     """context, parent, level, byte, root, n: how often training follows a context by a byte, partly summed.
 
-    Words of one kind and beginning lie in one task, so most of its whole-word contexts are
-    complete there: those that stay below ``SPLIT`` visits are not passed on.
+    Words of one kind and beginning follow each other in one task. Where all of them are at hand, their
+    contexts that stay below ``SPLIT`` visits are not passed on.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,36 +173,23 @@ def _context_counts(vocabulary: DataFrame) -> DataFrame:
         def passed_on(rows: pd.DataFrame) -> pa.RecordBatch:
             return pa.RecordBatch.from_pandas(rows[_VISITS.names], schema=_VISITS, preserve_index=False)
 
-        for _, group in groupby(_groups(batches), key=lambda g: g[0]):
-            parts = [rows for _, batch in group for rows in _visits(batch)]
-            found = pd.concat(parts).groupby(_KEYS, sort=False, as_index=False)["n"].sum()
-            deep = found["level"] == DEPTH + 1
-            often = found[deep].groupby("context")["n"].transform("sum") >= SPLIT
-            first = found[deep][often.to_numpy()]
-            if len(first):
-                yield passed_on(first)
-            short = found[~deep] if short is None else pd.concat([short, found[~deep]])
+        for words in _gathered_up(batches, PLACED_AT_ONCE):
+            found = _added(pd.concat(_visits(words, _inner(words.column(0).to_numpy(), words.column(1).to_pylist())), ignore_index=True))
+            deep = found[found["level"] == DEPTH + 1]
+            often = ~deep["sure"] | (deep.groupby("context")["n"].transform("sum") >= SPLIT)
+            if often.any():
+                yield passed_on(deep[often])
+            rest = found[found["level"] <= DEPTH]
+            short = rest if short is None else _added(pd.concat([short, rest], ignore_index=True))
             if len(short) > COUNTED_AT_ONCE:
-                short = short.groupby(_KEYS, sort=False, as_index=False)["n"].sum()
-                if len(short) > COUNTED_AT_ONCE // 2:
-                    yield passed_on(short)
-                    short = None
+                yield passed_on(short)
+                short = None
         if short is not None and len(short):
-            yield passed_on(short.groupby(_KEYS, sort=False, as_index=False)["n"].sum())
+            yield passed_on(short)
 
     return vocabulary.mapInArrow(count, "context long, parent long, level long, byte long, root long, n long")
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """Batches numbered by the stretch they belong to; a stretch is as much as is counted at once."""
-    stretch = rows = 0
-    for batch in batches:
-        if rows > COUNTED_AT_ONCE:
-            stretch, rows = stretch + 1, 0
-        rows += batch.num_rows
-        yield stretch, batch
-
-
 # --- the tree ----------------------------------------------------------------------
 
 

@@ -155,3 +155,32 @@ def test_no_context_is_left_out_however_many_there_are(spark, monkeypatch):
     texts = spark.createDataFrame(docs, "doc_id long, text string")
     want = {i: sum(cost(lm.kind_of(Counter(lm.tokens(t))), x) for x in [*lm.tokens(t), lm.END]) + math.log10((len(docs) + 0.5) / (len(docs) + (lm.KINDS + 1) / 2)) for i, t in docs}
     assert {r.doc_id: r.score for r in lm.scored(texts, F.lit(True)).collect()} == pytest.approx(want, rel=1e-5)
+
+
+def test_counts_do_not_depend_on_how_many_words_are_taken_at_once(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    vocabulary = {(int(rng.integers(2)), "".join(rng.choice(list("abc"), rng.integers(1, 9))).encode()): 1 for _ in range(400)}
+    words = spark.createDataFrame([(k, bytearray(w), n, n) for (k, w), n in vocabulary.items()], "kind int, word binary, n long, n_all long").repartition(3)
+    want = Counter()
+    for k, w in vocabulary:
+        p = lm.places(np.array([k]), [w])
+        want.update((int(c), int(b)) for c, b in zip(p.whole.view(np.int64), p.byte))
+    visits = Counter()
+    for (c, _), n in want.items():
+        visits[c] += n
+    want = {key: n for key, n in want.items() if visits[key[0]] >= lm.SPLIT}
+    monkeypatch.setattr(lm, "COUNTED_AT_ONCE", 20)
+    monkeypatch.setattr(lm, "PLACED_AT_ONCE", 20, raising=False)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+    try:
+        rows = lm._context_counts(lm._dealt(words).select("kind", "word", "n")).where(F.col("level") == lm.DEPTH + 1).collect()
+        costs = lm.word_costs(words).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got, of = Counter(), Counter()
+    for r in rows:
+        got[r.context, r.byte] += r.n
+        of[r.context] += r.n
+    assert {key: n for key, n in got.items() if of[key[0]] >= lm.SPLIT} == want
+    cost = slow_tree(vocabulary, lm.SPLIT, lm.MOST_CONTEXTS)
+    assert {(r.kind, bytes(r.word)): r.cost for r in costs} == pytest.approx({(k, w): cost(k, w) for k, w in vocabulary}, rel=1e-5)
