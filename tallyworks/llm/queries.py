@@ -7,7 +7,22 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyworks.llm import chat, lines, lm, mixing, packing, quality, rules, simhash, sketches, supervised, toxicity
+from tallyworks.llm import (
+    chat,
+    languages,
+    lines,
+    lm,
+    mixing,
+    negatives,
+    packing,
+    quality,
+    rules,
+    simhash,
+    sketches,
+    spelling,
+    supervised,
+    toxicity,
+)
 from tallyworks.llm.common import n_words
 from tallyworks.llm.sql import SQL  # noqa: F401  (the entry reads it)
 
@@ -110,3 +125,29 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         F.col("_row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")
     )
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every anchor and positive with the anchor's nearest rows of other labels within 30 to 90 % of the positive's score."""
+    rows = table(spark, sf_dir, "embeddings")
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("double"))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    # Infinity has no floor.
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = rows.where(F.coalesce(finite, F.lit(False))).select("vec_id", whole.alias("embedding"), moved.alias("label"))
+    return negatives.mined(rows, F.col("id") % 100 == 0)
+
+
+@query
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language by a model that has seen no held-out document, and its number of spans."""
+    docs, held_out = table(spark, sf_dir, "documents"), supervised.id_crc() % 4 == 2
+    rows = languages.labelled(docs, languages.train(docs.where(~held_out)))
+    return rows.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
+@query
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of at least 7 letters and 2 occurrences with its near words, its form and its root."""
+    return spelling.variants(spelling.counted(table(spark, sf_dir, "documents")))

@@ -84,3 +84,41 @@ MIX = rf"""sized AS (SELECT *, CAST(len({_WORDS}) AS BIGINT) AS size, md5(concat
 SQL["op10_mixing"] = f"""
 WITH docs_in AS (SELECT * FROM documents), {MIX}
 SELECT doc_id, size, source_size, target, size * copies AS taken FROM mix"""
+
+SQL["op11_hard_negatives"] = """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+    FROM r AS a JOIN r AS b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+  p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS k FROM s WHERE same),
+  n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS rank
+    FROM p JOIN s USING (anchor_id) WHERE k <= 5 AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10"""
+
+# The CRC-32 of a text byte by byte, with its table made from the polynomial. Near words share a text with a code
+# point taken out of one or of both at the same place.
+SQL["op13_spelling"] = r"""
+WITH RECURSIVE bits AS (SELECT i AS byte, i AS c, 0 AS k FROM range(256) AS t(i) UNION ALL
+    SELECT byte, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+  crc AS (SELECT list(c ORDER BY byte) AS t FROM bits WHERE k = 8),
+  runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+  often AS (SELECT doc_id, run, count(*) AS m FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+  said AS (SELECT run, m, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM often),
+  hashed AS (SELECT run, m, xor(list_reduce([4294967295] || list_transform(range(length(x) // 2), lambda i: CAST('0x' || x[2 * i + 1:2 * i + 2] AS BIGINT)),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS h FROM said, crc),
+  cut AS (SELECT CASE WHEN h % 31 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, m FROM hashed),
+  words AS (SELECT word, CAST(sum(m) AS BIGINT) AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(m) >= 2),
+  less AS (SELECT word, unnest(range(length(word))) AS i FROM words),
+  short AS (SELECT word, i, word[1:i] || word[i + 2:] AS rest FROM less),
+  pairs AS (SELECT a.word, b.word AS near FROM short AS a JOIN short AS b USING (rest, i) WHERE a.word <> b.word
+    UNION SELECT word, rest FROM short WHERE rest IN (SELECT word FROM words)
+    UNION SELECT rest, word FROM short WHERE rest IN (SELECT word FROM words)),
+  ranked AS (SELECT pairs.word, near, w.n AS near_n, row_number() OVER (PARTITION BY pairs.word ORDER BY w.n DESC, near) AS k,
+    count(*) OVER (PARTITION BY pairs.word) AS n_near FROM pairs JOIN words AS w ON near = w.word),
+  forms AS (SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * n THEN near END AS form, CASE WHEN near_n >= 10 * n THEN near_n END AS form_n
+    FROM words LEFT JOIN ranked ON words.word = ranked.word AND k = 1),
+  led AS (SELECT word, word AS root FROM forms UNION ALL SELECT led.word, forms.form FROM led JOIN forms ON led.root = forms.word WHERE forms.form IS NOT NULL),
+  roots AS (SELECT led.word, root FROM led JOIN forms ON led.root = forms.word WHERE forms.form IS NULL)
+SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM forms JOIN roots USING (word)"""
