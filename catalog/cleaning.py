@@ -8,7 +8,7 @@ from catalog.common import (
     BASE_FLOATS, ENROL, FACTS, MEASURE_NAMES, MEASURES, MEASURES_TEXT, PANEL, PANEL_FLOATS, TOTALS_TEXT,
     DISTRICTS, dense, districts, joined, monthly, outer_joined, panel, query, shown, sums,
 )
-from tallyworks.functions import columns
+from tallyworks.functions import columns, dates
 from tallyworks.functions.lineage import stage_path
 from tallyworks.operators import cleaning
 from tallyworks.plans import pipelines
@@ -20,9 +20,11 @@ from tallyworks.sources import files, order_facts
 # The same date forms in Spark's and in DuckDB's patterns.
 SPARK_FORMS = [
     "dd-MM-yyyy", "dd/MM/yyyy", "yyyy-MM-dd", "' 'dd-MM-yyyy", "d/M/yyyy", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd", "d-MMM-yyyy",
+    "MMM d, yyyy", "MMMM d yyyy", "yyyyMMdd", "d/M/yy", "dd-MMM-yy", "yyyy-MM", "yyyy-MM-dd hh:mm a", "d/M/yyyy h:mm a", "EEE, dd MMM yyyy", "d'th' MMMM yyyy",
 ]
 SQL_FORMS = [
     "%d-%m-%Y", "%d/%m/%Y", "%Y-%m-%d", " %d-%m-%Y", "%-d/%-m/%Y", "%Y-%m-%d 00:00:00", "%Y-%m-%dT00:00:00", "%Y/%m/%d", "%-d-%b-%Y",
+    "%b %-d, %Y", "%B %-d %Y", "%Y%m%d", "%-d/%-m/%y", "%d-%b-%y", "%Y-%m", "%Y-%m-%d 12:00 AM", "%-d/%-m/%Y 12:00 AM", "%a, %d %b %Y", "%-dth %B %Y",
 ]
 RAW_NAMES = {"enrol": "enrolment", "demo": "demographic", "bio": "biometric"}
 
@@ -65,20 +67,18 @@ def raw_sql(fact: str) -> str:
 _TRIMMED = r"regexp_replace({0}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
 
 
-def date_sql(dayfirst: bool) -> str:
-    """A date text read with the day or the month first; the other order where only that is a date."""
-    text = _TRIMMED.format("date")
-    two = "lpad(regexp_extract({t}, '{p}', {i}), 2, '0')"
+# A date text without blanks, week day, time and the letters of an ordinal.
+DATE_TEXT = "regexp_replace(regexp_replace(regexp_replace({0}, '^[A-Z][a-z]{{2}}, ', ''), '[T ][0-9]{{2}}:.*$', ''), '([0-9])th ', '\\1 ')".format(_TRIMMED.format("date"))
+SHORT_YEAR = rf"regexp_matches({DATE_TEXT}, '^[0-9]{{1,2}}[^0-9].*[^0-9][0-9]{{2}}$')"
 
-    def read(pattern: str, y: int, m: int, d: int) -> str:
-        month = two.format(t=text, p=pattern, i=m)
-        if pattern == columns.MONTH_NAMED:
-            month = f"lpad(CAST((instr('janfebmaraprmayjunjulaugsepoctnovdec', lower(regexp_extract({text}, '{pattern}', {m}))) + 2) // 3 AS VARCHAR), 2, '0')"
-        return f"TRY_CAST(regexp_extract({text}, '{pattern}', {y}) || '-' || {month} || '-' || {two.format(t=text, p=pattern, i=d)} AS DATE)"
 
-    orders = [(2, 1), (1, 2)] if dayfirst else [(1, 2), (2, 1)]
-    parts = [read(columns.YEAR_LAST, 3, *o) for o in orders] + [read(columns.YEAR_FIRST, 1, 2, 3), read(columns.MONTH_NAMED, 3, 2, 1)]
-    return f"coalesce({', '.join(parts)})"
+def date_sql(dayfirst: bool) -> str:
+    """A date text read by DuckDB's own forms, with the day or the month first; the other order where only that is a date."""
+    orders = [["%d-%m-", "%d/%m/"], ["%m-%d-", "%m/%d/"]]
+    first, second = orders if dayfirst else orders[::-1]
+    long = ["%Y-%m-%d", "%Y/%m/%d", *[f + "%Y" for f in first], "%d-%b-%Y", "%b %d, %Y", "%B %d %Y", "%d %b %Y", "%d %B %Y", *[f + "%Y" for f in second], "%Y%m%d", "%Y-%m"]
+    short = [*[f + "%y" for f in first], "%d-%b-%y", *[f + "%y" for f in second]]
+    return f"CAST(CASE WHEN {SHORT_YEAR} THEN try_strptime({DATE_TEXT}, {short}) ELSE try_strptime({DATE_TEXT}, {long}) END AS DATE)"
 
 
 # The monthly line reads the day first, the base line the month.
@@ -107,7 +107,7 @@ def _(spark, sf_dir):
 @query("coerced_dates", shown(f"SELECT date AS raw, {DATE_SQL} AS date, pincode FROM raw_enrol", ctes=RAW_ENROL))
 def _(spark, sf_dir):
     raw = raw_fact(spark, sf_dir, "enrolment")
-    return raw.select(F.col("date").alias("raw"), columns.parse_date("date").alias("date"), "pincode")
+    return raw.select(F.col("date").alias("raw"), dates.parse_date("date").alias("date"), "pincode")
 
 
 @query(
@@ -118,6 +118,31 @@ def _(spark, sf_dir):
     return cleaning.parse_dates(raw_fact(spark, sf_dir, "enrolment"))
 
 
+def votes_sql(by: str = "") -> str:
+    """Forms by the looks of the texts, and what shows their order."""
+    looks = {
+        "year first": "^[0-9]{4}[-/][0-9]+[-/][0-9]+$", "year last": "^[0-9]+[-/][0-9]+[-/][0-9]{4}$", "short year": "^[0-9]+[-/][0-9]+[-/][0-9]{2}$",
+        "eight digits": "^[0-9]{8}$", "day and name": "^[0-9]{1,2}[- ][A-Z][a-z]+[- ][0-9]+$", "name and day": "^[A-Z][a-z]+ [0-9]{1,2},? [0-9]{4}$", "month": "^[0-9]{4}-[0-9]{2}$",
+    }
+    form = " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{name}'" for name, p in looks.items())
+    number = "TRY_CAST(regexp_extract(t, '^([0-9]{{1,2}})[-/]([0-9]{{1,2}})[-/]', {0}) AS INT)".format
+    count = "CAST(count(*) FILTER ({0}) AS BIGINT) AS {1}".format
+    return f"""SELECT {by}form, CAST(count(*) AS BIGINT) AS n, {count("read IS NOT NULL", "n_read")},
+      {count("form IN ('year last', 'short year') AND read IS NOT NULL AND " + number(1) + " > 12", "day_only")},
+      {count("form IN ('year last', 'short year') AND read IS NOT NULL AND " + number(2) + " > 12", "month_only")}
+    FROM (SELECT *, CASE {form} END AS form FROM (SELECT *, {DATE_TEXT} AS t, {DATE_SQL} AS read FROM raw_enrol)) GROUP BY ALL"""
+
+
+@query("date_votes", shown(votes_sql(), dates="", ctes=RAW_ENROL))
+def _(spark, sf_dir):
+    return cleaning.date_votes(raw_fact(spark, sf_dir, "enrolment"))
+
+
+@query("date_votes_by_group", shown(votes_sql("pincode, "), dates="", ctes=RAW_ENROL))
+def _(spark, sf_dir):
+    return cleaning.date_votes(raw_fact(spark, sf_dir, "enrolment"), by=["pincode"])
+
+
 @query(
     "date_losses",
     shown(

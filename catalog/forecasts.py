@@ -306,6 +306,85 @@ def _(spark, sf_dir):
     return smoothing.forecast_holt(smoothing.fit_holt(arrays), SERIES_KEYS, 6)
 
 
+# Smoothing with given weights, a point at a time: the start without an error, then level and trend moved by each error.
+_SEEN = f"seen AS (SELECT {KEYS}, CAST(i AS INT) AS i, n, date, CAST(value AS DOUBLE) AS value, CAST(lead(value) OVER (PARTITION BY {KEYS} ORDER BY i) AS DOUBLE) AS next FROM idx)"
+_OFF = "(seen.value - run.l - 0.9 * run.b)"
+HOLT = joined(
+    "RECURSIVE " + INDEXED,
+    _SEEN,
+    f"""run AS (SELECT {KEYS}, i, n, date, value AS l, next - value AS b, 0::DOUBLE AS se, 0::DOUBLE AS sse FROM seen WHERE i = 0 AND n > 1
+      UNION ALL SELECT {KEYS}, seen.i, seen.n, seen.date, run.l + 0.9 * run.b + 0.4 * {_OFF}, 0.9 * run.b + 0.04 * {_OFF}, run.se + {_OFF}, run.sse + {_OFF} ** 2
+      FROM run JOIN seen USING ({KEYS}) WHERE seen.i = run.i + 1)""",
+    "held AS (SELECT *, sqrt(greatest(sse / n - (se / n) ** 2, 0)) AS sigma FROM run WHERE i = n - 1)",
+)
+HOLT_WEIGHTS = (0.4, 0.1, 0.9)
+
+
+@query(
+    "holt_given_weights",
+    shown(f"SELECT {KEYS}, n, l AS holt_level, b AS holt_trend, sse, se FROM held", floats="holt_level holt_trend sse se", whole="n", dates="", ctes=HOLT),
+)
+def _(spark, sf_dir):
+    fit = smoothing.fit_holt(smoothing.as_arrays(series(spark, sf_dir), SERIES_KEYS), weights=HOLT_WEIGHTS).where("holt IS NOT NULL")
+    state = {"level": "holt_level", "trend": "holt_trend", "sse": "sse", "se": "se"}
+    return fit.select(*SERIES_KEYS, "n", *[F.col("holt")[c].alias(name) for c, name in state.items()])
+
+
+@query(
+    "holt_forecast_given_weights",
+    shown(
+        f"""SELECT {KEYS}, step, CAST(date_trunc('month', date) + to_months(CAST(step AS INTEGER)) AS DATE) AS date, greatest(said, 0) AS forecast,
+          greatest(greatest(said, 0) - {linear.Z95} * sigma * sqrt(step), 0) AS lower_ci, greatest(said, 0) + {linear.Z95} * sigma * sqrt(step) AS upper_ci
+          FROM (SELECT *, l + b * 0.9 * (1 - 0.9 ** step) / 0.1 AS said FROM held, generate_series(1, 6) AS g(step))""",
+        floats="forecast lower_ci upper_ci", whole="step", ctes=HOLT,
+    ),
+)
+def _(spark, sf_dir):
+    arrays = smoothing.as_arrays(series(spark, sf_dir), SERIES_KEYS)
+    return smoothing.forecast_holt(smoothing.fit_holt(arrays, weights=HOLT_WEIGHTS), SERIES_KEYS, 6)
+
+
+# The season is a list that each point changes one entry of.
+_GONE = "(seen.value - run.l - run.b - run.s[seen.i % 12 + 1])"
+WINTERS = joined(
+    "RECURSIVE " + INDEXED,
+    _SEEN,
+    f"""years AS (SELECT {KEYS}, n, avg(value) FILTER (i < 12) AS first, avg(value) FILTER (i BETWEEN 12 AND 23) AS second,
+      list(value ORDER BY i) FILTER (i < 12) AS head FROM seen GROUP BY {KEYS}, n HAVING n >= 24)""",
+    f"""run AS (SELECT {KEYS}, -1 AS i, n, NULL::DATE AS date, first AS l, (second - first) / 12 AS b, list_transform(head, lambda x: x - first) AS s,
+        0::DOUBLE AS se, 0::DOUBLE AS sae, 0::DOUBLE AS sse FROM years
+      UNION ALL SELECT {KEYS}, seen.i, seen.n, seen.date, run.l + run.b + 0.3 * {_GONE}, run.b + 0.03 * {_GONE},
+        list_transform(run.s, lambda x, k: CASE WHEN k = seen.i % 12 + 1 THEN x + 0.2 * {_GONE} ELSE x END), run.se + {_GONE}, run.sae + abs({_GONE}), run.sse + {_GONE} ** 2
+      FROM run JOIN seen USING ({KEYS}) WHERE seen.i = run.i + 1)""",
+    "held AS (SELECT *, sqrt(greatest(sse / n - (se / n) ** 2, 0)) AS sigma FROM run WHERE i = n - 1)",
+)
+WINTERS_WEIGHTS = (0.3, 0.1, 0.2)
+
+
+@query(
+    "winters_forecast_given_weights",
+    shown(
+        f"""SELECT {KEYS}, step, last_day(date + to_months(CAST(step AS INTEGER))) AS date, said AS forecast,
+          said - {linear.Z95} * sigma AS lower_ci, said + {linear.Z95} * sigma AS upper_ci
+          FROM (SELECT *, l + b * step + s[(n + step - 1) % 12 + 1] AS said FROM held, generate_series(1, 14) AS g(step))""",
+        floats="forecast lower_ci upper_ci", whole="step", ctes=WINTERS,
+    ),
+)
+def _(spark, sf_dir):
+    fit = smoothing.fit_winters(smoothing.as_arrays(series(spark, sf_dir), SERIES_KEYS), weights=WINTERS_WEIGHTS)
+    return smoothing.forecast_winters(fit, SERIES_KEYS, 14)
+
+
+@query(
+    "winters_metrics_given_weights",
+    shown(f"SELECT {KEYS}, sae / n AS mae, sqrt(sse / n) AS rmse FROM held", floats="mae rmse", dates="", ctes=WINTERS),
+)
+def _(spark, sf_dir):
+    fit = smoothing.fit_winters(smoothing.as_arrays(series(spark, sf_dir), SERIES_KEYS), weights=WINTERS_WEIGHTS).where("winters IS NOT NULL")
+    mae, rmse = smoothing.winters_metrics(F.col("winters"), F.col("n"))
+    return fit.select(*SERIES_KEYS, mae.alias("mae"), rmse.alias("rmse"))
+
+
 @query("trend_evaluation")
 def _(spark, sf_dir):
     fits = select.fit_trends(series(spark, sf_dir), SERIES_KEYS)
@@ -340,7 +419,8 @@ def _(spark, sf_dir):
 # --- other models ----------------------------------------------------------
 
 
-# Of order (0, d, 0) the models are closed forms: what lies ahead, and the mean square of what is left.
+# Of order (0, d, 0) the models are closed forms: what lies ahead, and the mean square of what is left. AIC values
+# of all orders speak of the points after the first two.
 _OF = "OVER (PARTITION BY level, state, metric ORDER BY i)"
 WALK = joined(
     INDEXED,
@@ -380,9 +460,9 @@ def _(spark, sf_dir):
 
 
 _AIC = "{n} * (ln(2 * pi() * greatest({v}, 1e-12)) + 1) + 2 * {k}"
-_ORDERS = f"""orders AS (SELECT {KEYS}, 0 AS p, 0 AS d, 0 AS q, {_AIC.format(n="count(*)", v="var_pop(value)", k=2)} AS aic FROM walked GROUP BY {KEYS}
-  UNION ALL SELECT {KEYS}, 0, 1, 0, {_AIC.format(n="count(move)", v="avg(move * move)", k=1)} FROM walked GROUP BY {KEYS}
-  UNION ALL SELECT {KEYS}, 0, 2, 0, {_AIC.format(n="count(bend)", v="avg(bend * bend)", k=1)} FROM walked GROUP BY {KEYS})"""
+_ORDERS = f"""orders AS (SELECT {KEYS}, 0 AS p, 0 AS d, 0 AS q, {_AIC.format(n="count(*)", v="var_pop(value)", k=2)} AS aic FROM walked WHERE i >= 2 GROUP BY {KEYS}
+  UNION ALL SELECT {KEYS}, 0, 1, 0, {_AIC.format(n="count(move)", v="avg(move * move)", k=1)} FROM walked WHERE i >= 2 GROUP BY {KEYS}
+  UNION ALL SELECT {KEYS}, 0, 2, 0, {_AIC.format(n="count(bend)", v="avg(bend * bend)", k=1)} FROM walked WHERE i >= 2 GROUP BY {KEYS})"""
 
 
 @query("order_search_by_difference", shown("SELECT * FROM orders", floats="aic", whole="p d q", dates="", ctes=joined(WALK, _ORDERS)))
@@ -399,6 +479,79 @@ def _(spark, sf_dir):
     return best.select(*SERIES_KEYS, F.col("order")[1].alias("d"), "aic")
 
 
+# Of a first-order autoregression the exact likelihood is a closed form: the first point, then each given the one before.
+_AR = "(value - 1000 - 0.5 * (before - 1000))"
+AR = joined(
+    INDEXED,
+    f"chained AS (SELECT *, lag(value) {_OF} AS before FROM idx)",
+    f"""judged AS (SELECT {KEYS}, n, greatest((sum((value - 1000) ** 2) FILTER (i = 0) * 0.75 + coalesce(sum({_AR} ** 2) FILTER (i > 0), 0)) / n, 1e-12) AS sigma2 FROM chained GROUP BY {KEYS}, n)""",
+)
+
+
+@query(
+    "arima_likelihood",
+    shown(
+        f"""SELECT *, 6 - 2 * loglik AS aic FROM (SELECT {KEYS}, n, sigma2, -0.5 * (n * (ln(2 * pi() * sigma2) + 1) - ln(0.75)) AS loglik FROM judged)""",
+        floats="sigma2 loglik aic", whole="n", dates="", ctes=AR,
+    ),
+)
+def _(spark, sf_dir):
+    return arima.likelihood(series(spark, sf_dir), SERIES_KEYS, (1, 0, 0), [0.5, 1000.0])
+
+
+# A walk by seasons, order (0, 0, 0)(0, 1, 0, 12): next year is like this one.
+SEASON_WALK = ((0, 0, 0), (0, 1, 0, 12))
+SEASONS = joined(
+    INDEXED,
+    f"""stepped AS (SELECT *, value - lag(value, 12) {_OF} AS move FROM idx)""",
+    f"""season_walk AS (SELECT {KEYS}, any_value(n) AS n, max(date) AS last_date, sqrt(greatest(avg(move * move), 1e-12)) AS sigma,
+      list(value ORDER BY i DESC) AS back FROM stepped GROUP BY {KEYS} HAVING count(*) >= 20)""",
+)
+
+
+def _long_series(spark, sf_dir):
+    rows = series(spark, sf_dir)
+    return rows.join(rows.groupBy(*SERIES_KEYS).count().where("count >= 20").select(*SERIES_KEYS), SERIES_KEYS)
+
+
+@query(
+    "seasonal_walk_planning_table",
+    shown(
+        f"""SELECT {KEYS}, last_day(last_date + to_months(CAST(h AS INTEGER))) AS date, greatest(back[13 - h], 0) AS expected,
+          greatest(back[13 - h] - {arima_fit.Z95} * sigma, 0) AS conservative_min, greatest(back[13 - h] + {arima_fit.Z95} * sigma, 0) AS high_demand_max
+          FROM season_walk, generate_series(1, 12) AS g(h)""",
+        floats="expected conservative_min high_demand_max", ctes=SEASONS,
+    ),
+)
+def _(spark, sf_dir):
+    rows = _long_series(spark, sf_dir)
+    fit = arima.fit_arima(rows, SERIES_KEYS, *SEASON_WALK)
+    return select.planning_table(arima.arima_forecast(fit, rows, SERIES_KEYS, 12, "walk"), SERIES_KEYS)
+
+
+@query(
+    "seasonal_walk_performance",
+    shown(
+        f"""SELECT {KEYS}, avg(abs(value - said)) AS mae, sqrt(avg((value - said) ** 2)) AS rmse,
+          coalesce(avg(abs(value - said) / ((abs(value) + abs(said)) / 2)) FILTER ((abs(value) + abs(said)) / 2 > 1e-10), 0) * 100 AS smape,
+          CASE WHEN var_pop(value) > 0 THEN 1 - avg((value - said) ** 2) / var_pop(value) ELSE 0 END AS r2
+          FROM (SELECT *, value - move AS said FROM stepped WHERE n >= 20) WHERE i >= n - 6 GROUP BY {KEYS}""",
+        floats="mae rmse smape r2", dates="", ctes=SEASONS,
+    ),
+)
+def _(spark, sf_dir):
+    return select.performance_table(arima.fit_arima(_long_series(spark, sf_dir), SERIES_KEYS, *SEASON_WALK), SERIES_KEYS)
+
+
+@query(
+    "seasonal_walk_fitted_values",
+    shown(f"SELECT {KEYS}, CAST(i AS BIGINT) AS i, value - move AS fitted FROM stepped WHERE n >= 20", floats="fitted", whole="i", dates="", ctes=SEASONS),
+)
+def _(spark, sf_dir):
+    fit = arima.fit_arima(_long_series(spark, sf_dir), SERIES_KEYS, *SEASON_WALK)
+    return fit.select(*SERIES_KEYS, F.posexplode("fitted").alias("i", "fitted"))
+
+
 @query("arima_fit")
 def _(spark, sf_dir):
     fit = arima.fit_arima(_headline_series(spark, sf_dir), SERIES_KEYS)
@@ -412,23 +565,47 @@ def _(spark, sf_dir):
     return best.withColumn("order", F.array_join(F.col("order").cast("array<string>"), ","))
 
 
-@query("sarima_performance")
+@query("sarima_pipeline")
 def _(spark, sf_dir):
     fit = arima.sarima_pipeline(_headline_series(spark, sf_dir), SERIES_KEYS)
-    return arima_table(fit)
+    return select.performance_table(fit, [*SERIES_KEYS, "model", "status"])
 
 
-def arima_table(fit):
-    return select.performance_table(fit, [*SERIES_KEYS, "model", "status"])
+@query("sarima_performance")
+def _(spark, sf_dir):
+    fit = arima.fit_best_arima(_headline_series(spark, sf_dir), SERIES_KEYS, seasonal=arima.SEASONAL_ORDER)
+    return select.performance_table(fit, SERIES_KEYS)
 
 
 @query("sarima_planning_table")
 def _(spark, sf_dir):
     rows = _headline_series(spark, sf_dir)
-    fit = materialise(arima.fit_arima(rows, SERIES_KEYS, (1, 1, 1), arima.SEASONAL_ORDER), "sarima")
+    fit = materialise(arima.fit_best_arima(rows, SERIES_KEYS, seasonal=arima.SEASONAL_ORDER), "sarima")
     return select.planning_table(arima.arima_forecast(fit, rows, SERIES_KEYS, 12, "sarima"), SERIES_KEYS)
 
 
+# Without lags the test is the slope of the change on the value before, over its standard error.
+ADF = joined(
+    INDEXED,
+    f"""changed AS (SELECT *, lag(value) {_OF} AS before, value - lag(value) {_OF} AS change FROM idx)""",
+    f"""tested AS (SELECT {KEYS}, any_value(n) AS n, regr_slope(change, before) / sqrt(regr_syy(change, before) * (1 - regr_r2(change, before)) / (count(change) - 2) / regr_sxx(change, before)) AS tau,
+      count(change) AS used FROM changed GROUP BY {KEYS} HAVING count(*) >= 10)""",
+)
+_C5 = arima.ADF_CRITICAL["5%"]
+
+
+@query(
+    "stationarity_without_lags",
+    shown(
+        f"""SELECT {KEYS}, n, tau AS adf_statistic, {_C5[0]} + {_C5[1]} / used + {_C5[2]} / used ** 2 + {_C5[3]} / used ** 3 AS critical_5 FROM tested""",
+        floats="adf_statistic critical_5", whole="n", dates="", ctes=ADF,
+    ),
+)
+def _(spark, sf_dir):
+    found = arima.check_stationarity(series(spark, sf_dir), SERIES_KEYS, lags=0).where("n >= 10")
+    return found.select(*SERIES_KEYS, "n", "adf_statistic", "critical_5")
+
+
 @query("stationarity")
 def _(spark, sf_dir):
     return arima.check_stationarity(series(spark, sf_dir), SERIES_KEYS)

@@ -385,7 +385,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     unified = ops.unify(order_facts.activity(spark, sf_dir))
-    days = indicators.base_indicators(unified, order=["date", "pincode"], split_by_month=True)
+    days = indicators.base_indicators(unified, order=["date", "pincode"], by_range=True)
     return days.select(
         "date", "state", "district", "pincode", "total_enrolment", "total_updates", "total_enrolment_growth", "total_updates_growth"
     )
@@ -409,7 +409,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     totals = indicators.total_updates(_merged(spark, sf_dir), False)
-    grown = indicators.growth_rates(totals, [], ["date", "state"], ["total_updates"], split_by_month=True)
+    grown = indicators.growth_rates(totals, [], ["date", "state"], ["total_updates"], by_range=True)
     return grown.select("date", "state", F.col("total_updates_growth").alias("update_growth_rate"))
 
 

@@ -7,19 +7,10 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-# The usual widths, tried first and without a regular expression.
-DAY_FIRST = ("dd-MM-yyyy", "dd/MM/yyyy", "yyyy-MM-dd")
-MONTH_FIRST = ("MM-dd-yyyy", "MM/dd/yyyy", "yyyy-MM-dd")
-
 # White space of any kind, no-break spaces among it.
 _BLANKS = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
-_TIME = r"(?:[T ]+[0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:[.][0-9]+)?)?(?:Z|[+-][0-9]{2}:?[0-9]{2})?)?$"
-# One or two digits for day and month, a month by name, and a time of day after the date.
-YEAR_LAST = r"^([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4})" + _TIME
-YEAR_FIRST = r"^([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})" + _TIME
-MONTH_NAMED = r"^([0-9]{1,2})[-/ ]([A-Za-z]{3})[a-z]*[-/ ,]+([0-9]{4})" + _TIME
-_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
-NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+# A number in the first group, with white space at either end.
+NUMBER = r"^[\s\p{Z}]*([+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][+-]?[0-9]+)?)[\s\p{Z}]*$"
 
 
 def col(c: Column | str) -> Column:
@@ -58,51 +49,9 @@ def stripped(c: Column | str) -> Column:
     return F.regexp_replace(col(c), _BLANKS, "")
 
 
-def _fixed_width_date(c: Column, pattern: str) -> Column:
-    """Date of a pattern made of ``dd``, ``MM``, ``yyyy`` and separators, without a failing parse per row."""
-    checks = [F.length(c) == len(pattern)]
-    checks += [F.substring(c, i + 1, 1) == ch for i, ch in enumerate(pattern) if ch not in "dMy"]
-    parts = [F.substring(c, pattern.index(p) + 1, len(p)) for p in ("yyyy", "MM", "dd")]
-    fits = checks[0]
-    for check in checks[1:]:
-        fits = fits & check
-    return F.when(fits, F.concat_ws("-", *parts).try_cast("date"))
-
-
-def _matched_date(text: Column, pattern: str, year: int, month: int, day: int) -> Column:
-    """Date of the groups of a pattern; null where it does not match or there is no such day."""
-    group = lambda i: F.regexp_extract(text, pattern, i)
-    number = F.lpad(group(month), 2, "0")
-    if pattern == MONTH_NAMED:
-        at = F.position(F.lower(group(month)), F.lit(_MONTHS))
-        number = F.when(at % 3 == 1, F.lpad(((at + 2) / 3).cast("int").cast("string"), 2, "0"))
-    written = F.concat(group(year), F.lit("-"), number, F.lit("-"), F.lpad(group(day), 2, "0"))
-    return F.when(F.regexp_like(text, F.lit(pattern)), written.try_cast("date"))
-
-
-def parse_date(c: Column | str, dayfirst: bool = True) -> Column:
-    """Text as a date, else null; blanks around it and a time of day after it do not matter.
-
-    Day, month and year in digits, parted by ``-``, ``/`` or ``.``; texts that start with the year are read as
-    year, month, day. Of texts that end with it ``dayfirst`` says which comes first, unless
-    only the other order is a date. ``5-Jan-2023`` and ``5 January 2023`` are read too.
-    """
-    text = stripped(c)
-    usual = [_fixed_width_date(text, p) for p in (DAY_FIRST if dayfirst else MONTH_FIRST)]
-    first, second = ((2, 1), (1, 2)) if dayfirst else ((1, 2), (2, 1))
-    return F.coalesce(
-        *usual,
-        _matched_date(text, YEAR_LAST, 3, *first),
-        _matched_date(text, YEAR_LAST, 3, *second),
-        _matched_date(text, YEAR_FIRST, 1, 2, 3),
-        _matched_date(text, MONTH_NAMED, 3, 2, 1),
-    )
-
-
 def to_number(c: Column | str) -> Column:
     """Text as a double; anything that is not written as a number is null, never NaN."""
-    value = col(c).cast("string")
-    return F.when(F.regexp_like(stripped(value), F.lit(NUMBER)), stripped(value).try_cast("double"))
+    return F.regexp_extract(col(c).cast("string"), NUMBER, 1).try_cast("double")
 
 
 def growth_percent(current: Column | str, previous: Column | str) -> Column:

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Observation, functions as F
 from pyspark.sql.types import StringType
 
-from tallyworks.functions.columns import parse_date, title_case, to_number
+from tallyworks.functions.columns import title_case, to_number
+from tallyworks.functions.dates import FORMS, form_of, parse_date
 from tallyworks.operators.panel import numeric_columns
 from tallyworks.schemas import FACT_KEYS, MEASURES
 
@@ -20,17 +21,18 @@ def normalise_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip().lower() for c in df.columns])
 
 
-def standardise(df: DataFrame, dayfirst: bool = False) -> DataFrame:
+def standardise(df: DataFrame, dayfirst: bool = False, forms: Sequence[str] | None = None) -> DataFrame:
     """Names, dates, place labels and numbers brought to one form; bad values become null.
 
-    The base line reads the month first where a text leaves it open.
+    The base line reads the month first where a text leaves it open. ``forms`` are the forms of dates
+    to read, all if not given; see :func:`voted_forms`.
     """
     df = normalise_names(df)
 
     def conform(field):
         c = F.col(field.name)
         if field.name == "date":
-            return (parse_date(c, dayfirst) if isinstance(field.dataType, StringType) else c.cast("date")).alias("date")
+            return (parse_date(c, dayfirst, forms) if isinstance(field.dataType, StringType) else c.cast("date")).alias("date")
         if field.name in ("state", "district"):
             return title_case(c).alias(field.name)
         if isinstance(field.dataType, StringType) and field.name not in TEXT_KEYS:
@@ -40,15 +42,54 @@ def standardise(df: DataFrame, dayfirst: bool = False) -> DataFrame:
     return df.select(*[conform(f) for f in df.schema])
 
 
-def parse_dates(df: DataFrame, date: str = "date", observation: Observation | None = None, dayfirst: bool = True) -> DataFrame:
+def parse_dates(
+    df: DataFrame, date: str = "date", observation: Observation | None = None, dayfirst: bool = True, forms: Sequence[str] | None = None
+) -> DataFrame:
     """Dates of the monthly line, which reads the day first; rows without a valid one are left out.
 
-    With an ``Observation`` the number of dropped rows is counted on the way, as ``invalid_dates``.
+    With an ``Observation`` the dropped rows are counted on the way, see :func:`dated`.
     """
-    parsed = df.withColumn(date, parse_date(date, dayfirst))
+    return dated(df.withColumn(date, parse_date(date, dayfirst, forms)), date, observation)
+
+
+def dated(df: DataFrame, date: str = "date", observation: Observation | None = None) -> DataFrame:
+    """Only rows with a date; an ``Observation`` gets the number of all rows, ``n_rows``, and of the others, ``invalid_dates``."""
     if observation is not None:
-        parsed = parsed.observe(observation, F.count_if(F.col(date).isNull()).alias("invalid_dates"))
-    return parsed.where(F.col(date).isNotNull())
+        df = df.observe(observation, F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(date).isNull()).alias("invalid_dates"))
+    return df.where(F.col(date).isNotNull())
+
+
+def date_votes(df: DataFrame, date: str = "date", by: Sequence[str] = ()) -> DataFrame:
+    """(by..., form, n, n_read, day_only, month_only): how many texts are written in each form of dates.
+
+    One aggregation over the distinct texts, per file if ``by`` names a column that holds it. ``n_read`` of the
+    ``n`` rows are days of the calendar; ``day_only`` and ``month_only`` are those that are dates only with
+    the day or only with the month first. ``form`` is null for texts of no form and for null, which have no votes.
+    """
+    texts = df.groupBy(*by, F.col(date).cast("string").alias("_text")).agg(F.count(F.lit(1)).alias("_n"))
+    read = {dayfirst: parse_date("_text", dayfirst) for dayfirst in (True, False)}
+    # The first number is a month in one order and a day in the other.
+    first = F.regexp_extract("_text", r"([0-9]{1,2})[-/. ]([0-9]{1,2})[-/. ]", 1).try_cast("int")
+    second = F.regexp_extract("_text", r"([0-9]{1,2})[-/. ]([0-9]{1,2})[-/. ]", 2).try_cast("int")
+    open_order = F.col("form").isin("year last", "short year") & read[True].isNotNull()
+    votes = texts.withColumn("form", form_of("_text"))
+    total = lambda condition, name: F.coalesce(F.sum(F.when(condition, F.col("_n"))), F.lit(0)).alias(name)
+    return votes.groupBy(*by, "form").agg(
+        total(F.lit(True), "n"), total(read[True].isNotNull(), "n_read"),
+        total(open_order & (first > 12), "day_only"), total(open_order & (second > 12), "month_only"),
+    )
+
+
+def voted_forms(df: DataFrame, date: str = "date") -> tuple[tuple[str, ...], bool | None]:
+    """The forms that the dates of a table have, the most frequent first, and whether the day comes first.
+
+    The order is None where no text shows it, or some texts show either. The forms are what
+    :func:`parse_dates` and :func:`standardise` take to read a table with a pattern of its own.
+    """
+    votes = [v for v in date_votes(df, date).collect() if v.form is not None]
+    forms = tuple(v.form for v in sorted(votes, key=lambda v: (-v.n, list(FORMS).index(v.form))))
+    day, month = sum(v.day_only for v in votes), sum(v.month_only for v in votes)
+    return forms, None if bool(day) == bool(month) else day > 0
 
 
 def clean_numbers(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -68,9 +109,9 @@ def date_losses(df: DataFrame, date: str = "date", dayfirst: bool = True) -> Dat
     )
 
 
-def clean_fact(df: DataFrame, fact: str) -> DataFrame:
+def clean_fact(df: DataFrame, fact: str, observation: Observation | None = None, forms: Sequence[str] | None = None) -> DataFrame:
     """Dates and measures of one raw fact cleaned; the order of rows is left to the sink."""
-    return clean_numbers(parse_dates(df), MEASURES[fact])
+    return clean_numbers(parse_dates(df, observation=observation, forms=forms), MEASURES[fact])
 
 
 def fill_numbers(df: DataFrame, fill: float = 0) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tallyworks.functions.columns import place_label, safe_divide
 from tallyworks.functions.quantiles import exact_quantiles
 from tallyworks.operators.panel import numeric_columns
-from tallyworks.operators.stats import long_form
+from tallyworks.operators.stats import co_moments, long_form
 
 INDICATORS = [
     "total_enrolment",
@@ -105,18 +105,17 @@ def update_split(df: DataFrame) -> DataFrame:
 
 
 def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(metric_a, metric_b, correlation) for every ordered pair, from one aggregation."""
-    columns = numeric_columns(df) if columns is None else list(columns)
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    names = [f"_c{i}" for i in range(len(pairs))]
-    one = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(n) for n, (a, b) in zip(names, pairs)])
-
-    def entry(a: str, b: str, n: str) -> Column:
-        return F.struct(F.lit(a).alias("metric_a"), F.lit(b).alias("metric_b"), F.nanvl(F.col(n), F.lit(None)).alias("correlation"))
+    """(metric_a, metric_b, correlation) for every ordered pair, over the rows that have both; see ``co_moments``.
 
-    entries = [entry(a, b, n) for n, (a, b) in zip(names, pairs)]
-    entries += [entry(b, a, n) for n, (a, b) in zip(names, pairs) if a != b]
-    return one.select(F.inline(F.array(*entries)))
+    Null without two such rows, or where one of the columns does not vary.
+    """
+    columns = numeric_columns(df) if columns is None else list(columns)
+    pairs = [(min(i, j), max(i, j), a, b) for i, a in enumerate(columns) for j, b in enumerate(columns)]
+    named = df.sparkSession.createDataFrame(pairs, "i int, j int, metric_a string, metric_b string")
+    spread = F.sqrt("square_i") * F.sqrt("square_j")
+    value = F.when((F.col("n") > 1) & (spread > 0), F.try_divide("product", spread))
+    joined = named.join(co_moments(df, columns), ["i", "j"], "left")
+    return joined.select("metric_a", "metric_b", F.nanvl(value, F.lit(None)).alias("correlation"))
 
 
 def histogram(df: DataFrame, columns: Sequence[str], bins: int = 50) -> DataFrame:

@@ -18,11 +18,11 @@ NO_SEASON = (0, 0, 0, 0)
 SEASONAL_ORDER = (1, 1, 1, 12)
 
 _FIT = (
-    "failed boolean, predicted array<double>, forecast array<double>, lower array<double>, upper array<double>, "
+    "failed boolean, predicted array<double>, fitted array<double>, forecast array<double>, lower array<double>, upper array<double>, "
     "mae double, rmse double, smape double, r2 double, n_test int"
 )
 _FAILED = {
-    "failed": True, "predicted": None, "forecast": None, "lower": None, "upper": None,
+    "failed": True, "predicted": None, "fitted": None, "forecast": None, "lower": None, "upper": None,
     "mae": None, "rmse": None, "smape": None, "r2": None, "n_test": None,
 }
 
@@ -40,12 +40,20 @@ def _metrics(actual: np.ndarray, predicted: np.ndarray) -> dict[str, float]:
     }
 
 
-def _fitted(y: np.ndarray, order, seasonal) -> arima.Arima | None:
-    """A fit, or None where the series is too short or its equations have no solution."""
+def _fits(ys: Sequence[np.ndarray], orders: Sequence, seasonal, skips: Sequence[int] | None = None) -> list[arima.Arima | None]:
+    """A fit of each series, all at once; None where one is too short or its equations have no solution."""
+    seasonals = [tuple(seasonal)] * len(ys)
     try:
-        return arima.fit(y, order, seasonal)
+        return arima.fit_many(ys, orders, seasonals, skips)
     except np.linalg.LinAlgError:
-        return None
+        # One of them has none; found by fitting each alone.
+        alone = []
+        for i, y in enumerate(ys):
+            try:
+                alone += arima.fit_many([y], [orders[i]], seasonals[:1], None if skips is None else [skips[i]])
+            except np.linalg.LinAlgError:
+                alone.append(None)
+        return alone
 
 
 def _line_metrics(train: np.ndarray, test: np.ndarray) -> dict:
@@ -66,10 +74,11 @@ def fit_arima(
     clip_test: bool = False,
     order_column: str | None = None,
 ) -> DataFrame:
-    """One row per series: hold-out metrics, forecast with 95 % bounds (not below 0), ``failed``.
+    """One row per series: hold-out metrics, fitted values, forecast with 95 % bounds (not below 0), ``failed``.
 
     The model is fitted without the last ``n_test`` points, judged on them, then fitted on
-    all. ``order_column`` takes (p, d, q) from a column of the series in place of ``order``. A failed
+    all. ``fitted`` has what the latter expects of each point given those before, null for the points that
+    differencing takes. ``order_column`` takes (p, d, q) from a column of the series in place of ``order``. A failed
     series has the metrics of its straight line, which also forecasts it (:func:`arima_forecast`).
     """
     arrays = as_arrays(series, [*keys, order_column] if order_column else keys)
@@ -78,11 +87,13 @@ def fit_arima(
     @fit_udf(_FIT)
     def fit(values: pd.Series, orders: pd.Series) -> pd.DataFrame:
         rows = []
-        for y, o in zip(values, orders):
-            y, o = np.asarray(y, dtype=float), tuple(int(v) for v in o)
-            split = len(y) - n_test if len(y) > n_test else int(len(y) * 0.8)
-            train, test = y[:split], y[split:]
-            judged, final = _fitted(train, o, seasonal), _fitted(y, o, seasonal)
+        ys = [np.asarray(y, dtype=float) for y in values]
+        chosen = [tuple(int(v) for v in o) for o in orders]
+        splits = [len(y) - n_test if len(y) > n_test else int(len(y) * 0.8) for y in ys]
+        trains = [y[:split] for y, split in zip(ys, splits)]
+        both = _fits([*trains, *ys], [*chosen, *chosen], seasonal)
+        for y, train, split, judged, final in zip(ys, trains, splits, both, both[len(ys) :]):
+            test = y[split:]
             if judged is None or final is None or len(test) == 0:
                 rows.append(_FAILED | _line_metrics(train, test))
                 continue
@@ -94,6 +105,7 @@ def fit_arima(
                 {
                     "failed": False,
                     "predicted": predicted,
+                    "fitted": [None if v != v else v for v in arima.fitted_values(y, final).tolist()],
                     "forecast": np.maximum(point, 0.0),
                     "lower": np.maximum(point - arima.Z95 * spread, 0.0),
                     "upper": np.maximum(point + arima.Z95 * spread, 0.0),
@@ -119,17 +131,33 @@ def arima_forecast(fit: DataFrame, series: DataFrame, keys: Sequence[str], perio
     return done.unionByName(line)
 
 
+def likelihood(series: DataFrame, keys: Sequence[str], order, params: Sequence[float], seasonal=NO_SEASON) -> DataFrame:
+    """Exact log-likelihood, variance and AIC of every series under given parameters (autoregression, moving average, both of the
+    season, and the mean where nothing is differenced); null where a series is too short."""
+    if len(params) != arima.n_params(order, seasonal):
+        raise ValueError(f"{order} {seasonal} has {arima.n_params(order, seasonal)} parameters")
+
+    @fit_udf("sigma2 double, loglik double, aic double")
+    def judged(values: pd.Series) -> pd.DataFrame:
+        models = [arima.likelihood(np.asarray(y, dtype=float), order, seasonal, np.asarray(params)) for y in values]
+        return pd.DataFrame([(m.sigma2, m.loglik, m.aic) if m else (None,) * 3 for m in models], columns=["sigma2", "loglik", "aic"])
+
+    return as_arrays(series, keys).withColumn("_l", judged("values")).select(*keys, "n", "_l.*")
+
+
 def order_search(series: DataFrame, keys: Sequence[str], max_p: int = 3, max_d: int = 2, max_q: int = 3) -> DataFrame:
     """AIC of every order for every series; each (series, order) is a row of its own, so the grid runs in parallel.
 
-    AIC values of different ``d`` rest on samples of different length, and are compared as they are.
+    A difference costs a point. So that AIC values of different ``d`` can be compared, all of a series speak of the points after
+    the first ``max_d``, given those.
     """
     orders = [(p, d, q) for p in range(max_p + 1) for d in range(max_d + 1) for q in range(max_q + 1)]
     grid = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("pdq", o)]) for o in orders])
 
     @fit_udf("double")
     def aic(values: pd.Series, p: pd.Series, d: pd.Series, q: pd.Series) -> pd.Series:
-        fits = (_fitted(np.asarray(y, dtype=float), o, NO_SEASON) for y, *o in zip(values, p, d, q))
+        orders = [tuple(int(v) for v in o) for o in zip(p, d, q)]
+        fits = _fits([np.asarray(y, dtype=float) for y in values], orders, NO_SEASON, [max_d - o[1] for o in orders])
         return pd.Series([f.aic if f is not None else None for f in fits], dtype="float64")
 
     tried = spread_fits(as_arrays(series, keys).select(*keys, "values", F.inline(grid)), [*keys, "p", "d", "q"])
@@ -174,8 +202,8 @@ def _adf_p(tau: float) -> float:
     return 0.5 * (1 + math.erf(sum(c * tau**i for i, c in enumerate(terms)) / math.sqrt(2)))
 
 
-def _adf(y: np.ndarray) -> tuple[float, int, int] | None:
-    """Statistic, lags used and observations; the lags with the least AIC on a common sample."""
+def _adf(y: np.ndarray, lags: int | None = None) -> tuple[float, int, int] | None:
+    """Statistic, lags used and observations; without ``lags`` those with the least AIC on a common sample."""
     n = len(y)
     change = np.diff(y)
     most = max(min(int(math.ceil(12 * (n / 100) ** 0.25)), n // 2 - 2), 0)
@@ -191,7 +219,7 @@ def _adf(y: np.ndarray) -> tuple[float, int, int] | None:
         x, _, sse, _ = regress(lags, most)
         return len(x) * math.log(max(sse, 1e-300) / len(x)) + 2 * x.shape[1]
 
-    lags = min(range(most + 1), key=aic)
+    lags = min(range(most + 1), key=aic) if lags is None else min(lags, most)
     x, beta, sse, rank = regress(lags, lags)
     free = len(x) - x.shape[1]
     if rank < x.shape[1] or free <= 0 or sse <= 0:
@@ -200,23 +228,26 @@ def _adf(y: np.ndarray) -> tuple[float, int, int] | None:
     return float(beta[1] / spread), lags, len(x)
 
 
-def check_stationarity(series: DataFrame, keys: Sequence[str], significance: float = 0.05) -> DataFrame:
-    """Augmented Dickey-Fuller test with constant: statistic, p value, 5 % critical value, verdict."""
+def check_stationarity(series: DataFrame, keys: Sequence[str], significance: float = 0.05, lags: int | None = None) -> DataFrame:
+    """Augmented Dickey-Fuller test with constant: statistic, p value, 5 % critical value, verdict.
+
+    ``lags`` fixes the lags of the change; without it they are chosen for each series.
+    """
 
     @fit_udf("adf_statistic double, p_value double, critical_5 double, lags int, message string")
     def test(values: pd.Series) -> pd.DataFrame:
         rows = []
         for y in values:
             y = np.array([v for v in y if v is not None and v == v], dtype=float)
-            found = _adf(y) if len(y) >= 10 else None
+            found = _adf(y, lags) if len(y) >= 10 else None
             if found is None:
                 short = "Insufficient data for ADF test" if len(y) < 10 else "No variation"
                 rows.append((None, None, None, None, short))
                 continue
-            tau, lags, used = found
+            tau, chosen, used = found
             p = _adf_p(tau)
             critical = sum(c / used**i for i, c in enumerate(ADF_CRITICAL["5%"]))
-            rows.append((tau, p, critical, lags, "Stationary" if p < significance else "Non-stationary"))
+            rows.append((tau, p, critical, chosen, "Stationary" if p < significance else "Non-stationary"))
         return pd.DataFrame(rows, columns=["adf_statistic", "p_value", "critical_5", "lags", "message"])
 
     tested = spread_fits(as_arrays(series, keys), keys).withColumn("_t", test("values"))

@@ -125,7 +125,7 @@ def trend_forecast(fits: DataFrame, evaluation: DataFrame, keys: Sequence[str],
     step, n = F.col("step"), F.col("n")
     use_holt = (F.col("model") == HOLT) & F.col("holt").isNotNull()
     raw = F.when(use_holt, holt_point(F.col("holt"), step)).otherwise(F.col("intercept") + F.col("slope") * (n + step - 1))
-    sigma = F.when(use_holt, residual_spread(F.col("holt"), n - 1)).otherwise(F.col("sigma"))
+    sigma = F.when(use_holt, residual_spread(F.col("holt"), n)).otherwise(F.col("sigma"))
     point, lower, upper = widening_band(raw, sigma, step)
     return ahead.select(
         *keys, "model", "step", "date", point.alias("forecast"), lower.alias("lower_ci"), upper.alias("upper_ci")

@@ -54,15 +54,18 @@ def _frame(rows: list[tuple | None], schema: str) -> pd.DataFrame:
     return pd.DataFrame([r or (None,) * len(names) for r in rows], columns=names)
 
 
-def fit_holt(df: DataFrame, values: str = "values", out: str = "holt") -> DataFrame:
-    """Add the struct ``out`` to ``as_arrays`` rows: parameters, final state, sums of errors; needs two points."""
+def fit_holt(df: DataFrame, values: str = "values", out: str = "holt", weights: Sequence[float] | None = None) -> DataFrame:
+    """Add the struct ``out`` to ``as_arrays`` rows: parameters, final state, sums of errors; needs two points.
+
+    Weights and starting states are those of least squared error together. Given ``weights`` (alpha, beta, phi) start from
+    the first value and the first difference.
+    """
 
     def fit_one(y: np.ndarray) -> tuple | None:
         if len(y) < 2:
             return None
-        best = smoothing.search(lambda p: smoothing.holt(y, p)[2], smoothing.HOLT_GRID, smoothing.HOLT_REACH)
-        level, trend, errors = smoothing.holt(y, best[None, :])
-        return (*best, level[0], trend[0], *_sums(errors))
+        best, states, errors = smoothing.fit_holt(y, weights)
+        return (*best, *states, *_sums(errors))
 
     @fit_udf(_HOLT)
     def fit(series: pd.Series) -> pd.DataFrame:
@@ -87,22 +90,23 @@ def residual_spread(state: Column, count: Column) -> Column:
 def forecast_holt(fit: DataFrame, keys: Sequence[str], periods: int = 6, state: str = "holt") -> DataFrame:
     """Never below 0, with a band growing with the root of the step."""
     ahead = explode_future(fit.where(F.col(state).isNotNull()), "last_date", periods)
-    sigma = residual_spread(F.col(state), F.col("n") - 1)
+    sigma = residual_spread(F.col(state), F.col("n"))
     point, lower, upper = widening_band(holt_point(F.col(state), F.col("step")), sigma, F.col("step"))
     return ahead.select(*keys, "step", "date", point.alias("forecast"), lower.alias("lower_ci"), upper.alias("upper_ci"))
 
 
-def fit_winters(df: DataFrame, period: int = 12, values: str = "values", out: str = "winters") -> DataFrame:
-    """Additive trend and season on ``as_arrays`` rows; needs two full periods, else null."""
+def fit_winters(df: DataFrame, period: int = 12, values: str = "values", out: str = "winters", weights: Sequence[float] | None = None) -> DataFrame:
+    """Additive trend and season on ``as_arrays`` rows; needs two full periods, else null.
+
+    Weights and starting states are those of least squared error together. Given ``weights`` (alpha, beta, gamma) start from
+    the first period and the mean step to the second.
+    """
 
     def fit_one(y: np.ndarray) -> tuple | None:
         if len(y) < 2 * period:
             return None
-        best = smoothing.search(
-            lambda p: smoothing.winters(y, p, period)[3], smoothing.WINTERS_GRID, smoothing.WINTERS_REACH
-        )
-        level, trend, season, errors = smoothing.winters(y, best[None, :], period)
-        return (*best, level[0], trend[0], season[:, 0], *_sums(errors))
+        best, states, errors = smoothing.fit_winters(y, period, weights)
+        return (*best, *states[:2], states[2:], *_sums(errors))
 
     @fit_udf(_WINTERS)
     def fit(series: pd.Series) -> pd.DataFrame:

@@ -1,4 +1,4 @@
-"""Additive model of trend, trend changes and yearly season, fitted by penalised regression per series."""
+"""Additive or multiplicative model of trend, sparse trend changes and yearly season, one row per series."""
 
 from __future__ import annotations
 
@@ -8,69 +8,44 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from tallyworks.functions import structural
 from tallyworks.functions.columns import future_dates
 from tallyworks.operators.forecast.smoothing import as_arrays, fit_udf, spread_fits
 
-CHANGEPOINTS = 25
-CHANGEPOINT_RANGE = 0.8
-HARMONICS = 10
-PERIOD = 12.0
-Z80 = 1.2816
-
-_FIT = "forecast array<double>, lower array<double>, upper array<double>, mae double, rmse double, r2 double"
-
-
-def _design(t: np.ndarray, length: int, first_month: int, knots: np.ndarray, harmonics: int) -> np.ndarray:
-    """Intercept, slope, one hinge per possible change of trend, yearly waves."""
-    scaled = t / max(length - 1, 1)
-    columns = [np.ones(len(t)), scaled, *[np.maximum(scaled - k, 0.0) for k in knots]]
-    phase = 2 * np.pi * (t + first_month) / PERIOD
-    for h in range(1, harmonics + 1):
-        columns += [np.sin(h * phase), np.cos(h * phase)]
-    return np.column_stack(columns)
+MODES = ("additive", "multiplicative")
+_FIT = (
+    "forecast array<double>, lower array<double>, upper array<double>, fitted array<double>, trend_changes array<double>, "
+    "mae double, rmse double, r2 double"
+)
 
 
 def fit_structural(
-    series: DataFrame, keys: Sequence[str], periods: int = 6, changepoint_scale: float = 0.05, season_scale: float = 10.0
+    series: DataFrame, keys: Sequence[str], periods: int = 6, changepoint_scale: float = 0.05, season_scale: float = 10.0, mode: str = "additive"
 ) -> DataFrame:
-    """One row per series: in-sample metrics and a forecast with 80 % bounds. Monthly series.
+    """One row per series: in-sample metrics, fitted values and a forecast with 80 % bounds. Monthly series.
 
-    Changes of trend are held back by ``changepoint_scale``, waves by ``season_scale``. The
-    bounds widen with the changes of trend seen so far.
+    Changes of trend are held back by ``changepoint_scale``, which leaves most of them at 0 (``trend_changes`` has them, per
+    length of the series), waves by ``season_scale``. With ``mode`` "multiplicative" the season is a share of
+    the trend. The bounds are quantiles of simulated futures, in which the trend changes on as it did.
     """
+    if mode not in MODES:
+        raise ValueError(f"Unknown mode: {mode}")
 
     @fit_udf(_FIT)
     def fit(values: pd.Series, last_month: pd.Series) -> pd.DataFrame:
         rows = []
         for y, month in zip(values, last_month):
             y = np.asarray(y, dtype=float)
-            n = len(y)
-            scale = float(np.abs(y).max()) or 1.0
-            knots = np.linspace(0, CHANGEPOINT_RANGE, min(CHANGEPOINTS, max(n - 2, 0)) + 1)[1:]
-            harmonics = min(HARMONICS, int(PERIOD // 2) - 1) if n >= PERIOD else 0
-            first_month = int(month) - n
-            past = _design(np.arange(n), n, first_month, knots, harmonics)
-            prior = np.concatenate([[10.0, 10.0], np.full(len(knots), changepoint_scale), np.full(2 * harmonics, season_scale)])
-            noise = 0.1
-            for _ in range(5):
-                gram = past.T @ past + np.diag((noise / prior) ** 2)
-                beta = np.linalg.solve(gram, past.T @ (y / scale))
-                noise = max(float(np.std(y / scale - past @ beta)), 1e-6)
-            fitted = past @ beta * scale
-            ahead = np.arange(n, n + periods)
-            point = _design(ahead, n, first_month, knots, harmonics) @ beta * scale
-            bends = np.abs(beta[2 : 2 + len(knots)]).mean() if len(knots) else 0.0
-            per_step = CHANGEPOINT_RANGE * max(n - 1, 1) / max(len(knots), 1)
-            h = np.arange(1, periods + 1)
-            drift = bends * np.sqrt(2 * np.cumsum(h**2) / per_step) / max(n - 1, 1)
-            spread = Z80 * scale * np.sqrt(noise**2 + drift**2)
+            model = structural.fit(y, int(month), changepoint_scale, season_scale, mode == "multiplicative")
+            fitted = model.predict(np.arange(len(y)))
+            lower, upper = model.interval(periods)
             error = y - fitted
             total = float(((y - y.mean()) ** 2).sum())
             rows.append(
-                (point, point - spread, point + spread, float(np.abs(error).mean()), float(np.sqrt((error**2).mean())),
-                 1 - float((error**2).sum()) / total if total > 0 else None)
-            )
-        return pd.DataFrame(rows, columns=["forecast", "lower", "upper", "mae", "rmse", "r2"])
+                (model.predict(np.arange(len(y), len(y) + periods)), lower, upper, fitted, model.changes * model.scale,
+                 float(np.abs(error).mean()), float(np.sqrt((error**2).mean())), 1 - float((error**2).sum()) / total if total > 0 else None)
+            )
+        return pd.DataFrame(rows, columns=[part.split()[0] for part in _FIT.split(", ")])
 
     fitted = spread_fits(as_arrays(series, keys), keys).withColumn("_fit", fit("values", F.month("last_date")))
     return fitted.select(*keys, "n", "last_date", "_fit.*")

@@ -14,6 +14,7 @@ from tallyworks.functions.columns import (
     sum_skipping_nulls,
     sum_with_nulls,
 )
+from tallyworks.functions.lineage import materialise
 from tallyworks.schemas import MEASURES
 
 # Upper edges of the workload classes.
@@ -104,31 +105,28 @@ def previous_value(
     return df.withColumns({prefix + n: F.lag(n).over(w) for n in names})
 
 
-def previous_value_by_month(
-    df: DataFrame,
-    names: Sequence[str],
-    keys: Sequence[str],
-    order: Sequence[str],
-    date: str = "date",
-    prefix: str = "prev_",
+def previous_value_by_range(
+    df: DataFrame, names: Sequence[str], keys: Sequence[str], order: Sequence[str], prefix: str = "prev_"
 ) -> DataFrame:
-    """As :func:`previous_value`, for rows finer than a panel's, where one key may hold much of the data.
+    """As :func:`previous_value`, for rows finer than a panel's, where one key or no key may hold all the data.
 
-    Each key is split by month, so no task sorts a whole key. The first row of a month takes
-    the last row of the key's month before, found among the month ends only.
+    Rows are dealt into even ranges of key and order and written; a range may end in the midst of a key. Within a range the
+    row before is found by a window of its own, and a range's first row takes the last row of the range before if
+    that has its key. Only those last rows, one a range, meet in one task.
     """
-    in_month = [*keys, "_month"]
-    rows = df.withColumn("_month", F.trunc(date, "month"))
-    w = Window.partitionBy(*in_month).orderBy(*order)
-    lagged = rows.withColumns(
-        {"_rn": F.row_number().over(w), **{prefix + n: F.lag(n).over(w) for n in names}}
-    )
-    ends = rows.groupBy(*in_month).agg(F.max_by(F.struct(*names), F.struct(*order)).alias("_end"))
-    carried = ends.select(
-        *in_month, F.lag("_end").over(Window.partitionBy(*keys).orderBy("_month")).alias("_carry")
-    )
-    filled = {prefix + n: F.when(F.col("_rn") == 1, F.col("_carry")[n]).otherwise(F.col(prefix + n)) for n in names}
-    return lagged.join(carried, in_month, "left").withColumns(filled).drop("_rn", "_month", "_carry")
+    spark = df.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Written, as drawing the ranges anew could draw them otherwise.
+    rows = materialise(df.repartitionByRange(ranges, *keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    w = Window.partitionBy("_range", *keys).orderBy(*order)
+    lagged = rows.withColumns({"_rn": F.row_number().over(w), **{prefix + n: F.lag(n).over(w) for n in names}})
+    key = F.struct(F.lit(0).alias("_any"), *keys)
+    last = F.struct(*names, key.alias("_key"))
+    ends = rows.groupBy("_range").agg(F.max_by(last, F.struct(*keys, *order)).alias("_end"))
+    carried = ends.select("_range", F.lag("_end").over(Window.orderBy("_range")).alias("_carry"))
+    takes = (F.col("_rn") == 1) & key.eqNullSafe(F.col("_carry._key"))
+    filled = {prefix + n: F.when(takes, F.col("_carry")[n]).otherwise(F.col(prefix + n)) for n in names}
+    return lagged.join(carried, "_range", "left").withColumns(filled).drop("_rn", "_range", "_carry")
 
 
 def growth_rates(
@@ -136,16 +134,16 @@ def growth_rates(
     keys: Sequence[str] = ("state", "district"),
     order: Sequence[str] = ("date",),
     metrics: Sequence[str] = GROWTH_METRICS,
-    split_by_month: bool = False,
+    by_range: bool = False,
 ) -> DataFrame:
     """Row-over-row growth in percent within a key, ``<metric>_growth``.
 
     ``order`` must be a total order within the key. An empty ``keys`` compares every row with
-    the one before it, whatever its place. ``split_by_month`` is for rows finer than a
-    panel's, and always used without keys, so that no task takes all rows.
+    the one before it, whatever its place. ``by_range`` is for rows finer than a
+    panel's, and always used without keys, so that no task takes a whole key.
     """
     metrics = [m for m in metrics if m in df.columns]
-    step = previous_value_by_month if split_by_month or not keys else previous_value
+    step = previous_value_by_range if by_range or not keys else previous_value
     lagged = step(df, metrics, keys, order)
     out = lagged.withColumns({f"{m}_growth": growth_percent(m, f"prev_{m}") for m in metrics})
     return out.drop(*[f"prev_{m}" for m in metrics])
@@ -163,11 +161,11 @@ def coverage(df: DataFrame, population: DataFrame | None = None) -> DataFrame:
     )
 
 
-def base_indicators(df: DataFrame, growth: bool = True, order: Sequence[str] = ("date",), split_by_month: bool = False) -> DataFrame:
+def base_indicators(df: DataFrame, growth: bool = True, order: Sequence[str] = ("date",), by_range: bool = False) -> DataFrame:
     """Totals, pressure index, transition rate, demographic/biometric ratio and growth per district."""
     df = demo_bio_ratio(age_transition_rate(update_pressure_index(total_updates(total_enrolment(df)))))
     if growth and "date" in df.columns:
-        df = growth_rates(df, order=order, split_by_month=split_by_month)
+        df = growth_rates(df, order=order, by_range=by_range)
     return df
 
 

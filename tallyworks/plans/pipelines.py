@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import uuid
+from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from tallyworks.functions.lineage import materialise
 from tallyworks.operators import cleaning, indicators, panel
@@ -14,25 +15,50 @@ from tallyworks.sources import files
 LEVELS = {"national": [], "state": ["state"], "district": ["state", "district"]}
 
 
-def clean_base(raw: DataFrame, fact: str) -> DataFrame:
+def clean_base(raw: DataFrame, fact: str, observation: Observation | None = None, forms: Sequence[str] | None = None) -> DataFrame:
     """Base line: labels in title case, numbers coerced, absent as 0, negative kept.
 
     Rows without a place go before the labels are conformed, while the test is cheap. A row
     without a postal code is kept, under code 0.
     """
     placed = cleaning.normalise_names(raw).where("state IS NOT NULL AND district IS NOT NULL")
-    clean = cleaning.fill_numbers(cleaning.standardise(placed)).where(F.col("date").isNotNull())
+    clean = cleaning.dated(cleaning.fill_numbers(cleaning.standardise(placed, forms=forms)), observation=observation)
     return cleaning.fact_columns(clean.na.fill("0", ["pincode"]), fact)
 
 
-def preprocess_all(raw: Mapping[str, DataFrame], keys: Sequence[str] = tuple(FACT_KEYS)) -> DataFrame:
-    """Base line from raw facts to the unified table, by day and place."""
-    facts = panel.stack_facts({f: clean_base(df, f) for f, df in raw.items()})
+# What a pipeline has dropped for want of a date: by fact an ``Observation`` of ``n_rows`` and
+# ``invalid_dates``, filled by the first action on the result.
+Losses = dict[str, Observation]
+
+
+def _watched(facts: Iterable[str], losses: Losses | None) -> Losses:
+    """An observation for each fact, also without anyone to ask for it: query listeners see them all, by name."""
+    watched = {} if losses is None else losses
+    watched.update({f: Observation(f"dates of {f} {uuid.uuid4().hex}") for f in facts})
+    return watched
+
+
+def _forms(raw: Mapping[str, DataFrame], vote: bool) -> dict[str, Sequence[str] | None]:
+    """The forms of dates to read in each fact: all, or those found by a vote, which scans the texts once more."""
+    if not vote:
+        return dict.fromkeys(raw)
+    found = {f: cleaning.voted_forms(cleaning.normalise_names(df))[0] for f, df in raw.items()}
+    return {f: forms or None for f, forms in found.items()}
+
+
+def preprocess_all(raw: Mapping[str, DataFrame], keys: Sequence[str] = tuple(FACT_KEYS), losses: Losses | None = None, vote: bool = False) -> DataFrame:
+    """Base line from raw facts to the unified table, by day and place.
+
+    Rows whose date cannot be read go; how many, ``losses`` is told. With ``vote`` each fact is read by a pattern of
+    the forms its own dates have.
+    """
+    watched, forms = _watched(raw, losses), _forms(raw, vote)
+    facts = panel.stack_facts({f: clean_base(df, f, watched[f], forms[f]) for f, df in raw.items()})
     return panel.unify(facts, keys, complete=True)
 
 
-def preprocess_folder(spark: SparkSession, data_dir: str) -> DataFrame:
-    return preprocess_all(files.load_datasets(spark, data_dir))
+def preprocess_folder(spark: SparkSession, data_dir: str, losses: Losses | None = None, vote: bool = False) -> DataFrame:
+    return preprocess_all(files.load_datasets(spark, data_dir), losses=losses, vote=vote)
 
 
 def monthly_panel(activity: DataFrame, level: str = "state") -> DataFrame:
@@ -52,15 +78,19 @@ def monthly_panel(activity: DataFrame, level: str = "state") -> DataFrame:
     return panel.densify(rolled, keys)
 
 
-def clean_monthly(raw: Mapping[str, DataFrame]) -> DataFrame:
-    """Monthly line's cleaning: day-first dates, numbers never below 0, labels as they are; facts stacked."""
-    return panel.stack_facts({f: cleaning.fact_columns(cleaning.clean_fact(df, f), f) for f, df in raw.items()})
+def clean_monthly(raw: Mapping[str, DataFrame], losses: Losses | None = None, vote: bool = False) -> DataFrame:
+    """Monthly line's cleaning: day-first dates, numbers never below 0, labels as they are; facts stacked.
+
+    ``losses`` and ``vote`` as in :func:`preprocess_all`.
+    """
+    watched, forms = _watched(raw, losses), _forms(raw, vote)
+    return panel.stack_facts({f: cleaning.fact_columns(cleaning.clean_fact(df, f, watched[f], forms[f]), f) for f, df in raw.items()})
 
 
-def load_monthly(spark: SparkSession, data_path: str, level: str = "state") -> DataFrame:
+def load_monthly(spark: SparkSession, data_path: str, level: str = "state", losses: Losses | None = None, vote: bool = False) -> DataFrame:
     """Monthly panel from the CSV folders of the three facts."""
     raw = {f: files.load_fact(spark, data_path, f) for f in files.FACT_FOLDERS}
-    return monthly_panel(clean_monthly(raw), level)
+    return monthly_panel(clean_monthly(raw, losses, vote), level)
 
 
 def indicator_panel(activity: DataFrame, level: str = "state") -> DataFrame:

@@ -3,8 +3,10 @@ import datetime as dt
 from pyspark.sql import Observation, functions as F
 
 from conftest import by, day
-from tallyworks.functions import columns
+from tallyworks.functions import columns, dates
 from tallyworks.operators import cleaning
+from tallyworks.plans import pipelines
+from tallyworks.schemas import MEASURES
 
 
 def one(spark, value, expr, kind="string"):
@@ -26,7 +28,7 @@ def test_dates_day_first_in_three_forms(spark):
         "30-13-2022": None,
     }
     df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, d string")
-    got = by(df.select("i", columns.parse_date("d").alias("p")), "i")
+    got = by(df.select("i", dates.parse_date("d").alias("p")), "i")
     assert [got[i].p for i in range(len(cases))] == list(cases.values())
 
 
@@ -35,21 +37,73 @@ def test_date_forms_and_which_number_comes_first(spark):
     either = ["2023-02-05 00:00:00", "2023-02-05T10:30:00.5Z", "2023/2/5", "5-Feb-2023", "5 February 2023", "\t2023-02-05\n", "\u00a02023-02-05"]
     for text in either:
         for dayfirst in (True, False):
-            assert one(spark, text, lambda c: columns.parse_date(c, dayfirst)) == fifth
+            assert one(spark, text, lambda c: dates.parse_date(c, dayfirst)) == fifth
     for text in (" 05-02-2023", "5/2/2023", "05/02/2023 12:00", "5.2.2023"):
-        assert one(spark, text, lambda c: columns.parse_date(c)) == fifth
-        assert one(spark, text, lambda c: columns.parse_date(c, dayfirst=False)) == may
+        assert one(spark, text, lambda c: dates.parse_date(c)) == fifth
+        assert one(spark, text, lambda c: dates.parse_date(c, dayfirst=False)) == may
     # Where only the other order is a date, it is taken.
-    assert one(spark, "25/12/2023", lambda c: columns.parse_date(c, dayfirst=False)) == day("2023-12-25")
-    for text in ("2023-02-05 noon", "5-Foo-2023", "31/31/2023", "5-2-23"):
-        assert one(spark, text, lambda c: columns.parse_date(c)) is None
+    assert one(spark, "25/12/2023", lambda c: dates.parse_date(c, dayfirst=False)) == day("2023-12-25")
+    for text in ("2023-02-05 noon", "5-Foo-2023", "31/31/2023", "2023-02-05 25:00", "5 mayor 2023", "99999999", "2023-13", "\u00012023-02-05"):
+        assert one(spark, text, lambda c: dates.parse_date(c)) is None
+
+
+FIFTH = dt.date(2023, 1, 5)
+
+
+def test_every_form_in_either_order(spark):
+    texts = [
+        "Jan 5, 2023", "January 5 2023", "20230105", "05-Jan-23", "2023-01-05 10:00 AM", "Thu, 05 Jan 2023", "5th January 2023", "5 of January, 2023",
+        "2023 Jan 5", "Thursday 5 Jan 2023 17:45:01.123 UTC", "JAN. 5TH, 2023", "2023-01-05T10:00:00+05:30", "2023.1.5", "  jan 5 2023, 5pm ",
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "d string")
+    for dayfirst in (True, False):
+        assert {r.d: r.p for r in df.select("d", dates.parse_date("d", dayfirst).alias("p")).collect()} == dict.fromkeys(texts, FIFTH)
+    for text, day_first, month_first in [
+        ("5/1/23", FIFTH, day("2023-05-01")), ("1/2/2023 5:00 PM", day("2023-02-01"), day("2023-01-02")), ("05 01 2023", FIFTH, day("2023-05-01")),
+        ("5.1.68", day("2068-01-05"), day("2068-05-01")), ("5-1-69", day("1969-01-05"), day("1969-05-01")),
+    ]:
+        assert one(spark, text, lambda c: dates.parse_date(c)) == day_first
+        assert one(spark, text, lambda c: dates.parse_date(c, dayfirst=False)) == month_first
+    for text in ("2023-01", "Jan 2023", "january, 2023", "2023/1"):
+        assert one(spark, text, lambda c: dates.parse_date(c)) == day("2023-01-01")
+
+
+def test_forms_that_are_asked_for_only(spark):
+    texts = ["Jan 5, 2023", "5 Jan 2023", "2023-01", "2023-01-05"]
+    df = spark.createDataFrame([(t,) for t in texts], "d string")
+    got = {r.d: r.p for r in df.select("d", dates.parse_date("d", forms=["day and name"]).alias("p")).collect()}
+    # The usual widths need no pattern and are always read.
+    assert got == {"Jan 5, 2023": None, "5 Jan 2023": FIFTH, "2023-01": None, "2023-01-05": FIFTH}
+
+
+def test_votes_and_the_forms_they_choose(spark):
+    rows = [("a", "25/12/2023")] * 3 + [("a", "1/2/2023"), ("a", "Jan 5, 2023"), ("b", "x"), ("b", None), ("b", "31/31/2023"), ("b", "12/25/2023")]
+    df = spark.createDataFrame(rows, "file string, date string")
+    got = {(r.file, r.form): (r.n, r.n_read, r.day_only, r.month_only) for r in cleaning.date_votes(df, by=["file"]).collect()}
+    assert got == {("a", "year last"): (4, 4, 3, 0), ("a", "name and day"): (1, 1, 0, 0), ("b", None): (2, 0, 0, 0), ("b", "year last"): (2, 1, 0, 1)}
+    assert cleaning.voted_forms(df.where("file = 'a'")) == (("year last", "name and day"), True)
+    assert cleaning.voted_forms(df) == (("year last", "name and day"), None)
+    assert cleaning.voted_forms(df.limit(0)) == ((), None)
+    forms, order = cleaning.voted_forms(df.where("file = 'a'"))
+    assert cleaning.parse_dates(df.where("file = 'a'"), dayfirst=order, forms=forms).count() == 5
+
+
+def test_pipelines_count_what_they_drop(spark):
+    keys = "date string, state string, district string, pincode string"
+    rows = [("Jan 5, 2023", "north", "a", "1", "4", "5"), ("x", "north", "a", "1", "4", "5"), (None, "north", "a", "1", "4", "5")]
+    raw = {f: spark.createDataFrame([r[: 4 + len(MEASURES[f])] + ("1",) * (len(MEASURES[f]) - 2) for r in rows], keys + "".join(f", {m} string" for m in MEASURES[f])) for f in MEASURES}
+    for pipeline in (pipelines.preprocess_all, pipelines.clean_monthly):
+        for vote in (False, True):
+            losses = {}
+            assert pipeline(raw, losses=losses, vote=vote).where("date = '2023-01-05'").count() >= 1
+            assert {f: (o.get["n_rows"], o.get["invalid_dates"]) for f, o in losses.items()} == dict.fromkeys(raw, (3, 2))
 
 
 def test_dropped_dates_are_counted(spark):
     df = spark.createDataFrame([("31-01-2023",), ("x",), (None,)], "date string")
     seen = Observation()
     assert cleaning.parse_dates(df, observation=seen).count() == 1
-    assert seen.get["invalid_dates"] == 2
+    assert seen.get == {"n_rows": 3, "invalid_dates": 2}
 
 
 def test_numbers(spark):

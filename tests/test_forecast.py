@@ -1,8 +1,10 @@
+import itertools
+
 import numpy as np
 import pytest
 
 from conftest import by, day, make_series, months
-from tallyworks.functions import arima as arima_fit
+from tallyworks.functions import arima as arima_fit, structural as parts
 from tallyworks.functions import smoothing as fits
 from tallyworks.operators.explore import decompose
 from tallyworks.operators.forecast import arima, ensemble, evaluate, linear, scenario, select, smoothing, structural
@@ -65,17 +67,97 @@ def test_scenarios(spark):
 
 def test_holt_on_an_exact_line_has_small_errors():
     y = np.array([5.0 + 3 * i for i in range(30)])
-    best = fits.search(lambda p: fits.holt(y, p)[2], fits.HOLT_GRID, fits.HOLT_REACH)
-    level, trend, errors = fits.holt(y, best[None, :])
-    assert np.abs(errors).max() < 0.2 and level[0] == pytest.approx(y[-1], rel=1e-2)
+    _, (level, trend), errors = fits.fit_holt(y)
+    assert np.abs(errors).max() < 0.2 and level == pytest.approx(y[-1], rel=1e-2)
 
 
-def test_search_is_no_worse_than_its_grid():
+def test_starting_states_are_the_best_for_their_weights():
     y = seasonal(60)
-    coarse = np.array([(a, b, p) for a in fits.HOLT_GRID[0] for b in fits.HOLT_GRID[1] for p in fits.HOLT_GRID[2]])
-    best = fits.search(lambda p: fits.holt(y, p)[2], fits.HOLT_GRID, fits.HOLT_REACH)
-    sse = lambda p: (fits.holt(y, np.atleast_2d(p))[2] ** 2).sum(axis=0)
-    assert sse(best)[0] <= sse(coarse).min() + 1e-9
+    p = np.array([[0.3, 0.1, 0.9], [0.8, 0.0, 0.98]])
+    starts, cost = fits.best_starts(fits.holt, y, p, np.eye(2))
+    sse = lambda s: (fits.holt(y, p, s)[1] ** 2).sum(axis=0)
+    assert sse(starts) == pytest.approx(cost)
+    for step in ([1e-2, 0], [0, 1e-2], [-1e-2, 1e-2]):
+        assert (sse(starts + step) >= cost - 1e-9).all() and (sse(starts - np.array(step)) >= cost - 1e-9).all()
+    run = lambda y, p, s: fits.winters(y, p, s, 12)
+    basis = fits.winters_basis(12)
+    starts, cost = fits.best_starts(run, y, p[:, [0, 1, 1]], basis)
+    assert np.abs(starts[:, 2:].sum(1)).max() < 1e-6
+    for direction in basis.T:
+        assert ((run(y, p[:, [0, 1, 1]], starts + 0.05 * direction)[1] ** 2).sum(axis=0) >= cost - 1e-6).all()
+
+
+def grid_search(cost_of, grid, reach):
+    """A search over weights alone, from starting states of the data: the best of a grid and of finer ones around it."""
+    reach = np.array(reach)
+    points = np.array(list(itertools.product(*grid)))
+    steps = np.array(list(itertools.product((-1.0, 0.0, 1.0), repeat=3)))
+    for zoom in (1.0, 0.5, 0.25, 0.12, 0.06):
+        best = points[int(np.argmin(cost_of(points)))]
+        points = np.clip(best + steps * reach[:, 0] * zoom, reach[:, 1], reach[:, 2])
+    return cost_of(points).min()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_fitting_states_too_is_never_worse(seed):
+    y = seasonal(60, seed) + 5 * np.random.default_rng(seed).normal(size=60).cumsum()
+
+    def holt_cost(p):
+        starts = np.array([fits.holt_start(y, phi) for phi in p[:, 2]])
+        return (fits.holt(y, p, starts)[1] ** 2).sum(axis=0)
+
+    def winters_cost(p):
+        return (fits.winters(y, p, np.tile(fits.winters_start(y, 12), (len(p), 1)), 12)[1] ** 2).sum(axis=0)
+
+    assert (fits.fit_holt(y)[2] ** 2).sum() <= grid_search(holt_cost, fits.HOLT_GRID, fits.HOLT_REACH) + 1e-6
+    assert (fits.fit_winters(y, 12)[2] ** 2).sum() <= grid_search(winters_cost, fits.WINTERS_GRID, fits.WINTERS_REACH) + 1e-6
+
+
+def test_structural_fit_is_the_most_likely():
+    rng = np.random.default_rng(2)
+    x = np.linspace(0, 1, 48)
+    plain, sparse = np.column_stack([np.ones(48), x]), parts.hinges(x, np.linspace(0.1, 0.8, 8))
+    y = 0.3 + 0.2 * x + 0.8 * np.maximum(x - 0.4, 0) + 0.02 * rng.normal(size=48)
+    prior, laplace, noise = np.array([5.0, 5.0]), 0.05, 0.05
+
+    def cost(b, d):
+        return ((y - plain @ b - sparse @ d) ** 2).sum() / (2 * noise**2) + ((b / prior) ** 2).sum() / 2 + np.abs(d).sum() / laplace
+
+    b, d = parts.sparse_fit(y, plain, prior, sparse, laplace, noise)
+    assert 0 < (d == 0).sum() < 8
+    for _ in range(300):
+        size = 10.0 ** -rng.integers(1, 5)
+        assert cost(b + size * rng.normal(size=2), d + size * rng.normal(size=8) * (rng.random(8) < 0.5)) >= cost(b, d) - 1e-9
+    # Where a coefficient is 0 its slope is within the prior's, elsewhere it is the prior's.
+    slope = sparse.T @ (y - plain @ b - sparse @ d) / noise**2
+    assert np.abs(slope[d == 0]).max() <= 1 / laplace + 1e-4
+    assert slope[d != 0] == pytest.approx(np.sign(d[d != 0]) / laplace, abs=1e-3)
+
+
+def test_a_planted_change_of_trend_is_found():
+    t = np.arange(60)
+    model = parts.fit(100 + t + 6.0 * np.maximum(t - 30, 0) + np.random.default_rng(1).normal(size=60), 12)
+    where = model.knots[np.abs(model.changes) > 0.3 * np.abs(model.changes).max()] * 59
+    assert len(where) <= 3 and np.abs(where - 30).min() < 3
+    assert (model.changes == 0).sum() >= 15
+    low, high = model.interval(12)
+    assert (np.diff(high - low) > -5).all() and (high > low).all()
+    assert (model.interval(12)[0] == low).all()
+
+
+def test_multiplicative_season():
+    t = np.arange(72)
+    wave = 1 + 0.3 * np.sin(2 * np.pi * t / 12)
+    y = (100 + 5 * t) * wave
+    share, plain = (parts.fit(y[:60], 12, multiplicative=m) for m in (True, False))
+    ahead = np.arange(60, 72)
+    assert np.abs(share.predict(ahead) / y[60:] - 1).max() < 0.05
+    assert np.abs(share.predict(ahead) - y[60:]).max() < 0.5 * np.abs(plain.predict(ahead) - y[60:]).max()
+
+
+def test_unknown_mode(spark):
+    with pytest.raises(ValueError):
+        structural.fit_structural(make_series(spark, a=[1, 2]), K, mode="loud")
 
 
 def test_winters_follows_the_season(spark):
@@ -124,6 +206,103 @@ def test_arima_recovers_coefficients():
     assert np.all(np.diff(spread) >= -1e-12)
 
 
+def autocovariances(phi, theta, n, terms=4000):
+    """Of an ARMA process with noise of variance 1, from so many terms of its moving average."""
+    psi = np.zeros(terms)
+    for j in range(terms):
+        psi[j] = (theta[j] if j < len(theta) else 0.0) - sum(phi[i] * psi[j - i] for i in range(1, min(j, len(phi) - 1) + 1))
+    return np.array([psi[: terms - k] @ psi[k:] for k in range(n)])
+
+
+def dense_loglik(y, model):
+    """Density of all differences as one Gaussian vector."""
+    phi, theta, mean = model.polynomials()
+    w = np.convolve(y, arima_fit.difference_polynomial(model.order[1], model.seasonal[1], model.seasonal[3]), mode="valid") - mean
+    g = autocovariances(phi, theta, len(w)) * model.sigma2
+    cov = g[np.abs(np.subtract.outer(np.arange(len(w)), np.arange(len(w))))]
+    return -0.5 * (len(w) * np.log(2 * np.pi) + np.linalg.slogdet(cov)[1] + w @ np.linalg.solve(cov, w))
+
+
+def simulated(seed, n=70):
+    rng = np.random.default_rng(seed)
+    e, y = rng.normal(size=n), np.zeros(n)
+    for t in range(2, n):
+        y[t] = 0.5 * y[t - 1] - 0.2 * y[t - 2] + e[t] + 0.4 * e[t - 1]
+    return y + 3 * np.sin(np.arange(n) * np.pi / 6)
+
+
+ORDERS = [
+    ((1, 0, 0), (0, 0, 0, 0)), ((0, 0, 1), (0, 0, 0, 0)), ((2, 0, 1), (0, 0, 0, 0)), ((1, 1, 1), (0, 0, 0, 0)), ((0, 1, 0), (0, 0, 0, 0)),
+    ((3, 2, 2), (0, 0, 0, 0)), ((1, 0, 1), (1, 0, 0, 12)), ((0, 1, 1), (0, 1, 1, 12)), ((1, 1, 1), (1, 1, 1, 12)), ((1, 0, 0), (0, 0, 1, 4)),
+]
+
+
+def test_likelihood_is_that_of_one_gaussian_vector():
+    ys = [np.cumsum(simulated(i)) if o[1] else simulated(i) for i, (o, _) in enumerate(ORDERS)]
+    # Fitted together, with rows of other lengths and orders, as each alone.
+    together = arima_fit.fit_many(ys, [o for o, _ in ORDERS], [s for _, s in ORDERS])
+    for y, (order, seasonal), model in zip(ys, ORDERS, together):
+        assert model.loglik == pytest.approx(dense_loglik(y, model), abs=1e-4), (order, seasonal)
+        assert arima_fit.fit(y, order, seasonal).loglik == pytest.approx(model.loglik, abs=1e-3)
+        assert model.aic == pytest.approx(2 * (arima_fit.n_params(order, seasonal) + 1) - 2 * model.loglik)
+
+
+def test_no_parameters_nearby_are_likelier():
+    from dataclasses import replace
+
+    for i, (order, seasonal) in enumerate(ORDERS):
+        y = simulated(i + 20)
+        model = arima_fit.fit(y, order, seasonal)
+        for j in range(len(model.params)):
+            for step in (-0.02, 0.02):
+                params = model.params.copy()
+                params[j] += step
+                other = replace(model, params=params)
+                phi, theta, _ = other.polynomials()
+                if max(np.abs(np.roots(phi)).max(initial=0), np.abs(np.roots(theta)).max(initial=0)) < 0.995:
+                    assert dense_loglik(y, other) <= model.loglik + 1e-3, (order, seasonal, j)
+
+
+def test_likelihood_in_closed_form():
+    y = simulated(3)
+    walk = arima_fit.fit(y, (0, 1, 0))
+    s2 = np.mean(np.diff(y) ** 2)
+    assert walk.sigma2 == pytest.approx(s2) and walk.loglik == pytest.approx(-0.5 * 69 * (np.log(2 * np.pi * s2) + 1))
+    ar = arima_fit.fit(y, (1, 0, 0))
+    phi, mean = ar.params
+    z = y - mean
+    squares = z[0] ** 2 * (1 - phi**2) + ((z[1:] - phi * z[:-1]) ** 2).sum()
+    want = -0.5 * (70 * np.log(2 * np.pi * ar.sigma2) + squares / ar.sigma2 - np.log(1 - phi**2))
+    assert ar.loglik == pytest.approx(want)
+
+
+def test_aic_speaks_of_the_same_points():
+    y = np.cumsum(simulated(5))
+    with_skip = arima_fit.fit_many([y, y, y], [(0, 0, 0), (0, 1, 0), (0, 2, 0)], [(0, 0, 0, 0)] * 3, [2, 1, 0])
+    assert [m.n_used for m in with_skip] == [68, 68, 68]
+    left = arima_fit.fit_many([y], [(1, 1, 0)], [(0, 0, 0, 0)], [4])[0]
+    phi, _, _ = left.polynomials()
+    w = np.diff(y)
+    errors = w[4:] + phi[1] * w[3:-1]
+    assert left.loglik == pytest.approx(-0.5 * 65 * (np.log(2 * np.pi * np.mean(errors**2)) + 1), abs=1e-6)
+
+
+def test_fitted_values_and_forecasts_are_conditional_means():
+    y = simulated(8, 40)
+    model = arima_fit.fit(y, (2, 0, 1))
+    phi, theta, mean = model.polynomials()
+    g = autocovariances(phi, theta, 46)
+    cov = g[np.abs(np.subtract.outer(np.arange(46), np.arange(46)))]
+    fitted = arima_fit.fitted_values(y, model)
+    for t in (0, 1, 5, 39):
+        want = mean + (cov[t, :t] @ np.linalg.solve(cov[:t, :t], y[:t] - mean) if t else 0.0)
+        assert fitted[t] == pytest.approx(want, abs=1e-6)
+    want = mean + cov[40:, :40] @ np.linalg.solve(cov[:40, :40], y - mean)
+    assert arima_fit.forecast(y, model, 6)[0] == pytest.approx(want, abs=1e-6)
+    walk = arima_fit.fitted_values(y, arima_fit.fit(y, (0, 1, 0)))
+    assert np.isnan(walk[0]) and walk[1:] == pytest.approx(y[:-1])
+
+
 def test_arima_differencing_continues_a_line():
     y = np.array([3.0 + 2 * i for i in range(30)])
     model = arima_fit.fit(y, (0, 2, 0))

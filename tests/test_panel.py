@@ -1,9 +1,11 @@
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import by, day
 from tallyworks.functions.lineage import materialise
-from tallyworks.operators import indicators, panel
+from tallyworks.operators import explore, indicators, panel
 from tallyworks.plans import pipelines
 from tallyworks.schemas import MEASURES
 
@@ -123,7 +125,7 @@ def test_growth_null_for_first_and_after_zero(spark):
     assert rows["B", day("2023-03-01")].total_enrolment_growth is None
 
 
-def test_growth_split_by_month_equals_plain_window(spark):
+def test_growth_by_range_equals_plain_window(spark):
     rows = [("A" if i % 3 else "B", f"p{i % 4}", i % 7, i * i % 11) for i in range(400)]
     df = spark.createDataFrame(rows, "state string, pincode string, _, total_updates long".replace("_,", "d long,"))
     df = df.withColumn("date", F.date_add(F.lit("2023-01-01").cast("date"), (F.col("total_updates") * 13 + F.col("d") * 40).cast("int")))
@@ -131,7 +133,7 @@ def test_growth_split_by_month_equals_plain_window(spark):
     df = materialise(df)
     order = ["date", "pincode", "id"]
     plain = indicators.growth_rates(df, ["state"], order)
-    split = indicators.growth_rates(df, ["state"], order, split_by_month=True)
+    split = indicators.growth_rates(df, ["state"], order, by_range=True)
     a, b = by(plain, "id"), by(split, "id")
     assert {k: v.total_updates_growth for k, v in a.items()} == {k: v.total_updates_growth for k, v in b.items()}
 
@@ -168,3 +170,23 @@ def test_summary_counts(spark):
     row = panel.data_summary(df, "t").first()
     assert (row.rows, row.columns, row.states, row.districts, row.missing_values) == (2, 3, 2, 1, 1)
     assert (row.first_date, row.last_date) == (day("2023-01-01"), day("2023-01-03"))
+
+
+def test_correlation_over_the_rows_that_have_both(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(500, 4)) + 1e6
+    x[:, 1] += 2 * x[:, 0]
+    table = pd.DataFrame(x, columns=list("abcd"))
+    table.loc[::3, "a"] = np.nan
+    table.loc[1::5, "b"] = np.nan
+    table["flat"], table["one"] = 7.0, np.nan
+    table.loc[3, "one"] = 1.0
+    df = spark.createDataFrame(table.astype(object).where(table.notna(), None).values.tolist(), "a double, b double, c double, d double, flat double, one double")
+    want = table.corr()
+    for parts in (1, 7, 600):
+        got = {(r.metric_a, r.metric_b): r.correlation for r in explore.correlation(df.repartition(parts)).collect()}
+        assert len(got) == 36
+        for (a, b), value in got.items():
+            w = want.loc[a, b]
+            assert value == pytest.approx(w, abs=1e-9) if w == w else value is None, (a, b)
+    assert all(r.correlation is None for r in explore.correlation(df.limit(0)).collect())

@@ -48,7 +48,7 @@ def test_fences(hot, plain):
 
 
 def test_growth_of_daily_rows(hot, plain):
-    grown = indicators.growth_rates(hot, ["state"], ["date", "id"], ["total_updates"], split_by_month=True)
+    grown = indicators.growth_rates(hot, ["state"], ["date", "id"], ["total_updates"], by_range=True)
     got = grown.select("id", "total_updates_growth").toPandas().set_index("id").total_updates_growth.sort_index()
     ordered = plain.sort_values(["state", "date", "id"])
     want = ordered.groupby("state").total_updates.pct_change().mul(100).replace([np.inf, -np.inf], np.nan)
