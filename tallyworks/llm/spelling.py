@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyworks.functions.lineage import materialise
+from tallyworks.functions.lineage import materialise, stage_path
 from tallyworks.llm.common import lower_ascii
 
 # Fixed value: letters of a run.
@@ -66,22 +66,23 @@ def edge_table(sides: DataFrame) -> DataFrame:
 
 def walked(words: DataFrame) -> DataFrame:
     """(a, b): words one edit apart, each pair at least once."""
+    spark = words.sparkSession
     sides = materialise(_sides(words), "sides")
     edges = edge_table(sides)
     edges = materialise(edges, "edges")
     span = sides.agg(F.min(F.floor(F.col("size") / 2)).cast("int"), F.max("size")).first()
     if span[0] is None:
         return words.select(F.col("word").alias("a"), F.col("word").alias("b")).limit(0)
-    ended, frontier = [], None
+    paths, frontier = [], None
     word, pos = F.col("word"), F.col("pos")
     for depth in range(span[0], span[1]):
         # Words without an edit so far stand at the node that they spell.
         whole = sides.where((F.col("low") <= depth) & (F.col("size") > depth))
         whole = whole.select("side", "word", "size", F.lit(depth).alias("pos"), F.substring("word", F.lit(1), F.lit(depth)).alias("node"), F.lit(0).alias("edits"))
-        states = whole if frontier is None else whole.unionByName(frontier)
+        states = whole if frontier is None else whole.unionByName(frontier.where("pos < size"))
         here = edges.where(F.col("depth") == depth).select("side", "node", "kids")
         met = states.join(here, ["side", "node"])
-        # The next state: (position, character followed, whether it ends an edit).
+        # The next states: position and the character followed.
         unedited, wanted, after = F.col("edits") == 0, _char(word, pos), _char(word, pos + 1)
         # A replaced character is tried in one order, the pair's other word would find the same.
         replaced = F.transform(
@@ -93,14 +94,13 @@ def walked(words: DataFrame) -> DataFrame:
         steps = F.when(unedited, F.concat(replaced, F.coalesce(deleted, none))).otherwise(F.coalesce(matched, none))
         moved = met.select("side", "word", "size", "node", F.explode(steps).alias("to"))
         moved = moved.select("side", "word", "size", F.col("to.pos").alias("pos"), F.concat("node", "to.kid").alias("node"), F.lit(1).alias("edits"))
-        frontier = materialise(moved, "frontier")
-        ended.append(frontier.where("pos = size").select("side", "word", "node"))
-        # The last character deleted: the word's own path less one.
-        ended.append(whole.where(F.col("size") == depth + 1).select("side", "word", "node"))
-        frontier = frontier.where("pos < size")
-    ends = ended[0]
-    for more in ended[1:]:
-        ends = ends.union(more)
+        paths.append(stage_path(spark, "frontier"))
+        moved.write.parquet(paths[-1])
+        frontier = spark.read.schema(moved.schema).parquet(paths[-1])
+    # One scan of all levels' states whose word is used up, and every word's own path without its last character.
+    used_up = spark.read.schema(moved.schema).parquet(*paths).where("pos = size").select("side", "word", "node")
+    less_last = sides.select("side", "word", F.substring("word", F.lit(1), F.col("size") - 1).alias("node"))
+    ends = used_up.union(less_last)
     turned = [F.when(F.col("side") == BACKWARDS, F.reverse(c)).otherwise(F.col(c)).alias(n) for c, n in (("word", "a"), ("node", "b"))]
     # A node at which a word is used up counts where it is a word itself.
     return ends.select(*turned).join(words.select(F.col("word").alias("b")), "b", "left_semi").select("a", "b")
