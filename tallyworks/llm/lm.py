@@ -1,626 +1,483 @@
 """Language-model scores by context-tree weighting over bytes.
 
-A text is coded token by token: a word is its bytes and a space, the end one byte of its own. Every
-byte is eight binary decisions, each in the context of the bytes before it: of the last one, two
-and so on up to ``DEPTH``, then of all the bytes of the word and the kind of text it stands in.
-Each context keeps a Krichevsky-Trofimov estimate of its decisions, and the estimates of all
-contexts on the way from the root are mixed by the weights that the tree gives them. Contexts end
-where a word begins, so a word costs the same in all texts of a kind, and is scored once.
-
-The kind is that of the most frequent short word of the text; it is paid for as well.
+A text is its words with a blank between them and an end. Every byte is eight binary decisions, each in the contexts of
+the last 0, 1, ... ``DEPTH`` bytes, whatever words they belong to. Each context keeps a Krichevsky-Trofimov estimate of its
+decisions, and the estimates of all contexts on the way from the root are mixed by the weights that the tree gives them.
+
+A context with the byte after it is a gram, a number whose highest bytes are the nearest ones. Texts are put together
+into blocks, and what leaves a block are its distinct grams with their counts, dealt out by their three nearest bytes: all
+contexts of three bytes and more then lie in one group, which builds their part of the tree. Shorter contexts are rows
+that the groups add to. Each block gets back what its grams cost, and adds up its texts.
 """
 
 from __future__ import annotations
 
 import math
-import pickle
-import zlib
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyworks.functions.lineage import materialise
 
-DEPTH = 4
-# Whole-word contexts go back at most so many bytes.
-WHOLE = 32
-KINDS = 64
-KIND_BYTES = 4
-# A context is told apart from its parent if training visits it so often.
-SPLIT = 3
-# The tree is built in parts. Contexts of fewer bytes than ``LOW`` are its top, at most 83,000 whatever
-# the corpus, which every part receives; all that hangs from a context of ``LOW`` bytes lies in one part.
-LOW = 3
-LEAST_PARTS = 32
-# Distinct words of a kind to a part.
-MOST_CONTEXTS = 1 << 17
-# The words whose scores every task receives; the others are joined.
-FREQUENT = 1 << 15
+# Bytes of the longest context. Contexts of fewer than ``LOW`` bytes are rows of their own.
+DEPTH, LOW = 5, 3
+# Bytes of a block; a longer text is cut between words.
+BLOCK = 8 << 20
+# Binary decisions predicted at a time.
+AT_ONCE = 1 << 20
 END = b"\n"
-# Bytes at the start of a word by which words are dealt out; their contexts are then whole in one task.
-DEALT_BY = 3
-# Distinct words a task counts before it passes the counts on.
-COUNTED_AT_ONCE = 300_000
-WORDS_AT_ONCE = 1 << 14
-# Distinct words whose places are dealt to the parts together, each place once.
-PLACED_AT_ONCE = 1 << 16
-
-_LOG_PI = float(np.log(np.pi))
+# What is dealt out: grams and words.
+GRAMS, WORDS = 0, 1
+MIX = np.uint64(0x9E3779B97F4A7C15)
+# Stands for the end among the words.
+END_WORD = np.uint64(0)
 
 
 def tokens(text: str | None) -> list[bytes]:
-    """The words of a text, A-Z in lower case; the end is not among them."""
+    """The words of a text, A-Z in lower case; none for null."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def kind_of(counts: dict[bytes, int]) -> int:
-    """The kind of a text with these words: that of its most frequent short one, the least of several."""
-    short = [(-n, w) for w, n in counts.items() if len(w) <= KIND_BYTES]
-    return zlib.crc32(min(short)[1]) % KINDS if short else KINDS
+# --- blocks -------------------------------------------------------------------
 
 
-# --- contexts ---------------------------------------------------------------------
+def pieces(sequence: bytes, size: int) -> Iterator[tuple[bytes, bytes]]:
+    """(bytes before, bytes): a sequence in parts of about ``size`` bytes, cut after a blank; before the first stand ends."""
+    at = 0
+    while at < len(sequence):
+        stop = len(sequence)
+        if stop - at > size:
+            stop = sequence.rfind(b" ", at, at + size) + 1 or sequence.find(b" ", at + size) + 1 or stop
+        yield (END * DEPTH + sequence[max(0, at - DEPTH) : at])[-DEPTH:], sequence[at:stop]
+        at = stop
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return (x ^ (x >> np.uint64(31))).astype(np.uint64)
+def scattered(x: np.ndarray) -> np.ndarray:
+    """A mix of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(29))) * MIX
+    return x ^ (x >> np.uint64(32))
 
 
 @dataclass
-class Places:
-    """All bytes to be predicted in some words: whose they are, what they are and their contexts."""
-
-    owner: np.ndarray
-    byte: np.ndarray
-    recent: list[np.ndarray]  # contexts of the last 0 to DEPTH bytes; 0 where the word has no more
-    whole: np.ndarray  # the context of kind and all bytes; 0 beyond WHOLE bytes
-    code: np.ndarray  # the last DEPTH bytes
-    depth: np.ndarray  # how many of them are the word's
-
-
-def _recent(code: np.ndarray, depth: np.ndarray) -> list[np.ndarray]:
-    contexts = []
-    for d in range(DEPTH + 1):
-        context = _mixed((code & np.uint64((1 << 8 * d) - 1)) + (np.uint64(d + 1) << np.uint64(48)))
-        contexts.append(np.where(depth >= d, context, np.uint64(0)))
-    return contexts
-
-
-def places(kinds: np.ndarray, words: list[bytes]) -> Places:
-    written = [b" " + END if w == END else b" " + w + b" " for w in words]
-    joined = np.frombuffer(b"".join(written), dtype=np.uint8).astype(np.uint64)
-    sizes = np.fromiter(map(len, written), dtype=np.int64, count=len(written))
-    owner = np.repeat(np.arange(len(words)), sizes)
-    starts = np.cumsum(sizes) - sizes
-    at = np.arange(len(joined)) - starts[owner]
-    coded = at > 0
-    code = np.zeros(len(joined), dtype=np.uint64)
-    for d in range(1, min(DEPTH + 1, len(joined))):
-        code[d:] += joined[:-d] << np.uint64(8 * (d - 1))
-    code, depth = code[coded], np.minimum(at, DEPTH)[coded]
-    # Kind and bytes so far, a column of the words at a time.
-    whole = np.zeros(len(joined), dtype=np.uint64)
-    h = _mixed(np.asarray(kinds).astype(np.uint64) + (np.uint64(1) << np.uint64(60)))
-    for i in range(min(WHOLE, int(sizes.max(initial=0)) - 1)):
-        longer = np.flatnonzero(sizes > i + 1)
-        h[longer] = _mixed(h[longer] * np.uint64(0x9E3779B97F4A7C15) + joined[starts[longer] + i] + np.uint64(1))
-        whole[starts[longer] + i + 1] = h[longer]
-    return Places(owner[coded], joined[coded].astype(np.int64), _recent(code, depth), whole[coded], code, depth)
-
-
-_KEYS = ["context", "parent", "level", "byte", "root"]
-_VISITS = pa.schema([(c, pa.int64()) for c in [*_KEYS, "n"]])
-
-
-def _visits(batch: pa.RecordBatch | pa.Table, inner: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
-    """context, parent, level, byte, root, n, sure of all contexts of a batch of words (kind, word, n).
-
-    ``root`` is the context of ``LOW`` bytes that a context is or hangs from; in the top of the tree the context itself.
-    ``sure`` are those that no other words of the table have; ``inner`` tells whose beginning no other words have.
-    """
-    kinds, words, n = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
-    inner = np.zeros(len(words), dtype=bool) if inner is None else inner
-    for start in range(0, len(words), WORDS_AT_ONCE):
-        part = slice(start, start + WORDS_AT_ONCE)
-        p = places(kinds[part], words[part])
-        weight = n[part][p.owner]
-        deepest, none = np.zeros(len(p.byte), dtype=np.uint64), np.zeros(len(p.byte), dtype=bool)
-        for d, context in enumerate(p.recent):
-            root = p.recent[LOW] if d >= LOW else context
-            yield _summed(context, deepest, d, p.byte, root, weight, none)
-            deepest = np.where(context != 0, context, deepest)
-        sure = inner[part][p.owner] & (p.depth > DEALT_BY)
-        yield _summed(p.whole, deepest, DEPTH + 1, p.byte, np.where(p.depth < LOW, p.whole, p.recent[LOW]), weight, sure)
-
-
-def _summed(context: np.ndarray, parent: np.ndarray, level: int, byte: np.ndarray, root: np.ndarray, n: np.ndarray, sure: np.ndarray) -> pd.DataFrame:
-    at = np.flatnonzero(context)
-    made = {"context": context[at].view(np.int64), "parent": parent[at].view(np.int64), "level": np.int64(level), "byte": byte[at], "root": root[at].view(np.int64), "n": n[at], "sure": sure[at]}
-    return _added(pd.DataFrame(made))
-
-
-def _added(rows: pd.DataFrame) -> pd.DataFrame:
-    """Visits summed by context, which tells its parent, level, root and whether it is sure, and byte; sorted by them."""
-    if not len(rows):
-        return rows
-    context, byte = rows["context"].to_numpy(), rows["byte"].to_numpy()
-    order = np.lexsort((byte, context))
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = (np.diff(context[order]) != 0) | (np.diff(byte[order]) != 0)
-    first = np.flatnonzero(new)
-    return rows.iloc[order[first]].assign(n=np.add.reduceat(rows["n"].to_numpy()[order], first))
-
-
-def _context_counts(vocabulary: DataFrame) -> DataFrame:
-    """context, parent, level, byte, root, n: how often training follows a context by a byte, partly summed.
-
-    Words of one kind and beginning follow each other in one task. Where all of them are at hand, their
-    contexts that stay below ``SPLIT`` visits are not passed on.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        short: pd.DataFrame | None = None
-
-        def passed_on(rows: pd.DataFrame) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pandas(rows[_VISITS.names], schema=_VISITS, preserve_index=False)
+class Block:
+    """Pieces of texts: each is ``DEPTH`` bytes that stand before it and ``lengths`` bytes of its own."""
+
+    buffer: np.ndarray
+    lengths: np.ndarray
+
+    def grams(self) -> np.ndarray:
+        """The gram of every byte, in order: the byte, above it those before it, the nearest highest."""
+        whole = self.buffer.astype(np.uint64)
+        n = len(whole) - DEPTH
+        out = whole[DEPTH:].copy()
+        for back in range(1, DEPTH + 1):
+            out |= whole[DEPTH - back : DEPTH - back + n] << np.uint64(8 * (DEPTH - back + 1))
+        return out[self._own()[DEPTH:]]
+
+    def _own(self) -> np.ndarray:
+        """Which bytes of the buffer belong to a piece."""
+        own = np.ones(len(self.buffer), dtype=bool)
+        begins = np.cumsum(self.lengths + DEPTH) - self.lengths - DEPTH
+        for k in range(DEPTH):
+            own[begins + k] = False
+        return own
+
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """A 64-bit hash of every token, ends among them, and of which piece it is."""
+        own = self.buffer[self._own()]
+        last = np.flatnonzero((own == 32) | (own == 10))
+        sizes = np.diff(np.r_[-1, last])
+        place = (np.arange(len(own)) - np.repeat(last - sizes + 1, sizes)).astype(np.uint64)
+        h = scattered((own.astype(np.uint64) + (place << np.uint64(8)) + np.uint64(1)) * MIX)
+        h[last] = 0
+        out = np.add.reduceat(h, last - sizes + 1) if len(last) else np.empty(0, dtype=np.uint64)
+        # A blank alone cannot be a token, so an empty one is the end.
+        out[(own[last] == 10) & (sizes == 1)] = END_WORD
+        # The last word of a text ends with the end: two tokens.
+        both = np.flatnonzero((own[last] == 10) & (sizes > 1))
+        piece = np.searchsorted(np.cumsum(self.lengths), last, side="right")
+        return np.insert(out, both + 1, END_WORD), np.insert(piece, both + 1, piece[both])
+
+
+def packed(values: np.ndarray, differences: bool = False) -> bytes:
+    """Numbers as compressed bytes; of rising ones the differences take least room."""
+    values = np.diff(values, prepend=values.dtype.type(0)) if differences else values
+    return zstandard.compress(np.ascontiguousarray(values).tobytes(), 1)
+
+
+def unpacked(data: bytes, dtype, differences: bool = False) -> np.ndarray:
+    values = np.frombuffer(zstandard.decompress(data), dtype=dtype)
+    return np.cumsum(values, dtype=dtype) if differences else values
+
+
+def dealt(keys: np.ndarray, kind: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of distinct keys by bucket and value, and each one's bucket; grams of the same three nearest bytes go together."""
+    by = keys >> np.uint64(8 * (DEPTH - LOW + 1)) if kind == GRAMS else keys
+    bucket = (scattered((by + np.uint64(1)) * MIX) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((keys, bucket))
+    return order, bucket[order]
+
+
+_BLOCKS = (
+    "block long, uids array<long>, ids array<{id}>, lengths array<int>, buffer binary, parts array<struct<kind: int, bucket: int, keys: binary, counts: binary>>"
+)
+
+
+def _blocks(docs: DataFrame, trained: Column, id_col: str, text_col: str, buckets: int) -> DataFrame:
+    """Texts put together into blocks, each with its distinct grams and words and how often training texts have them."""
+    rows = docs.select(
+        F.col(f"`{id_col}`").alias("id"), F.coalesce(trained, F.lit(False)).alias("trained"), F.col(f"`{text_col}`").cast("string").alias("text")
+    )
+    kind = pa.list_(pa.struct([("kind", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
+
+    def parts(block: Block, learns: np.ndarray) -> list[dict]:
+        out = []
+        words, piece = block.words()
+        for what, keys, of in ((GRAMS, block.grams(), np.repeat(learns, block.lengths)), (WORDS, words, learns[piece])):
+            label, distinct = pd.factorize(keys)
+            counts = np.bincount(label[of], minlength=len(distinct)).astype(np.uint32)
+            order, bucket = dealt(distinct, what, buckets)
+            distinct, counts = distinct[order], counts[order]
+            edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else np.zeros(1, dtype=np.int64)
+            for a, b in zip(edges[:-1], edges[1:]):
+                out.append({"kind": what, "bucket": int(bucket[a]), "keys": packed(distinct[a:b], True), "counts": packed(counts[a:b])})
+        return out
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, texts, made = TaskContext.get().partitionId(), 0, 0
+        held: list[tuple] = []
+        size, ids_type = 0, None
+
+        def block() -> pa.RecordBatch:
+            lengths = np.array([len(own) for *_, own in held], dtype=np.int64)
+            buffer = b"".join(x for *_, before, own in held for x in (before, own))
+            found = parts(Block(np.frombuffer(buffer, dtype=np.uint8), lengths), np.array([learns for _, _, learns, *_ in held], dtype=bool))
+            columns = [
+                pa.array([part << 30 | made]), pa.array([[uid for uid, *_ in held]], pa.list_(pa.int64())), pa.array([[i for _, i, *_ in held]], pa.list_(ids_type)),
+                pa.array([lengths.astype(np.int32)], pa.list_(pa.int32())), pa.array([zstandard.compress(buffer, 3)], pa.binary()), pa.array([found], kind),
+            ]
+            return pa.RecordBatch.from_arrays(columns, ["block", "uids", "ids", "lengths", "buffer", "parts"])
 
-        for words in _gathered_up(batches, PLACED_AT_ONCE):
-            found = _added(pd.concat(_visits(words, _inner(words.column(0).to_numpy(), words.column(1).to_pylist())), ignore_index=True))
-            deep = found[found["level"] == DEPTH + 1]
-            often = ~deep["sure"] | (deep.groupby("context")["n"].transform("sum") >= SPLIT)
-            if often.any():
-                yield passed_on(deep[often])
-            rest = found[found["level"] <= DEPTH]
-            short = rest if short is None else _added(pd.concat([short, rest], ignore_index=True))
-            if len(short) > COUNTED_AT_ONCE:
-                yield passed_on(short)
-                short = None
-        if short is not None and len(short):
-            yield passed_on(short)
+        for batch in batches:
+            ids_type = batch.schema.field("id").type
+            for i, learns, text in zip(batch["id"], batch["trained"], batch["text"]):
+                uid = part << 40 | texts
+                texts += 1
+                for before, own in pieces(b" ".join(tokens(text.as_py())) + END, BLOCK):
+                    held.append((uid, i.as_py(), learns.as_py(), before, own))
+                    size += len(own) + DEPTH
+                    if size >= BLOCK:
+                        yield block()
+                        held, size, made = [], 0, made + 1
+        if held:
+            yield block()
 
-    return vocabulary.mapInArrow(count, "context long, parent long, level long, byte long, root long, n long")
+    return rows.mapInArrow(make, _BLOCKS.format(id=rows.schema["id"].dataType.simpleString()))
 
 
-# --- the tree ----------------------------------------------------------------------
+# --- the tree -------------------------------------------------------------------
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
-    """Of numbers of at least a half, by Stirling's series after a shift."""
-    shift = np.zeros_like(x)
-    for k in range(8):
-        shift += np.log(x + k)
-    y = x + 8
-    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) - shift
+    """By Stirling's series from 8 on, below it by recurrence."""
+    shift = np.zeros_like(x, dtype=np.float64)
+    x = np.asarray(x, dtype=np.float64).copy()
+    for _ in range(8):
+        low = x < 8
+        if not low.any():
+            break
+        shift[low] -= np.log(x[low])
+        x[low] += 1
+    r = 1 / (x * x)
+    return shift + (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r / 1680))) / x
 
 
-def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """The logarithm of the Krichevsky-Trofimov probability of any sequence with these counts."""
-    return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _LOG_PI - _log_gamma(zeros + ones + 1.0)
+def estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Log of the Krichevsky-Trofimov probability of so many zeros and ones."""
+    return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - math.log(math.pi) - _log_gamma(zeros + ones + 1.0)
 
 
 @dataclass
-class Tree:
-    """``contexts`` (sorted hashes), ``parents`` (their places, -1 above the root), ``nodes`` (sorted:
-    place * 256 + the bits of a byte so far after a one), ``ones`` (the mixed probability of a one), ``grams``
-    (sorted: place * 256 + byte) seen in training and their ``costs`` (log10 of the probability)."""
-
-    contexts: np.ndarray
-    parents: np.ndarray
-    nodes: np.ndarray
-    ones: np.ndarray
-    grams: np.ndarray
-    costs: np.ndarray
-
-    def unseen(self, place: np.ndarray, byte: np.ndarray) -> np.ndarray:
-        """log10 of the probability of a byte that has not followed a context: by the deepest that knows."""
-        cost = np.zeros(len(place))
-        for j in range(7, -1, -1):
-            so_far = (1 << (7 - j)) | (byte >> (j + 1))
-            ones, at, open_ = np.full(len(place), 0.5), place.astype(np.int64), np.ones(len(place), dtype=bool)
-            while open_.any():
-                todo = np.flatnonzero(open_)
-                hit, where = _found(self.nodes, at[todo] * 256 + so_far[todo])
-                ones[todo[hit]] = self.ones[where[hit]]
-                open_[todo[hit]] = False
-                rest = todo[~hit]
-                at[rest] = self.parents[at[rest]]
-                open_[rest[at[rest] < 0]] = False
-            cost += np.log10(np.where(byte >> j & 1, ones, 1 - ones))
-        return cost
-
-    def costs_of(self, kinds: np.ndarray, words: list[bytes]) -> np.ndarray:
-        """log10 of the probability of each word in a text of its kind."""
-        if not words:
-            return np.zeros(0)
-        p = places(kinds, words)
-        return np.bincount(p.owner, self.costs_at(p.whole, p.recent, p.byte), minlength=len(words))
-
-    def costs_at(self, whole: np.ndarray, recent: list[np.ndarray], byte: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each byte in its contexts."""
-        place = np.full(len(byte), -1, dtype=np.int64)
-        for context in [whole, *reversed(recent)]:
-            todo = np.flatnonzero((place < 0) & (context != 0))
-            hit, where = _found(self.contexts, context[todo])
-            place[todo[hit]] = where[hit]
-        cost = np.full(len(place), 8 * np.log10(0.5))
-        known = np.flatnonzero(place >= 0)
-        codes = place[known] * 256 + byte[known]
-        hit, where = _found(self.grams, codes)
-        cost[known[hit]] = self.costs[where[hit]]
-        new, back = np.unique(codes[~hit], return_inverse=True)
-        cost[known[~hit]] = self.unseen(new >> 8, new & 255)[back]
-        return cost
-
-
-def _found(among: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    where = np.searchsorted(among, wanted)
-    where[where == len(among)] = 0
-    return (among[where] == wanted if len(among) else np.zeros(len(wanted), dtype=bool)), where
+class Nodes:
+    """Decisions within contexts of one length, by key (context, then the bits decided before): counts and the log of the
+    weighted probability of what training saw there."""
 
-
-@dataclass
-class _Nodes:
-    """Contexts and nodes as in ``Tree``, each node with its counts, the node above (-1 for none), the probability of
-    what it has seen by its own estimate and its children's (``whole``) and the share of its own (``stop``)."""
-
-    contexts: np.ndarray
-    level: np.ndarray
-    above: np.ndarray
-    parents: np.ndarray
-    grams: np.ndarray
-    nodes: np.ndarray
+    keys: np.ndarray
     zeros: np.ndarray
     ones: np.ndarray
-    up: np.ndarray
-    by_level: list[np.ndarray]
-    whole: np.ndarray
-    stop: np.ndarray
+    weighted: np.ndarray
+
+    def stop(self) -> np.ndarray:
+        """The share of a context's own estimate; the rest is its children's."""
+        return np.exp(estimate(self.zeros, self.ones) - math.log(2) - self.weighted)
+
+    def one(self) -> np.ndarray:
+        """The context's own probability of a one."""
+        return (self.ones + 0.5) / (self.zeros + self.ones + 1.0)
+
+
+def decisions(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(gram, decision): keys of the eight decisions of each gram's byte in its longest context, and whether they are ones."""
+    byte, context = grams & np.uint64(255), grams >> np.uint64(8)
+    j = np.arange(8, dtype=np.uint64)
+    node = (np.uint64(1) << j)[None, :] | (byte[:, None] >> (np.uint64(8) - j)[None, :])
+    return context[:, None] << np.uint64(8) | node, (byte[:, None] >> (np.uint64(7) - j)[None, :] & np.uint64(1)).astype(bool)
+
 
+def shorter(keys: np.ndarray, bytes_less: int = 1) -> np.ndarray:
+    """The same decisions in contexts without their farthest bytes."""
+    return keys >> np.uint64(8 * (bytes_less + 1)) << np.uint64(8) | keys & np.uint64(255)
 
-def _weighed(rows: pd.DataFrame, below: pd.DataFrame | None = None) -> _Nodes:
-    """The nodes of summed visits, weighed from the leaves.
 
-    ``below`` (context, bits, whole, zeros, ones, children) has the sums over the children of ``LOW``
-    bytes of all parts, by the nodes above them; then those among ``rows`` are not counted again.
+def merged(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys in order and the sums of their values."""
+    distinct, at = np.unique(keys, return_inverse=True)
+    return distinct, *(np.bincount(at, weights=v, minlength=len(distinct)) for v in values)
+
+
+def grown(grams: np.ndarray, counts: np.ndarray) -> list[Nodes]:
+    """Nodes of contexts of ``LOW`` to ``DEPTH`` bytes for distinct grams with how often training has them; those it has."""
+    seen = counts > 0
+    keys, bits = decisions(grams[seen])
+    n = np.repeat(counts[seen].astype(np.float64), 8).reshape(-1, 8)
+    keys, zeros, ones = merged(keys.ravel(), np.where(bits, 0.0, n).ravel(), np.where(bits, n, 0.0).ravel())
+    levels = [Nodes(keys, zeros, ones, estimate(zeros, ones))]
+    for _ in range(DEPTH - LOW):
+        below = levels[-1]
+        keys, zeros, ones, inside = merged(shorter(below.keys), below.zeros, below.ones, below.weighted)
+        levels.append(Nodes(keys, zeros, ones, np.logaddexp(estimate(zeros, ones), inside) - math.log(2)))
+    return levels[::-1]
+
+
+def found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each wanted key is among the sorted ones, and where."""
+    if not len(keys):
+        return np.zeros(wanted.shape, dtype=bool), np.zeros(wanted.shape, dtype=np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return keys[at] == wanted, at
+
+
+def step(said, left, visited, stop, one, below) -> tuple[np.ndarray, np.ndarray]:
+    """Probability of a one said so far, and the share left to longer contexts, after a context.
+
+    A context that training visited keeps its share and leaves the rest to the next longer one; all of it stays where that was
+    not visited (``below``).
     """
-    hashes = rows["context"].to_numpy().view(np.uint64)
-    contexts, first, place = np.unique(hashes, return_index=True, return_inverse=True)
-    level = rows["level"].to_numpy()[first]
-    above = rows["parent"].to_numpy().view(np.uint64)[first]
-    hit, where = _found(contexts, above)
-    parents = np.where(hit & (level > 0), where, -1)
-    byte, n = rows["byte"].to_numpy(), rows["n"].to_numpy().astype(float)
-    keys, zeros, ones = [], [], []
-    for j in range(7, -1, -1):
-        key, back = np.unique(place * 256 + ((1 << (7 - j)) | (byte >> (j + 1))), return_inverse=True)
-        bit = byte >> j & 1
-        keys.append(key)
-        zeros.append(np.bincount(back, n * (1 - bit)))
-        ones.append(np.bincount(back, n * bit))
-    nodes = np.concatenate(keys)
-    order = np.argsort(nodes)
-    nodes, zeros, ones = nodes[order], np.concatenate(zeros)[order], np.concatenate(ones)[order]
-    upper = parents[nodes >> 8]
-    hit, up = _found(nodes, upper * 256 + (nodes & 255))
-    up = np.where(hit & (upper >= 0), up, -1)
-    levels = level[nodes >> 8]
-
-    # From the leaves: a node's own estimate against the product of its children's.
-    own, whole = log_kt(zeros, ones), np.zeros(len(nodes))
-    product, seen_zeros, seen_ones, children = (np.zeros(len(nodes)) for _ in range(4))
-    if below is not None:
-        known, at = _found(contexts, below["context"].to_numpy().view(np.uint64))
-        hit, at = _found(nodes, at * 256 + below["bits"].to_numpy())
-        at = at[known & hit]
-        for total, name in ((product, "whole"), (seen_zeros, "zeros"), (seen_ones, "ones"), (children, "children")):
-            total[at] = below[name].to_numpy()[known & hit]
-    stop = np.ones(len(nodes))
-    by_level = [np.flatnonzero(levels == k) for k in range(DEPTH + 2)]
-    for k in range(DEPTH + 1, -1, -1):
-        at = by_level[k]
-        rest = log_kt(np.maximum(zeros[at] - seen_zeros[at], 0), np.maximum(ones[at] - seen_ones[at], 0))
-        both = np.logaddexp(own[at], product[at] + rest) + np.log(0.5)
-        inner = children[at] > 0
-        whole[at] = np.where(inner, both, own[at])
-        stop[at] = np.where(inner, np.exp(own[at] + np.log(0.5) - both), 1.0)
-        if k == LOW and below is not None:
-            continue
-        to = up[at]
-        has = to >= 0
-        for total, value in ((product, whole), (seen_zeros, zeros), (seen_ones, ones), (children, np.ones(len(nodes)))):
-            total += np.bincount(to[has], value[at][has], minlength=len(nodes))
-    return _Nodes(contexts, level, above, parents, place * 256 + byte, nodes, zeros, ones, up, by_level, whole, stop)
-
-
-def _to_the_top(rows: pd.DataFrame) -> pd.DataFrame:
-    """What a part of the tree passes on to the nodes of the top: sums over its contexts of ``LOW`` bytes."""
-    t = _weighed(rows)
-    at = t.by_level[LOW]
-    made = {"context": t.above[t.nodes[at] >> 8].view(np.int64), "bits": t.nodes[at] & 255, "whole": t.whole[at], "zeros": t.zeros[at], "ones": t.ones[at], "children": 1.0}
-    return pd.DataFrame(made).groupby(["context", "bits"], as_index=False).sum()
-
-
-def weighted_tree(rows: pd.DataFrame, below: pd.DataFrame | None = None) -> Tree:
-    """The tree of summed visits (context, parent, level, byte, n), each context with its parent.
-
-    With ``below``, see ``_weighed``, the rows are the top and a part, and the tree is right for the part's contexts.
+    share = np.where(below, stop, 1.0)
+    return np.where(visited, said + left * share * one, said), np.where(visited, left * (1 - share), left)
+
+
+def costs(grams: np.ndarray, levels: list[Nodes], states: dict[str, np.ndarray]) -> np.ndarray:
+    """Log10 of the probability of each gram's byte after its context.
+
+    ``states`` has for each decision in contexts of ``LOW`` - 1 bytes: ``key``, what was ``said`` and is ``left`` before it,
+    and its own ``stop``, ``one`` and ``visited``.
     """
-    if not len(rows):
-        none = np.zeros(0, dtype=np.int64)
-        return Tree(none.astype(np.uint64), none, none, none.astype(float), none, none.astype(float))
-    t = _weighed(rows, below)
-    # From the root: what the contexts above have said, and the weight that is left.
-    estimate, said, left, mixed = (t.ones + 0.5) / (t.zeros + t.ones + 1), np.zeros(len(t.nodes)), np.ones(len(t.nodes)), np.zeros(len(t.nodes))
-    for at in t.by_level:
-        has = t.up[at] >= 0
-        before = np.where(has, said[t.up[at]], 0.0)
-        open_ = np.where(has, left[t.up[at]], 1.0)
-        mixed[at] = before + open_ * estimate[at]
-        said[at] = before + open_ * t.stop[at] * estimate[at]
-        left[at] = open_ * (1 - t.stop[at])
-    grams = np.unique(t.grams)
-    costs = np.zeros(len(grams))
-    for j in range(7, -1, -1):
-        b = grams & 255
-        p = mixed[np.searchsorted(t.nodes, (grams >> 8) * 256 + ((1 << (7 - j)) | (b >> (j + 1))))]
-        costs += np.log10(np.where(b >> j & 1, p, 1 - p))
-    # Probabilities are kept in single precision.
-    return Tree(t.contexts, t.parents, t.nodes, mixed.astype(np.float32), grams, costs.astype(np.float32))
-
-
-# --- on Spark ------------------------------------------------------------------------
-
-
-def vocabulary(docs: DataFrame, training: Column, *, text_col: str = "text") -> DataFrame:
-    """kind, word, n, n_all: how often a word stands in training texts and in all, by kind of text, the end included.
-
-    A task adds up what it meets and passes counts on, never tokens.
+    out = np.empty(len(grams))
+    stops, ones = [x.stop() for x in levels], [x.one() for x in levels]
+    for at in range(0, len(grams), AT_ONCE // 8):
+        keys, bits = decisions(grams[at : at + AT_ONCE // 8])
+        _, place = found(states["key"], shorter(keys, DEPTH - LOW + 1))
+        said, left, visited, stop, one = (states[c][place] for c in ("said", "left", "visited", "stop", "one"))
+        for i, level in enumerate(levels):
+            below, where = found(level.keys, shorter(keys, DEPTH - LOW - i) if i < DEPTH - LOW else keys)
+            said, left = step(said, left, visited, stop, one, below)
+            if len(level.keys):
+                visited, stop, one = below, stops[i][where], ones[i][where]
+            else:
+                visited = below
+        said, left = step(said, left, visited, stop, one, np.zeros(said.shape, dtype=bool))
+        out[at : at + AT_ONCE // 8] = np.log10(np.where(bits, said, 1 - said)).sum(1)
+    return out
+
+
+# --- groups -------------------------------------------------------------------
+
+
+def _arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """Distinct keys of a bucket, their counts over all blocks, every block's keys' places among them, and how many each block has."""
+    keys = [unpacked(x.as_py(), np.uint64, True) for x in table["keys"]]
+    counts = np.concatenate([unpacked(x.as_py(), np.uint32) for x in table["counts"]])
+    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return distinct, np.bincount(at, weights=counts, minlength=len(distinct)).astype(np.int64), at, [len(k) for k in keys]
+
+
+def _answers(table: pa.Table, kind: int, values: np.ndarray, sizes: list[int], extra: dict[str, list]) -> pa.Table:
+    """A row per block: the values of its keys, in their order."""
+    cuts = np.cumsum([0, *sizes])
+    payload = [packed(values[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+    columns = {"block": table["block"], "kind": pa.array([kind] * len(sizes), pa.int32()), "bucket": table["bucket"], "payload": pa.array(payload, pa.binary())}
+    return pa.table(columns | extra)
+
+
+_ANSWER = "block long, kind int, bucket int, payload binary"
+
+
+def _word_counts(parts: DataFrame) -> DataFrame:
+    """Each block's words' counts in training, with the number of tokens and distinct ones of a bucket on one row of it."""
+
+    def count(table: pa.Table) -> pa.Table:
+        _, counts, at, sizes = _arrays(table)
+        rest = [0] * (table.num_rows - 1)
+        extra = {"n": pa.array([int(counts.sum()), *rest]), "v": pa.array([int((counts > 0).sum()), *rest])}
+        return _answers(table, WORDS, counts[at], sizes, extra)
+
+    return parts.where(F.col("kind") == WORDS).select("block", "bucket", "keys", "counts").groupBy("bucket").applyInArrow(count, _ANSWER + ", n long, v long")
+
+
+def _contributions(parts: DataFrame) -> DataFrame:
+    """(bucket, key, zeros, ones, inside): what each bucket's part of the tree adds to contexts of ``LOW`` - 1 bytes.
+
+    Also for decisions that training never met, with counts of 0.
     """
-    schema = pa.schema([("kind", pa.int32()), ("word", pa.binary()), ("n", pa.int64()), ("n_all", pa.int64())])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[int, bool], Counter] = defaultdict(Counter)
+    def grow(table: pa.Table) -> pa.Table:
+        grams, counts, *_ = _arrays(table)
+        lowest = grown(grams, counts)[0]
+        every = np.unique(shorter(decisions(grams)[0].ravel(), DEPTH - LOW + 1))
+        keys, zeros, ones, inside = merged(
+            np.concatenate([shorter(lowest.keys), every]),
+            *(np.concatenate([x, np.zeros(len(every))]) for x in (lowest.zeros, lowest.ones, lowest.weighted)),
+        )
+        bucket = pa.array([table["bucket"][0].as_py()] * len(keys), pa.int32())
+        return pa.table({"bucket": bucket, "key": keys.astype(np.int64), "zeros": zeros, "ones": ones, "inside": inside})
+
+    schema = "bucket int, key long, zeros double, ones double, inside double"
+    return parts.where(F.col("kind") == GRAMS).select("bucket", "keys", "counts").groupBy("bucket").applyInArrow(grow, schema)
+
 
-        def passed_on() -> Iterator[pa.RecordBatch]:
-            for (kind, trained), words in counts.items():
-                n = pa.array(list(words.values()), pa.int64())
-                zero = pa.array(np.zeros(len(words), dtype=np.int64))
-                kinds = pa.array(np.full(len(words), kind, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([kinds, pa.array(list(words), pa.binary()), n if trained else zero, n], schema=schema)
-            counts.clear()
+def _weighted(sums: DataFrame) -> DataFrame:
+    """(key, zeros, ones, weighted) of (key, zeros, ones, inside): the sums of what the next longer contexts have."""
 
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for trained, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = Counter(tokens(text))
-                held = counts[kind_of(words), bool(trained)]
-                held.update(words)
-                held[END] += 1
-            if sum(map(len, counts.values())) > COUNTED_AT_ONCE:
-                yield from passed_on()
-        yield from passed_on()
+            zeros, ones, inside = (batch[c].to_numpy() for c in ("zeros", "ones", "inside"))
+            weighted = np.where(zeros + ones > 0, np.logaddexp(estimate(zeros, ones), inside) - math.log(2), 0.0)
+            yield pa.RecordBatch.from_arrays([batch["key"], batch["zeros"], batch["ones"], pa.array(weighted)], ["key", "zeros", "ones", "weighted"])
 
-    rows = docs.select(training.alias("training"), F.col(f"`{text_col}`").cast("string")).mapInArrow(count, "kind int, word binary, n long, n_all long")
-    return rows.groupBy("kind", "word").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all"))
+    return sums.mapInArrow(weigh, "key long, zeros double, ones double, weighted double")
 
 
-def _context_table(words: DataFrame) -> DataFrame:
-    """context, parent, level, byte, n, root, top: all contexts that are told apart, and whether they are in the top.
+def _level(nodes: pd.DataFrame) -> Nodes:
+    ordered = nodes.sort_values("key")
+    return Nodes(*(ordered[c].to_numpy() for c in ("key", "zeros", "ones", "weighted")))
 
-    Counts are dealt by root, so that all visits of a context, and later all that hangs together, meet at once.
+
+def _states(level: DataFrame, spark) -> DataFrame:
+    """(key, said, left, visited, stop, one) for the decisions in contexts of two bytes, of their ``level`` of the tree.
+
+    Contexts of one byte and none are at most 65,535 decisions, which the driver weighs and every task receives.
     """
-    dealt = _dealt(words.where("n > 0")).select("kind", "word", "n")
-    counts = _context_counts(dealt).repartition("root").groupBy(*_KEYS).agg(F.sum("n").alias("n"))
-    visits = F.sum("n").over(Window.partitionBy("root", "context"))
-    told = counts.withColumn("visits", visits).where((F.col("visits") >= SPLIT) | (F.col("level") == 0)).drop("visits")
-    top = (F.col("level") < LOW) | ((F.col("level") > DEPTH) & (F.col("root") == F.col("context")))
-    return materialise(told.withColumn("top", top), "contexts")
+    less = ((F.shiftright("key", 16) * 256) + F.col("key").bitwiseAND(F.lit(255))).alias("key")
+    sums = level.groupBy(less).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("inside"))
+    first = _level(_weighted(sums).toPandas())
+    keys, zeros, ones, inside = merged(first.keys & 255, first.zeros, first.ones, first.weighted)
+    root = Nodes(keys, zeros, ones, np.where(zeros + ones > 0, np.logaddexp(estimate(zeros, ones), inside) - math.log(2), 0.0))
+
+    def visited(nodes: Nodes) -> np.ndarray:
+        return nodes.zeros + nodes.ones > 0
+
+    at = np.searchsorted(root.keys, first.keys & 255)
+    # What no training text decided is a half.
+    start = np.where(visited(root)[at], 0.0, 0.5), np.where(visited(root)[at], 1.0, 0.0)
+    said, left = step(*start, visited(root)[at], root.stop()[at], root.one()[at], visited(first))
+    sent = spark.sparkContext.broadcast((first.keys, said, left, visited(first), first.stop(), first.one()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, said, left, visited, stop, one = sent.value
+        for batch in batches:
+            own = Nodes(*(batch[c].to_numpy() for c in ("key", "zeros", "ones", "weighted")))
+            seen = own.zeros + own.ones > 0
+            at = np.searchsorted(keys, (own.keys >> 16 << 8) | own.keys & 255)
+            now = step(said[at], left[at], visited[at], stop[at], one[at], seen)
+            values = [own.keys, *now, seen, own.stop(), own.one()]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], ["key", "said", "left", "visited", "stop", "one"])
 
+    return level.mapInArrow(run, "key long, said double, left double, visited boolean, stop double, one double")
 
-def _dealt(words: DataFrame) -> DataFrame:
-    """Words of one kind and beginning lie in one task and follow each other."""
-    beginning = F.substring("word", 1, DEALT_BY)
-    return words.repartition("kind", beginning).sortWithinPartitions("kind", beginning)
 
+def _gram_costs(parts: DataFrame, states: DataFrame) -> DataFrame:
+    """Each block's grams' costs. ``states`` has a bucket's decisions in contexts of ``LOW`` - 1 bytes."""
 
-def _inner(kinds: np.ndarray, words: list[bytes]) -> np.ndarray:
-    """Which of these words, dealt, are of a kind and beginning that neither starts nor ends them, so that all its words are here."""
-    begins = [(k, w[:DEALT_BY]) for k, w in zip(kinds.tolist(), words)]
-    ends = {begins[0], begins[-1]} if begins else set()
-    return np.fromiter((b not in ends for b in begins), dtype=bool, count=len(begins))
+    def cost(table: pa.Table, states: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.table({"block": pa.array([], pa.int64()), "kind": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "payload": pa.array([], pa.binary())})
+        grams, counts, at, sizes = _arrays(table)
+        states = states.sort_by("key")
+        held = {c: states[c].to_numpy() for c in ("key", "said", "left", "visited", "stop", "one")}
+        held["key"] = held["key"].astype(np.uint64)
+        return _answers(table, GRAMS, costs(grams, grown(grams, counts), held).astype(np.float32)[at], sizes, {})
 
+    mine = parts.where(F.col("kind") == GRAMS).select("block", "bucket", "keys", "counts")
+    return mine.groupBy("bucket").cogroup(states.groupBy("bucket")).applyInArrow(cost, _ANSWER)
 
-@dataclass
-class _Placed:
-    """The distinct places of some words, by part: where each word's places are among them, and their contexts and byte."""
-
-    owner: np.ndarray
-    back: np.ndarray
-    part: np.ndarray
-    whole: np.ndarray
-    local: np.ndarray  # the last DEPTH bytes, how many of them are the word's, the byte
-
-
-def _placed(kinds: np.ndarray, words: list[bytes], n: np.ndarray, n_parts: int) -> _Placed:
-    p = places(kinds, words)
-    whole = p.whole.copy()
-    # A context that is complete here and not told apart is none.
-    sure = np.flatnonzero((p.depth > DEALT_BY) & _inner(kinds, words)[p.owner])
-    _, back = np.unique(whole[sure], return_inverse=True)
-    whole[sure[np.bincount(back, n[p.owner[sure]])[back] < SPLIT]] = 0
-    code = p.code & np.uint64((1 << 8 * DEPTH) - 1)
-    code &= (np.uint64(1) << (8 * p.depth).astype(np.uint64)) - np.uint64(1)
-    local = code | p.depth.astype(np.uint64) << np.uint64(8 * DEPTH) | p.byte.astype(np.uint64) << np.uint64(8 * DEPTH + 8)
-    # Places in the top alone go to any part.
-    root = np.where(p.depth >= LOW, p.recent[LOW], _mixed(local))
-    part = np.mod(root.view(np.int64), n_parts)
-    order = np.lexsort((local, whole, part))
-    whole, local, part = whole[order], local[order], part[order]
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = (whole[1:] != whole[:-1]) | (local[1:] != local[:-1])
-    back = np.empty(len(order), dtype=np.int64)
-    back[order] = np.cumsum(new) - 1
-    return _Placed(p.owner, back, part[new], whole[new], local[new])
-
-
-def _gathered(rows: DataFrame) -> pd.DataFrame:
-    """A table that does not grow with the corpus, as one frame on the driver."""
-
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"all": [pickle.dumps(rows.drop(columns="_all"))]})
-
-    made = rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(pack, "all binary").collect()
-    if made:
-        return pickle.loads(bytes(made[0]["all"]))
-    kinds = {"bigint": np.int64, "double": np.float64}
-    return pd.DataFrame({c: np.zeros(0, dtype=kinds[t]) for c, t in rows.dtypes})
-
-
-def word_costs(words: DataFrame) -> DataFrame:
-    """kind, word, n_all, cost: log10 of the probability of each word (kind, word, n, n_all) by the tree of all with n > 0.
-
-    Every context visited ``SPLIT`` times is in the tree, whatever their number. The places of words are
-    dealt to the parts by the context they stand in and meet them there, each once for some
-    thousands of words. A part weighs its contexts and passes sums on to the top of the tree; what
-    the top says then goes back to all parts.
-    """
-    n_parts = LEAST_PARTS + words.count() // MOST_CONTEXTS
-    contexts = _context_table(words)
-    columns = ["context", "parent", "level", "byte", "n"]
-    low = contexts.where("not top").select(*columns, F.pmod("root", F.lit(n_parts)).cast("int").alias("part"))
-    sums = low.groupBy("part").applyInPandas(_to_the_top, "context long, bits long, whole double, zeros double, ones double, children double")
-    sums = sums.groupBy("context", "bits").agg(*[F.sum(c).alias(c) for c in ("whole", "zeros", "ones", "children")])
-    above = words.sparkSession.sparkContext.broadcast((_gathered(contexts.where("top").select(*columns)), _gathered(sums)))
-
-    names = ["batch", "part", "packed"]
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId() << 32
-        for k, rows in enumerate(_gathered_up(batches, PLACED_AT_ONCE)):
-            kinds, written, n = rows.column(0).to_numpy(), rows.column(1).to_pylist(), rows.column(2).to_numpy()
-            p = _placed(kinds, written, n, n_parts)
-            parts, first = np.unique(p.part, return_index=True)
-            last = [*first[1:], len(p.part)]
-            packed = [pickle.dumps((kinds, written, n, rows.column(3).to_numpy()))]
-            packed += [pickle.dumps((p.whole[a:b], p.local[a:b])) for a, b in zip(first, last)]
-            numbers = pa.array(np.full(len(packed), task + k, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([numbers, pa.array([-1, *parts], pa.int32()), pa.array(packed, pa.binary())], names)
-
-    placed = _dealt(words).select("kind", "word", "n", "n_all").mapInArrow(place, "batch long, part int, packed binary")
-    placed = materialise(placed, "placed")
-
-    def cost(rows: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
-        top, below = above.value
-        tree = weighted_tree(pd.concat([top, rows.drop(columns="part")], ignore_index=True), below)
-        costs = []
-        for packed in at["packed"]:
-            whole, local = pickle.loads(packed)
-            depth = (local >> np.uint64(8 * DEPTH) & np.uint64(255)).astype(np.int64)
-            costs.append(tree.costs_at(whole, _recent(local, depth), (local >> np.uint64(8 * DEPTH + 8)).astype(np.int64)).tobytes())
-        return pd.DataFrame({"batch": at["batch"], "part": at["part"], "packed": costs})
-
-    def add(rows: pd.DataFrame, costs: pd.DataFrame) -> pd.DataFrame:
-        kinds, written, n, n_all = pickle.loads(rows["packed"].iloc[0])
-        p = _placed(kinds, written, n, n_parts)
-        found = np.concatenate([np.frombuffer(x) for x in costs.sort_values("part")["packed"]])
-        return pd.DataFrame({"kind": kinds, "word": written, "n_all": n_all, "cost": np.bincount(p.owner, found[p.back], minlength=len(written))})
-
-    costs = low.groupBy("part").cogroup(placed.where("part >= 0").groupBy("part")).applyInPandas(cost, "batch long, part int, packed binary")
-    costs = placed.where("part < 0").groupBy("batch").cogroup(costs.groupBy("batch"))
-    return costs.applyInPandas(add, "kind int, word binary, n_all long, cost double")
-
-
-def _gathered_up(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) >= rows:
-            yield pa.Table.from_batches(held)
-            held = []
-    if any(b.num_rows for b in held):
-        yield pa.Table.from_batches(held)
-
-
-def scored(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte: all texts by what ``training`` ones teach.
-
-    ``base_score`` is that of single words with one added to each count; ``score`` is log10 of the tree's
-    probability of the text, its kind included, and ``bits_per_byte`` the same as a code length over
-    the bytes of its words and the spaces after them. A null or empty text is its end alone. Repeated
-    rows give a row each; a null id stays null; other columns are left out. Without training texts every
-    decision is even.
-
-    Word counts are gathered from all texts. Words outside the most frequent meet their scores in a join.
+
+_SUMS = "uid long, doc_id {id}, n_tokens long, n_known long, base_score double, score double"
+
+
+def _summed(blocks: DataFrame, answers: DataFrame, buckets: int, n: int, v: int) -> DataFrame:
+    """Every piece's tokens, how many training knows, and both scores."""
+    id_type = blocks.schema["ids"].dataType.elementType.simpleString()
+
+    def add(block: pa.Table, answers: pa.Table) -> pa.Table:
+        lengths = np.asarray(block["lengths"][0].as_py(), dtype=np.int64)
+        own = Block(np.frombuffer(zstandard.decompress(block["buffer"][0].as_py()), dtype=np.uint8), lengths)
+        answers = answers.sort_by([("kind", "ascending"), ("bucket", "ascending")])
+
+        def answered(keys: np.ndarray, kind: int, dtype) -> np.ndarray:
+            label, distinct = pd.factorize(keys)
+            values = np.empty(len(distinct), dtype=dtype)
+            payload = [p.as_py() for k, p in zip(answers["kind"], answers["payload"]) if k.as_py() == kind]
+            values[dealt(distinct, kind, buckets)[0]] = np.concatenate([unpacked(p, dtype) for p in payload])
+            return values[label]
+
+        score = np.add.reduceat(answered(own.grams(), GRAMS, np.float32), np.cumsum(lengths) - lengths, dtype=np.float64)
+        words, piece = own.words()
+        counts = answered(words, WORDS, np.int64)
+        base = np.log10((counts + 1.0) / (n + v + 1.0))
+        m = len(lengths)
+        return pa.table(
+            {
+                "uid": pa.array(block["uids"][0].as_py(), pa.int64()), "doc_id": block["ids"].combine_chunks().flatten(),
+                "n_tokens": np.bincount(piece, minlength=m), "n_known": np.bincount(piece, weights=counts > 0, minlength=m).astype(np.int64),
+                "base_score": np.bincount(piece, weights=base, minlength=m), "score": score,
+            }
+        )
+
+    texts = blocks.select("block", "uids", "ids", "lengths", "buffer")
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(add, _SUMS.format(id=id_type))
+
+
+def scored(docs: DataFrame, trained: Column, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score: a row per row of ``docs``.
+
+    ``trained`` is a condition on ``docs``: the texts learnt from; null is no. Scores are log10 probabilities of whole texts, ``base_score`` by single
+    tokens (words and an end), ``score`` by the context tree. Null texts are empty: their end alone. Repeated rows count and
+    score each; an empty table gives no rows; without training texts every decision is a half.
+
+    Counts are of all training texts. A block has one gram a byte at most; a bucket holds the grams of some
+    three-byte contexts, so both grow with the texts only where they say something new.
     """
     spark = docs.sparkSession
-    words = materialise(vocabulary(docs, training, text_col=text_col), "vocabulary")
-    counts = words.groupBy("word").agg(F.sum("n").alias("count"))
-    known = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("tokens"), F.count(F.when(F.col("count") > 0, 1)).alias("words")).first()
-    log_total = float(np.log10(known["tokens"] + known["words"] + 1))
-    # A row per kind of text.
-    kinds = {r["kind"]: r["n"] for r in words.where(F.col("word") == F.lit(END)).select("kind", "n").collect()}
-    texts = sum(kinds.values())
-    kind_cost = {k: float(np.log10((kinds.get(k, 0) + 0.5) / (texts + (KINDS + 1) / 2))) for k in range(KINDS + 1)}
-
-    costs = materialise(word_costs(words).join(counts, "word"), "costs")
-    top = costs.orderBy(F.desc("n_all"), "kind", "word").limit(FREQUENT).select("kind", "word", "count", "cost").collect()
-    frequent = spark.sparkContext.broadcast({(k, bytes(w)): (n, c, math.log10(n + 1)) for k, w, n, c in top})
-    del top
-
-    schema = "doc_id {}, kind int, n_tokens long, n_bytes long, n_known long, base double, cost double, rare array<struct<word:binary,n:long>>"
-    schema = schema.format(docs.schema[id_col].dataType.simpleString())
-
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = frequent.value
-        for batch in batches:
-            rows, rare = [], []
-            for text in batch.column(1).to_pylist():
-                all_words = tokens(text)
-                of = Counter(all_words)
-                kind = kind_of(of)
-                of[END] = 1
-                n_known, base, total, others = 0, 0.0, 0.0, []
-                for w, n in of.items():
-                    hit = found.get((kind, w))
-                    if hit is None:
-                        others.append({"word": w, "n": n})
-                    else:
-                        n_known += n if hit[0] else 0
-                        base += n * (hit[2] - log_total)
-                        total += n * hit[1]
-                rows.append((kind, len(all_words) + 1, sum(map(len, all_words)) + len(all_words) + 1, n_known, base, total + kind_cost[kind]))
-                rare.append(others)
-            types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types]
-            lists = pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, lists], ["doc_id", "kind", "n_tokens", "n_bytes", "n_known", "base", "cost", "rare"])
-
-    looked = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string")).mapInArrow(look_up, schema)
-    looked = materialise(looked.withColumn("row", F.monotonically_increasing_id()), "looked_up")
-    others = looked.select("row", "kind", F.explode("rare").alias("r")).select("row", "kind", "r.word", "r.n")
-    joined = others.join(costs.select("kind", "word", "count", "cost"), ["kind", "word"])
-    rest = joined.groupBy("row").agg(
-        F.sum(F.when(F.col("count") > 0, F.col("n")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("n") * (F.log10(F.col("count") + 1) - log_total)).alias("base"),
-        F.sum(F.col("n") * F.col("cost")).alias("cost"),
-    )
-    rest = rest.select("row", *[F.col(c).alias(f"rest_{c}") for c in ("n_known", "base", "cost")])
-    whole = looked.drop("rare").join(rest, "row", "left").na.fill(0, ["rest_n_known", "rest_base", "rest_cost"])
-    score = F.col("cost") + F.col("rest_cost")
-    return whole.select(
-        "doc_id",
-        "n_tokens",
-        (F.col("n_known") + F.col("rest_n_known")).alias("n_known"),
-        F.lit(known["tokens"]).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("rest_base")).alias("base_score"),
-        score.alias("score"),
-        (-score * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks = materialise(_blocks(docs, trained, id_col, text_col, buckets), "blocks")
+    parts = blocks.select("block", F.inline("parts"))
+    words = materialise(_word_counts(parts), "words")
+    n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    mine = materialise(_contributions(parts), "contributions")
+    sums = mine.groupBy("key").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("inside").alias("inside"))
+    level = materialise(_weighted(sums), "level")
+    states = mine.select("bucket", "key").join(_states(level, spark), "key")
+    grams = _gram_costs(parts, states)
+    answers = words.select("block", "kind", "bucket", "payload").union(grams)
+    pieces_summed = _summed(blocks, answers, buckets, n, v)
+    by_text = pieces_summed.groupBy("uid").agg(
+        F.first("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
     )
+    return by_text.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
