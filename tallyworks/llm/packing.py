@@ -25,8 +25,9 @@ from tallyworks.functions.lineage import stage_path
 
 MAX_LENGTH = 2048
 END_ID = 1
-# Distinct words and parts whose ids a worker remembers; beyond it starts afresh. Some 200 bytes each.
-WORDS_REMEMBERED = 600_000
+# Distinct words and parts whose ids a worker remembers, in two generations: once the younger has half, the older is
+# dropped, but for the words met again since. Some 200 bytes each.
+WORDS_REMEMBERED = 700_000
 
 
 # --- tokens -------------------------------------------------------------------
@@ -68,6 +69,7 @@ class WordTokens:
         self.type = "H" if size <= 1 << 16 else "I"
         self.dtype = np.dtype("<u2" if self.type == "H" else "<u4")
         self.ids: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         made = json.loads(self.tokenizer.to_str())
         split = json.dumps(made["pre_tokenizer"]).replace("\\\\", "\\")
         suffix = made["model"].get("end_of_word_suffix")
@@ -115,13 +117,15 @@ class WordTokens:
     def of(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text as bytes; none for null."""
         for at in range(0, len(texts), TEXTS_AT_ONCE):
-            if len(self.ids) > WORDS_REMEMBERED:
-                self.ids.clear()
+            if len(self.ids) > WORDS_REMEMBERED // 2:
+                self.ids, self.older = {}, self.ids
             words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts[at : at + TEXTS_AT_ONCE]]
             found = [list(map(self.ids.get, w)) for w in words]
             new = {w for ids, of in zip(found, words) if None in ids for w, i in zip(of, ids) if i is None}
-            if new:
-                self._learn(new)
+            again = new & self.older.keys()
+            self.ids.update((w, self.older[w]) for w in again)
+            if len(again) < len(new):
+                self._learn(new - again)
             for ids, of in zip(found, words):
                 yield b"".join(map(self.ids.__getitem__, of) if None in ids else ids)
 
