@@ -74,3 +74,18 @@ def numbered(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     joined = placed.join(starts, "_part")
     return joined.withColumn(name, (F.col("_start") + F.col("_place")).cast("long")).drop("_part", "_place", "_start")
 
+
+# Keys with more than this part of all rows are joined apart.
+HEAVY_PARTS = 2000
+
+
+def spread_join(rows: DataFrame, small: DataFrame, key: str, n: str = "_n") -> DataFrame:
+    """Inner join of ``rows`` with one row per key, of which ``n`` says how many of the rows have it; ``n`` goes.
+
+    Fewer than ``HEAVY_PARTS`` keys can have more than that part of the rows. Those are broadcast, so their rows stay where they are;
+    what is dealt by key has no group larger than that.
+    """
+    total = small.agg(F.sum(n)).scalar()
+    heavy = F.coalesce(F.col(n) * HEAVY_PARTS > total, F.lit(False))
+    few, rest = small.where(heavy).drop(n), small.where(~heavy).drop(n)
+    return rows.join(F.broadcast(few), key).unionByName(rows.join(rest, key))

@@ -1,9 +1,9 @@
 """Repeated runs of lines across a corpus, found by winnowing and deleted but for the first.
 
-From every line with a word a window reaches as far as ``min_words`` words. Its line with the
+From every line with a word a window reaches as far as ``min_words`` words, forwards and back. Its line with the
 least hash is its fingerprint: equal runs of that many words have equal windows, so they are
 certain to select equal fingerprints. Positions with a fingerprint found elsewhere are joined on
-what the whole window around it says; the matches are extended over the neighbouring windows that
+what the whole window around it says; the matches are extended both ways over the neighbouring windows that
 match as well, and every run but the earliest is deleted.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyworks.functions.lineage import materialise
-from tallyworks.llm.common import ROW, SPACES, n_words, row_only, with_row
+from tallyworks.llm.common import ROW, SPACES, n_words, row_only, spread_join, with_row
 
 # Words that a run must have to count as repeated.
 MIN_WORDS = 50
@@ -33,15 +33,14 @@ def _document_key(id_col: str, text_col: str) -> Column:
 
 
 def windows(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, both_ways: bool = False
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS
 ) -> DataFrame:
-    """key, pos, end, least, content: a window per line with a word, as far as there are words enough.
+    """key, pos, end, least, content: the windows that begin and that end with each line, as far as there are words enough.
 
     ``pos`` and ``end`` number the lines of the text, ``least`` is the least line hash of the window,
     ``content`` a hash of its lines in order. Lines are compared without white space at either end;
-    lines without a word are passed over. Rows of the same id and text are one document. With ``both_ways``
-    every line also has the window that ends with it; every run of ``min_words`` words is covered by
-    the windows within it, its last lines by the one that ends with its end.
+    lines without a word are passed over. Rows of the same id and text are one document. Every run of ``min_words``
+    words is covered by the windows within it: its first lines by those that begin with them, its last by those that end.
     """
     each = F.filter(
         F.transform(_split(F.col(f"`{text_col}`").cast("string")), lambda line, i: F.struct(i.alias("pos"), _trimmed(line).alias("line"))),
@@ -62,24 +61,22 @@ def windows(
         F.min("hash").over(ahead).alias("least"),
         F.xxhash64(F.collect_list("hash").over(ahead)).alias("content"),
     )
-    if both_ways:
-        # By the words up to a line's end; a window back ends where ``min_words`` are reached.
-        upto_end = F.col("before") + F.col("words")
-        behind = Window.partitionBy("key").orderBy("upto").rangeBetween(-(min_words - 1), 0)
-        back = lines.withColumn("upto", upto_end).select(
-            "key",
-            F.min("pos").over(behind).alias("pos"),
-            F.col("pos").alias("end"),
-            F.sum("words").over(behind).alias("n"),
-            F.min("hash").over(behind).alias("least"),
-            F.xxhash64(F.collect_list("hash").over(behind)).alias("content"),
-        )
-        found = found.union(back)
+    # By the words up to a line's end; a window back ends where ``min_words`` are reached.
+    behind = Window.partitionBy("key").orderBy("upto").rangeBetween(-(min_words - 1), 0)
+    back = lines.withColumn("upto", F.col("before") + F.col("words")).select(
+        "key",
+        F.min("pos").over(behind).alias("pos"),
+        F.col("pos").alias("end"),
+        F.sum("words").over(behind).alias("n"),
+        F.min("hash").over(behind).alias("least"),
+        F.xxhash64(F.collect_list("hash").over(behind)).alias("content"),
+    )
+    found = found.union(back)
     return found.where(F.col("n") >= min_words).drop("n")
 
 
 def repeated_runs(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, both_ways: bool = False
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS
 ) -> DataFrame:
     """key, runs: per document with any its runs of lines, as (first, last), that stand earlier already.
 
@@ -87,17 +84,17 @@ def repeated_runs(
     A run is as long as its windows overlap or touch. A window found earlier costs one row, however often it
     occurs; no two positions are paired but each with the first of its kind.
     """
-    found = materialise(windows(docs, id_col=id_col, text_col=text_col, min_words=min_words, both_ways=both_ways), "windows")
+    found = materialise(windows(docs, id_col=id_col, text_col=text_col, min_words=min_words), "windows")
     place = F.struct(F.col("key.id").isNull().alias("no_id"), F.col("key").alias("key"), F.col("pos").alias("pos"))
     # Fingerprints selected at more than one position.
-    selected = found.groupBy("least").agg(F.min(F.struct("key", "pos")).alias("one"), F.max(F.struct("key", "pos")).alias("other"))
-    shared = selected.where("one <> other").select("least")
-    candidates = found.join(shared, "least", "left_semi")
-    firsts = candidates.groupBy("content").agg(F.min(place).alias("first"))
-    later = candidates.join(firsts, "content").where(place != F.col("first")).select("key", "pos", "end")
+    selected = found.groupBy("least").agg(F.min(F.struct("key", "pos")).alias("one"), F.max(F.struct("key", "pos")).alias("other"), F.count("*").alias("_n"))
+    candidates = materialise(spread_join(found, selected.where("one <> other").select("least", "_n"), "least"), "candidates")
+    firsts = candidates.groupBy("content").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("_n"))
+    firsts = firsts.where("first <> last").select("content", "first", "_n")
+    later = spread_join(candidates, firsts, "content").where(place != F.col("first")).select("key", "pos", "end")
     so_far = Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    if both_ways:  # a line may start several windows; the longest says how far they reach
-        later = later.groupBy("key", "pos").agg(F.max("end").alias("end"))
+    # A line may begin several windows; the longest says how far they reach.
+    later = later.groupBy("key", "pos").agg(F.max("end").alias("end"))
     starts = later.withColumn("reached", F.max("end").over(so_far)).withColumn("starts", F.coalesce(F.col("pos") > F.col("reached") + 1, F.lit(True)))
     numbered = starts.withColumn("run", F.sum(F.col("starts").cast("int")).over(Window.partitionBy("key").orderBy("pos")))
     runs = numbered.groupBy("key", "run").agg(F.min("pos").alias("first"), F.max("end").alias("last"))
@@ -111,14 +108,14 @@ def without_runs(text: Column, runs: Column) -> Column:
 
 
 def marked(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, both_ways: bool = False
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS
 ) -> DataFrame:
     """Every row (``_row``) with ``runs``, the (first, last) lines of its repeated runs, or null, and ``kept``, its text without.
 
     Null texts stay null. Rows of the same id and text are one document and treated alike. An empty
     table gives no rows.
     """
-    runs = materialise(repeated_runs(docs, id_col=id_col, text_col=text_col, min_words=min_words, both_ways=both_ways), "runs")
+    runs = materialise(repeated_runs(docs, id_col=id_col, text_col=text_col, min_words=min_words), "runs")
     rows = with_row(docs, key=_document_key(id_col, text_col))
     text = F.col(ROW).getField(text_col).cast("string")
     # The texts are dealt by key whatever the number of runs, so that costs are in proportion at any size.
@@ -126,12 +123,9 @@ def marked(
 
 
 def deduplicated(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, both_ways: bool = False
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS
 ) -> DataFrame:
-    """``docs`` with repeated runs taken out of the texts; all rows and columns stay, empty texts too.
-
-    With ``both_ways`` a run goes on as far as it repeats at either end; without, it ends with its last window forward.
-    """
-    rows = marked(docs, id_col=id_col, text_col=text_col, min_words=min_words, both_ways=both_ways)
+    """``docs`` with repeated runs taken out of the texts, as far as they repeat at either end; all rows and columns stay, empty texts too."""
+    rows = marked(docs, id_col=id_col, text_col=text_col, min_words=min_words)
     changed = F.col(ROW).withField(f"`{text_col}`", F.col("kept"))
     return row_only(rows.select(F.when(F.col("runs").isNull(), F.col(ROW)).otherwise(changed).alias(ROW)))

@@ -18,7 +18,7 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id"""
 
-# Every window of at least 50 words that stands earlier already marks its lines; runs are what they cover.
+# Every window of at least 50 words, from a line on or up to it, that stands earlier already marks its lines; runs are what they cover.
 SQL["op6_line_dedup"] = r"""
 WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
   every AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS pos FROM d),
@@ -26,9 +26,12 @@ WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l F
     len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM every WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
   placed AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM worded),
   win AS (SELECT doc_id, pos, max(pos) OVER w AS stop, sum(words) OVER w AS n, md5(string_agg(line, chr(10)) OVER w) AS content
-    FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+    FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
+    UNION SELECT doc_id, min(pos) OVER w, pos, sum(words) OVER w, md5(string_agg(line, chr(10)) OVER w)
+    FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY before + words RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
   ranked AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, pos) AS k FROM win WHERE n >= 50),
-  later AS (SELECT *, max(stop) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM ranked WHERE k > 1),
+  longest AS (SELECT doc_id, pos, max(stop) AS stop FROM ranked WHERE k > 1 GROUP BY ALL),
+  later AS (SELECT *, max(stop) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM longest),
   numbered AS (SELECT *, sum((reached IS NULL OR pos > reached + 1)::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM later),
   runs AS (SELECT doc_id, run, min(pos) AS head, max(stop) AS tail FROM numbered GROUP BY ALL),
   kept AS (SELECT every.doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM every

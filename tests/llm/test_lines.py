@@ -1,46 +1,6 @@
-from collections import defaultdict
-
 from pyspark.sql import functions as F
 
-from tallyworks.llm import lines
-
-
-def brute_force(rows, min_words):
-    """Texts without what lies in a window of at least ``min_words`` words that stands earlier already."""
-    seen, marked = set(), defaultdict(set)
-    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k))
-    for k in order:
-        worded = [(i, x.strip(" \t\x0b\x0c\r")) for i, x in enumerate((rows[k][1] or "").split("\n")) if x.split()]
-        found = []
-        for a in range(len(worded)):
-            n, b = 0, a
-            while b < len(worded) and n < min_words:
-                n += len(worded[b][1].split())
-                b += 1
-            if n < min_words:
-                break
-            content = tuple(x for _, x in worded[a:b])
-            if content in seen:
-                marked[k].add((worded[a][0], worded[b - 1][0]))
-            seen.add(content)
-    out = []
-    for k, (i, text) in enumerate(rows):
-        spans = marked[k]
-        covered = {p for a, b in spans for p in range(a, b + 1)}
-        out.append(text if not spans else "\n".join(x for p, x in enumerate(text.split("\n")) if p not in covered))
-    return out
-
-
-def test_runs_equal_brute_force(spark):
-    import random
-
-    rng = random.Random(2)
-    pool = [" ".join(f"w{rng.randrange(50)}" for _ in range(rng.randrange(1, 9))) for _ in range(25)]
-    rows = [(i, "\n".join(rng.choice([*pool, "", " "]) for _ in range(rng.randrange(0, 20)))) for i in range(60)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    for min_words in (1, 7, 12):
-        got = {r.doc_id: r.text for r in lines.deduplicated(docs, min_words=min_words).collect()}
-        assert got == dict(zip(range(60), brute_force(rows, min_words)))
+from tallyworks.llm import common, lines
 
 
 def test_a_long_passage_goes_from_all_but_its_first_document(spark):
@@ -55,7 +15,7 @@ def test_a_long_passage_goes_from_all_but_its_first_document(spark):
 def test_odd_rows(spark):
     long = "\n".join(f"line {i} " + "x " * 30 for i in range(4))
     rows = [(None, long, "a"), (None, None, "b"), (1, "", "c"), (2, long, "d"), (2, long, "d"), (3, long + "\n" + long, "e")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string").withColumns({c: F.lit(0) for c in ("runs", "kept", "least", "content", "first", "_n")})
     got = sorted(((r.doc_id, r.text, r.key) for r in lines.deduplicated(docs).collect()), key=str)
     # Rows of the same id and text are one document and keep the same.
     want = [(None, "", "a"), (None, None, "b"), (1, "", "c"), (2, long, "d"), (2, long, "d"), (3, "", "e")]
@@ -89,15 +49,31 @@ def test_runs_reach_as_far_as_they_repeat(spark):
     rows = [(i, "\n".join(rng.choice([*pool, "", " "]) for _ in range(rng.randrange(0, 16)))) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     for min_words in (1, 9, 14):
-        got = {r.doc_id: r.text for r in lines.deduplicated(docs, min_words=min_words, both_ways=True).collect()}
+        got = {r.doc_id: r.text for r in lines.deduplicated(docs, min_words=min_words).collect()}
         # Blank lines between windows may stay.
         worded = lambda t: [x for x in t.split("\n") if x.split()]
         assert {i: worded(t) for i, t in got.items()} == dict(enumerate(map(worded, maximal_runs(rows, min_words))))
 
 
-def test_both_ways_takes_the_last_lines_of_a_run_too(spark):
+def test_the_last_lines_of_a_run_go_too(spark):
     passage = " ".join(f"a{i}" for i in range(60)) + "\n" + " ".join(f"b{i}" for i in range(45))
     rows = [(k, f"{passage}\nown {k} end") for k in (1, 2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.text for r in lines.deduplicated(docs, both_ways=True).collect()}
+    got = {r.doc_id: r.text for r in lines.deduplicated(docs).collect()}
     assert got == {1: rows[0][1], 2: "own 2 end"}
+
+
+def test_a_very_long_text_and_a_very_long_line(spark):
+    many = "\n".join(f"line {i} of the long text" for i in range(20_000))
+    one = " ".join(f"v{i}" for i in range(200_000))
+    rows = [(1, many), (2, "own\n" + many), (3, one), (4, one + "\nown")]
+    got = {r.doc_id: r.text for r in lines.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: many, 2: "own", 3: one, 4: "own"}
+
+
+def test_a_line_that_half_the_documents_share(spark, monkeypatch):
+    monkeypatch.setattr(common, "HEAVY_PARTS", 3)
+    common_line = " ".join(f"c{i}" for i in range(60))
+    rows = [(i, f"{common_line}\nown {i}" if i % 2 else f"own {i}\n" + " ".join(f"u{i // 4}w{j}" for j in range(55))) for i in range(80)]
+    got = {r.doc_id: r.text for r in lines.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    assert got == dict(enumerate(maximal_runs(rows, 50)))
