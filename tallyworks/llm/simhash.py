@@ -9,7 +9,6 @@ budgets allow. The longer chains and the full distance are checked within the jo
 
 from __future__ import annotations
 
-import hashlib
 from itertools import combinations, repeat
 
 import numpy as np
@@ -23,6 +22,8 @@ from tallyworks.llm.common import ROW, row_only, with_row
 from tallyworks.llm.graph import components
 
 SEED = 42
+# Words of a shingle, and the most bits in which linked fingerprints differ.
+SHINGLE, BUDGET = 3, 3
 # Bits of a join key: so many that unrelated fingerprints hardly meet.
 KEY_BITS = 32
 # Hashes voted on at a time, which bounds the memory for long texts.
@@ -53,8 +54,8 @@ def simhash(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fingerprint): the SimHash of each whole text over its ``shingle``-word runs as a long.
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, text_key, fingerprint): a hash of each whole text, and its SimHash over its ``shingle``-word runs as a long.
 
     Null, empty and blank texts have fingerprint zero. Repeated rows give a row each.
     """
@@ -63,7 +64,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([simhash(shingle_hashes(t, shingle)) for t in texts], dtype="int64")
 
-    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), of(F.col(f"`{text_col}`").cast("string")).alias("fingerprint"))
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), _text_key(text_col).alias("text_key"), of(F.col(f"`{text_col}`").cast("string")).alias("fingerprint"))
 
 
 # --- pigeonring ---------------------------------------------------------------
@@ -89,21 +90,11 @@ def _allowed(length: int, width: int, budget: int, segments: int) -> list[int]:
     return kept
 
 
-def within_budget(
-    prints: DataFrame,
-    words: list[str],
-    *,
-    key: str,
-    kind: Column | None = None,
-    budget: int = 3,
-    segments: int = 4,
-    only: Column | None = None,
-) -> DataFrame:
+def within_budget(prints: DataFrame, words: list[str], *, key: str, budget: int = BUDGET, segments: int = 4) -> DataFrame:
     """Pairs of rows of ``prints`` (aliases ``a`` and ``b``) whose fingerprints differ in at most ``budget`` bits.
 
-    ``words`` names the 64-bit columns of a fingerprint, ``key`` the column that tells rows apart. Only rows
-    of one ``kind`` meet. ``only`` is a further condition on ``a`` and ``b``. A pair may come more than once; which
-    of the two is ``a`` is not said.
+    ``words`` names the 64-bit columns of a fingerprint, ``key`` the column that tells rows apart. A pair may
+    come more than once; which of the two is ``a`` is not said.
     """
     width = 64 * len(words) // segments
     length = -(-KEY_BITS // width)
@@ -117,9 +108,8 @@ def within_budget(
             out = F.shiftleft(out, width).bitwiseOR(part)
         return out
 
-    kind = F.lit(0) if kind is None else kind
     chains = F.array(*[F.struct(F.lit(s).alias("start"), value(s).alias("value")) for s in range(segments)])
-    filed = prints.withColumn("kind", kind.cast("int")).withColumn("chain", F.explode(chains))
+    filed = prints.withColumn("chain", F.explode(chains))
     filed = filed.select("*", F.col("chain.start").alias("start"), F.col("chain.value").alias("value")).drop("chain")
     asked = filed
     if patterns != [0]:
@@ -136,7 +126,7 @@ def within_budget(
             parts.append(F.bit_count(x if masks is None else x.bitwiseAND(F.lit(masks[i]).cast("long"))))
         return sum(parts[1:], parts[0])
 
-    on = (F.col("a.kind") == F.col("b.kind")) & (F.col("a.start") == F.col("b.start")) & (F.col("a.value") == F.col("b.value"))
+    on = (F.col("a.start") == F.col("b.start")) & (F.col("a.value") == F.col("b.value"))
     for l in range(length, segments):
         by_start = [differing(_chain_masks(s, l, width, len(words))) for s in range(segments)]
         within = F.lit(False)
@@ -146,16 +136,14 @@ def within_budget(
     # Where a row asks for its own value alone, both would find the other.
     on = on & (F.col(f"a.{key}") < F.col(f"b.{key}") if patterns == [0] else F.col(f"a.{key}") != F.col(f"b.{key}"))
     on = on & (differing(None) <= budget)
-    return asked.alias("a").join(filed.alias("b"), on if only is None else on & only)
+    return asked.alias("a").join(filed.alias("b"), on)
 
 
-def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = 3) -> DataFrame:
-    """(doc_id, fingerprint, component_id): documents whose fingerprints link at ``budget`` or fewer
-    differing bits, with the least ``doc_id`` that links reach.
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, budget: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key, fingerprint) of every row, and (fingerprint, root, component_id) of every fingerprint.
 
     Copies share a fingerprint, and links are sought between different fingerprints only, so that
-    a group of copies is one node whatever its size. Every row has a result. A null ``doc_id`` is
-    reached like any other, but never names a component unless there is no other.
+    a group of copies is one node whatever its size.
     """
     prints = materialise(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
     nodes = materialise(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "nodes")
@@ -164,156 +152,37 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
     roots = components(pairs.select(F.col("a.fingerprint").alias("u"), F.col("b.fingerprint").alias("v")))
     members = materialise(roots.join(nodes, F.col("node") == F.col("fingerprint")), "members")
     least = members.groupBy("root").agg(F.min("least").alias("component_id"))
-    reached = members.select("fingerprint", "root").join(least, "root").drop("root")
-    named = nodes.join(reached, "fingerprint", "left").select("fingerprint", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    reached = members.select("fingerprint", "root").join(least, "root")
+    root, component = F.coalesce("root", "fingerprint").alias("root"), F.coalesce("component_id", "least").alias("component_id")
+    return prints, nodes.join(reached, "fingerprint", "left").select("fingerprint", root, component)
 
 
-# --- texts of a given similarity ------------------------------------------------
-
-# A text has PRINTS fingerprints of 128 bits. Each is the SimHash of the VOTES shingles that come
-# first in an order of its own, so that texts of similarity s agree in one with chance s ** VOTES:
-# at 0.8 one of 14 pairs agrees with 0.9994, at 0.2 with 0.02.
-PRINTS = 14
-VOTES = 4
-PRINT_WORDS = ["high", "low"]
-
-_PRINTED = T.StructType(
-    [
-        T.StructField("copy_key", T.StringType()),
-        T.StructField("n_shingles", T.LongType()),
-        T.StructField("prints", T.ArrayType(T.StructType([T.StructField(w, T.LongType()) for w in PRINT_WORDS]))),
-    ]
-)
+def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
+    """(doc_id, fingerprint, component_id): documents whose fingerprints link at ``budget`` or fewer
+    differing bits, with the least ``doc_id`` that links reach.
 
+    Every row has a result. A null ``doc_id`` is reached like any other, but never names a component unless there is no other.
+    """
+    prints, named = _grouped(docs, id_col, text_col, shingle, budget)
+    return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
-def _scattered(x: np.ndarray, seed: np.ndarray | int) -> np.ndarray:
-    """A bijective mix of 64-bit numbers that depends on ``seed``."""
-    z = x + np.uint64(0x9E3779B97F4A7C15) * np.asarray(seed, dtype=np.uint64)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
 
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
+    """The rows of ``docs`` of which each component of :func:`linked` keeps one: its least by ``doc_id``, then by a hash of the text.
 
-def voted_prints(hashes: np.ndarray) -> np.ndarray:
-    """(PRINTS, 2) signed words: per order the SimHash of its first VOTES distinct shingles."""
-    if not len(hashes):
-        return np.zeros((PRINTS, 2), dtype=np.int64)
-    seeds = np.arange(1, PRINTS + 1, dtype=np.uint64)[:, None]
-    first = np.empty((PRINTS, 0), dtype=np.uint64)
-    for start in range(0, len(hashes), VOTED_AT_ONCE):
-        orders = np.concatenate([first, _scattered(hashes[None, start : start + VOTED_AT_ONCE], seeds)], axis=1)
-        first = np.partition(orders, VOTES - 1, axis=1)[:, :VOTES] if orders.shape[1] > VOTES else orders
-    words = np.stack([_scattered(first, 101), _scattered(first, 102)], axis=2)
-    bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(PRINTS, -1, 16), axis=2)
-    over_half = 2 * bits.sum(1, dtype=np.int64) > first.shape[1]
-    return np.packbits(over_half, axis=1).view("<i8")
-
-
-def _printed(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    @F.pandas_udf(_PRINTED)
-    def of(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            hashes = np.unique(shingle_hashes(t, shingle))
-            whole = b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split())
-            prints = [{"high": int(h), "low": int(l)} for h, l in voted_prints(hashes)]
-            rows.append((hashlib.md5(whole).hexdigest(), len(hashes), prints))
-        return pd.DataFrame(rows, columns=["copy_key", "n_shingles", "prints"])
-
-    text = F.col(f"`{text_col}`").cast("string")
-    keyed = docs.select(F.col(f"`{id_col}`").alias("doc_id"), _text_key(text_col).alias("text_key"), of(text).alias("p"))
-    return keyed.select("doc_id", "text_key", "p.copy_key", "p.n_shingles", "p.prints")
+    Of repeated rows one stays. A null ``doc_id`` comes after all others. Texts without words, null ones too, are copies of
+    each other. An empty table gives no rows.
+    """
+    prints, named = _grouped(docs, id_col, text_col, shingle, budget)
+    rows = prints.join(named.select("fingerprint", "root"), "fingerprint")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))).alias("f")
+    keep = rows.groupBy("root").agg(first).select(F.col("f.id").alias("_id"), F.col("f.key").alias("_key"))
+    keep = materialise(keep, "keep")
+    keyed = with_row(docs, doc_id=F.col(f"`{id_col}`"), text_key=_text_key(text_col))
+    kept = keyed.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
+    # Rows of one id and text that repeat; there may be many, so all but one go before they meet.
+    return row_only(kept.groupBy("doc_id", "text_key").agg(F.first(ROW).alias(ROW)).select(ROW))
 
 
 def _text_key(text_col: str) -> Column:
     return F.md5(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-
-
-def _similar(pairs: DataFrame, sets: DataFrame, min_similarity: float) -> DataFrame:
-    """Those of the pairs (u, v) whose shingle sets have at least that Jaccard similarity."""
-    one = sets.select(F.col("node").alias("u"), F.col("shingles").alias("us"))
-    two = sets.select(F.col("node").alias("v"), F.col("shingles").alias("vs"))
-    both = pairs.join(one, "u").join(two, "v")
-    common = F.size(F.array_intersect("us", "vs"))
-    either = F.size("us") + F.size("vs") - common
-    return both.where(common >= F.lit(float(min_similarity)) * either).select("u", "v")
-
-
-def _shingle_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(node, shingles): the distinct shingles of each node's text."""
-
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in texts])
-
-    texts = docs.select(F.col(f"`{id_col}`").alias("_id"), _text_key(text_col).alias("_key"), F.col(f"`{text_col}`").cast("string").alias("_text"))
-    named = nodes.join(texts, F.col("least_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
-    return materialise(named.select("node", of("_text").alias("shingles")).dropDuplicates(["node"]), "shingles")
-
-
-def near_groups(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, min_similarity: float = 0.8, budget: int = 3
-) -> DataFrame:
-    """(doc_id, text_key, group_id, first): documents with the near-duplicate group they belong to.
-
-    Two texts are linked if their sets of ``shingle``-word runs have Jaccard similarity
-    ``min_similarity`` or more; a group is all that links reach, named by its least ``doc_id``.
-    ``first`` marks its least row by ``doc_id``, then text. Texts without words are copies of each other.
-
-    Texts of the same words are one node. Candidates are nodes with a fingerprint within
-    ``budget`` bits. Within a fingerprint every node is compared with the least one first; after
-    that only nodes that are not yet connected are compared, so a group of any number of near
-    copies costs a comparison a member. Every candidate ends up compared or connected.
-    """
-    prints = materialise(_printed(docs, id_col, text_col, shingle), "prints")
-    least = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("least_id"), F.col("text_key").alias("text_key")))
-    nodes = prints.groupBy(F.col("copy_key").alias("node")).agg(least.alias("l"), F.first("prints").alias("prints"), F.first("n_shingles").alias("n"))
-    nodes = nodes.where("n > 0").select("node", "l.least_id", "l.text_key", "n", F.posexplode("prints").alias("kind", "p"))
-    nodes = materialise(nodes.select("*", *[f"p.{w}" for w in PRINT_WORDS]).drop("p"), "nodes")
-    names = nodes.where("kind = 0").select("node", "least_id", "text_key")
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        return _shingle_sets(docs, names.join(wanted, "node"), id_col, text_col, shingle)
-
-    # Every node of a fingerprint with the least one.
-    shared = nodes.groupBy("kind", *PRINT_WORDS).agg(F.min("node").alias("u"), F.count("*").alias("n_nodes")).where("n_nodes > 1")
-    stars = nodes.join(shared, ["kind", *PRINT_WORDS]).where("u <> node").select("u", F.col("node").alias("v")).distinct()
-    stars = materialise(stars, "stars")
-    close = materialise(_similar(stars, sets_of(stars), min_similarity), "close")
-
-    # What is within the budget and not connected yet.
-    roots = components(close)
-    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = materialise(rooted.select("node", "kind", "n", "root", *PRINT_WORDS), "rooted")
-    sizes = F.least("a.n", "b.n") >= F.lit(float(min_similarity)) * F.greatest("a.n", "b.n")
-    apart = (F.col("a.root") != F.col("b.root")) & sizes
-    cross = within_budget(rooted, PRINT_WORDS, key="node", kind=F.col("kind"), budget=budget, only=apart)
-    cross = cross.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
-    cross = materialise(cross.join(stars, ["u", "v"], "left_anti"), "cross")
-    links = close.union(_similar(cross, sets_of(cross), min_similarity))
-
-    groups = materialise(components(links), "groups")
-    every = prints.join(groups, F.col("copy_key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "copy_key"))
-    every = materialise(every.select("doc_id", "text_key", "root"), "every")
-    first = every.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))).alias("f"))
-    named = every.join(first.select("root", "f.id", "f.key"), "root")
-    is_first = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key"))
-    return named.select("doc_id", "text_key", F.col("id").alias("group_id"), is_first.alias("first"))
-
-
-def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` of which each near-duplicate group keeps one: its least by ``doc_id``, then text.
-
-    Of repeated rows one stays. A null ``doc_id`` comes after all others. Texts without words, null
-    ones too, are copies of each other.
-    """
-    groups = near_groups(docs, id_col=id_col, text_col=text_col, **options)
-    keep = groups.where("first").groupBy("doc_id", "text_key").agg(F.count("*").alias("n"))
-    keep = materialise(keep.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"}), "keep")
-    rows = with_row(docs, doc_id=F.col(f"`{id_col}`"), text_key=_text_key(text_col))
-    rows = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
-    once = rows.where("n = 1").select(ROW)
-    repeated = rows.where("n > 1").groupBy("doc_id", "text_key").agg(F.first(ROW).alias(ROW)).select(ROW)
-    return row_only(once.union(repeated))

@@ -1,13 +1,13 @@
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
-from test_lines import brute_force
+from test_lines import maximal_runs
 from test_rules_and_mixing import filled
-from test_simhash import roots_of
+from test_simhash import reference_print, roots_of
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
@@ -18,15 +18,8 @@ SF = "/root/testdata/sf0.001"
 
 
 def near_roots(rows):
-    sets, by = [], defaultdict(list)
-    for _, t in rows:
-        w = t.encode().lower().split()
-        sets.append({b" ".join(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else {b""})
-    for i, s in enumerate(sets):
-        for x in s:
-            by[x].append(i)
-    links = [(i, j) for i, s in enumerate(sets) for j in {j for x in s for j in by[x] if j < i} if len(s & sets[j]) >= 0.8 * len(s | sets[j])]
-    return roots_of(len(rows), links)
+    prints = [reference_print(t) for _, t in rows]
+    return roots_of(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 3])
 
 
 def test_stages_equal_brute_force(spark):
@@ -45,7 +38,7 @@ def test_stages_equal_brute_force(spark):
 
     cleaned = materialise(line_dedup(spark, kept, SF), "cleaned")
     rows = sorted((r.doc_id, r.text) for r in kept.collect())
-    want = brute_force(rows, 50)
+    want = maximal_runs(rows, 50)
     got = sorted((r.doc_id, r.text, r.n_chars) for r in cleaned.collect())
     assert cleaned.columns == columns and got == [(i, t, len(t)) for (i, _), t in zip(rows, want)]
 
@@ -89,4 +82,4 @@ def test_run_gives_what_the_stages_give(spark):
     assert result.agg(F.sum("length")).first()[0] > 0
     assert "pipeline" not in entry.oracle_sql()
     ops = {int(n[2:].split("_")[0]) for n in entry.queries() if n.startswith("op")}
-    assert ops == set(range(1, 11))
+    assert ops == set(range(1, 14))

@@ -1,5 +1,6 @@
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from tallyworks.llm import graph, simhash
 
@@ -66,51 +67,34 @@ def test_components_are_those_of_a_search(spark):
     assert graph.components(spark.createDataFrame([], "u int, v int")).count() == 0
 
 
-def jaccard(a, b, k=5):
-    sets = []
-    for t in (a, b):
-        w = t.lower().split()
-        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or {tuple(w)})
-    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
-
-
-def test_near_groups_against_all_pairs(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    rows = sorted((r.doc_id, r.text) for r in docs.collect())
-    links = []
-    sets = []
-    for _, t in rows:
-        w = t.encode().lower().split()
-        sets.append({b" ".join(w[i : i + 5]) for i in range(len(w) - 4)} or {b" ".join(w)})
-    by = {}
-    for i, s in enumerate(sets):
-        for x in s:
-            by.setdefault(x, []).append(i)
-    for i, s in enumerate(sets):
-        for j in {j for x in s for j in by[x] if j < i}:
-            if len(s & sets[j]) >= 0.8 * len(s | sets[j]):
-                links.append((i, j))
-    least = roots_of(len(rows), links)
-    got = {r.doc_id: r.group_id for r in simhash.near_groups(docs).collect()}
-    assert got == {d: rows[least[i]][0] for i, (d, _) in enumerate(rows)}
+def test_one_document_of_each_component_stays(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    least = {r.component_id for r in simhash.linked(docs).collect()}
     kept = simhash.deduplicated(docs)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(set(got.values()))
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(least)
+    assert 0 < len(least) < docs.count()
 
 
 def test_deduplicated_handles_odd_rows(spark):
     text = " ".join(f"w{i}" for i in range(60))
-    near = text.replace("w59", "other")
-    rows = [(5, text, 1), (3, near, 2), (3, near, 2), (None, text, 3), (7, None, 4), (8, "", 5), (9, "one", 6), (None, None, 7)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, n long")
-    got = sorted((r.doc_id, r.n) for r in simhash.deduplicated(docs).collect())
-    assert got == [(3, 2), (7, 4), (9, 6)]
+    rows = [(5, text, 1), (3, text.upper(), 2), (3, text.upper(), 2), (None, text, 3), (7, None, 4), (8, "", 5), (9, "one", 6), (None, None, 7), (None, "alone here", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long").withColumns({c: F.lit("z") for c in ("fingerprint", "root", "node", "text_key", "least")})
+    got = sorted((r.doc_id or 0, r.n) for r in simhash.deduplicated(docs).collect())
+    assert got == [(0, 8), (3, 2), (7, 4), (9, 6)]
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in simhash.linked(docs).collect()) == sorted(
+        [(5, 3), (3, 3), (3, 3), (0, 3), (7, 7), (8, 7), (9, 9), (0, 7), (0, 0)]
+    )
     assert simhash.deduplicated(docs.limit(0)).count() == 0
     assert simhash.linked(docs.limit(0)).count() == 0
 
 
-def test_a_large_group_of_near_copies_is_one_group(spark):
-    base = [f"w{i}" for i in range(400)]
-    rows = [(i, " ".join(base[:i] + ["x" + str(i)] + base[i + 1 :])) for i in range(300)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.group_id for r in simhash.near_groups(docs).collect()} == {0}
+def test_a_very_long_text(spark):
+    long = " ".join(f"w{i % 70_001}" for i in range(200_000))
+    hashes = simhash.shingle_hashes(long, 3)
+    assert len(hashes) > 2 * simhash.VOTED_AT_ONCE
+    ones = ((hashes[:, None] >> np.arange(64, dtype=np.uint64)[None, :]) & np.uint64(1)).sum(0)
+    want = sum(1 << b for b in range(64) if 2 * int(ones[b]) > len(hashes))
+    assert simhash.simhash(hashes) & (2**64 - 1) == want
+    docs = spark.createDataFrame([(1, long), (2, long + " more"), (3, "short")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.deduplicated(docs).collect()) == [1, 3]
