@@ -49,7 +49,7 @@ _CHECK = "xxhash64({0}, 1048576)"
 
 def _cell(digest: str, table: int, cells: int) -> str:
     """The cell of a digest in a table."""
-    return f"CAST({table * cells} + pmod(xxhash64({digest}, {table}), {cells}L) AS INT)"
+    return f"({table * cells}L + pmod(xxhash64({digest}, {table}), {cells}L))"
 
 
 def sketch(rows: DataFrame, keys: list[str], digest_array: str, cells: int) -> DataFrame:
@@ -77,7 +77,7 @@ def peeled(differences: DataFrame, keys: list[str], cells: int) -> DataFrame:
         return f"named_struct('cell', {cell}, 'found', {found}, 'held', {held}, 'digests', {digests}, 'checks', {checks})"
 
     same = row("cell", "found", "held", "digests", "checks")
-    recovered = row("-1", "digests", "held", "0L", "0L")
+    recovered = row("-1L", "digests", "held", "0L", "0L")
     sums = [F.expr(f"{f}({c}) AS {c}") for f, c in (("sum", "held"), ("bit_xor", "digests"), ("bit_xor", "checks"))]
     for step in range(STEPS):
         table = step % TABLES
