@@ -316,6 +316,35 @@ _indicator(
     "total_updates_unknown_if_part_is", "total_updates", "", "total_updates", ["total_updates"],
     lambda df: indicators.total_updates(df, skip_nulls=False),
 )
+# The panel with bands that are not known in some months.
+GAPS = {"age_5_17": 3, "demo_age_17_": 4, "bio_age_5_17": 5}
+_GAPPED = ", ".join(f"CASE WHEN month(date) % {k} = 0 THEN NULL ELSE {m} END AS {m}" for m, k in GAPS.items())
+
+
+def _gapped(spark, sf_dir):
+    return _merged(spark, sf_dir).withColumns({m: F.when(F.month("date") % k != 0, F.col(m)) for m, k in GAPS.items()})
+
+
+def _with_gaps(name: str, enrolment: str, demographic: str, biometric: str, skip_nulls: bool) -> None:
+    totals = f"{enrolment} AS total_enrolment, {demographic} AS total_demo_updates, {biometric} AS total_bio_updates"
+
+    @query(
+        name,
+        shown(
+            f"SELECT *, total_demo_updates + total_bio_updates AS total_updates FROM (SELECT date, state, {totals} FROM (SELECT * REPLACE ({_GAPPED}) FROM panel))",
+            whole=TOTALS_TEXT, ctes=PANEL,
+        ),
+    )
+    def _(spark, sf_dir):
+        found = indicators.total_updates(indicators.total_enrolment(_gapped(spark, sf_dir), skip_nulls), skip_nulls)
+        return found.select("date", "state", *TOTALS_TEXT.split())
+
+
+_with_gaps("totals_unknown_where_a_band_is", "age_0_5 + age_5_17 + age_18_greater", "demo_age_5_17 + demo_age_17_", "bio_age_5_17 + bio_age_17_", False)
+_with_gaps(
+    "totals_of_the_known_bands", "age_0_5 + coalesce(age_5_17, 0) + age_18_greater", "demo_age_5_17 + coalesce(demo_age_17_, 0)",
+    "coalesce(bio_age_5_17, 0) + bio_age_17_", True,
+)
 _indicator(
     "update_pressure_index", "update_pressure_index", "update_pressure_index", "", ["update_pressure_index"],
     indicators.update_pressure_index,

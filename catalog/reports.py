@@ -338,6 +338,50 @@ def _(spark, sf_dir):
     return report(spark, sf_dir, 1.5)
 
 
+def given_forest(enrolment: float, updates: float):
+    """A forest of two trees over the headline metrics in their order: total_enrolment, total_updates, update_pressure_index."""
+    totals = {"feature": [0, 1, -1, -1, -1], "threshold": [enrolment, updates, 0.0, 0.0, 0.0], "left": [1, 2, -1, -1, -1], "right": [4, 3, -1, -1, -1]}
+    pressure = {"feature": [2, -1, -1], "threshold": [4.0, 0.0, 0.0], "left": [1, -1, -1], "right": [2, -1, -1]}
+    return [totals | {"path": [0.0, 0.0, 4.5, 3.0, 1.5]}, pressure | {"path": [0.0, 5.0, 2.0]}], 3.5
+
+
+def given_forest_sql(source: str, name: str, enrolment: float, updates: float) -> str:
+    """CTE ``name``: the rows with their score under :func:`given_forest` and whether it is among the highest twentieth."""
+    e, u, p = (f"coalesce(CAST({m} AS DOUBLE), 0)" for m in HEADLINE)
+    score = f"""2.0 ** (-(CASE WHEN {e} > {enrolment} THEN 1.5 WHEN {u} > {updates} THEN 3.0 ELSE 4.5 END + CASE WHEN {p} > 4.0 THEN 2.0 ELSE 5.0 END) / 2 / 3.5)"""
+    return joined(
+        f"{name}_scores AS (SELECT *, {score} AS anomaly_score FROM {source})",
+        f"{name} AS (SELECT *, anomaly_score > (SELECT quantile_cont(anomaly_score, 0.95) FROM {name}_scores) AS is_anomaly_iforest FROM {name}_scores)",
+    )
+
+
+@query(
+    "isolation_forest_of_given_trees",
+    shown(
+        "SELECT date, state, district, anomaly_score, is_anomaly_iforest FROM given", floats="anomaly_score",
+        ctes=joined(DISTRICTS, given_forest_sql("districts", "given", 5, 15)),
+    ),
+)
+def _(spark, sf_dir):
+    found = anomaly.detect_isolation_forest(districts(spark, sf_dir), HEADLINE, forest=given_forest(5, 15))
+    return found.select("date", "state", "district", "anomaly_score", "is_anomaly_iforest")
+
+
+@query(
+    "anomaly_report_with_given_trees",
+    shown(
+        f"""SELECT date, metric, value, z AS zscore,
+          CASE WHEN z > 4 OR fz AND fi AND ff THEN 'Critical' WHEN z > 3 OR fi AND ff THEN 'High' WHEN fi OR ff THEN 'Medium' WHEN z > 2 THEN 'Low' ELSE 'Normal' END AS severity,
+          concat_ws(', ', CASE WHEN fz THEN 'Z-Score' END, CASE WHEN fi THEN 'IQR' END, CASE WHEN ff THEN 'IsolationForest' END) AS detection_methods,
+          'Operational Signal' AS signal_type, state
+        FROM (SELECT fenced.*, given.is_anomaly_iforest AS ff FROM fenced JOIN given ON given.date = fenced.date AND given.state = fenced.state) WHERE fz OR fi OR ff""",
+        floats="value zscore", ctes=joined(report_sql(), given_forest_sql("panel", "given", 40, 150)),
+    ),
+)
+def _(spark, sf_dir):
+    return anomaly.anomaly_report(panel(spark, sf_dir), HEADLINE, forest=given_forest(40, 150))
+
+
 @query("anomaly_report_with_forest")
 def _(spark, sf_dir):
     return anomaly.anomaly_report(panel(spark, sf_dir), HEADLINE)
@@ -561,6 +605,18 @@ def _(spark, sf_dir):
     )
 
 
+@query(
+    "method_comparison_of_given_trees",
+    shown(
+        """SELECT count(*) FILTER (is_anomaly) AS zscore_anomalies, count(*) FILTER (is_anomaly_iforest) AS iforest_anomalies,
+          count(*) FILTER (is_anomaly AND is_anomaly_iforest) AS overlap FROM given""",
+        whole="zscore_anomalies iforest_anomalies overlap", dates="", ctes=joined(CONSENSUS, given_forest_sql("flagged", "given", 5, 15)),
+    ),
+)
+def _(spark, sf_dir):
+    return anomaly.method_comparison(anomaly.detect_isolation_forest(consensus(spark, sf_dir), HEADLINE, forest=given_forest(5, 15)))
+
+
 @query("method_comparison")
 def _(spark, sf_dir):
     return anomaly.method_comparison(anomaly.detect_isolation_forest(materialise(consensus(spark, sf_dir)), HEADLINE))

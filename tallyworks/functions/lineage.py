@@ -13,12 +13,17 @@ WAREHOUSE_CONF = "spark.sql.warehouse.dir"
 def stage_dir(spark: SparkSession) -> str:
     """Shared folder for stage tables: the one the cluster names in ``spark.checkpoint.dir``.
 
-    Without that setting it is a folder in the session's warehouse, which a cluster shares too.
+    Without that setting it is a folder in the session's warehouse, which a cluster shares too; unless that lies on
+    the machines' own disks, where one would not find what another wrote. That is an error but on a single machine.
     """
     configured = spark.conf.get(CHECKPOINT_CONF, None)
     if configured:
         return configured.rstrip("/")
-    return f"{spark.conf.get(WAREHOUSE_CONF).rstrip('/')}/_stages/{spark.sparkContext.applicationId}"
+    warehouse = spark.conf.get(WAREHOUSE_CONF).rstrip("/")
+    on_own_disk = warehouse.startswith("file:") or "://" not in warehouse and not warehouse.startswith("hdfs:")
+    if on_own_disk and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"Set {CHECKPOINT_CONF} to a folder that all machines share; {warehouse} is on each one's own disk")
+    return f"{warehouse}/_stages/{spark.sparkContext.applicationId}"
 
 
 def stage_path(spark: SparkSession, name: str) -> str:

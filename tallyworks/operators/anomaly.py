@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyworks.functions.quantiles import exact_quantiles
 from tallyworks.operators.filters import any_flag
-from tallyworks.operators.forest import detect_isolation_forest
+from tallyworks.operators.forest import Forest, detect_isolation_forest
 from tallyworks.operators.stats import long_form, with_group_stats, with_scalars
 
 # Order of the grades in a report; an ungraded row comes last.
@@ -96,11 +96,12 @@ def anomaly_report(
     district: str | None = None,
     zscore_threshold: float = 3.0,
     use_isolation_forest: bool = True,
+    forest: Forest | None = None,
 ) -> DataFrame:
     """Graded signals of all metrics: one row per row and metric that any method flags.
 
     z-score and fences work within a state, the forest over all metrics together and is
-    fitted once. ``df`` is read more than once: pass a stage table.
+    fitted once, or given. ``df`` is read more than once: pass a stage table.
     """
     metrics = [m for m in metrics if m in df.columns]
     state = state if state in df.columns else None
@@ -108,7 +109,7 @@ def anomaly_report(
     ids = [c for c in (date, state, district) if c]
     iforest = "is_anomaly_iforest" if use_isolation_forest and len(metrics) > 1 else None
     if iforest:
-        df = detect_isolation_forest(df, metrics)
+        df = detect_isolation_forest(df, metrics, forest=forest)
         ids_and_flag = [*ids, iforest]
     else:
         ids_and_flag = ids

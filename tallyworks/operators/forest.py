@@ -94,7 +94,7 @@ def sample_for_trees(df: DataFrame, columns: Sequence[str], trees: int, seed: in
 
 def fit_forest(
     df: DataFrame, columns: Sequence[str], trees: int = 100, seed: int = 42, samples_per_tree: int = SAMPLES_PER_TREE
-) -> tuple[list[dict], float]:
+) -> Forest:
     """Trees (at most two nodes a sample each) and the mean path of their sample size."""
     columns = list(columns)
 
@@ -117,21 +117,18 @@ def fit_forest(
     return [{n: np.asarray(row[n]) for n in names} for row in fitted], mean_path(max(row["n"] for row in fitted))
 
 
-def detect_isolation_forest(
-    df: DataFrame,
-    columns: Sequence[str],
-    contamination: float = 0.05,
-    seed: int = 42,
-    trees: int = 100,
-    samples_per_tree: int = SAMPLES_PER_TREE,
-) -> DataFrame:
-    """Add ``anomaly_score`` and ``is_anomaly_iforest`` for the share ``contamination`` of highest scores.
+# Trees and the mean path of the samples they were grown from, as :func:`fit_forest` returns them.
+Forest = tuple[list[dict], float]
 
-    Raises ``ValueError`` for an empty frame, of which no forest can be grown.
-    """
-    forest, unit = fit_forest(df, columns, trees, seed, samples_per_tree)
-    shared = df.sparkSession.sparkContext.broadcast((forest, unit or 1.0))
-    max_depth = math.ceil(math.log2(max(samples_per_tree, 2)))
+
+def score_forest(df: DataFrame, columns: Sequence[str], forest: Forest) -> DataFrame:
+    """Add ``anomaly_score``: 2 to the power of minus a row's mean path through the trees over the forest's; nulls are 0."""
+    trees, unit = forest
+    arrays = [{n: np.asarray(v) for n, v in tree.items()} for tree in trees]
+    # At most two nodes a sample in each tree.
+    shared = df.sparkSession.sparkContext.broadcast((arrays, unit or 1.0))
+    # A step down leads to a later node, so no path has more steps than nodes.
+    most = max((len(t["feature"]) for t in arrays), default=0)
 
     @pandas_udf("double")
     def score(point: pd.DataFrame) -> pd.Series:
@@ -139,11 +136,29 @@ def detect_isolation_forest(
         x = point.to_numpy(dtype=float)
         total = np.zeros(len(x))
         for tree in grown:
-            total += path_lengths(x, tree, max_depth)
+            total += path_lengths(x, tree, most)
         return pd.Series(np.exp2(-total / max(len(grown), 1) / scale))
 
     score = score.asNondeterministic()  # evaluate once per row, wherever the result is used
     features = F.struct(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
-    scored = materialise(df.withColumn("anomaly_score", score(features)), "scored")
+    return df.withColumn("anomaly_score", score(features))
+
+
+def detect_isolation_forest(
+    df: DataFrame,
+    columns: Sequence[str],
+    contamination: float = 0.05,
+    seed: int = 42,
+    trees: int = 100,
+    samples_per_tree: int = SAMPLES_PER_TREE,
+    forest: Forest | None = None,
+) -> DataFrame:
+    """Add ``anomaly_score`` and ``is_anomaly_iforest`` for the share ``contamination`` of highest scores.
+
+    With a ``forest`` its trees score the rows; without, one is grown of them. Raises ``ValueError`` for an empty frame, of which
+    no forest can be grown.
+    """
+    forest = fit_forest(df, columns, trees, seed, samples_per_tree) if forest is None else forest
+    scored = materialise(score_forest(df, columns, forest), "scored")
     cutoff = exact_quantiles(scored, [], "anomaly_score", {"cutoff": 1.0 - contamination}).scalar()
     return scored.withColumn("is_anomaly_iforest", F.col("anomaly_score") > cutoff)

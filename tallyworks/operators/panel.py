@@ -169,11 +169,12 @@ def prepare_series(
     else:
         grouped = rows.groupBy(*keys, "_p").agg((F.sum if how == "sum" else F.avg)("_v").alias("_v"))
 
-    # All periods of one key are one small array, bounded by the calendar.
-    points = F.map_from_entries(F.collect_list(F.struct("_p", "_v")))
-    per_key = grouped.groupBy(*keys).agg(points.alias("_m"), F.min("_p").alias("_a"), F.max("_p").alias("_z"))
-    period = F.explode(period_sequence(F.col("_a"), F.col("_z"), freq)).alias("_p")
-    series = per_key.select(*keys, "_m", period).select(*keys, "_p", F.col("_m")[F.col("_p")].alias("value"))
+    # The periods that a key lacks are made from its own: those between a row's and the next one's.
+    w = Window.partitionBy(*keys).orderBy("_p")
+    spans = grouped.select(*keys, "_p", "_v", F.lead("_p").over(w).alias("_next"))
+    until = F.coalesce(F.date_sub(F.col("_next"), 1), F.col("_p"))
+    period = F.posexplode(period_sequence(F.col("_p"), until, freq)).alias("_k", "_period")
+    series = spans.select(*keys, "_v", period).select(*keys, F.col("_period").alias("_p"), F.when(F.col("_k") == 0, F.col("_v")).alias("value"))
     if how == "sum":
         series = series.withColumn("value", F.coalesce("value", F.lit(0.0)))
     else:

@@ -87,9 +87,11 @@ def clean_monthly(raw: Mapping[str, DataFrame], losses: Losses | None = None, vo
     return panel.stack_facts({f: cleaning.fact_columns(cleaning.clean_fact(df, f, watched[f], forms[f]), f) for f, df in raw.items()})
 
 
-def load_monthly(spark: SparkSession, data_path: str, level: str = "state", losses: Losses | None = None, vote: bool = False) -> DataFrame:
-    """Monthly panel from the CSV folders of the three facts."""
-    raw = {f: files.load_fact(spark, data_path, f) for f in files.FACT_FOLDERS}
+def load_monthly(
+    spark: SparkSession, data_path: str, level: str = "state", losses: Losses | None = None, vote: bool = False, folders: Mapping[str, str] | None = None
+) -> DataFrame:
+    """Monthly panel from the CSV folders of the three facts; ``folders`` names those that are not found by their endings."""
+    raw = {f: files.load_fact(spark, data_path, f, (folders or {}).get(f)) for f in files.FACT_FOLDERS}
     return monthly_panel(clean_monthly(raw, losses, vote), level)
 
 

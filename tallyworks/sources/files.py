@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import csv
-from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
@@ -39,16 +39,35 @@ def _csv(spark: SparkSession, paths: str | list[str], schema: T.StructType) -> D
     return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(paths)
 
 
-def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
-    """Column names of one CSV file, from its first line."""
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).open(target)
+def headers(spark: SparkSession, paths: Sequence[str]) -> dict[tuple[str, ...], list[str]]:
+    """CSV files by their column names, which tasks read from the first lines; files without a first line are left out.
+
+    A task holds one split and stops after the first line of it, so no file is read beyond its first rows. The driver
+    learns the distinct headers and which files have each.
+    """
+
+    def first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                if batch["start"][0].as_py() == 0:
+                    yield batch.slice(0, 1).select(["path", "line"])
+                return
+
+    conf = {c: spark.conf.get(f"spark.sql.files.{c}") for c in ("maxPartitionBytes", "openCostInBytes")}
+    spark.conf.set("spark.sql.files.openCostInBytes", conf["maxPartitionBytes"])
     try:
-        line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
+        lines = spark.read.text(list(paths)).select(
+            F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("line")
+        )
+        found = lines.mapInArrow(first_lines, "path string, line string").groupBy("line").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect()
     finally:
-        stream.close()
-    return tuple(next(csv.reader([(line or "").lstrip("\ufeff")]), []))
+        spark.conf.set("spark.sql.files.openCostInBytes", conf["openCostInBytes"])
+    out: dict[tuple[str, ...], list[str]] = {}
+    for row in sorted(found, key=lambda r: r["paths"][0]):
+        names = tuple(next(csv.reader([row["line"].lstrip("\ufeff").rstrip("\r")]), []))
+        if names:
+            out.setdefault(names, []).extend(row["paths"])
+    return out
 
 
 def _text_schema(names: Sequence[str]) -> T.StructType:
@@ -66,20 +85,18 @@ def load_datasets(spark: SparkSession, data_dir: str) -> dict[str, DataFrame]:
 def load_csv_folder(spark: SparkSession, folder: str, glob: str = "*.csv") -> DataFrame:
     """All CSV files of a folder below each other, matched by column name.
 
-    Files with the same header are read as one scan; columns a file lacks are null.
+    Files with the same header are read as one scan; columns a file lacks are null. Files that are empty
+    give no rows; a folder of such alone is an error.
     """
     paths = _matches(spark, folder, glob)
     if not paths:
         raise FileNotFoundError(f"No CSV files found in {folder}")
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    with ThreadPoolExecutor(16) as pool:
-        for path, header in zip(paths, pool.map(lambda p: _header(spark, p), paths)):
-            if header:
-                by_header.setdefault(header, []).append(path)
     out = None
-    for header, files in by_header.items():
+    for header, files in headers(spark, paths).items():
         rows = _csv(spark, files, _text_schema(header))
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    if out is None:
+        raise ValueError(f"No CSV file in {folder} has a header")
     return out
 
 
@@ -90,22 +107,40 @@ def require_columns(df: DataFrame, names: Sequence[str], what: str) -> DataFrame
     return df
 
 
-def load_fact(spark: SparkSession, data_path: str, fact: str) -> DataFrame:
-    """All CSV files of one fact's folder, with its columns checked at plan time."""
-    rows = load_csv_folder(spark, f"{data_path.rstrip('/')}/{FACT_FOLDERS[fact]}")
+def fact_folder(spark: SparkSession, data_path: str, fact: str, folder: str | None = None) -> str:
+    """Path of one fact's folder: ``folder`` below ``data_path``, or the one whose name ends as ``FACT_FOLDERS`` says.
+
+    More than one such folder is an error, as the same rows might be counted twice.
+    """
+    root = data_path.rstrip("/")
+    if folder is not None:
+        return f"{root}/{folder}"
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{FACT_FOLDERS[fact]}")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    folders = sorted(str(s.getPath()) for s in found if s.isDirectory())
+    if not folders:
+        raise FileNotFoundError(f"No folder {FACT_FOLDERS[fact]} in {data_path}")
+    if len(folders) > 1:
+        raise ValueError(f"Several folders for {fact}: {', '.join(folders)}; name one")
+    return folders[0]
+
+
+def load_fact(spark: SparkSession, data_path: str, fact: str, folder: str | None = None) -> DataFrame:
+    """All CSV files of one fact's folder (:func:`fact_folder`), with its columns checked at plan time."""
+    rows = load_csv_folder(spark, fact_folder(spark, data_path, fact, folder))
     return require_columns(rows, FACT_KEYS + MEASURES[fact], fact)
 
 
-def load_enrolment(spark: SparkSession, data_path: str) -> DataFrame:
-    return load_fact(spark, data_path, "enrolment")
+def load_enrolment(spark: SparkSession, data_path: str, folder: str | None = None) -> DataFrame:
+    return load_fact(spark, data_path, "enrolment", folder)
 
 
-def load_demographic(spark: SparkSession, data_path: str) -> DataFrame:
-    return load_fact(spark, data_path, "demographic")
+def load_demographic(spark: SparkSession, data_path: str, folder: str | None = None) -> DataFrame:
+    return load_fact(spark, data_path, "demographic", folder)
 
 
-def load_biometric(spark: SparkSession, data_path: str) -> DataFrame:
-    return load_fact(spark, data_path, "biometric")
+def load_biometric(spark: SparkSession, data_path: str, folder: str | None = None) -> DataFrame:
+    return load_fact(spark, data_path, "biometric", folder)
 
 
 def save_csv(df: DataFrame, path: str, mode: str = "overwrite", order_by: Sequence[str] = ()) -> str:

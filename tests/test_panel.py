@@ -190,3 +190,14 @@ def test_correlation_over_the_rows_that_have_both(spark):
             w = want.loc[a, b]
             assert value == pytest.approx(w, abs=1e-9) if w == w else value is None, (a, b)
     assert all(r.correlation is None for r in explore.correlation(df.limit(0)).collect())
+
+
+def test_a_daily_series_of_thirty_years(spark):
+    rows = [("a", day("1990-01-01"), 1.0), ("a", day("2019-12-31"), 2.0), ("a", day("2000-02-29"), 3.0), ("b", day("2000-01-01"), 5.0)]
+    df = spark.createDataFrame(rows, "k string, date date, v double")
+    sums = panel.prepare_series(df, "v", ["k"], "D").toPandas()
+    assert len(sums) == 10_957 + 1 and sums["value"].sum() == 11.0
+    held = panel.prepare_series(df, "v", ["k"], "D", "mean").where("k = 'a'").groupBy("value").count().collect()
+    assert {r.value: r["count"] for r in held} == {1.0: 3711, 3.0: 7245, 2.0: 1}
+    plan = panel.prepare_series(df, "v", ["k"], "D")._jdf.queryExecution().optimizedPlan().toString()
+    assert "map_from_entries" not in plan

@@ -40,6 +40,35 @@ def test_folder_with_different_headers(spark, tmp_path):
     assert rows == {"1": ("2", None), "3": ("4", "q, r"), "5": ("6", None)}
 
 
+def test_headers_of_many_small_files(spark, tmp_path):
+    kinds = ["x,y", "y,x", "x,y,\"z,z\""]
+    for i in range(240):
+        write(tmp_path / f"{i:04}.csv", ("\ufeff" if i % 7 == 0 else "") + kinds[i % 3] + "\n" + "\n".join(f"{i},{j},0"[: None if i % 3 == 2 else -2] for j in range(i % 4)) + "\n")
+    write(tmp_path / "empty.csv", "")
+    write(tmp_path / "long.csv", "x,y\n" + "1,2\n" * 30_000)
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    found = files.headers(spark, [str(p) for p in sorted(tmp_path.iterdir())])
+    assert {names: len(paths) for names, paths in found.items()} == {("x", "y"): 81, ("y", "x"): 80, ("x", "y", "z,z"): 80}
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+    rows = files.load_csv_folder(spark, str(tmp_path))
+    assert rows.count() == sum(i % 4 for i in range(240)) + 30_000
+    assert rows.where("`z,z` is not null").count() == sum(i % 4 for i in range(2, 240, 3))
+    for p in tmp_path.iterdir():
+        write(p, "")
+    with pytest.raises(ValueError, match="header"):
+        files.load_csv_folder(spark, str(tmp_path))
+
+
+def test_two_folders_of_a_fact_are_an_error(spark, tmp_path):
+    for name in ("old_enrolment", "new_enrolment"):
+        write(tmp_path / name / "a.csv", ENROL + f"2023-01-01,{name},x,1,1,2,3\n")
+    with pytest.raises(ValueError, match="Several folders"):
+        files.load_enrolment(spark, str(tmp_path))
+    assert [r.state for r in files.load_enrolment(spark, str(tmp_path), "old_enrolment").collect()] == ["old_enrolment"]
+    with pytest.raises(FileNotFoundError):
+        files.load_biometric(spark, str(tmp_path))
+
+
 def test_required_columns(spark, tmp_path):
     write(tmp_path / "export_enrolment" / "a.csv", "date,state\n2023-01-01,A\n")
     with pytest.raises(ValueError, match="age_0_5"):
