@@ -1,5 +1,3 @@
-import re
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -49,16 +47,17 @@ def test_quality_of_odd_rows(spark):
     assert quality.scored(docs.limit(0), quality.train(docs, labels.limit(0))).count() == 0
 
 
-def test_toxicity_on_labels_not_seen(spark, tables):
-    docs, labels = tables
+def test_toxicity_on_labels_not_seen(spark):
+    """Over all toxic rows of a table with labels enough, in every language."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     fold = supervised.id_crc() % 4 == 2
     chain = toxicity.train(docs, toxicity.by_language(labels, docs).where(~fold), toxicity.CATEGORIES)
-    rows = toxicity.scored(docs, chain).join(labels, "doc_id").join(docs.select("doc_id", "text"), "doc_id").where(fold).collect()
-    said = [max(r.p_toxic_en, r.p_toxic_other, r.p_toxic) >= 0.5 for r in rows]
-    # Some labels of this small table go with no word at all; what has an insult must be found.
-    insulting = [s for r, s in zip(rows, said) if r.toxic and re.search("idiot|moron|stupid|scum|loser|clown|trash", r.text)]
-    assert len(insulting) >= 5 and np.mean(insulting) >= 0.95
-    assert np.mean([s for r, s in zip(rows, said) if not r.toxic]) <= 0.06
+    rows = toxicity.scored(docs, chain).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").where(fold).collect()
+    said = [(r.toxic, r.lang, max(r.p_toxic_en, r.p_toxic_other, r.p_toxic) >= 0.5) for r in rows]
+    assert np.mean([s for toxic, _, s in said if toxic]) >= 0.85
+    for lang in ("de", "en", "es", "fr"):
+        assert np.mean([s for toxic, x, s in said if toxic and x == lang]) >= 0.75
+    assert np.mean([not toxic for toxic, _, s in said if s]) <= 0.02
 
 
 def test_later_models_use_earlier_categories():

@@ -76,3 +76,33 @@ def test_every_id_lies_in_one_piece(spark):
     assert bytes(whole[one.sequence_id].ids).startswith(bytes(one.ids))
     assert pieces.where(F.crc32("ids") != -1).count() == len(rows) and zlib.crc32(b"") == 0
     assert packing.pack(docs.limit(0), PATH).count() == 0
+
+
+def test_plan_takes_no_more_sequences_than_first_fit(spark):
+    """Plain first fit by falling length, a piece at a time; shortest packs first may differ by a hundredth."""
+    rng = np.random.default_rng(4)
+    for sizes in (rng.integers(1, 257, 2000), rng.lognormal(4, 1, 2000).astype(int).clip(1, 256), np.r_[np.full(500, 100), np.full(500, 57)]):
+        room = []
+        for length in sorted(map(int, sizes), reverse=True):
+            at = next((i for i, r in enumerate(room) if r >= length), None)
+            if at is None:
+                room.append(256 - length)
+            else:
+                room[at] -= length
+        runs = packing.packed_runs(Counter(map(int, sizes)), 256)
+        sequences = max(first + hi - lo for _, lo, hi, first, _ in runs)
+        assert sequences <= 1.15 * len(room)
+        assert sequences >= -(-int(sizes.sum()) // 256)
+
+
+def test_words_are_remembered_across_generations(monkeypatch):
+    monkeypatch.setattr(packing, "WORDS_REMEMBERED", 8)
+    monkeypatch.setattr(packing, "TEXTS_AT_ONCE", 2)
+    tokenizer = Tokenizer.from_file(PATH)
+    rng = np.random.default_rng(3)
+    texts = [" ".join(["the", *(f"w{k}x" for k in rng.integers(0, 30, 6)), "and!"]) for _ in range(40)]
+    words = packing.WordTokens(PATH)
+    for text, found in zip(texts, words.of(texts)):
+        assert np.frombuffer(found, "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    # A group of texts at most beyond the bound; parts of words are remembered too.
+    assert len(words.ids) + len(words.older) < 100
