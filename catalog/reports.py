@@ -375,11 +375,11 @@ def _(spark, sf_dir):
           concat_ws(', ', CASE WHEN fz THEN 'Z-Score' END, CASE WHEN fi THEN 'IQR' END, CASE WHEN ff THEN 'IsolationForest' END) AS detection_methods,
           'Operational Signal' AS signal_type, state
         FROM (SELECT fenced.*, given.is_anomaly_iforest AS ff FROM fenced JOIN given ON given.date = fenced.date AND given.state = fenced.state) WHERE fz OR fi OR ff""",
-        floats="value zscore", ctes=joined(report_sql(), given_forest_sql("panel", "given", 40, 150)),
+        floats="value zscore", ctes=joined(report_sql(), given_forest_sql("panel", "given", 12, 45)),
     ),
 )
 def _(spark, sf_dir):
-    return anomaly.anomaly_report(panel(spark, sf_dir), HEADLINE, forest=given_forest(40, 150))
+    return anomaly.anomaly_report(panel(spark, sf_dir), HEADLINE, forest=given_forest(12, 45))
 
 
 @query("anomaly_report_with_forest")

@@ -6,11 +6,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tallyworks.functions.lineage import materialise
+
 # Rank error of the sketch that brackets a quantile is one part in this many.
 SKETCH_ACCURACY = 10_000
-# A bracket is narrowed so many times, each time to one or two of so many parts of about as many values.
-# Of 10^9 distinct values the first bracket keeps 800,000 at most, the last 7,000: all that one task sorts.
-ROUNDS, PARTS = 1, 256
+# A bracket with more distinct values than one task is to sort is narrowed, each time to one or two of so many parts of
+# about as many values, until it has no more. The sketch leaves one in 1,250 of a group's values at most.
+SORTED, PARTS = 100_000, 256
 
 
 def _join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -45,10 +47,10 @@ def _narrowed(inside: DataFrame, by: list[str]) -> DataFrame:
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """One row per group with a column per wanted quantile, e.g. ``{"q1": 0.25}``.
 
-    A mergeable sketch brackets each quantile and ranks are counted exactly. The values inside the bracket are
-    split into parts of about equal size, by splitters from a sketch of theirs, and only the parts that hold the
-    wanted ranks stay. Distribution and size do not matter to how far this narrows. Nulls and NaN are
-    left out. Equal values are counted together first, so a hot group is spread over its values.
+    A mergeable sketch brackets each quantile and ranks are counted exactly; what lies in a bracket is written. While one holds more
+    than ``SORTED`` values they are split into parts of about equal size, by splitters from a sketch of theirs, and only the
+    parts that hold the wanted ranks stay. Nulls and NaN are left out. Equal values are counted together
+    first, so a hot group is spread over its values.
     """
     names = list(probs)
     margin = 4.0 / SKETCH_ACCURACY
@@ -78,18 +80,25 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     )
     by_prob = [*group, "_i"]
 
-    # Outside the bracket only the neighbouring value matters, and how many rows lie below.
-    below, over = F.col("_zone") < 0, F.col("_zone") > 0
-    edges = per_prob.groupBy(*by_prob).agg(
+    # Outside the bracket only the neighbouring value matters, and how many rows lie below: a row for each side.
+    own = F.when(F.col("_zone") == 0, F.col("_x")).alias("_own")
+    sums = [F.sum("_n").alias("_n"), F.first("_h").alias("_h"), F.min("_x").alias("_least"), F.max("_x").alias("_most")]
+    staged = materialise(per_prob.groupBy(*by_prob, "_zone", own).agg(*sums), "brackets")
+    zone = F.col("_zone")
+    edges = staged.groupBy(*by_prob).agg(
         F.first("_h").alias("_h"),
-        F.coalesce(F.sum(F.when(below, F.col("_n"))), F.lit(0)).alias("_below"),
-        F.coalesce(F.sum(F.when(~below & ~over, F.col("_n"))), F.lit(0)).alias("_inside"),
-        F.max(F.when(below, F.col("_x"))).alias("_pred"),
-        F.min(F.when(over, F.col("_x"))).alias("_succ"),
+        F.coalesce(F.sum(F.when(zone < 0, F.col("_n"))), F.lit(0)).alias("_below"),
+        F.coalesce(F.sum(F.when(zone == 0, F.col("_n"))), F.lit(0)).alias("_inside"),
+        F.max(F.when(zone < 0, F.col("_most"))).alias("_pred"),
+        F.min(F.when(zone > 0, F.col("_least"))).alias("_succ"),
     )
-    inside = _join(per_prob.where("_zone = 0").select(*by_prob, "_h", "_x", "_n"), edges.select(*by_prob, "_below"), by_prob)
-    for _ in range(ROUNDS):
-        inside = _narrowed(inside, by_prob)
+    inside = _join(staged.where("_zone = 0").select(*by_prob, "_h", F.col("_own").alias("_x"), "_n"), edges.select(*by_prob, "_below"), by_prob)
+    # No bracket holds more than all of them, which a count tells without a shuffle.
+    held = staged.where("_zone = 0").count()
+    while held > SORTED:
+        held = inside.groupBy(*by_prob).count().agg(F.max("count")).first()[0] or 0
+        if held > SORTED:
+            inside = materialise(_narrowed(inside, by_prob), "narrowed")
 
     running = Window.partitionBy(*by_prob).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
     ranked = inside.withColumn("_upto", F.col("_below") + F.sum("_n").over(running))

@@ -39,3 +39,15 @@ def test_coarse_sketch_stays_exact(spark, monkeypatch):
 def test_without_groups_and_with_nulls(spark):
     df = spark.createDataFrame([(1.0,), (None,), (2.0,), (4.0,)], "v double")
     assert exact_quantiles(df, [], "v", {"m": 0.5, "q": 0.25}).first().asDict() == {"m": 2.0, "q": 1.5}
+
+
+def test_brackets_are_narrowed_until_few_values_are_left(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "SKETCH_ACCURACY", 20)
+    monkeypatch.setattr(quantiles, "SORTED", 40)
+    monkeypatch.setattr(quantiles, "PARTS", 4)
+    seen = []
+    narrowed = quantiles._narrowed
+    monkeypatch.setattr(quantiles, "_narrowed", lambda inside, by: seen.append(1) or narrowed(inside, by))
+    rng = np.random.default_rng(2)
+    check(spark, {"x": list(rng.lognormal(0, 4, 3000)), "y": list(rng.integers(0, 7, 500)), "z": [3.0]})
+    assert len(seen) >= 2
