@@ -83,9 +83,10 @@ def spread_join(rows: DataFrame, small: DataFrame, key: str, n: str = "_n") -> D
     """Inner join of ``rows`` with one row per key, of which ``n`` says how many of the rows have it; ``n`` goes.
 
     Fewer than ``HEAVY_PARTS`` keys can have more than that part of the rows. Those are broadcast, so their rows stay where they are;
-    what is dealt by key has no group larger than that.
+    what is dealt by key are the others' rows, no group of which is larger.
     """
     total = small.agg(F.sum(n)).scalar()
     heavy = F.coalesce(F.col(n) * HEAVY_PARTS > total, F.lit(False))
     few, rest = small.where(heavy).drop(n), small.where(~heavy).drop(n)
-    return rows.join(F.broadcast(few), key).unionByName(rows.join(rest, key))
+    others = rows.join(F.broadcast(few.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(few), key).unionByName(others.join(rest, key))
