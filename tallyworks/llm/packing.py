@@ -26,8 +26,9 @@ from tallyworks.functions.lineage import stage_path
 MAX_LENGTH = 2048
 END_ID = 1
 # Distinct words and parts whose ids a worker remembers, in two generations: once the younger has half, the older is
-# dropped, but for the words met again since. Some 200 bytes each.
-WORDS_REMEMBERED = 700_000
+# dropped, but for the words met again since. Some 200 bytes each. A word with signs, which its parts make up, takes a place
+# only if its letters were known before.
+WORDS_REMEMBERED = 600_000
 
 
 # --- tokens -------------------------------------------------------------------
@@ -96,9 +97,13 @@ class WordTokens:
             return None
         return letters, low[len(letters) :]
 
-    def _learn(self, words: set[bytes]) -> None:
+    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of new words; those that are not remembered are returned."""
         apart = {w: p for w in words if (p := self._taken_apart(w))} if self.merges else {}
-        wanted = {w for w in words if w not in apart} | {x for p in apart.values() for x in p if x}
+        parts = {x for p in apart.values() for x in p if x}
+        self.ids.update((x, self.older[x]) for x in parts & self.older.keys() if x not in self.ids)
+        known = {w for w, (letters, _) in apart.items() if letters in self.ids}
+        wanted = {w for w in words if w not in apart} | parts
         runs, others = [], []
         for w in wanted:
             if w not in self.ids:
@@ -112,7 +117,9 @@ class WordTokens:
             cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize).tolist()]
             whole = ids.tobytes()
             self.ids.update((w, whole[a:b]) for w, a, b in zip(call, cuts, cuts[1:], strict=False))
-        self.ids.update((w, self.ids[a] + (self.ids[b] if b else b"")) for w, (a, b) in apart.items())
+        made = {w: self.ids[a] + (self.ids[b] if b else b"") for w, (a, b) in apart.items()}
+        self.ids.update((w, made.pop(w)) for w in known)
+        return made
 
     def of(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text as bytes; none for null."""
@@ -124,10 +131,9 @@ class WordTokens:
             new = {w for ids, of in zip(found, words) if None in ids for w, i in zip(of, ids) if i is None}
             again = new & self.older.keys()
             self.ids.update((w, self.older[w]) for w in again)
-            if len(again) < len(new):
-                self._learn(new - again)
+            passing = self._learn(new - again) if len(again) < len(new) else {}
             for ids, of in zip(found, words):
-                yield b"".join(map(self.ids.__getitem__, of) if None in ids else ids)
+                yield b"".join([passing[w] if w in passing else self.ids[w] for w in of] if None in ids else ids)
 
 
 @lru_cache(maxsize=2)
