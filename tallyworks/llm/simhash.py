@@ -12,7 +12,6 @@ from __future__ import annotations
 from itertools import combinations, repeat
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
@@ -60,9 +59,10 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     Null, empty and blank texts have fingerprint zero. Repeated rows give a row each.
     """
 
-    @F.pandas_udf(T.LongType())
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([simhash(shingle_hashes(t, shingle)) for t in texts], dtype="int64")
+    # Rows go to Python 100 at a time, so neither side holds thousands of whole texts.
+    @F.udf(T.LongType(), useArrow=False)
+    def of(text: str | None) -> int:
+        return simhash(shingle_hashes(text, shingle))
 
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), _text_key(text_col).alias("text_key"), of(F.col(f"`{text_col}`").cast("string")).alias("fingerprint"))
 

@@ -68,7 +68,7 @@ class Chain:
         for w in self.weights:
             z = w[-1] + w[found].sum() + sum(w[n + i] * o for i, o in enumerate(odds))
             odds.append(float(np.clip(z, -LOG_ODDS_WITHIN, LOG_ODDS_WITHIN)))
-        return [1 / (1 + np.exp(-o)) for o in odds]
+        return [float(1 / (1 + np.exp(-o))) for o in odds]
 
 
 @dataclass
@@ -201,9 +201,10 @@ def train(
 
 
 def _scores(text: Column, chain: Chain) -> Column:
-    @F.pandas_udf("array<double>")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([chain.probabilities(t) for t in texts])
+    # Rows go to Python 100 at a time, so neither side holds thousands of whole texts.
+    @F.udf("array<double>", useArrow=False)
+    def of(text: str | None) -> list[float]:
+        return chain.probabilities(text)
 
     return of(text)
 

@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 from tallyworks.functions.lineage import materialise
-from tallyworks.llm import toxicity
+from tallyworks.llm import simhash, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -83,3 +83,14 @@ def test_run_gives_what_the_stages_give(spark):
     assert "pipeline" not in entry.oracle_sql()
     ops = {int(n[2:].split("_")[0]) for n in entry.queries() if n.startswith("op")}
     assert ops == set(range(1, 14))
+
+
+def test_texts_go_to_python_a_hundred_at_a_time(spark):
+    """Arrow would hold 10,000 whole texts a task on either side, which is what took the executors' memory."""
+    docs = spark.createDataFrame([(i, "a few words here") for i in range(3)] + [(None, None)], "doc_id long, text string")
+    chain = toxicity.Chain(("toxic",), {"=few": 0}, [np.array([2.0, -1.0])])
+    scored, prints = toxicity.without_toxic(docs, chain), simhash.fingerprints(docs)
+    assert [r.doc_id for r in scored.collect()] == [None]
+    assert {r.doc_id: r.fingerprint for r in prints.collect()}[None] == 0
+    for df in (scored, prints):
+        assert "ArrowEvalPython" not in df._jdf.queryExecution().executedPlan().toString()
