@@ -9,14 +9,15 @@ from __future__ import annotations
 
 import heapq
 import json
+import os
 import unicodedata
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql import types as T
@@ -25,41 +26,50 @@ from tallyworks.functions.lineage import stage_path
 
 MAX_LENGTH = 2048
 END_ID = 1
-# Distinct words and parts whose ids a worker remembers, in two generations: once the younger has half, the older is
-# dropped, but for the words met again since. Some 200 bytes each. A word with signs, which its parts make up, takes a place
-# only if its letters were known before.
-WORDS_REMEMBERED = 600_000
+# Distinct parts of words whose ids a worker remembers, in two generations: once the younger has half, the older is
+# dropped, but for the parts met again since. Some 200 bytes each.
+WORDS_REMEMBERED = 400_000
 
 
 # --- tokens -------------------------------------------------------------------
 
 
-# ASCII signs, and everything in ASCII but letters.
-_SIGNS = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
-_NO_LETTERS = bytes(c for c in range(0x80) if not chr(c).isalpha())
-# Texts whose unknown words are encoded together.
-TEXTS_AT_ONCE = 256
-
-
+# ASCII signs.
+_SIGNS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())
+# Texts whose words are looked up together: at most so many, and of so many bytes unless one alone is longer.
+TEXTS_AT_ONCE, BYTES_AT_ONCE = 4096, 4 << 20
 RUNS_AT_ONCE = 64
+# Pieces that a task sends back together, or those of one document if it has more.
+PIECES_AT_ONCE = 1024
 
 
 def _small_letters(word: bytes) -> bool:
     """Whether a word is letters only, in small and composed form, which normalising leaves alone."""
     if word.isascii():
         return word.isalpha() and word.islower()
-    text = word.decode("utf-8", "replace")
+    text = word.decode("utf-8")
     return text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text)
 
 
+def _spans(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Spans of ``flat`` behind each other."""
+    ends = np.cumsum(lengths)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)]
+
+
+def _starts(lengths: np.ndarray) -> np.ndarray:
+    """Where each begins if they follow each other, and where the last one ends."""
+    return np.concatenate([[0], np.cumsum(lengths)])
+
+
 class WordTokens:
     """Ids of texts by a tokenizer whose pieces never span white space, word by word.
 
-    Words repeat, so most are looked up. Ids are held in the narrowest type the vocabulary fits.
-    A byte-pair tokenizer that ignores case and parts letters from signs gives ``Word!!`` the ids of
-    ``word`` and of ``!!``; new words are then taken apart, as their parts are often known. Small
-    letters need no normalising, so they go to its merges alone, many to a call, and the
-    ids that end a word tell them apart again.
+    Arrow splits a group of texts and numbers their distinct words, NumPy puts the ids of these behind each
+    other, so Python sees a word once a group. A byte-pair tokenizer that ignores case and parts letters
+    from signs gives ``Word!!`` the ids of ``word`` and of ``!!``, so only such parts are looked up and
+    remembered. Small letters need no normalising, so they go to its merges alone, many to a call, and the
+    ids that end a word tell them apart again. Ids are held in the narrowest type the vocabulary fits.
     """
 
     def __init__(self, path: str):
@@ -67,8 +77,7 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size()
-        self.type = "H" if size <= 1 << 16 else "I"
-        self.dtype = np.dtype("<u2" if self.type == "H" else "<u4")
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.ids: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         made = json.loads(self.tokenizer.to_str())
@@ -83,33 +92,32 @@ class WordTokens:
             self.ends = np.zeros(size, dtype=bool)
             self.ends[[i for t, i in made["model"]["vocab"].items() if t.endswith(suffix)]] = True
 
-    def _taken_apart(self, word: bytes) -> tuple[bytes, bytes] | None:
-        """The letters of a word and the signs after them; None if it is anything but that.
+    def _parts(self, words: pa.StringArray) -> tuple[pa.StringArray, pa.StringArray]:
+        """The letters of each word and the signs after them; of words that are anything but that the whole, and nothing.
 
-        Letters beyond ASCII have to be small already: how a capital goes together with an accent is
+        Words with letters beyond ASCII must have no ASCII capital: how a capital goes together with an accent is
         the tokenizer's affair.
         """
-        low = word.lower()
-        letters = low.rstrip(_SIGNS)
-        if not letters or len(letters.translate(None, _NO_LETTERS)) < len(letters):
-            return None
-        if not letters.isascii() and (low != word or not letters.decode("utf-8", "replace")[-1].isalpha()):
-            return None
-        return letters, low[len(letters) :]
-
-    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of new words; those that are not remembered are returned."""
-        apart = {w: p for w in words if (p := self._taken_apart(w))} if self.merges else {}
-        parts = {x for p in apart.values() for x in p if x}
-        self.ids.update((x, self.older[x]) for x in parts & self.older.keys() if x not in self.ids)
-        known = {w for w, (letters, _) in apart.items() if letters in self.ids}
-        wanted = {w for w in words if w not in apart} | parts
+        if not self.merges:
+            return words, pa.array([""] * len(words), pa.string())
+        low = pc.ascii_lower(words)
+        letters = pc.ascii_rtrim(low, characters=_SIGNS)
+        apart = pc.and_(pc.utf8_is_alpha(letters), pc.or_(pc.string_is_ascii(letters), pc.equal(low, words)))
+        first = pc.if_else(apart, letters, words)
+        # Both are as long as the word, so the signs are the bytes of ``low`` from where the letters end.
+        n = pc.binary_length(first).to_numpy()
+        at = np.frombuffer(low.buffers()[1], np.int32)[low.offset : low.offset + len(low) + 1].astype(np.int64)
+        rest = np.diff(at) - n
+        signs = _spans(np.frombuffer(low.buffers()[2] or b"", np.uint8), at[:-1] + n, rest)
+        return first, pa.StringArray.from_buffers(len(low), pa.py_buffer(_starts(rest).astype(np.int32)), pa.py_buffer(signs))
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Remembers the ids of new words."""
         runs, others = [], []
-        for w in wanted:
-            if w not in self.ids:
-                (runs if self.merges and _small_letters(w) else others).append(w)
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in others], add_special_tokens=False)
-        self.ids.update((w, array(self.type, e.ids).tobytes()) for w, e in zip(others, found))
+        for w in words:
+            (runs if self.merges and _small_letters(w) else others).append(w)
+        found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in others], add_special_tokens=False)
+        self.ids.update((w, np.array(e.ids, dtype=self.dtype).tobytes()) for w, e in zip(others, found))
         calls = [runs[i : i + RUNS_AT_ONCE] for i in range(0, len(runs), RUNS_AT_ONCE)]
         found = self.merges.encode_batch_fast([b" ".join(c).decode("utf-8") for c in calls]) if calls else []
         for call, e in zip(calls, found):
@@ -117,27 +125,54 @@ class WordTokens:
             cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize).tolist()]
             whole = ids.tobytes()
             self.ids.update((w, whole[a:b]) for w, a, b in zip(call, cuts, cuts[1:], strict=False))
-        made = {w: self.ids[a] + (self.ids[b] if b else b"") for w, (a, b) in apart.items()}
-        self.ids.update((w, made.pop(w)) for w in known)
-        return made
 
-    def of(self, texts: list[str | None]) -> Iterator[bytes]:
+    def _looked_up(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words, the new ones learnt."""
+        if len(self.ids) > WORDS_REMEMBERED // 2:
+            self.ids, self.older = {}, self.ids
+        found = list(map(self.ids.get, words))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        if missing:
+            new = [words[i] for i in missing]
+            self.ids.update((w, self.older[w]) for w in new if w in self.older)
+            self._learn([w for w in new if w not in self.ids])
+            for i, w in zip(missing, new):
+                found[i] = self.ids[w]
+        return found
+
+    def _group(self, texts: pa.StringArray) -> tuple[np.ndarray, list[int]]:
+        """The ids of all texts behind each other, and where each begins and the last ends."""
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        first, signs = self._parts(words.dictionary)
+        parts = pa.concat_arrays([first, signs]).dictionary_encode()
+        found = self._looked_up(parts.dictionary.cast(pa.binary()).to_pylist())
+        n = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        # A row of two for each distinct word, then the distinct words in their places in the texts.
+        of = parts.indices.to_numpy().reshape(2, -1).T.ravel()
+        flat = _spans(np.frombuffer(b"".join(found), self.dtype), _starts(n)[of], n[of])
+        n = n[of].reshape(-1, 2).sum(1)
+        places = words.indices.to_numpy()
+        n, starts = n[places], _starts(n)[places]
+        offsets = _starts(pc.list_value_length(split).to_numpy())
+        return _spans(flat, starts, n), _starts(n)[offsets].tolist()
+
+    def of(self, texts: pa.StringArray | list[str | None]) -> Iterator[bytes]:
         """The ids of each text as bytes; none for null."""
-        for at in range(0, len(texts), TEXTS_AT_ONCE):
-            if len(self.ids) > WORDS_REMEMBERED // 2:
-                self.ids, self.older = {}, self.ids
-            words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts[at : at + TEXTS_AT_ONCE]]
-            found = [list(map(self.ids.get, w)) for w in words]
-            new = {w for ids, of in zip(found, words) if None in ids for w, i in zip(of, ids) if i is None}
-            again = new & self.older.keys()
-            self.ids.update((w, self.older[w]) for w in again)
-            passing = self._learn(new - again) if len(again) < len(new) else {}
-            for ids, of in zip(found, words):
-                yield b"".join([passing[w] if w in passing else self.ids[w] for w in of] if None in ids else ids)
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        before, at = _starts(pc.binary_length(texts).to_numpy()), 0
+        while at < len(texts):
+            within = int(np.searchsorted(before, before[at] + BYTES_AT_ONCE, "right")) - 1
+            to = min(max(within, at + 1), at + TEXTS_AT_ONCE)
+            ids, cuts = self._group(texts.slice(at, to - at))
+            for a, b in zip(cuts, cuts[1:]):
+                yield ids[a:b].tobytes()
+            at = to
 
 
 @lru_cache(maxsize=2)
 def word_tokens(path: str) -> WordTokens:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     return WordTokens(path)
 
 
@@ -153,9 +188,15 @@ def _cut(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, max_l
         tokens, part = word_tokens(tokenizer_path), TaskContext.get().partitionId()
         size, end = tokens.dtype.itemsize, np.array([end_id], dtype=tokens.dtype).tobytes()
         seen = np.zeros(max_length + 1, dtype=np.int64)
+        def made(batch: pa.RecordBatch, rows: list[int], pieces: list[tuple]) -> pa.RecordBatch:
+            columns = [pa.array(c) for c in zip(*pieces)] if pieces else [pa.array([], t) for t in [pa.int64()] * 4 + [pa.binary()]]
+            place, starts, lengths, totals, parts = columns
+            of = [pa.array([part] * len(rows), pa.int32()), place, batch.column(0).take(pa.array(rows, pa.int64())), starts, lengths, totals, parts]
+            return pa.RecordBatch.from_arrays(of, ["part", "place", "doc_id", "start", "length", "doc_tokens", "ids"])
+
         for batch in batches:
             rows, pieces = [], []
-            for row, ids in enumerate(tokens.of(batch.column(1).to_pylist())):
+            for row, ids in enumerate(tokens.of(batch.column(1))):
                 ids += end
                 n = len(ids) // size
                 for start in range(0, n, max_length):
@@ -163,10 +204,10 @@ def _cut(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, max_l
                     pieces.append((seen[length], start, length, n, ids[start * size : (start + length) * size]))
                     seen[length] += 1
                     rows.append(row)
-            columns = [pa.array(c) for c in zip(*pieces)] if pieces else [pa.array([], t) for t in [pa.int64()] * 4 + [pa.binary()]]
-            place, starts, lengths, totals, parts = columns
-            of = [pa.array([part] * len(rows), pa.int32()), place, batch.column(0).take(pa.array(rows, pa.int64())), starts, lengths, totals, parts]
-            yield pa.RecordBatch.from_arrays(of, ["part", "place", "doc_id", "start", "length", "doc_tokens", "ids"])
+                if len(rows) >= PIECES_AT_ONCE:
+                    yield made(batch, rows, pieces)
+                    rows, pieces = [], []
+            yield made(batch, rows, pieces)
 
     schema = _PIECES.format(id=docs.schema[id_col].dataType.simpleString())
     return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")).mapInArrow(cut, schema)

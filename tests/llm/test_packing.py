@@ -106,3 +106,23 @@ def test_words_are_remembered_across_generations(monkeypatch):
         assert np.frombuffer(found, "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
     # A group of texts at most beyond the bound; parts of words are remembered too.
     assert len(words.ids) + len(words.older) < 100
+
+
+def test_parts_of_words_are_remembered_once(monkeypatch):
+    """Neither capitals nor signs make a word another, however often it is met; nor do groups change what a text gives."""
+    tokenizer = Tokenizer.from_file(PATH)
+    texts = ["Word!! word, WORD. it's", None, "", "word!! Über, über. über", " \n"] * 3
+    whole = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for at_once in (1, 30, 1 << 20):
+        monkeypatch.setattr(packing, "BYTES_AT_ONCE", at_once, raising=False)
+        words = packing.WordTokens(PATH)
+        assert [np.frombuffer(i, "<u2").tolist() for i in words.of(texts)] == whole
+        assert set(words.ids) - {b""} == {w.encode() for w in ("word", "!!", ",", ".", "it's", "Über", "über")}
+
+
+def test_pieces_come_back_a_few_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PIECES_AT_ONCE", 3, raising=False)
+    docs = spark.createDataFrame([(i, "some words " * i) for i in range(40)], "doc_id long, text string").coalesce(1)
+    rows = packing.pack(docs, PATH, max_length=16).collect()
+    assert sum(r.length for r in rows) == sum(2 * i + 1 for i in range(40))
+    assert len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
