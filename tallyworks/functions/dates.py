@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Names of months and week days as dates write them.
 _MONTH = "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
@@ -33,8 +33,6 @@ _BEFORE, _AFTER = f"(?i)^{_BLANK}(?:{_WEEKDAY}[., ]+)?", f"(?:(?:t|[, ]+)(?:{_CL
 # Stands before every slot once a text has been taken apart; no date has it.
 _MARK = "\u0001"
 
-# The usual widths, which need no pattern.
-_FIXED = {True: ("dd-MM-yyyy", "dd/MM/yyyy", "yyyy-MM-dd"), False: ("MM-dd-yyyy", "MM/dd/yyyy", "yyyy-MM-dd")}
 # Years of two digits below this are of this century, as strptime reads them.
 _PIVOT = 69
 
@@ -59,14 +57,14 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
-def _fixed_width(c: Column, form: str) -> Column:
-    """Date of a form made of ``dd``, ``MM``, ``yyyy`` and separators, without a failing parse per row."""
-    fits = F.length(c) == len(form)
-    for i, ch in enumerate(form):
-        if ch not in "dMy":
-            fits = fits & (F.substring(c, i + 1, 1) == ch)
-    parts = [F.substring(c, form.index(p) + 1, len(p)) for p in ("yyyy", "MM", "dd")]
-    return F.when(fits, F.concat_ws("-", *parts).try_cast("date"))
+def _fixed_widths(c: Column, dayfirst: bool) -> Column:
+    """Date of two digits, two and four, parted by ``-`` or ``/``, or of ``yyyy-MM-dd``, without a failing parse per row."""
+    sep, ten = F.substring(c, 3, 1), F.length(c) == 10
+    first, second = F.substring(c, 1, 2), F.substring(c, 4, 2)
+    turned = F.concat_ws("-", F.substring(c, 7, 4), *((second, first) if dayfirst else (first, second)))
+    iso = (F.substring(c, 5, 1) == "-") & (F.substring(c, 8, 1) == "-")
+    text = F.when(ten & sep.isin("-", "/") & (F.substring(c, 6, 1) == sep), turned).when(ten & iso, c)
+    return text.try_cast("date")
 
 
 def _from_slots(slots: Column, dayfirst: bool) -> Column:
@@ -99,7 +97,23 @@ def parse_date(c: Column | str, dayfirst: bool = True, forms: Sequence[str] | No
     slots = F.split(F.regexp_replace(text, whole, replacement), _MARK)
     # The pattern runs where no usual width fits, and once.
     read = _let(F.when(~F.contains(text, F.lit(_MARK)), slots), lambda s: F.when(F.size(s) > len(_SLOTS), _from_slots(s, dayfirst)))
-    return F.coalesce(*[_fixed_width(text, form) for form in _FIXED[dayfirst]], read)
+    return F.coalesce(_fixed_widths(text, dayfirst), read)
+
+
+def with_date(df: DataFrame, c: str, dayfirst: bool = True, forms: Sequence[str] | None = None) -> DataFrame:
+    """``df`` with the text ``c`` replaced by what :func:`parse_date` reads in it.
+
+    What is used more than once are columns of their own here, so all of it is compiled; a lambda is not. For the start
+    of a stage: with much else in one step the compiled method grows beyond the 8,000 bytes that a JVM optimises.
+    """
+    fixed, slots = f"_fixed {c}", f"_slots {c}"
+    text = F.col(f"`{c}`").cast("string")
+    whole, replacement = pattern(tuple(FORMS) if forms is None else forms)
+    df = df.withColumn(fixed, _fixed_widths(text, dayfirst))
+    apart = F.split(F.regexp_replace(text, whole, replacement), _MARK)
+    df = df.withColumn(slots, F.when(F.col(f"`{fixed}`").isNull() & ~F.contains(text, F.lit(_MARK)), apart))
+    read = F.when(F.size(f"`{slots}`") > len(_SLOTS), _from_slots(F.col(f"`{slots}`"), dayfirst))
+    return df.withColumn(c, F.coalesce(F.col(f"`{fixed}`"), read)).drop(fixed, slots)
 
 
 def form_of(c: Column | str) -> Column:

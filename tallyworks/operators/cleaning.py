@@ -42,6 +42,14 @@ def standardise(df: DataFrame, dayfirst: bool = False, forms: Sequence[str] | No
     return df.select(*[conform(f) for f in df.schema])
 
 
+def standardise_numbers(df: DataFrame) -> DataFrame:
+    """What :func:`standardise` does to numbers; keys stay as they are."""
+    keys = ("date", *TEXT_KEYS)
+    return df.select(
+        *[to_number(f.name).alias(f.name) if isinstance(f.dataType, StringType) and f.name not in keys else F.col(f.name) for f in df.schema]
+    )
+
+
 def parse_dates(
     df: DataFrame, date: str = "date", observation: Observation | None = None, dayfirst: bool = True, forms: Sequence[str] | None = None
 ) -> DataFrame:
@@ -52,10 +60,15 @@ def parse_dates(
     return dated(df.withColumn(date, parse_date(date, dayfirst, forms)), date, observation)
 
 
-def dated(df: DataFrame, date: str = "date", observation: Observation | None = None) -> DataFrame:
-    """Only rows with a date; an ``Observation`` gets the number of all rows, ``n_rows``, and of the others, ``invalid_dates``."""
+def dated(df: DataFrame, date: str = "date", observation: Observation | None = None, weight: str | None = None) -> DataFrame:
+    """Only rows with a date; an ``Observation`` gets the number of all rows, ``n_rows``, and of the others, ``invalid_dates``.
+
+    ``weight`` names a column that holds how many rows each row stands for.
+    """
     if observation is not None:
-        df = df.observe(observation, F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(date).isNull()).alias("invalid_dates"))
+        n = F.lit(1) if weight is None else F.col(weight)
+        total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
+        df = df.observe(observation, total(n, "n_rows"), total(F.when(F.col(date).isNull(), n), "invalid_dates"))
     return df.where(F.col(date).isNotNull())
 
 

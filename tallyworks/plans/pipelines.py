@@ -6,23 +6,32 @@ import uuid
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql.types import StringType
 
+from tallyworks.functions.dates import with_date
 from tallyworks.functions.lineage import materialise
 from tallyworks.operators import cleaning, indicators, panel
-from tallyworks.schemas import ALL_MEASURES, FACT_KEYS
+from tallyworks.schemas import ALL_MEASURES, FACT_KEYS, MEASURES
 from tallyworks.sources import files
 
 LEVELS = {"national": [], "state": ["state"], "district": ["state", "district"]}
 
 
-def clean_base(raw: DataFrame, fact: str, observation: Observation | None = None, forms: Sequence[str] | None = None) -> DataFrame:
-    """Base line: labels in title case, numbers coerced, absent as 0, negative kept.
+def summed_base(raw: DataFrame, fact: str, observation: Observation | None = None, forms: Sequence[str] | None = None) -> DataFrame:
+    """Base line: labels in title case, numbers coerced, absent as 0, negative kept; rows whose keys are the same texts summed.
 
-    Rows without a place go before the labels are conformed, while the test is cheap. A row
-    without a postal code is kept, under code 0.
+    Numbers are read row by row. Dates and labels cost far more and are read once per distinct key, of which a fact has
+    at most its days times its places; if hardly any repeats, that costs one shuffle more. Rows without a place go
+    first. A row without a postal code is kept, under code 0.
     """
+    names, count = MEASURES[fact], "_rows"
     placed = cleaning.normalise_names(raw).where("state IS NOT NULL AND district IS NOT NULL")
-    clean = cleaning.dated(cleaning.fill_numbers(cleaning.standardise(placed, forms=forms)), observation=observation)
+    numbers = cleaning.fill_numbers(cleaning.standardise_numbers(cleaning.fact_columns(placed, fact)))
+    kind = numbers.schema[names[0]].dataType
+    sums = numbers.groupBy(*FACT_KEYS).agg(*[F.sum(F.col(m).cast(kind)).alias(m) for m in names], F.count(F.lit(1)).alias(count))
+    if isinstance(sums.schema["date"].dataType, StringType):
+        sums = with_date(sums, "date", dayfirst=False, forms=forms)
+    clean = cleaning.dated(cleaning.standardise(sums), observation=observation, weight=count)
     return cleaning.fact_columns(clean.na.fill("0", ["pincode"]), fact)
 
 
@@ -53,7 +62,7 @@ def preprocess_all(raw: Mapping[str, DataFrame], keys: Sequence[str] = tuple(FAC
     the forms its own dates have.
     """
     watched, forms = _watched(raw, losses), _forms(raw, vote)
-    facts = panel.stack_facts({f: clean_base(df, f, watched[f], forms[f]) for f, df in raw.items()})
+    facts = panel.stack_facts({f: summed_base(df, f, watched[f], forms[f]) for f, df in raw.items()})
     return panel.unify(facts, keys, complete=True)
 
 

@@ -99,6 +99,34 @@ def test_pipelines_count_what_they_drop(spark):
             assert {f: (o.get["n_rows"], o.get["invalid_dates"]) for f, o in losses.items()} == dict.fromkeys(raw, (3, 2))
 
 
+def test_base_line_reads_the_labels_of_equal_rows_once(spark):
+    keys = "date string, state string, district string, pincode string"
+    rows = [("Jan 5, 2023", " north", "a", None, " 4 ", "5")] * 3 + [("2023-01-05", "NORTH ", "A", "0", "n/a", "-1"), ("x", "north", "a", "1", "4", "5"), ("x", "north", "a", "1", "4", "5"), ("Jan 5, 2023", None, "a", "1", "4", "5")]
+    raw = {f: spark.createDataFrame([r[: 4 + len(MEASURES[f])] + ("1",) * (len(MEASURES[f]) - 2) for r in rows], keys + "".join(f", {m} string" for m in MEASURES[f])) for f in MEASURES}
+    losses = {}
+    out = pipelines.preprocess_all(raw, losses=losses)
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = {name: [i for i, line in enumerate(plan) if name in line] for name in ("Aggregate [", "initcap")}
+    # Every fact is summed by its raw keys below the line that reads its labels.
+    assert len(depth["Aggregate ["]) == 1 + len(raw) and all(a < b for a, b in zip(depth["initcap"], depth["Aggregate ["][1:]))
+    got = [(r.date, r.state, r.district, r.pincode, *[r[m] for f in MEASURES for m in MEASURES[f][:2]]) for r in out.collect()]
+    assert got == [(FIFTH, "North", "A", "0", *[12.0, 14.0] * 3)]
+    assert {f: (o.get["n_rows"], o.get["invalid_dates"]) for f, o in losses.items()} == dict.fromkeys(raw, (6, 2))
+
+
+def test_dates_as_a_column_are_those_of_the_expression(spark):
+    texts = [
+        "01-02-2023", "01/02/2023", "25/12/2023", "12-25-2023", "01-02/2023", "2023-02-01", "2023/02/01", "1-2-2023", "5/1/68", "5/1/69", "20230105", "2023-01", "5th of Jan, 2023",
+        "Thu, 05 Jan 2023 10:00", "32-01-2023", "29-02-2023", "1 -02-2023", "2023-1 -01", "x", "", None, "\u00012023-02-05", " 05-02-2023", "ab-c--d-ef",
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, d string")
+    for dayfirst in (True, False):
+        for forms in (None, ["month"]):
+            want = {r.i: r.p for r in df.select("i", dates.parse_date("d", dayfirst, forms).alias("p")).collect()}
+            read = dates.with_date(df, "d", dayfirst, forms)
+            assert read.columns == ["i", "d"] and {r.i: r.d for r in read.collect()} == want
+
+
 def test_dropped_dates_are_counted(spark):
     df = spark.createDataFrame([("31-01-2023",), ("x",), (None,)], "date string")
     seen = Observation()
