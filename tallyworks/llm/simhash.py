@@ -136,7 +136,8 @@ def within_budget(prints: DataFrame, words: list[str], *, key: str, budget: int
     # Where a row asks for its own value alone, both would find the other.
     on = on & (F.col(f"a.{key}") < F.col(f"b.{key}") if patterns == [0] else F.col(f"a.{key}") != F.col(f"b.{key}"))
     on = on & (differing(None) <= budget)
-    return asked.alias("a").join(filed.alias("b"), on)
+    # Spark takes an exploded table to be no larger than what it was made from, so it would broadcast these.
+    return asked.alias("a").join(filed.alias("b").hint("merge"), on)
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, budget: int) -> tuple[DataFrame, DataFrame]:
@@ -150,11 +151,13 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, budget:
     ring = nodes.select("fingerprint")
     pairs = within_budget(ring, ["fingerprint"], key="fingerprint", budget=budget)
     roots = components(pairs.select(F.col("a.fingerprint").alias("u"), F.col("b.fingerprint").alias("v")))
-    members = materialise(roots.join(nodes, F.col("node") == F.col("fingerprint")), "members")
+    # There may be a node per text, and a row takes several times as much in memory as in the file that Spark goes by: nothing is broadcast.
+    members = materialise(roots.join(nodes.hint("merge"), F.col("node") == F.col("fingerprint")), "members")
     least = members.groupBy("root").agg(F.min("least").alias("component_id"))
-    reached = members.select("fingerprint", "root").join(least, "root")
+    reached = members.select("fingerprint", "root").join(least.hint("merge"), "root")
     root, component = F.coalesce("root", "fingerprint").alias("root"), F.coalesce("component_id", "least").alias("component_id")
-    return prints, nodes.join(reached, "fingerprint", "left").select("fingerprint", root, component)
+    # Written, so that the rows of many copies meet it as a table of its own, whose join Spark splits where it is uneven.
+    return prints, materialise(nodes.join(reached.hint("merge"), "fingerprint", "left").select("fingerprint", root, component), "named")
 
 
 def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
@@ -164,7 +167,7 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
     Every row has a result. A null ``doc_id`` is reached like any other, but never names a component unless there is no other.
     """
     prints, named = _grouped(docs, id_col, text_col, shingle, budget)
-    return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    return prints.join(named.hint("merge"), "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:

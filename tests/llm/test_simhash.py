@@ -98,3 +98,17 @@ def test_a_very_long_text(spark):
     assert simhash.simhash(hashes) & (2**64 - 1) == want
     docs = spark.createDataFrame([(1, long), (2, long + " more"), (3, "short")], "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.deduplicated(docs).collect()) == [1, 3]
+
+
+def test_no_broadcast_grows_with_the_texts(spark):
+    texts = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(900)]
+    # Only links may be broadcast, and here are few of them.
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:200])], "doc_id long, text string")
+    prints = [reference_print(t) for t in texts]
+    assert all((p ^ q).bit_count() > 3 for i, p in enumerate(prints) for q in prints[:i])
+    limit = "spark.sql.maxBroadcastTableSize"
+    spark.conf.set(limit, "16k")
+    try:
+        assert sorted((r.doc_id, r.component_id) for r in simhash.linked(docs).collect()) == [(i, i % 900) for i in range(1100)]
+    finally:
+        spark.conf.unset(limit)
