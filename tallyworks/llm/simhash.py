@@ -177,12 +177,12 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     each other. An empty table gives no rows.
     """
     prints, named = _grouped(docs, id_col, text_col, shingle, budget)
-    rows = prints.join(named.select("fingerprint", "root"), "fingerprint")
+    rows = prints.join(named.select("fingerprint", "root").hint("merge"), "fingerprint")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))).alias("f")
     keep = rows.groupBy("root").agg(first).select(F.col("f.id").alias("_id"), F.col("f.key").alias("_key"))
     keep = materialise(keep, "keep")
     keyed = with_row(docs, doc_id=F.col(f"`{id_col}`"), text_key=_text_key(text_col))
-    kept = keyed.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
+    kept = keyed.join(keep.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
     # Rows of one id and text that repeat; there may be many, so all but one go before they meet.
     return row_only(kept.groupBy("doc_id", "text_key").agg(F.first(ROW).alias(ROW)).select(ROW))
 

@@ -110,5 +110,6 @@ def test_no_broadcast_grows_with_the_texts(spark):
     spark.conf.set(limit, "16k")
     try:
         assert sorted((r.doc_id, r.component_id) for r in simhash.linked(docs).collect()) == [(i, i % 900) for i in range(1100)]
+        assert sorted(r.doc_id for r in simhash.deduplicated(docs).collect()) == list(range(900))
     finally:
         spark.conf.unset(limit)
