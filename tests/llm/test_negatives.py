@@ -82,3 +82,46 @@ def test_a_walk_ends_early_where_clusters_are_tight():
     wanted = negatives.Wanted(np.arange(len(some)), True, np.full(len(some), negatives.LEAST), np.full(len(some), negatives.MOST), 5)
     products = negatives.walk(anchors, wanted, negatives.Found(wanted), ids, labels, of)
     assert products < 0.6 * len(some) * len(rows)
+
+
+def best(scores, ids, right, most):
+    """Per row of ``scores`` the ``most`` best (score, id) of the right ones."""
+    return [sorted((-s, i) for s, i, r in zip(row.tolist(), ids.tolist(), ok) if r)[:most] for row, ok in zip(scores, right)]
+
+
+@pytest.mark.parametrize("labels, spread, large", [(6, 4, 1), (6, 60, 1), (200, 30, 1), (1, 30, 1), (6, 30, 5000)])
+def test_lists_after_each_other_equal_every_product(labels, spread, large):
+    rng = np.random.default_rng(labels + spread)
+    rows = vectors(5000, 12, spread, spread)
+    v = np.array([r[1] for r in rows]) * large
+    v[::3] = np.floor(v[::3] / 4)  # norms that differ
+    v[7] = 0
+    ids, y = np.arange(5000), (np.array([r[2] for r in rows]) if labels == 6 else rng.integers(0, labels, 5000))
+    some = np.arange(0, 5000, 25)
+    anchors = negatives.Anchors(ids[some], y[some], v[some])
+    scores = (anchors.vectors @ v.T).astype(np.int64)
+    same = anchors.labels[:, None] == y
+    n = len(some)
+    near = negatives.Wanted(np.arange(n), True, np.full(n, negatives.LEAST), np.full(n, negatives.MOST), 5)
+    of = np.repeat(np.arange(n), 2)
+    low, high = np.full(2 * n, -50), np.repeat(scores.max(1), 2) * np.tile([60, 90], n) // 100
+    far = negatives.Wanted(of, False, low, high, 10)
+    for wanted, right in ((near, same & (anchors.ids[:, None] != ids)), (far, ~same[of] & (scores[of] >= low[:, None]) & (scores[of] <= high[:, None]))):
+        found = negatives.Found(wanted)
+        for at in range(0, 5000, 900):
+            negatives.walk(anchors, wanted, found, ids[at : at + 900], y[at : at + 900], v[at : at + 900])
+        got = [[] for _ in wanted.anchor]
+        for search, score, i in zip(*(a.tolist() for a in found.entries())):
+            got[search].append((-score, i))
+        assert got == best(scores[wanted.anchor], ids, right, wanted.most)
+
+
+def test_what_is_found_is_merged_by_search(monkeypatch):
+    n, most = 3000, 10
+    found = negatives.Found(negatives.Wanted(np.arange(n), True, np.full(n, negatives.LEAST), np.full(n, negatives.MOST), most))
+    found.add(np.repeat(np.arange(n), most), np.tile(np.arange(most), n), np.arange(n * most))
+    sorted_rows, plain = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: sorted_rows.append(len(keys[0])) or plain(keys))
+    found.add(np.array([5, 5, 8]), np.array([99, -99, 0]), np.array([1, 2, 3]))
+    assert sum(sorted_rows) <= 2 * most + 3
+    assert found.bar[5] == 1 and found.bar[8] == 0 and found.bar[9] == 0
